@@ -58,10 +58,13 @@ def homeless_counts(spots: DataFrame, gate: float = SPOT_GATE) -> DataFrame:
             .groupBy("fov", *SRC).agg(F.count(F.lit(1)).alias("homeless")))
 
 
-def mask_intensity(pixels: DataFrame, image: DataFrame) -> DataFrame:
-    """(fov, cell, hybe...) median image value under each mask; pixels outside the image clip away."""
+def mask_intensity(pixels: DataFrame, image: DataFrame, frame_shape: tuple[int, int]) -> DataFrame:
+    """(fov, cell, ...) median image value under each mask; mask pixels clip to the frame."""
+    h, w = frame_shape
     keys = [*KEYS, *[c for c in image.columns if c not in ("fov", "y", "x", "value")]]
-    return group_quantiles(pixels.join(image, ["fov", "y", "x"]), keys, "value", {"mask_median": 0.5}).drop("n")
+    clipped = pixels.withColumns({"y": F.least(F.greatest(F.col("y"), F.lit(0)), F.lit(h - 1)),
+                                  "x": F.least(F.greatest(F.col("x"), F.lit(0)), F.lit(w - 1))})
+    return group_quantiles(clipped.join(image, ["fov", "y", "x"]), keys, "value", {"mask_median": 0.5}).drop("n")
 
 
 def normalize(expr: DataFrame, metric: str, mode: str, ref_source=None,

@@ -29,7 +29,8 @@ def declared_index(records: DataFrame, lo: int, hi: int) -> DataFrame:
 
 def axis(indexed: DataFrame, n_slots: int, by: list[str]) -> DataFrame:
     """Every slot 0..n-1 of every group, holes included (NULL hybe)."""
-    grid = indexed.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0), F.lit(n_slots - 1))).cast("long").alias("pindex"))
+    slots = F.sequence(F.lit(0).cast("long"), F.lit(n_slots - 1).cast("long"))
+    grid = indexed.select(*by).distinct().select(*by, F.explode(slots).alias("pindex"))
     return grid.join(indexed.where(F.col("pindex") >= 0), [*by, "pindex"], "left")
 
 

@@ -115,7 +115,7 @@ FROM (SELECT DISTINCT CAST(o_orderkey % 25 AS INTEGER) AS fov FROM orders) WHERE
 SELECT CAST(cell % 25 AS INTEGER) AS fov, cell, modality, 'Hyb_00' || CAST(n AS VARCHAR) AS hybe,
        q * CAST(0.1 AS DOUBLE) AS c_yt, n * CAST(-0.2 AS DOUBLE) AS c_xt, q - 25 AS dz_cell, n <> 4 AS yx_is_residual
 FROM (SELECT l_orderkey AS cell, l_linenumber AS n, CASE WHEN l_linestatus = 'F' THEN 'DNA' ELSE 'RNA' END AS modality,
-             max(l_quantity) AS q FROM lineitem WHERE l_orderkey % 3 = 0 AND l_linenumber <= 4 GROUP BY 1, 2, 3)""",
+             max(l_quantity) AS q FROM lineitem WHERE l_quantity >= 20 AND l_linenumber <= 4 GROUP BY 1, 2, 3)""",
     # fov route: bridge after within, written out; anchor A = [[1, .01, .5 fov], [-.01, 1, 3]]
     "m_routes": """
 SELECT s.*, CASE WHEN w.hybe IS NULL THEN s.raw_y ELSE w_yy*s.raw_y + w_yx*s.raw_x + w_yt END AS wy,

@@ -63,7 +63,7 @@ SELECT p.fov, p.cell, round(median(value), 4) AS mask_median FROM m_pixels p JOI
 def mask_intensity(spark, d):
     s = T.spots(spark, d).where("modality = 'RNA' and brightness is not null")
     image = s.groupBy("fov", F.col("raw_y").cast("int").alias("y"), F.col("raw_x").cast("int").alias("x")).agg(F.max("brightness").alias("value"))
-    return E.mask_intensity(T.mask_pixels(T.cells(spark, d)), image).select("fov", "cell", r("mask_median", 4).alias("mask_median"))
+    return E.mask_intensity(T.mask_pixels(T.cells(spark, d)), image, T.FRAME_SHAPE).select("fov", "cell", r("mask_median", 4).alias("mask_median"))
 
 
 @query("pair_distances_xyz", "SELECT fov, cell, point_a, point_b, round(d_um, 6) AS d_um FROM m_pairs")

@@ -159,7 +159,7 @@ def bridges(spark, d) -> DataFrame:
 
 def cell_entries(spark, d) -> DataFrame:
     """Per-cell residual entries (fov, cell, modality, hybe) with their anchors."""
-    li = table(spark, d, "lineitem").where((F.col("l_orderkey") % 3 == 0) & (F.col("l_linenumber") <= 4))
+    li = table(spark, d, "lineitem").where((F.col("l_quantity") >= 20) & (F.col("l_linenumber") <= 4))
     keys = li.groupBy(F.col("l_orderkey").alias("cell"), F.col("l_linenumber").alias("n"),
                       F.when(F.col("l_linestatus") == "F", "DNA").otherwise("RNA").alias("modality")
                       ).agg(F.max("l_quantity").alias("q"))
