@@ -75,8 +75,8 @@ def cell_rows(cells: DataFrame, nucleus: DataFrame, spot_counts: DataFrame, alle
     parts = []
     if home is not None:
         out = out.join(home.select(*keys, F.col("h").alias("__h"), F.col("dz").alias("home_dz")), keys, "left")
-        parts = [affine.theta_deg("__h").alias("home_yx_theta_deg"), F.col("__h.xt").alias("home_yx_dx"),
-                 F.col("__h.yt").alias("home_yx_dy"), affine.scale("__h").alias("home_yx_scale"), "home_dz"]
+        parts = [affine.of("__h").theta_deg().alias("home_yx_theta_deg"), F.col("__h.xt").alias("home_yx_dx"),
+                 F.col("__h.yt").alias("home_yx_dy"), affine.of("__h").scale().alias("home_yx_scale"), "home_dz"]
     counts = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("n_spots", "n_spots_readout", "n_alleles")]
     known = {"fov", "cell", "celltype"}
     return out.select(

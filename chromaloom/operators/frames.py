@@ -15,37 +15,49 @@ def attach_layers(rows: DataFrame, within: DataFrame, bridges: DataFrame, entrie
     """rows(fov, cell, modality, hybe, ...) with the nullable layer columns.
 
     FOV layers have one row per (fov, modality[, hybe]); cell layers one per cell.
-    Equi-joins only; the optimizer broadcasts a layer when its measured size allows.
+    What depends only on a layer (a cell entry carried through its anchor) is
+    composed on the layer's own table, before it meets the rows. Equi-joins only;
+    the optimizer broadcasts a layer when its measured size allows.
     """
     out = rows.join(within, ["fov", "modality", "hybe"], "left").join(bridges, ["fov", "modality"], "left")
+    kind = out.schema["h_within"].dataType
+    none = {n: F.lit(None).cast(kind) for n in ("h_cell", "h_anchor", "h_placed", "h_move")}
     if entries is not None:
-        out = out.join(entries, ["fov", "cell", "modality", "hybe"], "left").join(anchors, ["fov", "modality"], "left")
+        placed = affine.compose(affine.of("h_anchor"), affine.of("h_cell"))
+        carried, staged = placed.stage(entries.join(anchors, ["fov", "modality"], "left"), "__p")
+        carried, back = affine.inverse(affine.of("h_anchor")).stage(carried, "__b")
+        known = F.col("h_anchor").isNotNull()
+        carried = carried.select(*entries.columns, "h_anchor", F.when(known, staged.struct()).alias("h_placed"),
+                                 F.when(known, affine.compose(staged, back).struct()).alias("h_move"))
+        out = out.join(carried, ["fov", "cell", "modality", "hybe"], "left")
     else:
-        out = out.withColumns({"h_cell": F.lit(None).cast(out.schema["h_within"].dataType), "dz_cell": F.lit(None).cast("double"),
-                               "yx_is_residual": F.lit(None).cast("boolean"),
-                               "h_anchor": F.lit(None).cast(out.schema["h_within"].dataType)})
+        out = out.withColumns({**none, "dz_cell": F.lit(None).cast("double"), "yx_is_residual": F.lit(None).cast("boolean")})
     if cell_bridges is not None:
         out = out.join(cell_bridges, ["fov", "cell", "modality"], "left")
     else:
-        out = out.withColumns({"h_cell_bridge": F.lit(None).cast(out.schema["h_within"].dataType),
-                               "dz_cell_bridge": F.lit(None).cast("double")})
+        out = out.withColumns({"h_cell_bridge": F.lit(None).cast(kind), "dz_cell_bridge": F.lit(None).cast("double")})
     return out
 
 
-def to_shared(shared: str) -> Column:
-    """The affine into the shared frame, from the attached layers.
+def to_shared(layered: DataFrame, shared: str, prefix: str = "h") -> tuple[DataFrame, affine.Affine]:
+    """The affine into the shared frame, staged from the attached layers.
 
     A layer that was never computed is identity. A residual cell entry is
     conjugated by its anchor and re-composed onto the FOV route; an older entry
     already holds the whole way to the anchor.
     """
-    bridge = F.when(F.col("modality") == shared, affine.identity()).otherwise(affine.or_identity("h_bridge"))
-    fov_route = affine.compose(affine.or_identity("h_cell_bridge"), affine.compose(bridge, affine.or_identity("h_within")))
+    def stage(df, h, name):
+        return h.stage(df, f"__{prefix}_{name}")
+
+    own = F.col("modality") == shared
+    bridge = affine.choose(own, affine.identity(), affine.or_identity("h_bridge"))
+    cell_bridge = affine.or_identity("h_cell_bridge")
+    df, fov = stage(layered, affine.compose(bridge, affine.or_identity("h_within")), "fov")
+    df, route = stage(df, affine.compose(cell_bridge, fov), "route")
     usable = F.col("h_cell").isNotNull() & F.col("h_anchor").isNotNull()
-    residual = affine.compose(
-        affine.compose(affine.compose(F.col("h_anchor"), F.col("h_cell")), affine.inverse("h_anchor")), fov_route)
-    whole = affine.compose(affine.or_identity("h_cell_bridge"), affine.compose(F.col("h_anchor"), F.col("h_cell")))
-    return F.when(usable & F.coalesce(F.col("yx_is_residual"), F.lit(False)), residual).when(usable, whole).otherwise(fov_route)
+    residual = F.coalesce(F.col("yx_is_residual"), F.lit(False))
+    by_cell = affine.choose(residual, affine.compose(affine.of("h_move"), route), affine.compose(cell_bridge, affine.of("h_placed")))
+    return affine.choose(usable, by_cell, route).stage(df, prefix)
 
 
 def z_to_shared(shared: str) -> Column:
@@ -65,19 +77,35 @@ def missing_layers(shared: str) -> Column:
 
 
 def project(layered: DataFrame, shared: str, keep: list[str]) -> DataFrame:
-    """adj_y, adj_x, adj_z and the missing-layer list of every row; a 2-D placeholder z stays 0."""
-    staged = layered.withColumns({"__h": to_shared(shared), "__dz": z_to_shared(shared), "missing": missing_layers(shared)})
-    return staged.select(*keep, affine.apply_y("__h", "raw_y", "raw_x").alias("adj_y"),
-                         affine.apply_x("__h", "raw_y", "raw_x").alias("adj_x"),
-                         (F.col("raw_z") + F.col("__dz")).alias("adj_z"), "missing")
+    """adj_y, adj_x, adj_z and the missing-layer list of every row.
+
+    A spot with z exactly 0 before and after is a 2-D placeholder and keeps 0.
+    """
+    own = F.col("modality") == shared
+    usable = F.col("h_cell").isNotNull() & F.col("h_anchor").isNotNull()
+    residual = usable & F.coalesce(F.col("yx_is_residual"), F.lit(False))
+    # the point is carried through the layers one by one; no matrix is built per spot
+    whole = usable & ~residual
+    start = affine.choose(whole, affine.of("h_placed"), affine.or_identity("h_within"))
+    bridge = affine.choose(own | whole, affine.identity(), affine.or_identity("h_bridge"))
+    last = affine.choose(residual, affine.of("h_move"), affine.identity())
+    df, y, x = layered, "raw_y", "raw_x"
+    for k, h in enumerate((start, bridge, affine.or_identity("h_cell_bridge"), last)):
+        df = df.withColumns({f"__y{k}": h.y(y, x), f"__x{k}": h.x(y, x)})
+        y, x = f"__y{k}", f"__x{k}"
+    z = F.col("raw_z") + z_to_shared(shared)
+    if "stored_z" in layered.columns:
+        z = F.when((F.col("raw_z") == 0) & (F.col("stored_z") == 0), F.lit(0.0)).otherwise(z)
+    return df.select(*keep, F.col(y).alias("adj_y"), F.col(x).alias("adj_x"), z.alias("adj_z"), missing_layers(shared).alias("missing"))
 
 
 def transform_between(src: DataFrame, dst: DataFrame, keys: list[str], shared: str) -> DataFrame:
-    """Per key: the affine and dz from the source layers' frame into the destination's."""
-    a = src.select(*keys, to_shared(shared).alias("h_src"), z_to_shared(shared).alias("z_src"))
-    b = dst.select(*keys, to_shared(shared).alias("h_dst"), z_to_shared(shared).alias("z_dst"))
-    return a.join(b, keys).select(*keys, affine.compose(affine.inverse("h_dst"), "h_src").alias("h"),
-                                  (F.col("z_src") - F.col("z_dst")).alias("dz"))
+    """Per key: the affine `h` and dz from the source layers' frame into the destination's."""
+    a, ha = to_shared(src, shared, "s")
+    b, hb = to_shared(dst, shared, "t")
+    both = a.select(*keys, *ha, z_to_shared(shared).alias("z_src")).join(b.select(*keys, *hb, z_to_shared(shared).alias("z_dst")), keys)
+    both, back = affine.inverse(hb).stage(both, "back")
+    return both.select(*keys, affine.compose(back, ha).struct().alias("h"), (F.col("z_src") - F.col("z_dst")).alias("dz"))
 
 
 def infer_hub(modalities: DataFrame, bridges: DataFrame) -> str:

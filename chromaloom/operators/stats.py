@@ -48,8 +48,10 @@ def exact_quantiles(df: DataFrame, keys: list[str], value, probs: dict[str, floa
         sketch.alias("__b"))
     wanted = []
     for k, name in enumerate(names):
-        lo = F.col("__min") if lows[k] <= 0.0 else F.col("__b")[k]
-        hi = F.col("__max") if highs[k] >= 1.0 else F.col("__b")[k + len(names)]
+        # the margin spans whole ranks only above SKETCH values; smaller groups are ranked whole
+        few = F.col("n") <= SKETCH
+        lo = F.col("__min") if lows[k] <= 0.0 else F.when(few, F.col("__min")).otherwise(F.col("__b")[k])
+        hi = F.col("__max") if highs[k] >= 1.0 else F.when(few, F.col("__max")).otherwise(F.col("__b")[k + len(names)])
         wanted.append(F.struct(F.lit(k).alias("which"), lo.alias("lo"), hi.alias("hi"),
                                (F.lit(float(probs[name])) * (F.col("n") - 1)).alias("pos")))
     targets = brackets.select(*gk, "n", F.explode(F.array(*wanted)).alias("__t"))
@@ -73,6 +75,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value, probs: dict[str, floa
     picked = ranked.groupBy(*gk, "which", "n", "pos").agg(at(first).alias("__lo"), at(last).alias("__hi"))
     frac = F.col("pos") - F.floor("pos")
     q = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * frac
+    q = F.when(q.isNotNull(), q).otherwise(F.raise_error(F.lit("rank outside its bracket")).cast("double"))
     out = picked.groupBy(*gk, "n").agg(*[
         F.max(F.when(F.col("which") == k, q)).alias(name) for k, name in enumerate(names)])
     return out.select(*keys, "n", *names)

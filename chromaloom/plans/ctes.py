@@ -138,10 +138,10 @@ SELECT fov, uid, cell, modality, hybe, channel, raw_y, raw_x, raw_z, y_um, x_um,
        raw_z + coalesce(dz_cell, 0) + coalesce(dz_bridge, 0) AS adj_z FROM m_fovroute""",
     "m_verdicts": """
 SELECT 'rev' || CAST(user_id % 5 AS VARCHAR) AS reviewer, event_type || '_' || CAST(user_id % 40 AS VARCHAR) AS key,
-       CAST(event_id % 20 AS INTEGER) AS page, date_trunc('second', ts) AS at, CAST(user_id % 3 AS INTEGER) AS file_no,
+       CAST(event_id % 20 AS INTEGER) AS page, date_trunc('second', ts) AS stamp, CAST(user_id % 3 AS INTEGER) AS file_no,
        event_id AS line_no, value FROM events""",
     "m_latest": """
-SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY reviewer, key, page ORDER BY at DESC, file_no DESC, line_no DESC) AS rn
+SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY reviewer, key, page ORDER BY stamp DESC, file_no DESC, line_no DESC) AS rn
 FROM m_verdicts) WHERE rn = 1""",
     "m_shown": """
 SELECT reviewer, key, page, CAST(page * 10 + k AS DOUBLE) AS y, CAST(k * 3 AS DOUBLE) AS x, CAST(page AS DOUBLE) AS z,
