@@ -183,8 +183,12 @@ def anchors(spark, d) -> DataFrame:
 
 def verdicts(spark, d) -> DataFrame:
     """Reviewer log: one record per (reviewer, key, page) submission, newest not yet resolved."""
-    e = table(spark, d, "events")
-    return e.select(
+    return verdict_columns(table(spark, d, "events"))
+
+
+def verdict_columns(events: DataFrame) -> DataFrame:
+    """The same projection for a batch or a stream of submissions."""
+    return events.select(
         F.concat(F.lit("rev"), (F.col("user_id") % 5).cast("string")).alias("reviewer"),
         F.concat(F.col("event_type"), F.lit("_"), (F.col("user_id") % 40).cast("string")).alias("key"),
         (F.col("event_id") % 20).cast("int").alias("page"),
