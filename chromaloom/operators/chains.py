@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from chromaloom.functions.physics import ChainLaw, _chain_variance, _log_density
 from chromaloom.session import cut
 
-from .pairs import group_pairs
+from .pairs import BLOCK, group_pairs
+from .stats import has_hot_group
 
 KEYS = ["fov", "cell"]
 AXES = ("y_um", "x_um", "z_um")
@@ -36,7 +37,9 @@ def best_chains(points: DataFrame, n_slots: int, step_kb: float, volume_um3: flo
     per slot and walks the axis forward; one more point must pay more than its price
     as clutter, ln(V / n).
     """
-    price = points.groupBy(*KEYS).agg(F.ln(F.lit(float(volume_um3)) / F.count(F.lit(1))).alias("clutter"))
+    sizes = points.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
+    hot = has_hot_group(sizes, limit=BLOCK)
+    price = sizes.select(*KEYS, F.ln(F.lit(float(volume_um3)) / F.col("n")).alias("clutter"))
     base = cut(points.join(price, KEYS).select(*KEYS, "point", "slot", *AXES, "clutter"))
     start = [F.lit(0.0).alias("w"), F.array("point").alias("chain")]
     done = base.where(F.col("slot") == 0).select(*base.columns, *start)
@@ -44,7 +47,7 @@ def best_chains(points: DataFrame, n_slots: int, step_kb: float, volume_um3: flo
         here = base.where(F.col("slot") == slot)
         before = done.select(*KEYS, F.col("slot").alias("p_slot"), F.col("w").alias("p_w"), F.col("chain").alias("p_chain"),
                              *[F.col(a).alias(f"p_{a}") for a in AXES])
-        steps = group_pairs(here, before, KEYS, "point").withColumn(
+        steps = group_pairs(here, before, KEYS, "point", may_be_hot=hot).withColumn(
             "cost", F.col("p_w") + step_cost(step_kb, law) - F.col("clutter"))
         best = steps.where(F.col("cost") < 0).groupBy(*KEYS, "point").agg(
             F.min("cost").alias("best"), F.min_by("p_chain", F.struct("cost", "p_slot", "p_chain")).alias("best_chain"))

@@ -16,39 +16,64 @@ BLOCK = 20_000
 
 
 def group_pairs(left: DataFrame, right: DataFrame, keys: list[str], deal_by: str,
-                residual: Column | None = None) -> DataFrame:
-    """Inner equi-join on `keys`; non-key columns of the two sides must differ."""
-    hot = (
-        left.groupBy(*keys).count().where(F.col("count") > BLOCK)
-        .select(*keys, F.ceil(F.col("count") / F.lit(BLOCK)).cast("int").alias("__blocks"))
-    )
-    blocks = F.coalesce(F.col("__blocks"), F.lit(1))
-    dealt = left.join(hot, keys, "left").withColumn(
-        "__block", F.pmod(F.xxhash64(deal_by), blocks).cast("int")).drop("__blocks")
-    repeated = right.join(hot, keys, "left").withColumn(
-        "__block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("__blocks")
-    out = dealt.join(repeated, [*keys, "__block"], "inner").drop("__block")
+                residual: Column | None = None, may_be_hot: bool = True) -> DataFrame:
+    """Inner equi-join on `keys`; non-key columns of the two sides must differ.
+
+    `may_be_hot=False` is for callers that have checked the group sizes themselves.
+    """
+    if may_be_hot:
+        hot = (
+            left.groupBy(*keys).count().where(F.col("count") > BLOCK)
+            .select(*keys, F.ceil(F.col("count") / F.lit(BLOCK)).cast("int").alias("__blocks"))
+        )
+        blocks = F.coalesce(F.col("__blocks"), F.lit(1))
+        dealt = left.join(hot, keys, "left").withColumn(
+            "__block", F.pmod(F.xxhash64(deal_by), blocks).cast("int")).drop("__blocks")
+        repeated = right.join(hot, keys, "left").withColumn(
+            "__block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("__blocks")
+        out = dealt.join(repeated, [*keys, "__block"], "inner").drop("__block")
+    else:
+        out = left.join(right, keys, "inner")
     return out if residual is None else out.where(residual)
 
 
+DENSE = 2_000
+
+
 def radius_neighbours(points: DataFrame, keys: list[str], axes: list[str], radius: float, ident: str) -> DataFrame:
     """Rows (keys, ident, other) of points within `radius` of each other, self included.
 
-    Grid cells with side `radius` make the range join an equi-join: each probe
-    looks into the 3^d grid cells around its own. Dense grid cells are split into
-    blocks by group_pairs.
+    A group of up to DENSE points is compared directly. Denser groups, if a count of
+    the group sizes finds any, go through a grid with side `radius`: a probe looks
+    into the 3^d grid cells around its own, so the range join stays an equi-join.
     """
-    grid = [F.floor(F.col(a) / F.lit(float(radius))).cast("long") for a in axes]
-    base = points.select(*keys, F.col(ident).alias("other"), *[F.col(a).alias(f"o_{a}") for a in axes],
-                         *[g.alias(f"g{k}") for k, g in enumerate(grid)])
-    probe = points.select(*keys, ident, *axes, *[g.alias(f"h{k}") for k, g in enumerate(grid)])
-    for k in range(len(axes)):
-        probe = probe.select("*", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias(f"s{k}"))
-        probe = probe.withColumn(f"g{k}", F.col(f"h{k}") + F.col(f"s{k}")).drop(f"h{k}", f"s{k}")
     gap = None
     for a in axes:
         term = F.pow(F.col(a) - F.col(f"o_{a}"), F.lit(2.0))
         gap = term if gap is None else gap + term
-    near = group_pairs(probe, base, [*keys, *[f"g{k}" for k in range(len(axes))]], ident,
-                       F.sqrt(gap) <= F.lit(float(radius)))
-    return near.select(*keys, ident, "other")
+    near = F.sqrt(gap) <= F.lit(float(radius))
+    other = [F.col(ident).alias("other"), *[F.col(a).alias(f"o_{a}") for a in axes]]
+
+    def direct(part: DataFrame) -> DataFrame:
+        left = part.select(*keys, ident, *axes)
+        return group_pairs(left, part.select(*keys, *other), keys, ident, near, may_be_hot=False).select(*keys, ident, "other")
+
+    sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    dense = sizes.where(F.col("n") > DENSE).select(*keys)
+    if dense.limit(1).isEmpty():
+        return direct(points)
+    sparse = points.join(dense, keys, "left_anti")
+    return direct(sparse).unionByName(_by_grid(points.join(dense, keys, "left_semi"), keys, axes, radius, ident, other, near))
+
+
+def _by_grid(points: DataFrame, keys: list[str], axes: list[str], radius: float, ident: str, other: list[Column],
+             near: Column) -> DataFrame:
+    grid = [F.floor(F.col(a) / F.lit(float(radius))).cast("long") for a in axes]
+    base = points.select(*keys, *other, *[g.alias(f"g{k}") for k, g in enumerate(grid)])
+    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    probe = points.select(*keys, ident, *axes, *[g.alias(f"h{k}") for k, g in enumerate(grid)])
+    for k in range(len(axes)):
+        probe = probe.select("*", F.explode(steps).alias(f"s{k}"))
+        probe = probe.withColumn(f"g{k}", F.col(f"h{k}") + F.col(f"s{k}")).drop(f"h{k}", f"s{k}")
+    cells = [*keys, *[f"g{k}" for k in range(len(axes))]]
+    return group_pairs(probe, base, cells, ident, near).select(*keys, ident, "other")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from chromaloom.operators import cellcycle, expression, polymer
 from chromaloom.operators.gate import Population
+from chromaloom.session import cut
 from chromaloom.sources import tables as T
 
 # Run parameters of the registered queries.
@@ -19,6 +20,11 @@ def polymer_of(spark, d):
     return polymer.collapse(T.candidates(spark, d))
 
 
+def kept_polymer(spark, d):
+    """The collapsed positions as a checkpointed table, for plans that read them several times."""
+    return cut(polymer_of(spark, d))
+
+
 def traced_alleles(spark, d):
     return polymer.completeness(T.alleles(spark, d), polymer_of(spark, d))
 

@@ -11,7 +11,7 @@ from chromaloom.operators import polymer as P
 from chromaloom.operators import readout as RO
 from chromaloom.sources import tables as T
 
-from .common import polymer_of, traced_alleles
+from .common import kept_polymer, polymer_of, traced_alleles
 from .registry import query
 
 
@@ -143,7 +143,7 @@ SELECT fov, cell, allele_a, allele_b, coalesce(n_shared, 0) * 2 + n_diag AS n_en
        CASE WHEN coalesce(n_shared, 0) * 2 + n_diag >= 3 THEN round(coalesce(s, 0) * 2 / (coalesce(n_shared, 0) * 2 + n_diag), 6) END AS difference
 FROM dg LEFT JOIN df USING (fov, cell, allele_a, allele_b)""")
 def allele_difference_within(spark, d):
-    poly = polymer_of(spark, d)
+    poly = kept_polymer(spark, d)
     pairs = EN.within_cell_pairs(T.alleles(spark, d))
     keys = pairs.columns
     out = EN.mean_abs_difference(EN.allele_pair_difference(P.distance_maps(poly), pairs), EN.shared_bins(poly, pairs), keys)
@@ -165,7 +165,7 @@ SELECT allele_a, allele_b, coalesce(n_shared, 0) * 2 + n_diag AS n_entries,
        CASE WHEN coalesce(n_shared, 0) * 2 + n_diag >= 3 THEN round(coalesce(s, 0) * 2 / (coalesce(n_shared, 0) * 2 + n_diag), 6) END AS difference
 FROM dg LEFT JOIN df USING (allele_a, allele_b)""")
 def allele_difference_null(spark, d):
-    poly = polymer_of(spark, d)
+    poly = kept_polymer(spark, d)
     pairs = EN.ring_pairs(T.alleles(spark, d), seed=3).where(
         ~((F.col("cell_a") >= 0) & (F.col("cell_a") == F.col("cell_b")) & (F.col("fov_a") == F.col("fov_b")))).select("allele_a", "allele_b")
     out = EN.mean_abs_difference(EN.allele_pair_difference(P.distance_maps(poly), pairs), EN.shared_bins(poly, pairs), ["allele_a", "allele_b"])
@@ -227,7 +227,7 @@ THRESHOLD_NAMES = ("min_brightness", "max_brightness", "max_jump_um", "max_dist_
 
 @query("qc_thresholds", "SELECT " + ", ".join(f"round({c}, 6) AS {c}" for c in THRESHOLD_NAMES) + f" FROM ({THRESHOLDS_SQL})")
 def qc_thresholds(spark, d):
-    poly = polymer_of(spark, d)
+    poly = kept_polymer(spark, d)
     return P.qc_thresholds(poly, P.distance_maps(poly)).select(*[r(c).alias(c) for c in THRESHOLD_NAMES])
 
 
@@ -242,14 +242,14 @@ flag AS (SELECT p.*, amp > 100000 OR amp < 5000 OR (p.slot BETWEEN 1 AND 5 AND c
 
 @query("qc_bad_bins", f"WITH {QC_SQL} SELECT fov, cell, allele_id, slot, bad FROM flag")
 def qc_bad_bins(spark, d):
-    poly = polymer_of(spark, d)
+    poly = kept_polymer(spark, d)
     return P.bad_bins(poly, P.distance_maps(poly), QC_BOUNDS, T.N_SLOTS).select("fov", "cell", "allele_id", "slot", "bad")
 
 
 @query("qc_apply", f"""
 WITH {QC_SQL} SELECT fov, cell, allele_id, slot, amp, n AS n_traced FROM (SELECT *, count(*) OVER (PARTITION BY allele_id) AS n FROM flag WHERE NOT bad) WHERE n >= 2""")
 def qc_apply(spark, d):
-    poly = polymer_of(spark, d)
+    poly = kept_polymer(spark, d)
     flagged = P.bad_bins(poly, P.distance_maps(poly), QC_BOUNDS, T.N_SLOTS)
     return P.apply_qc(flagged).select("fov", "cell", "allele_id", "slot", "amp", "n_traced")
 
@@ -289,7 +289,7 @@ sd AS (SELECT sqrt((g.y_um-h.y_um)*(g.y_um-h.y_um) + (g.x_um-h.x_um)*(g.x_um-h.x
 r1 AS ({RANGE_SQL.format(f=FACTOR, t=USABLE)}), r2 AS ({RANGE_SQL.format(f=FACTOR, t='(SELECT * FROM sd WHERE d_xyz > 0 AND d_xy > 0)')})
 SELECT bin, r1.n, round(r1.factor, 6) AS factor, round(r1.factor / nullif(r2.factor, 0), 6) AS excess FROM r1 JOIN r2 USING (bin)""")
 def anisotropy_excess(spark, d):
-    poly = polymer_of(spark, d)
+    poly = kept_polymer(spark, d)
     pairs = P.xy_and_xyz(poly)
     null = P.xy_and_xyz(A.isotropic_surrogate(poly, seed=5))
     e = A.excess_by_range(pairs, null, A.default_upper(pairs))
@@ -332,7 +332,7 @@ l AS (SELECT *, ln(CAST(0.68 AS DOUBLE)) - 0.5 * ((dy*dy + dx*dx) / vxy + dz*dz
 SELECT allele_id, bin_i, bin_j, round(-(greatest(lc, lo) + ln(exp(lc - greatest(lc, lo)) + exp(lo - greatest(lc, lo)))), 5) AS cost,
        round(CASE WHEN lo - lc > 700 THEN 0 ELSE 1 / (1 + exp(lo - lc)) END, 6) AS p_same FROM l""")
 def chain_pair_cost(spark, d):
-    poly = polymer_of(spark, d)
+    poly = kept_polymer(spark, d)
     gaps = [(F.col(f"a_{c}") - F.col(f"b_{c}")).alias(n) for c, n in (("y_um", "dy"), ("x_um", "dx"), ("z_um", "dz"))]
     pairs = P.distance_maps(poly, "xyz", gaps).withColumn("s_kb", (F.col("bin_j") - F.col("bin_i")) * 50.0)
     return pairs.select("allele_id", "bin_i", "bin_j", r(physics.pair_cost("dy", "dx", "dz", "s_kb"), 5).alias("cost"),
@@ -405,7 +405,7 @@ def repeat_distance(spark, d):
     from chromaloom.functions.scalar import euclid
     from chromaloom.operators.stats import exact_quantiles
 
-    poly = polymer_of(spark, d)
+    poly = kept_polymer(spark, d)
 
     def side(slot, p):
         return poly.where(F.col("slot") == slot).select("allele_id", *[F.col(c).alias(f"{p}_{c}") for c in ("y_um", "x_um", "z_um")])
