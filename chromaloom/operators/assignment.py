@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chromaloom.functions.scalar import VOXEL_UM, reduce_any, safe_div
+from chromaloom.session import checked_broadcast
 
 from .stats import exact_quantiles
 
@@ -45,7 +46,7 @@ def segmentation_flags(measured: DataFrame, height: int, width: int) -> DataFram
     # an all-zero median divides by one instead
     scale = F.when(F.col("med") == 0, F.lit(1.0)).otherwise(F.col("med"))
     z = F.when(F.col("sd") > 0, safe_div(F.col("mean_stain") - F.col("mu"), "sd")).otherwise(F.lit(0.0))
-    rel = measured.join(moments, "fov").join(med, "fov").withColumns({"area_rel": F.col("area") / scale, "stain_z": z})
+    rel = measured.join(checked_broadcast(moments.join(med, "fov")), "fov").withColumns({"area_rel": F.col("area") / scale, "stain_z": z})
     border = ((F.col("min_y") < BORDER_PX) | (F.col("min_x") < BORDER_PX)
               | (F.col("max_y") >= height - BORDER_PX) | (F.col("max_x") >= width - BORDER_PX))
     return rel.withColumns({

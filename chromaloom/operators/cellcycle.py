@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from chromaloom.functions.scalar import SPOT_GATE, circular_abs_diff, in_arc, in_range, wrap360
 
+from chromaloom.session import checked_broadcast
+
 from .expression import KEYS, SRC, source_rows
 from .stats import exact_quantiles
 
@@ -38,7 +40,7 @@ def count_table(cells: DataFrame, spots: DataFrame, sources, gate: float = SPOT_
     slice_facts = stored.join(low, ["fov", *SRC], "left")
     axis = cells.select(*KEYS, "celltype", F.explode(source_rows(sources)).alias("s")).select(
         *KEYS, "celltype", *[F.col(f"s.{c}").alias(c) for c in SRC])
-    return axis.join(known.drop("p_low"), keys, "left").join(slice_facts, ["fov", *SRC], "left").select(
+    return axis.join(known.drop("p_low"), keys, "left").join(checked_broadcast(slice_facts), ["fov", *SRC], "left").select(
         *KEYS, "celltype", *SRC, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("soft", F.lit(0.0)).alias("soft"),
         F.coalesce("candidates", F.lit(0)).alias("candidates"), "p_min", F.coalesce("n_stored", F.lit(0)).alias("n_stored"))
 
@@ -113,10 +115,12 @@ def circular_summary(table: DataFrame, by: list[str], theta: str = "theta_deg")
         F.avg(F.coalesce(F.col("ring_tail") >= ON_RING, F.lit(False)).cast("double")).alias("frac_on_ring"))
     out = base.select(*by, "n", wrap360(F.degrees(F.atan2("s", "c"))).alias("mean_deg"),
                       F.hypot("c", "s").alias("concentration"), "frac_outside", "frac_on_ring")
-    for column in ("R", "fit_z", "radius"):
-        med = exact_quantiles(rows, by, column, {f"median_{column}": 0.5}).drop("n")
-        out = out.join(med, by, "left")
-    return out
+    # the three medians share one pass: their columns are stacked under a name
+    stacked = rows.select(*by, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("name"), F.col(c).alias("v")) for c in ("R", "fit_z", "radius")])).alias("s")).select(*by, "s.*")
+    med = exact_quantiles(stacked, [*by, "name"], "v", {"m": 0.5})
+    wide = med.groupBy(*by).agg(*[F.max(F.when(F.col("name") == c, F.col("m"))).alias(f"median_{c}") for c in ("R", "fit_z", "radius")])
+    return out.join(wide, by, "left")
 
 
 def phase_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -132,7 +136,7 @@ def normalise_by_fov(table: DataFrame, value: str, min_cells: int = 5) -> DataFr
     """value over its FOV's median; NULL for sparse FOVs or a non-positive median."""
     med = exact_quantiles(table, ["fov"], value, {"__med": 0.5})
     ok = (F.col("n") >= min_cells) & (F.col("__med") > 0)
-    return table.join(med, "fov", "left").withColumn(f"{value}_norm", F.when(ok, F.col(value) / F.col("__med"))).drop("n", "__med")
+    return table.join(checked_broadcast(med), "fov", "left").withColumn(f"{value}_norm", F.when(ok, F.col(value) / F.col("__med"))).drop("n", "__med")
 
 
 def phase_medians(table: DataFrame, value: str, n_bins: int = 36, theta: str = "theta_deg", min_n: int = 5) -> np.ndarray:

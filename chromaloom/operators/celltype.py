@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chromaloom.session import checked_broadcast
+
 from .cellcycle import phase_bin
 from .stats import exact_quantiles, group_quantiles
 
@@ -52,7 +54,7 @@ def mask_sums(pixels: DataFrame, image: DataFrame) -> DataFrame:
     under = pixels.join(image, ["fov", "y", "x"])
     sizes = under.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
     med = group_quantiles(under, KEYS, "value", {"mask_median": 0.5}, sizes).drop("n")
-    sums = under.join(bg, "fov").groupBy(*KEYS).agg(
+    sums = under.join(checked_broadcast(bg), "fov").groupBy(*KEYS).agg(
         F.count("value").alias("area"), F.avg("value").alias("mask_mean"),
         F.sum(F.greatest(F.col("value") - F.col("background"), F.lit(0.0))).alias("sum_above_bg"), F.first("background").alias("background"))
     return sums.join(med, KEYS)

@@ -6,10 +6,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stats import ordered_index
+from .stats import running, running_totals
 
 NODES = 25          # fixed number of quadrature nodes
 PRIOR_SIGMA = 10.0  # fixed prior width of the bin effects
@@ -35,29 +35,16 @@ def bh_fdr(tests: DataFrame, p: str = "p", q: str = "q") -> DataFrame:
     """
     scored = tests.where(F.col(p).isNotNull() & ~F.isnan(p))
     distinct = scored.groupBy(F.col(p).alias("__p")).agg(F.count(F.lit(1)).alias("__c"))
-    from .stats import running_totals
-
     upto = running_totals(distinct, "__p", {"__rank": "__c"})
     total = scored.agg(F.count(F.lit(1)).alias("__m")).first()["__m"]
     if not total:
         return tests.withColumn(q, F.lit(None).cast("double"))
     upto = upto.withColumn("__raw", F.col("__p") * F.lit(float(total)) / F.col("__rank"))
-    steps = reverse_running_min(upto, "__p", "__raw", "__q")
+    steps = running(upto, "__p", {"__q": "__raw"}, descending=True, how="min")
     picked = steps.select("__p", F.least(F.col("__q"), F.lit(1.0)).alias(q))
     return tests.join(picked, tests[p] == picked["__p"], "left").drop("__p")
 
 
-def reverse_running_min(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
-    """min(value) over all rows at or above `order`; `order` is distinct."""
-    indexed = ordered_index(df, [order], name="__i").withColumn("__b", F.floor(F.col("__i") / 65536))
-    per = indexed.groupBy("__b").agg(F.min(value).alias("__m"))
-    # one row per 65,536 rows
-    after = per.select("__b", F.min("__m").over(Window.orderBy("__b").rowsBetween(1, Window.unboundedFollowing)).alias("__after"))
-    local = F.min(value).over(Window.partitionBy("__b").orderBy("__i").rowsBetween(0, Window.unboundedFollowing))
-    return indexed.withColumn("__local", local).join(after, "__b").withColumn(
-        name, F.least("__local", "__after")).drop("__i", "__b", "__local", "__after")
-
-
 def detection_patterns(alleles: DataFrame, polymer: DataFrame, n_slots: int) -> DataFrame:
     """(pattern, n): alleles grouped by which slots they carry; slots is a 0/1 string."""
     per = polymer.groupBy("allele_id").agg(F.collect_set("slot").alias("slots"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chromaloom.functions import affine
 from chromaloom.functions.scalar import VOXEL_UM, fov_key, from_learned_engine, z_status
+from chromaloom.session import checked_broadcast
 
 # Fixed column lists of the compact combined sheet.
 COMBINED_SPOT = ("spot_key", "fov", "modality", "hybe", "readout_name", "readout_id", "channel_role", "cell",
@@ -33,7 +34,7 @@ def spot_rows(spots: DataFrame, cells: DataFrame, layout: DataFrame, extras: lis
     key = F.when(F.col("cell") >= 0, F.col("cell"))
     names = cells.select(F.col("fov").alias("__f"), F.col("cell").alias("__c"), F.col("celltype").alias("__ct"))
     lay = layout.select("modality", "hybe", "readout_name", "datatype", "readout_id", "fiducial_channel")
-    joined = spots.withColumn("__k", key).join(lay, ["modality", "hybe"], "left")
+    joined = spots.withColumn("__k", key).join(checked_broadcast(lay), ["modality", "hybe"], "left")
     housed = joined.where(F.col("__k").isNotNull()).join(
         names, (F.col("fov") == F.col("__f")) & (F.col("__k") == F.col("__c")), "left")
     homeless = joined.where(F.col("__k").isNull()).withColumns({

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from chromaloom.functions import affine
 
+from chromaloom.session import checked_broadcast
+
 from .stats import exact_quantiles
 
 
@@ -16,20 +18,23 @@ def attach_layers(rows: DataFrame, within: DataFrame, bridges: DataFrame, entrie
 
     FOV layers have one row per (fov, modality[, hybe]); cell layers one per cell.
     What depends only on a layer (a cell entry carried through its anchor) is
-    composed on the layer's own table, before it meets the rows. Equi-joins only;
-    the optimizer broadcasts a layer when its measured size allows.
+    composed on the layer's own table, before it meets the rows. FOV layers are
+    broadcast when their counted size allows, and shuffled otherwise.
     """
-    out = rows.join(within, ["fov", "modality", "hybe"], "left").join(bridges, ["fov", "modality"], "left")
+    out = rows.join(checked_broadcast(within), ["fov", "modality", "hybe"], "left").join(
+        checked_broadcast(bridges), ["fov", "modality"], "left")
     kind = out.schema["h_within"].dataType
     none = {n: F.lit(None).cast(kind) for n in ("h_cell", "h_anchor", "h_placed", "h_move")}
     if entries is not None:
         placed = affine.compose(affine.of("h_anchor"), affine.of("h_cell"))
-        carried, staged = placed.stage(entries.join(anchors, ["fov", "modality"], "left"), "__p")
+        carried, staged = placed.stage(entries.join(checked_broadcast(anchors), ["fov", "modality"], "left"), "__p")
         carried, back = affine.inverse(affine.of("h_anchor")).stage(carried, "__b")
         known = F.col("h_anchor").isNotNull()
         carried = carried.select(*entries.columns, "h_anchor", F.when(known, staged.struct()).alias("h_placed"),
                                  F.when(known, affine.compose(staged, back).struct()).alias("h_move"))
-        out = out.join(carried, ["fov", "cell", "modality", "hybe"], "left")
+        # homeless rows have no cell entry: they skip the shuffle on their one shared key
+        housed = out.where(F.col("cell") >= 0).join(carried, ["fov", "cell", "modality", "hybe"], "left")
+        out = housed.unionByName(out.where(F.col("cell") < 0), allowMissingColumns=True)
     else:
         out = out.withColumns({**none, "dz_cell": F.lit(None).cast("double"), "yx_is_residual": F.lit(None).cast("boolean")})
     if cell_bridges is not None:
@@ -124,7 +129,7 @@ def shift_stats(rows: DataFrame, new: tuple[str, str], old: tuple[str, str], by:
     moved = rows.select(*by, F.explode(F.array(move)).alias("shift"))
     q = exact_quantiles(moved, by, "shift", {"median": 0.5, "p90": 0.9})
     top = moved.groupBy(*by).agg(F.max("shift").alias("max"))
-    return q.join(top, by) if by else q.join(F.broadcast(top.withColumn("k", F.lit(1))), F.lit(1) == F.col("k")).drop("k")
+    return q.join(top, by) if by else q.withColumn("max", top.scalar())
 
 
 def z_consensus(entries: DataFrame, min_cells: int = 8) -> DataFrame:
@@ -132,7 +137,7 @@ def z_consensus(entries: DataFrame, min_cells: int = 8) -> DataFrame:
     keys = ["fov", "modality", "hybe"]
     med = exact_quantiles(entries.where(~F.col("z_rejected")), keys, "dz", {"consensus": 0.5})
     usable = (F.col("n") >= min_cells) & (F.col("consensus") != 0)
-    joined = entries.join(med, keys, "left")
+    joined = entries.join(checked_broadcast(med), keys, "left")
     applied = F.col("z_rejected") & F.coalesce(usable, F.lit(False))
     return joined.select(*entries.columns, F.when(applied, F.col("consensus")).otherwise(F.col("dz")).alias("dz_used"),
                          applied.alias("imputed"))

@@ -3,8 +3,7 @@
 The pair list of a cell is the operator's own result, so nothing is dropped. A
 group with more than BLOCK left rows is cut into blocks: its left rows are dealt
 over the blocks by hash and its right rows are repeated once per block, so the
-work of one group spreads over many tasks. Ordinary groups have one block and pay
-no repetition.
+work of one group spreads over many tasks. Ordinary groups take the plain join.
 """
 
 from __future__ import annotations
@@ -16,24 +15,27 @@ BLOCK = 20_000
 
 
 def group_pairs(left: DataFrame, right: DataFrame, keys: list[str], deal_by: str,
-                residual: Column | None = None, may_be_hot: bool = True) -> DataFrame:
+                residual: Column | None = None, may_be_hot: bool | None = None) -> DataFrame:
     """Inner equi-join on `keys`; non-key columns of the two sides must differ.
 
-    `may_be_hot=False` is for callers that have checked the group sizes themselves.
+    A count of the left group sizes decides: without a hot group this is one plain
+    join. Otherwise only the hot groups are cut into blocks; the rest stays plain.
+    `may_be_hot=False` is for callers that have checked the sizes themselves.
     """
-    if may_be_hot:
-        hot = (
-            left.groupBy(*keys).count().where(F.col("count") > BLOCK)
-            .select(*keys, F.ceil(F.col("count") / F.lit(BLOCK)).cast("int").alias("__blocks"))
-        )
-        blocks = F.coalesce(F.col("__blocks"), F.lit(1))
-        dealt = left.join(hot, keys, "left").withColumn(
-            "__block", F.pmod(F.xxhash64(deal_by), blocks).cast("int")).drop("__blocks")
-        repeated = right.join(hot, keys, "left").withColumn(
-            "__block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("__blocks")
-        out = dealt.join(repeated, [*keys, "__block"], "inner").drop("__block")
+    hot = left.groupBy(*keys).count().where(F.col("count") > BLOCK).select(
+        *keys, F.ceil(F.col("count") / F.lit(BLOCK)).cast("int").alias("__blocks"))
+    if may_be_hot is None:
+        may_be_hot = not hot.limit(1).isEmpty()
+    if not may_be_hot:
+        out = left.join(right, keys)
     else:
-        out = left.join(right, keys, "inner")
+        names = hot.select(*keys)
+        plain = left.join(names, keys, "left_anti").join(right, keys)
+        dealt = left.join(hot, keys).withColumn(
+            "__block", F.pmod(F.xxhash64(deal_by), F.col("__blocks")).cast("int")).drop("__blocks")
+        repeated = right.join(hot, keys).withColumn(
+            "__block", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))).drop("__blocks")
+        out = plain.unionByName(dealt.join(repeated, [*keys, "__block"]).drop("__block"))
     return out if residual is None else out.where(residual)
 
 

@@ -84,9 +84,10 @@ def qc_thresholds(polymer: DataFrame, dmaps: DataFrame, brightness=(0.05, 0.95),
     amp = exact_quantiles(polymer, [], "amp", {"min_brightness": brightness[0], "max_brightness": brightness[1]})
     near = exact_quantiles(dmaps.where(F.col("bin_j") == F.col("bin_i") + 1), [], "d", {"max_jump_um": jump})
     far = exact_quantiles(slot_medians(polymer, dmaps), [], "med", {"max_dist_um": max_dist})
-    one = amp.drop("n").withColumn("k", F.lit(1))
-    return (one.join(F.broadcast(near.drop("n").withColumn("k", F.lit(1))), "k", "left")
-            .join(F.broadcast(far.drop("n").withColumn("k", F.lit(1))), "k", "left").drop("k"))
+    inf = F.lit(float("inf"))
+    return amp.select(
+        "min_brightness", "max_brightness", F.coalesce(near.select("max_jump_um").scalar(), inf).alias("max_jump_um"),
+        F.coalesce(far.select("max_dist_um").scalar(), inf).alias("max_dist_um"))
 
 
 def bad_bins(polymer: DataFrame, dmaps: DataFrame, thresholds: dict[str, float], n_slots: int) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chromaloom.session import cut
+
 from .distances import radius_support
 
 # Fixed site parameters.
@@ -25,7 +27,7 @@ def min_site_bins(n_slots: int) -> int:
 def pick_sites(points: DataFrame, order: Column, radius: float, rounds: int) -> DataFrame:
     """(fov, cell, site, point, position): up to `rounds` points, best first, none within `radius` of another."""
     best = F.max_by(F.struct("point", *AXES), order).alias("b")
-    remaining, chosen = points, None
+    remaining, chosen = cut(points), None
     for k in range(rounds):
         taken = remaining.groupBy(*KEYS).agg(best).select(*KEYS, F.lit(k).alias("site"), *[F.col(f"b.{c}").alias(c) for c in ("point", *AXES)])
         chosen = taken if chosen is None else chosen.unionByName(taken)
@@ -33,7 +35,7 @@ def pick_sites(points: DataFrame, order: Column, radius: float, rounds: int) ->
             break
         centre = taken.select(*KEYS, *[F.col(a).alias(f"t_{a}") for a in AXES])
         gap = F.sqrt(sum((F.pow(F.col(a) - F.col(f"t_{a}"), F.lit(2.0)) for a in AXES[1:]), F.pow(F.col("y_um") - F.col("t_y_um"), F.lit(2.0))))
-        remaining = remaining.join(centre, KEYS).where(gap > F.lit(float(radius))).select(*points.columns)
+        remaining = cut(remaining.join(centre, KEYS).where(gap > F.lit(float(radius))).select(*points.columns))
     return chosen
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 SKETCH = 10_000          # percentile_approx accuracy: rank error <= n / SKETCH
 HOT_GROUP = 1_000_000    # values one task may rank in memory
-POSITION_SPLITS = 256    # range buckets of ordered_index
+POSITION_SPLITS = 1024   # range buckets of the position functions
 
 
 def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str, small: bool) -> DataFrame:
@@ -41,9 +41,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value, probs: dict[str, floa
     lows = [max(probs[k] - margin, 0.0) for k in names]
     highs = [min(probs[k] + margin, 1.0) for k in names]
     sketch = F.percentile_approx("__v", lows + highs, SKETCH)
-    keyed = values if keys else values.withColumn("__all", F.lit(1))
-    gk = keys or ["__all"]
-    brackets = keyed.groupBy(*gk).agg(
+    brackets = values.groupBy(*keys).agg(
         F.count("__v").alias("n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"),
         sketch.alias("__b"))
     wanted = []
@@ -54,16 +52,22 @@ def exact_quantiles(df: DataFrame, keys: list[str], value, probs: dict[str, floa
         hi = F.col("__max") if highs[k] >= 1.0 else F.when(few, F.col("__max")).otherwise(F.col("__b")[k + len(names)])
         wanted.append(F.struct(F.lit(k).alias("which"), lo.alias("lo"), hi.alias("hi"),
                                (F.lit(float(probs[name])) * (F.col("n") - 1)).alias("pos")))
-    targets = brackets.select(*gk, "n", F.explode(F.array(*wanted)).alias("__t"))
+    if keys:
+        targets = brackets.select(*keys, "n", F.explode(F.array(*wanted)).alias("__t"))
+        bracketed = _null_safe(values, targets, keys, "inner", few_groups)
+    else:
+        # one bracket for all rows: a scalar subquery, not a join
+        whole = brackets.select(F.struct("n", F.array(*wanted).alias("t")).alias("b")).scalar()
+        bracketed = values.withColumn("__w", whole).select("__v", F.col("__w.n").alias("n"), F.explode("__w.t").alias("__t"))
     inside = (
-        _null_safe(keyed, targets, gk, "inner", few_groups or not keys)
+        bracketed
         .where(F.col("__v") <= F.col("__t.hi"))
-        .select(*gk, "n", F.col("__t.which").alias("which"), F.col("__t.pos").alias("pos"),
+        .select(*keys, "n", F.col("__t.which").alias("which"), F.col("__t.pos").alias("pos"),
                 F.when(F.col("__v") >= F.col("__t.lo"), F.col("__v")).alias("__v"))
-        .groupBy(*gk, "which", "n", "pos", "__v").count()
+        .groupBy(*keys, "which", "n", "pos", "__v").count()
     )
     upto = F.sum("count").over(
-        Window.partitionBy(*gk, "which").orderBy(F.col("__v").asc_nulls_first())
+        Window.partitionBy(*keys, "which").orderBy(F.col("__v").asc_nulls_first())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = inside.withColumn("__upto", upto)
     first, last = F.floor("pos"), F.ceil("pos")
@@ -72,11 +76,11 @@ def exact_quantiles(df: DataFrame, keys: list[str], value, probs: dict[str, floa
         holds = (F.col("__upto") > rank) & (F.col("__upto") - F.col("count") <= rank)
         return F.max(F.when(holds, F.col("__v")))
 
-    picked = ranked.groupBy(*gk, "which", "n", "pos").agg(at(first).alias("__lo"), at(last).alias("__hi"))
+    picked = ranked.groupBy(*keys, "which", "n", "pos").agg(at(first).alias("__lo"), at(last).alias("__hi"))
     frac = F.col("pos") - F.floor("pos")
     q = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * frac
     q = F.when(q.isNotNull(), q).otherwise(F.raise_error(F.lit("rank outside its bracket")).cast("double"))
-    out = picked.groupBy(*gk, "n").agg(*[
+    out = picked.groupBy(*keys, "n").agg(*[
         F.max(F.when(F.col("which") == k, q)).alias(name) for k, name in enumerate(names)])
     return out.select(*keys, "n", *names)
 
@@ -107,25 +111,29 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         exact_quantiles(df.join(hot, keys, "left_semi"), keys, value, probs))
 
 
+def _range_buckets(df: DataFrame, order: str) -> DataFrame:
+    """df plus `__bucket`: range buckets of a numeric column from a bounded list of
+    approximate splits (the only thing that reaches the driver)."""
+    from pyspark.ml.feature import Bucketizer
+
+    lead = df.withColumn("__lead", F.col(order).cast("double"))
+    splits = sorted(set(lead.where("__lead is not null").approxQuantile(
+        "__lead", [k / POSITION_SPLITS for k in range(1, POSITION_SPLITS)], 0.5 / POSITION_SPLITS)))
+    if not splits:
+        return lead.withColumn("__bucket", F.lit(0)).drop("__lead")
+    edges = [-float("inf"), *splits, float("inf")]
+    return Bucketizer(splits=edges, inputCol="__lead", outputCol="__bucket", handleInvalid="keep").transform(
+        lead).drop("__lead").withColumn("__bucket", F.col("__bucket").cast("int"))
+
+
 def ordered_index(df: DataFrame, order: list[str], keys: list[str] | None = None, name: str = "idx") -> DataFrame:
     """0-based position in the total order of `order` (first column numeric), per `keys`.
 
-    Range buckets from a bounded set of approximate splits; bucket counts give the
-    offsets, so no window ever spans more than one bucket of one group.
+    Bucket counts give the offsets, so no window spans more than one range bucket of
+    one group.
     """
     keys = keys or []
-    lead = order[0]
-    splits = sorted(set(df.select(F.col(lead).cast("double").alias("v")).where("v is not null")
-                        .approxQuantile("v", [k / POSITION_SPLITS for k in range(1, POSITION_SPLITS)], 1e-3)))
-    bucket = F.lit(0)
-    if splits:
-        from pyspark.ml.feature import Bucketizer
-
-        edges = [-float("inf"), *splits, float("inf")]
-        df = Bucketizer(splits=edges, inputCol="__lead", outputCol="__bucket", handleInvalid="keep").transform(
-            df.withColumn("__lead", F.col(lead).cast("double"))).drop("__lead")
-        bucket = F.col("__bucket")
-    df = df.withColumn("__bucket", bucket.cast("int"))
+    df = _range_buckets(df, order[0])
     counts = df.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     # at most POSITION_SPLITS + 1 rows per group
     w = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -135,28 +143,23 @@ def ordered_index(df: DataFrame, order: list[str], keys: list[str] | None = None
     return placed.withColumn(name, F.col("__off") + F.col("__rn") - 1).drop("__bucket", "__rn", "__off")
 
 
-def running_totals(df: DataFrame, order: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
-    """Running totals of `sums` {new: column} over the total order of a numeric column
-    whose values are distinct; bucket totals give the offsets."""
-    key = F.col(order).cast("double")
-    splits = sorted(set(df.select(key.alias("v")).approxQuantile(
-        "v", [k / POSITION_SPLITS for k in range(1, POSITION_SPLITS)], 1e-3)))
-    if splits:
-        from pyspark.ml.feature import Bucketizer
-
-        df = Bucketizer(splits=[-float("inf"), *splits, float("inf")], inputCol="__lead",
-                        outputCol="__bucket").transform(df.withColumn("__lead", key)).drop("__lead")
-    else:
-        df = df.withColumn("__bucket", F.lit(0.0))
+def running(df: DataFrame, order: str, columns: dict[str, str], descending: bool = False, how: str = "sum") -> DataFrame:
+    """Running sums or minima of `columns` {new: column} over the total order of a numeric
+    column with distinct values; bucket totals carry over what came before a bucket."""
+    fn = {"sum": F.sum, "min": F.min}[how]
+    bucketed = _range_buckets(df, order)
     direction = F.desc if descending else F.asc
-    totals = df.groupBy("__bucket").agg(*[F.sum(c).alias(f"__t_{k}") for k, c in sums.items()])
-    # bounded: at most POSITION_SPLITS bucket rows
-    wb = Window.orderBy(direction("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("__bucket", *[
-        F.coalesce(F.sum(f"__t_{k}").over(wb), F.lit(0)).alias(f"__o_{k}") for k in sums])
-    wl = Window.partitionBy("__bucket").orderBy(direction(order)).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    out = df.join(F.broadcast(offsets), "__bucket")
-    for k, c in sums.items():
-        out = out.withColumn(k, F.sum(c).over(wl) + F.col(f"__o_{k}"))
-    return out.drop("__bucket", *[f"__o_{k}" for k in sums])
+    totals = bucketed.groupBy("__bucket").agg(*[fn(c).alias(f"__t_{k}") for k, c in columns.items()])
+    # at most POSITION_SPLITS + 1 rows
+    before = Window.orderBy(direction("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("__bucket", *[fn(f"__t_{k}").over(before).alias(f"__o_{k}") for k in columns])
+    local = Window.partitionBy("__bucket").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = bucketed.join(F.broadcast(carried), "__bucket")
+    for k, c in columns.items():
+        here, past = fn(c).over(local), F.col(f"__o_{k}")
+        out = out.withColumn(k, here + F.coalesce(past, F.lit(0)) if how == "sum" else F.least(here, past))
+    return out.drop("__bucket", *[f"__o_{k}" for k in columns])
+
+
+def running_totals(df: DataFrame, order: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
+    return running(df, order, sums, descending)

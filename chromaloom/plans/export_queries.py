@@ -6,6 +6,7 @@ from chromaloom.functions.scalar import r
 from chromaloom.operators import assignment as AS
 from chromaloom.operators import export as X
 from chromaloom.operators import frames as FR
+from chromaloom.session import checked_broadcast
 from chromaloom.sources import tables as T
 
 from .common import polymer_of
@@ -51,7 +52,7 @@ def cell_sheet(spark, d):
     n_alleles = T.alleles(spark, d).where("cell >= 0").groupBy("fov", "cell").agg(F.count(F.lit(1)).alias("n_alleles"))
     # counting needs only the role of a spot: its own projection, not the whole sheet
     lay = T.layout(spark, d).select("modality", "hybe", "fiducial_channel")
-    role = T.spots(spark, d).select("fov", "cell", "modality", "hybe", "channel").join(lay, ["modality", "hybe"], "left").select(
+    role = T.spots(spark, d).select("fov", "cell", "modality", "hybe", "channel").join(checked_broadcast(lay), ["modality", "hybe"], "left").select(
         "fov", "cell", F.when(F.col("fiducial_channel") == F.col("channel"), "fiducial").otherwise("readout").alias("channel_role"))
     return X.cell_rows(cells, stats, X.per_cell_counts(role), n_alleles, T.placements(spark, d), T.FRAME_SHAPE)
 

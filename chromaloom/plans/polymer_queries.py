@@ -9,6 +9,7 @@ from chromaloom.operators import detection as DET
 from chromaloom.operators import ensemble as EN
 from chromaloom.operators import polymer as P
 from chromaloom.operators import readout as RO
+from chromaloom.session import cut
 from chromaloom.sources import tables as T
 
 from .common import kept_polymer, polymer_of, traced_alleles
@@ -144,7 +145,7 @@ SELECT fov, cell, allele_a, allele_b, coalesce(n_shared, 0) * 2 + n_diag AS n_en
 FROM dg LEFT JOIN df USING (fov, cell, allele_a, allele_b)""")
 def allele_difference_within(spark, d):
     poly = kept_polymer(spark, d)
-    pairs = EN.within_cell_pairs(T.alleles(spark, d))
+    pairs = cut(EN.within_cell_pairs(T.alleles(spark, d)))
     keys = pairs.columns
     out = EN.mean_abs_difference(EN.allele_pair_difference(P.distance_maps(poly), pairs), EN.shared_bins(poly, pairs), keys)
     return out.select("fov", "cell", "allele_a", "allele_b", "n_entries", r("difference").alias("difference"))
@@ -166,8 +167,8 @@ SELECT allele_a, allele_b, coalesce(n_shared, 0) * 2 + n_diag AS n_entries,
 FROM dg LEFT JOIN df USING (allele_a, allele_b)""")
 def allele_difference_null(spark, d):
     poly = kept_polymer(spark, d)
-    pairs = EN.ring_pairs(T.alleles(spark, d), seed=3).where(
-        ~((F.col("cell_a") >= 0) & (F.col("cell_a") == F.col("cell_b")) & (F.col("fov_a") == F.col("fov_b")))).select("allele_a", "allele_b")
+    pairs = cut(EN.ring_pairs(T.alleles(spark, d), seed=3).where(
+        ~((F.col("cell_a") >= 0) & (F.col("cell_a") == F.col("cell_b")) & (F.col("fov_a") == F.col("fov_b")))).select("allele_a", "allele_b"))
     out = EN.mean_abs_difference(EN.allele_pair_difference(P.distance_maps(poly), pairs), EN.shared_bins(poly, pairs), ["allele_a", "allele_b"])
     return out.withColumn("difference", r("difference"))
 
@@ -211,7 +212,7 @@ def fov_msd_per_fov(spark, d):
     touched = cross.select(F.explode(F.array("fov_a", "fov_b")).alias("fov"), "msd").groupBy("fov").agg(
         F.count(F.lit(1)).alias("n1"), F.sum("msd").alias("s1"), F.sum(F.col("msd") * F.col("msd")).alias("q1"))
     total = cross.agg(F.count(F.lit(1)).alias("n"), F.sum("msd").alias("s"), F.sum(F.col("msd") * F.col("msd")).alias("q"), F.lit(1).alias("k"))
-    j = touched.withColumn("k", F.lit(1)).join(F.broadcast(total), "k").withColumn("n2", F.col("n") - F.col("n1")).where("n1 >= 3 and n2 >= 3")
+    j = touched.withColumn("__t", total.select(F.struct("n", "s", "q")).scalar()).select("*", "__t.*").withColumn("n2", F.col("n") - F.col("n1")).where("n1 >= 3 and n2 >= 3")
     m1, m2 = F.col("s1") / F.col("n1"), (F.col("s") - F.col("s1")) / F.col("n2")
     v1 = (F.col("q1") - F.col("s1") * m1) / (F.col("n1") - 1)
     v2 = (F.col("q") - F.col("q1") - (F.col("s") - F.col("s1")) * m2) / (F.col("n2") - 1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -48,3 +49,16 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the lineage ends in files every executor can read."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+BROADCAST_ROWS = 200_000
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A narrow lookup table, broadcast only after its size was counted.
+
+    The table is checkpointed first, so the count and the join read the same rows.
+    Above the limit it is returned as it is and the join shuffles.
+    """
+    kept = cut(df)
+    return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
