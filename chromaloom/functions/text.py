@@ -46,13 +46,14 @@ def explode_readout_codes(df: DataFrame, text: str) -> DataFrame:
 
 
 def file_name_parts(path) -> Column:
-    """`{opener}_Pos{fov}__{job}_{idx}_...` -> struct<fov, job, idx>; NULL when it does not match."""
-    spec = r"_Pos(\d+)__(.+?)_(\d+)_[^/]*$"
+    """`{opener}_Pos{fov}__{job}_{idx}_RAW_ch{cc}.tif` -> struct<fov, job, idx, channel_no>; NULL when it does not match."""
+    spec = r"(?i)_Pos(\d+)__(.+)_(\d+)_RAW_ch(\d+)\.tiff?$"
     hit = col(path).rlike(spec)
     return F.when(hit, F.struct(
         F.regexp_extract(path, spec, 1).cast("int").alias("fov"),
         F.regexp_extract(path, spec, 2).alias("job"),
         F.regexp_extract(path, spec, 3).cast("int").alias("idx"),
+        F.regexp_extract(path, spec, 4).cast("int").alias("channel_no"),
     ))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -170,3 +171,41 @@ def total_drop(table: DataFrame, n_bins: int = 36, smooth: int = 2, min_cells: i
     after = np.stack([np.roll(log_median, -k) for k in range(width)])
     j = int(np.argmax(before.mean(0) - after.mean(0)))
     return 360.0 * j / n_bins, float(np.exp(before[:, j].max() - after[:, j].min()))
+
+
+def direction_ci(table: DataFrame, by: list[str], n_boot: int = 200, seed: int = 0, theta: str = "theta_deg") -> DataFrame:
+    """Half width of the bootstrap 95% interval of each group's mean direction.
+
+    A Poisson bootstrap: every cell draws its multiplicity in every replicate where it
+    is read, so a task emits (groups x replicates) sums and no resample is shuffled.
+    """
+    rows = table.where(F.col(theta).isNotNull()).select(F.struct(*by).alias("g"), F.radians(theta).alias("t"), F.xxhash64(*by, "fov", "cell").alias("h"))
+
+    def replicate(batches):
+        for pdf in batches:
+            for _key, part in pdf.groupby("k", sort=False):
+                w = np.stack([np.random.default_rng([seed, h & 0x7FFFFFFF]).poisson(1.0, n_boot) for h in part["h"]])
+                yield pd.DataFrame({"k": part["k"].iloc[0], "b": np.arange(n_boot), "c": np.cos(part["t"].to_numpy()) @ w, "s": np.sin(part["t"].to_numpy()) @ w})
+
+    keyed = rows.select(F.to_json("g").alias("k"), "t", "h")
+    sums = keyed.mapInPandas(replicate, "k string, b int, c double, s double").groupBy("k", "b").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
+    mean = rows.groupBy(F.to_json("g").alias("k"), "g").agg(F.count(F.lit(1)).alias("n"), F.degrees(F.atan2(F.avg(F.sin("t")), F.avg(F.cos("t")))).alias("m"))
+    gap = circular_abs_diff(F.degrees(F.atan2("s", "c")), F.col("m"))
+    # n_boot values per group
+    return sums.join(mean, "k").groupBy("g", "n", "m").agg(F.percentile(gap, F.lit(0.95)).alias("half_width_deg")).select(
+        "g.*", "n", wrap360("m").alias("mean_deg"), "half_width_deg")
+
+
+def arcs_from_time(elapsed: np.ndarray, shares: list[tuple[str, float]], birth_deg: float = 0.0) -> list[dict]:
+    """Category arcs from shares of the cycle, through the elapsed time at each grid angle."""
+    n = len(elapsed)
+    start = int(np.ceil((birth_deg % 360.0) * n / 360.0)) % n
+    clock = np.concatenate([[0.0], np.roll(elapsed, -start)])
+    angle = birth_deg + np.arange(n + 1) * 360.0 / n
+    total, at, arcs, used = sum(s for _n, s in shares), float(birth_deg) % 360.0, [], 0.0
+    for k, (name, share) in enumerate(shares):
+        used += share / total
+        end = float(birth_deg) % 360.0 if k + 1 == len(shares) else float(np.interp(used, clock, angle)) % 360.0
+        arcs.append({"name": name, "start_deg": at, "end_deg": end})
+        at = end
+    return arcs

@@ -232,3 +232,46 @@ def count_dispersion(patterns: DataFrame, model: QualityModel, n_boot: int = 200
     reps = spark.range(n_boot).mapInPandas(replicate, "ratio double")
     return reps.agg(((F.sum((F.col("ratio") >= ratio).cast("long")) + 1) / F.lit(float(n_boot + 1))).alias("p")).select(
         F.lit(ratio).alias("ratio"), "p", F.lit(var_obs).alias("var_obs"), F.lit(var_model).alias("var_model"))
+
+
+TRADE_BLOCK = 4000   # alleles per independent trade chain
+
+
+def count_null(alleles: DataFrame, polymer: DataFrame, n_slots: int, n_samples: int = 50, seed: int = 0) -> DataFrame:
+    """Co-detection against shuffles that keep every allele's count and every bin's efficacy.
+
+    Alleles are dealt by hash into blocks of about TRADE_BLOCK; each block runs its own
+    chain of pairwise trades. Block totals add up, and since the chains are
+    independent so do their variances: all alleles take part, in bounded groups.
+    """
+    n_blocks = max(1, -(-alleles.count() // TRADE_BLOCK))
+    if n_slots > 62:
+        raise ValueError("the trade chain packs at most 62 slots into one row")
+    mask = polymer.groupBy("allele_id").agg(F.sum(F.expr("shiftleft(1L, slot)")).alias("bits"))
+    rows = alleles.select("allele_id").join(mask, "allele_id", "left").select(
+        F.pmod(F.xxhash64(F.lit(seed), F.col("allele_id")), F.lit(n_blocks)).cast("int").alias("block"), F.coalesce("bits", F.lit(0)).alias("bits"))
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        rng = np.random.default_rng([seed, int(pdf["block"].iloc[0])])
+        bits = np.array([[b >> j & 1 for j in range(n_slots)] for b in pdf["bits"].tolist()], bool).reshape(len(pdf), n_slots)
+        observed = bits.astype(float).T @ bits
+        s1, s2 = np.zeros_like(observed), np.zeros_like(observed)
+        for sweep in range(5 + n_samples):
+            # all pairs of one random matching trade at once: their rows are disjoint
+            order = rng.permutation(len(bits))
+            a, b = order[: len(order) // 2], order[len(order) // 2: 2 * (len(order) // 2)]
+            differ = bits[a] ^ bits[b]
+            key = np.where(differ, rng.random(differ.shape), 2.0)
+            rank = key.argsort(1).argsort(1)
+            to_a = rank < (bits[a] & differ).sum(1, keepdims=True)
+            bits[a], bits[b] = np.where(differ, to_a, bits[a]), np.where(differ, ~to_a, bits[b])
+            if sweep >= 5:
+                c = bits.astype(float).T @ bits
+                s1, s2 = s1 + c, s2 + c * c
+        mean = s1 / n_samples
+        i, j = np.triu_indices(n_slots, 1)
+        return pd.DataFrame({"bin_i": i, "bin_j": j, "observed": observed[i, j], "expected": mean[i, j], "variance": (s2 / n_samples - mean**2)[i, j]})
+
+    per = rows.groupBy("block").applyInPandas(chain, "bin_i int, bin_j int, observed double, expected double, variance double")
+    total = per.groupBy("bin_i", "bin_j").agg(*[F.sum(c).alias(c) for c in ("observed", "expected", "variance")])
+    return total.withColumn("z", (F.col("observed") - F.col("expected")) / F.sqrt(F.greatest(F.col("variance"), F.lit(1e-12))))

@@ -116,3 +116,36 @@ def apply_qc(flagged: DataFrame, min_traced: int = 2) -> DataFrame:
     good = flagged.where(~F.col("bad"))
     w = Window.partitionBy("allele_id")   # bounded by the axis length
     return good.withColumn("n_traced", F.count(F.lit(1)).over(w)).where(F.col("n_traced") >= min_traced).drop("bad", "med")
+
+
+def fit_rejection(depth: Column, *, z_trim: float | None = None, reject_at_bound: bool = True, min_occupancy: float | None = None,
+                  max_uncert_xy_nm: float | None = None, max_uncert_z_nm: float | None = None) -> Column:
+    """The first reason a fitted position is refused, NULL when it passes.
+
+    Columns: found, z, at_bound (array<string>), occupancy, ci_y_um, ci_x_um, ci_z_um
+    (half widths; the limits are full intervals in nm).
+    """
+    def undefined(c):
+        return c.isNull() | F.isnan(c)
+
+    xy, z = (F.greatest("ci_y_um", "ci_x_um") * 2000.0), F.col("ci_z_um") * 2000.0
+    occ = F.col("occupancy")
+    steps = [F.when(~F.col("found"), "fit failed")]
+    if z_trim:
+        steps.append(F.when((F.col("z") < z_trim) | (F.col("z") > depth - 1 - z_trim), "stack end"))
+    if reject_at_bound:
+        steps.append(F.when(F.size("at_bound") > 0, F.concat(F.lit("at bound ("), F.array_join("at_bound", ", "), F.lit(")"))))
+    if min_occupancy is not None:
+        steps += [F.when(undefined(occ), "occupancy undefined"), F.when(occ < min_occupancy, "occupancy")]
+    if max_uncert_xy_nm is not None:
+        steps.append(F.when(F.isnan(xy) | (xy > max_uncert_xy_nm), "lateral uncertainty"))
+    if max_uncert_z_nm is not None:
+        steps.append(F.when(F.isnan(z) | (z > max_uncert_z_nm), "axial uncertainty"))
+    return F.coalesce(*steps)
+
+
+def paired_candidates(adj, raw) -> Column:
+    """Adjusted and raw candidate lists zipped by position, raw left out when the lengths disagree."""
+    a, b = F.col(adj), F.col(raw)
+    return F.when(F.size(a) == F.size(b), F.zip_with(a, b, lambda x, y: F.struct(x.alias("adj"), y.alias("raw")))).otherwise(
+        F.zip_with(a, F.slice(b, 1, 0), lambda x, y: F.struct(x.alias("adj"), y.alias("raw"))))

@@ -11,17 +11,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chromaloom.session import checked_broadcast
+
 SKETCH = 10_000          # percentile_approx accuracy: rank error <= n / SKETCH
 HOT_GROUP = 1_000_000    # values one task may rank in memory
 POSITION_SPLITS = 1024   # range buckets of the position functions
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str, small: bool) -> DataFrame:
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     renamed = right.select(*[F.col(k).alias(f"__{k}") for k in keys],
                            *[c for c in right.columns if c not in keys])
     cond = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    side = F.broadcast(renamed) if small else renamed
-    return left.join(side, cond, how).drop(*[f"__{k}" for k in keys])
+    return left.join(renamed, cond).drop(*[f"__{k}" for k in keys])
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value, probs: dict[str, float],
@@ -54,7 +55,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value, probs: dict[str, floa
                                (F.lit(float(probs[name])) * (F.col("n") - 1)).alias("pos")))
     if keys:
         targets = brackets.select(*keys, "n", F.explode(F.array(*wanted)).alias("__t"))
-        bracketed = _null_safe(values, targets, keys, "inner", few_groups)
+        # one narrow row per group and rank; broadcast when bounded by construction or by count
+        side = F.broadcast(targets) if few_groups else checked_broadcast(targets)
+        bracketed = _null_safe(values, side, keys)
     else:
         # one bracket for all rows: a scalar subquery, not a join
         whole = brackets.select(F.struct("n", F.array(*wanted).alias("t")).alias("b")).scalar()

@@ -195,3 +195,29 @@ def stream_latest_verdict(spark, d):
     q.awaitTermination()
     done = q.lastProgress["batchId"] + 1 if q.lastProgress else 1
     return spark.read.parquet(f"{root}/table/v{done}").select("reviewer", "key", "page", "file_no", "line_no", "value")
+
+
+@query("count_null")
+def count_null(spark, d):
+    """Co-detection z against margin-preserving trades, over all alleles."""
+    return DET.count_null(T.alleles(spark, d), polymer_of(spark, d), T.N_SLOTS, n_samples=20)
+
+
+@query("direction_ci")
+def direction_ci(spark, d):
+    """Circular mean per celltype with its bootstrap interval."""
+    t = T.placements(spark, d).join(T.cells(spark, d).select("fov", "cell", "celltype"), ["fov", "cell"])
+    return C.direction_ci(t, ["celltype"])
+
+
+@query("spot_classifier")
+def spot_classifier(spark, d):
+    """A linear head on spot features; whole cells are held out and calibrate its score."""
+    from chromaloom.operators import classify, labels
+
+    s = T.spots(spark, d).where("cell >= 0 and p_exist is not null and brightness is not null")
+    rows = s.select("fov", "cell", "uid", (F.col("p_exist") >= 0.5).cast("double").alias("y"), F.ln("brightness").alias("log_brightness"),
+                    F.col("raw_y"), F.col("raw_z"), F.concat_ws("/", "fov", "cell").alias("group"))
+    split = cut(labels.holdout(rows, "group", 30, seed=3))
+    head = classify.train(split.where("not held_out"), split.where("held_out"), ["log_brightness", "raw_y", "raw_z"])
+    return head.score(split).select("fov", "cell", "uid", "y", "held_out", "p_exist")

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chromaloom.functions.text import file_name_parts, int_list, readout_pairs
+
 SLICE = ["fov", "modality", "hybe", "channel"]
 UID_BUCKETS = 256
 SHEET_ROWS = 1_048_575      # fixed row limit of a spreadsheet
@@ -119,13 +121,93 @@ def read_verdict_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_probe_bed(spark: SparkSession, path: str) -> DataFrame:
-    """BED region table: chrom, start, end, name ending in the readout id."""
+    """BED region table -> (rid, chrom, start, end); the name's trailing number is the readout id."""
     f = F.split("value", "\t")
-    rid = F.nullif(F.regexp_extract(F.element_at(f, 4), r"(\d+)\D*$", 1), F.lit("")).cast("int")
-    return spark.read.text(path).where((F.size(f) >= 4)).where(
+    rid = F.nullif(F.regexp_extract(F.element_at(f, 4), r"(\d+)\s*$", 1), F.lit("")).cast("int")
+    rows = spark.read.text(path).where(F.size(f) >= 4).where(
         F.element_at(f, 2).rlike(r"^\d+$") & F.element_at(f, 3).rlike(r"^\d+$")).select(
         rid.alias("rid"), F.element_at(f, 1).alias("chrom"), F.element_at(f, 2).cast("long").alias("start"),
-        F.element_at(f, 3).cast("long").alias("end")).where(F.col("rid").isNotNull())
+        F.element_at(f, 3).cast("long").alias("end"), F.monotonically_increasing_id().alias("line"))
+    return _one_per_readout(rows, -F.col("line"))
+
+
+def read_probe_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """FASTA headers `...name_001_chr20:100-200` -> (rid, chrom, start, end); the first header of an id wins."""
+    h = F.trim(F.substring("value", 2, 100000))
+    before = F.regexp_extract(h, r"^(.*?):\d+-\d+", 1)
+    token = r"((?:chr|Chr|CHR|NC_|NW_|NT_|scaffold|contig)[0-9A-Za-z_.]*)$"
+    chrom = F.regexp_extract(before, token, 1)
+    gene = F.regexp_extract(h, r"gene=(\S+)", 1)
+    name = F.when(gene != "", gene).otherwise(F.rtrim(F.regexp_replace(before, token, ""), F.lit("_")))
+    rows = spark.read.text(path).where(F.col("value").startswith(">") & h.rlike(r":\d+-\d+")).select(
+        F.nullif(F.regexp_extract(name, r"(\d+)\s*$", 1), F.lit("")).cast("int").alias("rid"),
+        F.when(chrom != "", chrom).otherwise(F.element_at(F.split(before, "_"), -1)).alias("chrom"),
+        F.regexp_extract(h, r":(\d+)-(\d+)", 1).cast("long").alias("start"),
+        F.regexp_extract(h, r":(\d+)-(\d+)", 2).cast("long").alias("end"), F.monotonically_increasing_id().alias("line"))
+    return _one_per_readout(rows, F.col("line"))
+
+
+def _one_per_readout(rows: DataFrame, order) -> DataFrame:
+    out = rows.where(F.col("rid").isNotNull()).groupBy("rid").agg(F.min_by(F.struct("chrom", "start", "end"), order).alias("r")).select("rid", "r.*")
+    if out.limit(1).isEmpty():
+        raise ValueError("the design carries no readout regions")
+    return out
+
+
+def read_layout(spark: SparkSession, path: str) -> DataFrame:
+    """Layout table from CSV: list columns parsed, optional columns defaulted, frames per channel derived."""
+    raw = spark.read.option("header", True).option("escape", '"').csv(path)
+
+    def optional(name, default=None):
+        return F.col(name) if name in raw.columns else F.lit(default).cast("string")
+
+    channels = int_list("channels")
+    pairs = readout_pairs(optional("readoutChannels", ""))
+    own = F.array(F.struct(F.lit(None).cast("int").alias("channel"), F.col("Readouts").cast("int").alias("readout_id")))
+    lost = F.exists(pairs, lambda p: ~F.array_contains(channels, p["channel"]) | (p["channel"] == F.col("fiducialChannel").cast("int")))
+    twice = F.size(F.array_distinct(F.transform(pairs, lambda p: p["readout_id"]))) < F.size(pairs)
+    checked = F.when(F.coalesce(lost | twice, F.lit(False)), F.raise_error(F.concat(F.lit("bad readoutChannels in "), F.col("FolderName"))).cast(
+        "array<struct<channel:int,readout_id:int>>")).when(F.size(pairs) > 0, pairs).otherwise(own)
+    start, end = (F.coalesce(optional(c).cast("int"), F.lit(0)) for c in ("bufferFrames", "bufferFramesEnd"))
+    return raw.select(
+        F.col("FolderName").alias("hybe"), F.col("Readouts").cast("int").alias("readout_id"), checked.alias("readouts"),
+        F.upper("DataType").alias("datatype"), F.col("HybNum").cast("int").alias("hybe_num"), channels.alias("channels"),
+        F.col("fiducialChannel").cast("int").alias("fiducial_channel"), optional("channelLayout").alias("channel_layout"),
+        F.col("totalFrames").cast("int").alias("total_frames"), optional("rnaNames").alias("readout_name"),
+        start.alias("buffer_frames"), end.alias("buffer_frames_end"),
+        F.floor((F.col("totalFrames").cast("int") - start - end) / F.size(channels)).cast("int").alias("planes"))
+
+
+def discover_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, size, fov, job, idx, channel_no) of the image files under a folder; contents are never read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(
+        "path", F.col("length").alias("size"), "modificationTime")
+    return files.withColumn("n", file_name_parts("path")).where(F.col("n").isNotNull()).select("path", "size", "modificationTime", "n.*")
+
+
+def input_stamps(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """(keys, mtime, size): newest modification and total size of the files behind each key."""
+    per_file = spark.read.parquet(path).groupBy(*keys, "_metadata.file_path").agg(
+        F.max("_metadata.file_modification_time").alias("m"), F.max("_metadata.file_size").alias("s"))
+    return per_file.groupBy(*keys).agg(F.max("m").alias("mtime"), F.sum("s").alias("size"))
+
+
+def order_columns(df: DataFrame, declared: list[str]) -> DataFrame:
+    """Declared columns in their order, then whatever else the table carries, sorted."""
+    return df.select(*[c for c in declared if c in df.columns], *sorted(c for c in df.columns if c not in declared))
+
+
+def property_type(kinds: set[str]) -> str:
+    """Spark type of an open property from the kinds (bool, int, float, string) its values show."""
+    if kinds <= {"bool"} and kinds:
+        return "boolean"
+    if kinds <= {"bool", "int"} and kinds:
+        return "bigint"
+    if kinds <= {"bool", "int", "float"}:
+        return "double"
+    if kinds == {"string"}:
+        return "string"
+    raise ValueError(f"a property cannot mix {sorted(kinds)}")
 
 
 def resolve_fov_index(rounds: DataFrame, fov_map: DataFrame) -> DataFrame:

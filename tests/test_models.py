@@ -113,3 +113,36 @@ def test_repeat_calibration_ignores_wrong_matches(spark):
     assert cal["sigma_xy"] == pytest.approx(0.03, rel=0.06) and cal["sigma_z"] == pytest.approx(0.08, rel=0.06) and cal["mix"] == pytest.approx(1 / 6, abs=0.02)
     with pytest.raises(ValueError, match="at least 30"):
         multiplicity.repeat_calibration(v.limit(5))
+
+
+def test_trades_keep_margins_and_find_linked_bins(spark):
+    rng = np.random.default_rng(6)
+    x = rng.random((3000, 5)) < [0.5, 0.5, 0.3, 0.6, 0.4]
+    x[:, 1] = np.where(rng.random(3000) < 0.5, x[:, 0], x[:, 1])
+    alleles = spark.createDataFrame([(k,) for k in range(3000)], "allele_id long")
+    polymer = spark.createDataFrame([(int(a), int(s)) for a, s in np.argwhere(x)], "allele_id long, slot int")
+    got = detection.count_null(alleles, polymer, 5, 60).toPandas().set_index(["bin_i", "bin_j"])
+    assert got.loc[(0, 1), "z"] > 8 and got.z.drop((0, 1)).abs().max() < 5
+    assert got.loc[(0, 2), "observed"] == (x[:, 0] & x[:, 2]).sum()
+
+
+def test_fit_gate_names_the_first_reason(spark):
+    from pyspark.sql import functions as F
+
+    from chromaloom.operators import polymer
+
+    rows = [(False, 5.0, [], 1.0, 0.01, 0.01, 0.01), (True, 0.5, [], 1.0, 0.01, 0.01, 0.01), (True, 5.0, ["sx"], 1.0, 0.01, 0.01, 0.01),
+            (True, 5.0, [], float("nan"), 0.01, 0.01, 0.01), (True, 5.0, [], 0.2, 0.01, 0.01, 0.01), (True, 5.0, [], 0.9, 0.06, 0.01, 0.01), (True, 5.0, [], 0.9, 0.01, 0.01, 0.01)]
+    df = spark.createDataFrame(rows, "found boolean, z double, at_bound array<string>, occupancy double, ci_y_um double, ci_x_um double, ci_z_um double")
+    reason = polymer.fit_rejection(F.lit(20), z_trim=2, min_occupancy=0.4, max_uncert_xy_nm=100, max_uncert_z_nm=100)
+    assert [r[0] for r in df.select(reason).collect()] == [
+        "fit failed", "stack end", "at bound (sx)", "occupancy undefined", "occupancy", "lateral uncertainty", None]
+
+
+def test_arcs_from_time():
+    from chromaloom.operators.cellcycle import arcs_from_time
+
+    t = cycle_model.cycle_time(np.ones(72), 30.0)
+    arcs = arcs_from_time(t, [("G1", 50), ("S", 25), ("G2/M", 25)], 30.0)
+    assert [a["name"] for a in arcs] == ["G1", "S", "G2/M"]
+    assert arcs[0]["start_deg"] == 30.0 and arcs[0]["end_deg"] == pytest.approx(210.0) and arcs[1]["end_deg"] == pytest.approx(300.0) and arcs[2]["end_deg"] == 30.0

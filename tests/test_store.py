@@ -59,11 +59,11 @@ def test_results_never_overwrite(spark, tmp_path):
 def test_text_parsers(spark):
     one = spark.range(1).select(
         text.int_list(F.lit("[488, 555]")).alias("ints"), text.readout_pairs(F.lit("635:1, 747:51")).alias("pairs"),
-        text.file_name_parts(F.lit("run_Pos12__stain_a_003_x.tif")).alias("name"), text.reference_target(F.lit("Hyb_103(cell 3)->Hyb_101 [ok]")).alias("target"),
+        text.file_name_parts(F.lit("/d/run_Pos12__stain_a_003_RAW_ch02.tif")).alias("name"), text.reference_target(F.lit("Hyb_103(cell 3)->Hyb_101 [ok]")).alias("target"),
         text.parse_map_entries(F.lit("slots=80,Hyb_001|635|1|h|0, Hyb_002|635|2|R|-1")).alias("entries"), text.declared_slots(F.lit("slots=80,a|1|1|H|0")).alias("slots"))
     r = one.first()
     assert r["ints"] == [488, 555] and [tuple(p) for p in r["pairs"]] == [(635, 1), (747, 51)]
-    assert tuple(r["name"]) == (12, "stain_a", 3) and r["target"] == "Hyb_101" and r["slots"] == 80
+    assert tuple(r["name"]) == (12, "stain_a", 3, 2) and r["target"] == "Hyb_101" and r["slots"] == 80
     assert [tuple(e) for e in r["entries"]] == [("Hyb_001", 635, 1, "H", 0), ("Hyb_002", 635, 2, "R", -1)]
     codes = text.explode_readout_codes(spark.createDataFrame([("1-3 r5 T10",)], "codes string"), "codes")
     assert sorted((r["datatype"], r["number"]) for r in codes.collect()) == [("H", 1), ("H", 2), ("H", 3), ("R", 5), ("T", 10)]
@@ -126,3 +126,28 @@ def test_windowed_submissions_stream(spark, tmp_path):
     q.awaitTermination()
     got = {(r["reviewer"], r["n"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {("a", 2), ("b", 1)}
+
+
+def test_layout_fasta_files_and_stamps(spark, tmp_path):
+    head = "FolderName,Readouts,DataType,HybNum,channels,fiducialChannel,channelLayout,totalFrames,readoutChannels,bufferFrames\n"
+    (tmp_path / "layout.csv").write_text(head + 'Hyb_001,1,h,1,"[488, 635, 747]",488,x,310,"635:1, 747:51",10\nHyb_002,2,R,2,"[488, 635]",488,x,200,,\n')
+    got = {r["hybe"]: r for r in store.read_layout(spark, str(tmp_path / "layout.csv")).collect()}
+    assert got["Hyb_001"]["planes"] == 100 and [tuple(p) for p in got["Hyb_001"]["readouts"]] == [(635, 1), (747, 51)]
+    assert [tuple(p) for p in got["Hyb_002"]["readouts"]] == [(None, 2)] and got["Hyb_002"]["buffer_frames"] == 0 and got["Hyb_002"]["planes"] == 100
+    (tmp_path / "bad.csv").write_text(head + 'Hyb_001,1,h,1,"[488, 635]",488,x,310,"747:1",10\n')
+    with pytest.raises(Exception, match="bad readoutChannels"):
+        store.read_layout(spark, str(tmp_path / "bad.csv")).collect()
+    (tmp_path / "d.fasta").write_text(">lib_RSF1_003_chr20:100-200 x\nACGT\n>p gene=RSF1_007 chr2:5-9\nA\n>none\n")
+    assert {r["rid"]: (r["chrom"], r["start"]) for r in store.read_probe_fasta(spark, str(tmp_path / "d.fasta")).collect()}[3] == ("chr20", 100)
+    (tmp_path / "img").mkdir()
+    (tmp_path / "img" / "run_Pos3__job_12_RAW_ch01.tif").write_bytes(b"1234")
+    (tmp_path / "img" / "note.txt").write_text("x")
+    f = store.discover_files(spark, str(tmp_path / "img")).collect()
+    assert [(r["fov"], r["job"], r["idx"], r["size"]) for r in f] == [(3, "job", 12, 4)]
+    spark.range(10).withColumn("fov", F.lit(1)).write.parquet(str(tmp_path / "t"))
+    stamps = store.input_stamps(spark, str(tmp_path / "t"), ["fov"])
+    assert stamps.count() == 1 and store.stale_keys(stamps, stamps, ["fov"]).count() == 0
+    assert store.order_columns(spark.createDataFrame([(1, 2, 3)], "z int, b int, a int"), ["b"]).columns == ["b", "a", "z"]
+    assert store.property_type({"int", "float"}) == "double" and store.property_type(set()) == "double"
+    with pytest.raises(ValueError):
+        store.property_type({"int", "string"})
