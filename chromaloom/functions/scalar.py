@@ -96,7 +96,9 @@ def euclid(dims: str, prefix_a: str, prefix_b: str) -> Column:
 
 def fov_key(fov, letter: str, ident) -> Column:
     """`F007-C12`-style key; only the field of view is padded."""
-    return F.format_string(f"F%03d-{letter}%d", col(fov), col(ident))
+    f = col(fov).cast("string")
+    padded = F.when((col(fov) >= 0) & (col(fov) < 100), F.lpad(f, 3, "0")).otherwise(f)
+    return F.concat(F.lit("F"), padded, F.lit(f"-{letter}"), col(ident).cast("string"))
 
 
 def closed_bin(value, lo: float, hi: float, n: int) -> Column:

@@ -8,6 +8,8 @@ axis), so there is no back-tracking pass and no per-cell Python.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,23 +43,23 @@ def best_chains(points: DataFrame, n_slots: int, step_kb: float, volume_um3: flo
     hot = has_hot_group(sizes, limit=BLOCK)
     price = sizes.select(*KEYS, F.ln(F.lit(float(volume_um3)) / F.col("n")).alias("clutter"))
     base = cut(points.join(price, KEYS).select(*KEYS, "point", "slot", *AXES, "clutter"))
-    start = [F.lit(0.0).alias("w"), F.array("point").alias("chain")]
-    done = base.where(F.col("slot") == 0).select(*base.columns, *start)
+    lone = [F.lit(0.0).alias("w"), F.array("point").alias("chain")]
+    done = [base.where(F.col("slot") == 0).select(*base.columns, *lone)]
     for slot in range(1, n_slots):
         here = base.where(F.col("slot") == slot)
-        before = done.select(*KEYS, F.col("slot").alias("p_slot"), F.col("w").alias("p_w"), F.col("chain").alias("p_chain"),
-                             *[F.col(a).alias(f"p_{a}") for a in AXES])
+        before = reduce(DataFrame.unionByName, done).select(
+            *KEYS, F.col("slot").alias("p_slot"), F.col("w").alias("p_w"), F.col("chain").alias("p_chain"),
+            *[F.col(a).alias(f"p_{a}") for a in AXES])
         steps = group_pairs(here, before, KEYS, "point", may_be_hot=hot).withColumn(
             "cost", F.col("p_w") + step_cost(step_kb, law) - F.col("clutter"))
         best = steps.where(F.col("cost") < 0).groupBy(*KEYS, "point").agg(
-            F.min("cost").alias("best"), F.min_by("p_chain", F.struct("cost", "p_slot", "p_chain")).alias("best_chain"))
-        ended = here.join(best, [*KEYS, "point"], "left").select(
-            *base.columns, F.coalesce("best", F.lit(0.0)).alias("w"),
-            F.when(F.col("best").isNull(), F.array("point")).otherwise(F.array_append("best_chain", F.col("point"))).alias("chain"))
-        done = cut(done.unionByName(ended))
-    ends = done.where(F.col("w") < 0).groupBy(*KEYS).agg(
-        F.min("w").alias("weight"), F.min_by("chain", F.struct("w", "chain")).alias("chain"))
-    return ends
+            F.min_by(F.struct("cost", "p_chain"), F.struct("cost", "p_slot", "p_chain")).alias("b"))
+        # a slot's chains are written once and only read afterwards
+        done.append(cut(here.join(best, [*KEYS, "point"], "left").select(
+            *base.columns, F.coalesce("b.cost", F.lit(0.0)).alias("w"),
+            F.when(F.col("b").isNull(), F.array("point")).otherwise(F.array_append("b.p_chain", F.col("point"))).alias("chain"))))
+    ends = reduce(DataFrame.unionByName, done).where(F.col("w") < 0)
+    return ends.groupBy(*KEYS).agg(F.min("w").alias("weight"), F.min_by("chain", F.struct("w", "chain")).alias("chain"))
 
 
 def disjoint_chains(points: DataFrame, n_slots: int, step_kb: float, k: int = 2, **kw) -> DataFrame:

@@ -20,6 +20,15 @@ def dmaps_of(spark, d, dims="xyz"):
     return P.distance_maps(polymer_of(spark, d), dims)
 
 
+def kept_dmaps(spark, d):
+    """Maps over the checkpointed positions, for plans that pass over them more than once.
+
+    Recomputing the pairs is cheaper than storing them: a map has far more entries
+    than its allele has positions.
+    """
+    return P.distance_maps(kept_polymer(spark, d))
+
+
 @query("polymer_collapse", """
 SELECT fov, cell, allele_id, slot, n_cand, cand, amp, round(y_um, 6) AS y_um, round(x_um, 6) AS x_um, round(z_um, 6) AS z_um FROM m_polymer""")
 def polymer_collapse(spark, d):
@@ -59,7 +68,7 @@ MAP = "SELECT bin_i, bin_j, n, round(value, 6) AS value FROM (SELECT bin_i, bin_
 
 @query("ensemble_median", MAP.format("median"))
 def ensemble_median(spark, d):
-    return EN.ensemble_map(dmaps_of(spark, d)).select("bin_i", "bin_j", "n", r("value").alias("value"))
+    return EN.ensemble_map(kept_dmaps(spark, d)).select("bin_i", "bin_j", "n", r("value").alias("value"))
 
 
 @query("ensemble_mean", MAP.format("avg"))
@@ -70,14 +79,14 @@ def ensemble_mean(spark, d):
 @query("fov_ensembles", """
 SELECT fov, bin_i, bin_j, count(*) AS n, CASE WHEN count(*) >= 5 THEN round(median(d), 6) END AS value FROM m_dmaps GROUP BY 1, 2, 3""")
 def fov_ensembles(spark, d):
-    return EN.ensemble_map(dmaps_of(spark, d), by=["fov"]).select("fov", "bin_i", "bin_j", "n", r("value").alias("value"))
+    return EN.ensemble_map(kept_dmaps(spark, d), by=["fov"]).select("fov", "bin_i", "bin_j", "n", r("value").alias("value"))
 
 
 @query("celltype_ensembles", """
 SELECT celltype, bin_i, bin_j, count(*) AS n, CASE WHEN count(*) >= 5 THEN round(median(d), 6) END AS value
 FROM m_dmaps m JOIN m_cells c ON c.fov = m.fov AND c.cell = m.cell GROUP BY 1, 2, 3""")
 def celltype_ensembles(spark, d):
-    named = dmaps_of(spark, d).where("cell >= 0").join(T.cells(spark, d).select("fov", "cell", "celltype"), ["fov", "cell"])
+    named = kept_dmaps(spark, d).where("cell >= 0").join(T.cells(spark, d).select("fov", "cell", "celltype"), ["fov", "cell"])
     return EN.ensemble_map(named, by=["celltype"]).select("celltype", "bin_i", "bin_j", "n", r("value").alias("value"))
 
 
@@ -86,7 +95,7 @@ SELECT bin_i, bin_j, n_a, n_b, CASE WHEN n_a >= 5 AND n_b >= 5 THEN round(va - v
 SELECT bin_i, bin_j, count(*) FILTER (fov < 8) AS n_a, count(*) FILTER (fov >= 6 AND fov < 20) AS n_b,
        median(d) FILTER (fov < 8) AS va, median(d) FILTER (fov >= 6 AND fov < 20) AS vb FROM m_dmaps WHERE fov < 20 GROUP BY 1, 2)""")
 def subtraction_map(spark, d):
-    m = EN.subtraction_map(dmaps_of(spark, d), F.col("fov") < 8, (F.col("fov") >= 6) & (F.col("fov") < 20))
+    m = EN.subtraction_map(kept_dmaps(spark, d), F.col("fov") < 8, (F.col("fov") >= 6) & (F.col("fov") < 20))
     return m.select("bin_i", "bin_j", "n_a", "n_b", r("value").alias("value"))
 
 
