@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chromaloom.functions.physics import ChainLaw, _chain_variance, _log_density
+from chromaloom.functions.physics import ChainLaw, chain_variance, log_density
 from chromaloom.session import cut
 
 from .pairs import BLOCK, group_pairs
@@ -28,7 +28,7 @@ def step_cost(step_kb: float, law: ChainLaw) -> Column:
     """-ln N_chain of the step from (p_*) to (y_um, ...)."""
     gaps = [F.col(a) - F.col(f"p_{a}") for a in AXES]
     s_kb = (F.col("slot") - F.col("p_slot")) * F.lit(float(step_kb))
-    return -_log_density(*gaps, *_chain_variance(law, s_kb))
+    return -log_density(*gaps, *chain_variance(law, s_kb))
 
 
 def best_chains(points: DataFrame, n_slots: int, step_kb: float, volume_um3: float = CLUTTER_VOLUME_UM3,
