@@ -197,14 +197,17 @@ def sets(k: int):
     return run
 
 
-def verified(pairs: DataFrame, described: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of set ids whose sets are linked."""
+def set_data(sids: DataFrame, described: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """sid, n, fold and hashes of the wanted sets, computed again from one document of each."""
     reps = described.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    wanted = reps.join(wanted, "sid", "left_semi").select("doc_id")
+    wanted = reps.join(sids.distinct(), "sid", "left_semi").select("doc_id")
     picked = docs.select("doc_id", "text").join(checked_broadcast(wanted, BATCH_IDS), "doc_id", "left_semi").select("text")
     # repeated ids may name another text too; only wanted sets are ever joined
-    data = cut(picked.mapInArrow(sets(k), "sid long, n long, fold array<long>, hashes array<long>").dropDuplicates(["sid"]))
+    return cut(picked.mapInArrow(sets(k), "sid long, n long, fold array<long>, hashes array<long>").dropDuplicates(["sid"]))
+
+
+def verified(pairs: DataFrame, data: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of set ids whose sets are linked."""
     left = data.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("fold").alias("fa"), F.col("hashes").alias("ha"))
     right = data.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("fold").alias("fb"), F.col("hashes").alias("hb"))
     both = pairs.join(left, "a").join(right, "b")
@@ -215,6 +218,37 @@ def verified(pairs: DataFrame, described: DataFrame, docs: DataFrame, k: int, nu
     return both.where(inter * den >= (total - inter) * num).select("a", "b")
 
 
+def open_links(tagged: DataFrame, described: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between different components inside the buckets of `tagged` (key, sid, component).
+
+    Every set of a bucket is written as its difference D from the bucket's pivot P (smallest
+    set id). Two sets differ by |D_x| + |D_y| - 2 |D_x and D_y| shingles, so sets that are
+    not both linked to P can only be linked when their differences share shingles, at least
+    half of what |D_x| + |D_y| exceeds the bound by. Differences are ordered (shingles
+    outside P first) and meet on a shared shingle only where both tails from there on are
+    still long enough. So a dense group of near copies that are just not linked costs its
+    differences, not its pairs.
+    """
+    pivots = tagged.groupBy("key").agg(F.min("sid").alias("p"))
+    refs = cut(tagged.join(pivots, "key").where("p <> sid").select("p", "sid", "component").distinct())
+    data = set_data(refs.select("sid").unionByName(refs.select(F.col("p").alias("sid"))), described, docs, k)
+    base = data.select(F.col("sid").alias("p"), F.col("n").alias("np"), F.col("hashes").alias("hp"))
+    diff = refs.join(base, "p").join(data.select("sid", "n", "hashes"), "sid").select(
+        "p", "sid", "component", "n", "np", F.concat(F.array_sort(F.array_except("hashes", "hp")), F.array_sort(F.array_except("hp", "hashes"))).alias("d"))
+    diff = cut(diff.withColumn("nd", F.size("d").cast("long")))
+    near_pivot = diff.where((den + num) * F.col("nd") <= (den - num) * (F.col("n") + F.col("np"))).select(F.col("p").alias("a"), F.col("sid").alias("b"))
+    # 2 * shared >= |D_x| + |D_y| - (den - num) / (den + num) * (n_x + n_y), scaled to whole numbers
+    rows = diff.select("p", "sid", "component", "n", "nd", F.posexplode("d").alias("at", "g")).withColumn("tail", F.col("nd") - F.col("at"))
+    rows = rows.where((den + num) * (2 * F.col("tail") - F.col("nd") - 1) * num + (den - num) * F.col("n") * (num + den) >= 0)
+    mixed = rows.groupBy("p", "g").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("p", "g")
+    rows = cut(rows.join(mixed, ["p", "g"], "left_semi"))
+    other = rows.select("p", "g", *[F.col(c).alias(f"{c}_y") for c in ("sid", "component", "n", "nd", "tail")])
+    enough = (2 * F.least("tail", "tail_y") - F.col("nd") - F.col("nd_y")) * (den + num) + (den - num) * (F.col("n") + F.col("n_y")) >= 0
+    met = rows.join(other, ["p", "g"]).where((F.col("sid") < F.col("sid_y")) & (F.col("component") != F.col("component_y")) & enough)
+    pairs = met.select(F.col("sid").alias("a"), F.col("sid_y").alias("b")).distinct()
+    return near_pivot.unionByName(verified(cut(pairs), data, num, den)).distinct()
+
+
 def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links of every row of `docs` (doc_id, text).
 
@@ -234,20 +268,18 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
     live = cut(live.select("gkey", "key", "sid", "pivot").distinct())
     stars = live.where("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct()
     stars = cut(stars)
-    links = cut(verified(stars, described, docs, k, num, den))
+    both_ends = stars.select(F.col("a").alias("sid")).unionByName(stars.select(F.col("b").alias("sid")))
+    links = cut(verified(stars, set_data(both_ends, described, docs, k), num, den))
     label = cut(min_labels(links, cut))
-    # pairs of a bucket that the star left open: different components, not compared yet
+    # pairs of a bucket that the star left open: different components
     tagged = live.select("key", "sid").distinct().join(
         label.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     open_keys = tagged.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("key")
     tagged = cut(tagged.join(open_keys, "key", "left_semi"))
-    other = tagged.select("key", F.col("sid").alias("b"), F.col("component").alias("cb"))
-    open_pairs = tagged.select("key", F.col("sid").alias("a"), F.col("component").alias("ca")).join(other, "key").where(
-        "a < b and ca <> cb").select("a", "b").distinct()
-    known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    open_pairs = cut(open_pairs.join(known, ["a", "b"], "left_anti"))
-    if open_pairs.limit(1).count():
-        links = cut(links.unionByName(verified(open_pairs, described, docs, k, num, den)))
+    if tagged.limit(1).count():
+        more = open_links(tagged, described, docs, k, num, den)
+        links = cut(links.unionByName(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).select(
+            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         label = cut(min_labels(links, cut))
     ends = links.select(F.col("a").alias("sid")).unionByName(links.select(F.col("b").alias("sid"))).groupBy("sid").agg(F.count("*").alias("n_links"))
     filled = described.where("n_shingles > 0")

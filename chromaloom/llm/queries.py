@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chromaloom.llm import jaccard
+from chromaloom.llm import counts, decontam, extract, fingerprints, jaccard, langid, mixing, tokens
 from chromaloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn
@@ -33,8 +39,8 @@ sizes AS (SELECT doc_id, len(g)::BIGINT AS n FROM grams),
 flat AS (SELECT doc_id, unnest(g) AS s FROM grams),
 common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM flat x JOIN flat y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
 links AS (SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 90 * (p.n + q.n - c)),
-both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-reach AS (SELECT doc_id AS a, doc_id AS b FROM sizes UNION SELECT reach.a, both.b FROM reach JOIN both ON reach.b = both.a)
+sym AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM sizes UNION SELECT reach.a, sym.b FROM reach JOIN sym ON reach.b = sym.a)
 SELECT doc_id, n AS n_shingles, (SELECT min(b) FROM reach WHERE a = doc_id) AS component_id FROM sizes
 """
 
@@ -43,3 +49,44 @@ SELECT doc_id, n AS n_shingles, (SELECT min(b) FROM reach WHERE a = doc_id) AS c
 def op2_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return jaccard.components(docs, k=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    out = langid.held_out("doc_id")
+    model = langid.fit(docs.where(~out))
+    return langid.predict(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query("op10_token_counts")
+def op10_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    vocabulary = counts.unigram_vocabulary(tokenizer_file("piece_bpe_32k.model"))
+    return counts.count_tokens(table(spark, d, "documents"), vocabulary)
+
+
+@query("op4_source_mixing")
+def op4_source_mixing(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), repetition=2.0)
+
+
+@query("op6_benchmark_decontamination")
+def op6_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    return decontam.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query("op9_html_extraction")
+def op9_html_extraction(spark: SparkSession, d: str) -> DataFrame:
+    return extract.extract(table(spark, d, "pages"))
+
+
+@query("op7_token_id_output")
+def op7_token_id_output(spark: SparkSession, d: str) -> DataFrame:
+    with open(tokenizer_file("word_bpe_49k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    return tokens.round_trip(table(spark, d, "documents"), definition)
+
+
+@query("op1_document_fingerprints")
+def op1_document_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, d, "documents"))
