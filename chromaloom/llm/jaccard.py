@@ -136,7 +136,6 @@ def probe(k: int, num: int, den: int):
     """
     def run(batches):
         seen, plans = set(), {}
-        tag = np.uint64(0)
         for b in batches:
             keys, sids = [], []
             for text in b.column("text").to_pylist():
@@ -156,7 +155,7 @@ def probe(k: int, num: int, den: int):
                     got = segment_keys(h, band, plans[band])
                     keys.append(got)
                     sids.append(np.full(len(got), sid, np.uint64))
-            if not keys:
+            if not sum(map(len, keys)):
                 continue
             key, sid = np.concatenate(keys), np.concatenate(sids)
             order = np.argsort(key, kind="stable")
@@ -166,7 +165,6 @@ def probe(k: int, num: int, den: int):
             lead = sid[start][np.cumsum(first) - 1]
             tied = np.concatenate((~first[1:], [False])) | ~first       # members of groups of two and more
             local = mix(key + mix(lead + np.uint64(7)))
-            tag += np.uint64(1)
             gkey = np.concatenate((key[first], local[tied]))
             bucket = np.concatenate((key[first], key[tied]))
             who = np.concatenate((sid[first], sid[tied]))
