@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chromaloom.llm import counts, decontam, extract, fingerprints, jaccard, langid, mixing, tokens
+from chromaloom.llm import counts, decontam, extract, fingerprints, jaccard, langid, lines, mixing, tokens
 from chromaloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,8 @@ def op7_token_id_output(spark: SparkSession, d: str) -> DataFrame:
 @query("op1_document_fingerprints")
 def op1_document_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, d, "documents"))
+
+
+@query("op5_line_dedup")
+def op5_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return lines.line_report(table(spark, d, "documents"))
