@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chromaloom.llm import counts, decontam, extract, fingerprints, jaccard, langid, lines, mixing, tokens
+from chromaloom.llm import counts, decontam, extract, fingerprints, jaccard, langid, lines, mixing, secrets, tokens
 from chromaloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,9 @@ def op1_document_fingerprints(spark: SparkSession, d: str) -> DataFrame:
 @query("op5_line_dedup")
 def op5_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     return lines.line_report(table(spark, d, "documents"))
+
+
+@query("op3_secret_scan")
+def op3_secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    known = secrets.dictionary(tokenizer_file("piece_bpe_32k.model"))
+    return secrets.scan_and_classify(table(spark, d, "documents"), known)
