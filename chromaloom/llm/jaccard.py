@@ -219,21 +219,37 @@ def verified(pairs: DataFrame, data: DataFrame, num: int, den: int) -> DataFrame
 def open_links(tagged: DataFrame, described: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links (a, b) between different components inside the buckets of `tagged` (key, sid, component).
 
-    Every set of a bucket is written as its difference D from the bucket's pivot P (smallest
-    set id). Two sets differ by |D_x| + |D_y| - 2 |D_x and D_y| shingles, so sets that are
-    not both linked to P can only be linked when their differences share shingles, at least
-    half of what |D_x| + |D_y| exceeds the bound by. Differences are ordered (shingles
-    outside P first) and meet on a shared shingle only where both tails from there on are
-    still long enough. So a dense group of near copies that are just not linked costs its
-    differences, not its pairs.
+    Every set of a bucket is written as its difference D from a pivot P of the bucket's
+    group. Two sets differ by |D_x| + |D_y| - 2 |D_x and D_y| shingles, so sets that are not
+    both linked to P can only be linked when their differences share shingles, at least half
+    of what |D_x| + |D_y| exceeds the bound by. Differences are ordered (shingles outside P
+    first) and meet on a shared shingle only where both tails from there on are still long
+    enough. So a dense group of near copies that are just not linked costs its differences,
+    not its pairs. The pivot is the member nearest to the group's majority (shingles that
+    more than half of the group have), which keeps a pivot's own edits out of all differences.
     """
-    pivots = tagged.groupBy("key").agg(F.min("sid").alias("p"))
-    refs = cut(tagged.join(pivots, "key").where("p <> sid").select("p", "sid", "component").distinct())
-    data = set_data(refs.select("sid").unionByName(refs.select(F.col("p").alias("sid"))), described, docs, k)
-    base = data.select(F.col("sid").alias("p"), F.col("n").alias("np"), F.col("hashes").alias("hp"))
-    diff = refs.join(base, "p").join(data.select("sid", "n", "hashes"), "sid").select(
-        "p", "sid", "component", "n", "np", F.concat(F.array_sort(F.array_except("hashes", "hp")), F.array_sort(F.array_except("hp", "hashes"))).alias("d"))
-    diff = cut(diff.withColumn("nd", F.size("d").cast("long")))
+    first = tagged.groupBy("key").agg(F.min("sid").alias("p0"))
+    groups = cut(tagged.join(first, "key").select("p0", "sid", "component").distinct())
+    data = set_data(groups.select("sid").distinct(), described, docs, k)
+
+    def differences(refs, pivot):
+        base = data.select(F.col("sid").alias(pivot), F.col("n").alias("np"), F.col("hashes").alias("hp"))
+        both = refs.where(F.col(pivot) != F.col("sid")).join(base, pivot).join(data.select("sid", "n", "hashes"), "sid")
+        return cut(both.select(*refs.columns, "n", "np", F.concat(
+            F.array_sort(F.array_except("hashes", "hp")), F.array_sort(F.array_except("hp", "hashes"))).alias("d")).withColumn(
+            "nd", F.size("d").cast("long")))
+
+    rough = differences(groups, "p0")
+    size = groups.groupBy("p0").agg(F.count("*").alias("m"))
+    flat = rough.select("p0", "sid", F.explode("d").alias("g"))
+    major = cut(flat.groupBy("p0", "g").agg(F.count("*").alias("c")).join(size, "p0").where("2 * c > m").select("p0", "g"))
+    shared = flat.join(major, ["p0", "g"]).groupBy("p0", "sid").agg(F.count("*").alias("s"))
+    width = major.groupBy("p0").agg(F.count("*").alias("w"))
+    far = groups.select("p0", "sid").join(rough.select("p0", "sid", "nd"), ["p0", "sid"], "left").join(shared, ["p0", "sid"], "left").join(
+        width, "p0", "left").select("p0", "sid", (F.coalesce("nd", F.lit(0)) + F.coalesce("w", F.lit(0)) - 2 * F.coalesce("s", F.lit(0))).alias("far"))
+    middle = far.groupBy("p0").agg(F.min(F.struct("far", "sid")).alias("b")).select("p0", F.col("b.sid").alias("p"))
+    refs = cut(groups.join(middle, "p0").select("p", "sid", "component").distinct())
+    diff = differences(refs, "p")
     near_pivot = diff.where((den + num) * F.col("nd") <= (den - num) * (F.col("n") + F.col("np"))).select(F.col("p").alias("a"), F.col("sid").alias("b"))
     # 2 * shared >= |D_x| + |D_y| - (den - num) / (den + num) * (n_x + n_y), scaled to whole numbers
     rows = diff.select("p", "sid", "component", "n", "nd", F.posexplode("d").alias("at", "g")).withColumn("tail", F.col("nd") - F.col("at"))
