@@ -18,12 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chromaloom.session import cut
+from chromaloom.session import checked_broadcast, cut
 
 BASE_CELLS = 24            # cells of the fingerprint itself
 STEPS = 12                 # peeling steps of a level, four over each part
-ROOM = 1.6                 # cells per digest that may differ, from the first retry on
-RETRIES = 6                # each further retry doubles the cells and draws new cells
+ROOM = 1.6                 # cells per digest that may differ
+RETRIES = 8                # each retry doubles the cells
+PLAN_ROWS = 1_000_000      # narrow rows (five numbers) a broadcast may hold
 
 
 def pieces(text: Column) -> Column:
@@ -47,11 +48,11 @@ def cells(rows: DataFrame, keys: list[str], digest: str, sign: Column, width: Co
     With signs +1 and -1 for two versions this is their difference, for sketches add up.
     """
     d = F.col(digest)
-    spread = rows.select(*keys, width.cast("int").alias("width"), sign.cast("int").alias("s"), d.alias("d"), checksum(d).alias("k"),
-                         F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("part"))
-    placed = spread.select(*keys, "width", cell_of(F.col("d"), F.col("part"), F.col("width"), seed).alias("cell"), "s", "d", "k")
+    spread = rows.select(*keys, width.cast("int").alias("width"), sign.cast("int").alias("__s"), d.alias("__d"), checksum(d).alias("__k"),
+                         F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("__part"))
+    placed = spread.select(*keys, "width", cell_of(F.col("__d"), F.col("__part"), F.col("width"), seed).alias("cell"), "__s", "__d", "__k")
     return placed.groupBy(*keys, "width", "cell").agg(
-        F.sum("s").cast("int").alias("n"), F.bit_xor("d").alias("x"), F.bit_xor("k").alias("c"))
+        F.sum("__s").cast("int").alias("n"), F.bit_xor("__d").alias("x"), F.bit_xor("__k").alias("c"))
 
 
 def peel(state: DataFrame, keys: list[str], seed: int = 0, steps: int = STEPS) -> DataFrame:
@@ -77,38 +78,33 @@ def peel(state: DataFrame, keys: list[str], seed: int = 0, steps: int = STEPS) -
         F.count(F.when(F.col("cell") >= 0, 1)).alias("left"))
 
 
-def likeness(pairs: DataFrame, keys: list[str], spread: list[str], a: str = "a", b: str = "b") -> DataFrame:
+def likeness(pairs: DataFrame, keys: list[str], spread: list[str]) -> DataFrame:
     """keys and near, the share of common digests in all digests of two versions.
 
-    `pairs` has two digest arrays per row and is partitioned by `spread`, a part of `keys`.
-    Two versions without digests are alike (1). Sizes travel with the fingerprints; the
-    common part follows from them and the recovered differences.
+    `pairs` has two digest arrays, a and b, per row; `spread` are the keys to deal rows by.
+    Sizes travel with the fingerprints; the common part follows from them and the recovered
+    differences. The first sketch has room for ROOM times as many digests as could differ;
+    a pair whose cells do not resolve is retried with twice as many cells, drawn anew. Pairs
+    without a row in the result have equal digests (or none) and are alike.
     """
-    sizes = pairs.select(*keys, F.size(a).alias("na"), F.size(b).alias("nb"), a, b)
-    done, todo = None, sizes
+    parts = max(2, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    done, todo = None, pairs
     for attempt in range(RETRIES):
-        if attempt == 0:
-            width = F.lit(BASE_CELLS // 3)
-        else:
-            width = F.ceil(((F.col("na") + F.col("nb")) * ROOM * 2 ** (attempt - 1) + BASE_CELLS) / 3)
-        rows = todo.select(*keys, width.cast("int").alias("width"), "na", F.posexplode(F.concat(a, b)).alias("pos", "d"))
-        start = cells(rows, keys, "d", F.when(F.col("pos") < F.col("na"), 1).otherwise(-1), F.col("width"), seed=attempt)
-        got = peel(start.where("n <> 0 or x <> 0 or c <> 0"), keys, seed=attempt)
-        here = todo.select(*keys, "na", "nb", a, b).alias("t").join(
-            got.select(*[F.col(k).alias(f"__{k}") for k in keys], "plus", "minus", "left"),
-            [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left").drop(*[f"__{k}" for k in keys])
-        # a pair without any row left is one whose sketches cancelled altogether
-        here = cut(here.select(*keys, "na", "nb", *[F.when(F.coalesce("left", F.lit(0)) > 0, F.col(c)).alias(c) for c in (a, b)],
-                               F.coalesce("plus", F.lit(0)).alias("plus"), F.coalesce("minus", F.lit(0)).alias("minus"),
-                               F.coalesce("left", F.lit(0)).alias("left")))
+        dealt = todo.select(*keys, "a", "b").where(F.size("a") + F.size("b") > 0).repartition(parts, *spread)
+        sized = dealt.select(*keys, F.size("a").alias("na"), F.size("b").alias("nb"), F.posexplode(F.concat("a", "b")).alias("pos", "__g"))
+        wide = [*keys, "na", "nb"]
+        width = F.ceil(((F.col("na") + F.col("nb")) * ROOM * 2 ** attempt + BASE_CELLS) / 3)
+        start = cells(sized, wide, "__g", F.when(F.col("pos") < F.col("na"), 1).otherwise(-1), width, seed=attempt)
+        got = peel(start.where("n <> 0 or x <> 0 or c <> 0"), wide, seed=attempt)
         ok = (F.col("left") == 0) & (F.col("na") - F.col("plus") == F.col("nb") - F.col("minus")) & (F.col("plus") <= F.col("na"))
-        common, union = F.col("na") - F.col("plus"), F.col("nb") + F.col("plus")
-        near = F.when(union > 0, common / union).otherwise(1.0)
-        solved = here.where(ok).select(*keys, near.alias("near"))
+        near = (F.col("na") - F.col("plus")) / (F.col("nb") + F.col("plus"))
+        got = cut(got.select(*keys, near.alias("near"), ok.alias("ok")))
+        solved = got.where("ok").select(*keys, "near")
         done = solved if done is None else done.unionByName(solved)
-        todo = here.where(~ok).select(*keys, "na", "nb", a, b)
-        if not todo.limit(1).count():
+        open_ = got.where(~F.col("ok")).select(*keys)
+        if not open_.limit(1).count():
             return done
+        todo = pairs.join(checked_broadcast(open_, PLAN_ROWS), keys, "left_semi")
     raise RuntimeError(f"differences did not peel in {RETRIES} sketch sizes")
 
 
@@ -122,24 +118,24 @@ def as_text(rows: DataFrame, keys: list[str], names: dict[int, str], kind: str =
 
 
 def neighbours(narrow: DataFrame) -> DataFrame:
-    """doc_id, h, n, next_id, next_h: the next document in descending order of (doc_id, h).
+    """d, h, n, next_d, next_h: the next document in descending order of (doc_id, h).
 
-    Rows are ranked inside range partitions; the last row of the partition before (a table
-    with one row per partition) precedes the first of the next, and the first row of all is
-    followed by the last. A single document is its own neighbour.
+    `narrow` has doc_id, its non-null form d, h and n. Rows are ranked inside range
+    partitions; the last row of the partition before (a table with one row per partition)
+    precedes the first of the next, and the first row of all is followed by the last. A
+    single document is its own neighbour.
     """
     parts = max(2, int(narrow.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = cut(narrow.repartitionByRange(parts, F.asc_nulls_first("doc_id"), "h").select("doc_id", "h", "n", F.spark_partition_id().alias("p")))
-    one = F.struct("doc_id", "h")
-    ends = dealt.groupBy("p").agg(F.max(one).alias("last"))
+    dealt = cut(narrow.repartitionByRange(parts, F.asc_nulls_first("doc_id"), "h").select("doc_id", "d", "h", "n", F.spark_partition_id().alias("p")))
+    rank, one = F.struct("doc_id", "h", "d"), F.struct("d", "h")
+    ends = dealt.groupBy("p").agg(F.max(rank).alias("last"))
     top = ends.agg(F.max("last")).first()[0]
-    w = Window.orderBy("p")
-    wrap = F.struct(F.lit(top[0] if top else None).cast("long").alias("doc_id"), F.lit(top[1] if top else None).cast("long").alias("h"))
-    ends = ends.select(F.col("p").alias("q"), F.coalesce(F.lag("last").over(w), wrap).alias("edge"))
+    wrap = F.struct(F.lit(top["d"] if top else None).cast("long").alias("d"), F.lit(top["h"] if top else None).cast("long").alias("h"))
+    ends = ends.select(F.col("p").alias("q"), F.coalesce(F.lag(F.struct(F.col("last.d").alias("d"), F.col("last.h").alias("h"))).over(Window.orderBy("p")), wrap).alias("edge"))
     inner = Window.partitionBy("p").orderBy(F.asc_nulls_first("doc_id"), "h")
     out = dealt.withColumn("before", F.lag(one).over(inner)).join(F.broadcast(ends), F.col("p") == F.col("q"))
     out = out.withColumn("before", F.coalesce("before", "edge"))
-    return out.select("doc_id", "h", "n", F.col("before.doc_id").alias("next_id"), F.col("before.h").alias("next_h"))
+    return out.select("d", "h", "n", F.col("before.d").alias("next_d"), F.col("before.h").alias("next_h"))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -152,47 +148,43 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     doc_id and different texts are different documents, ordered by the text's hash; equal
     rows are one document whose result is repeated. A null doc_id is a document below all
     others. Other columns are not read.
+
+    Texts move once: a document sends its first half to its own key, and as much of its
+    beginning as is wanted, with its digests, to the key of the document before it.
     """
+    parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    base = base.withColumn("h", F.xxhash64("text"))
-    counted = cut(base.groupBy("doc_id", "h").agg(F.count("*").alias("times"), F.max(F.length("text")).alias("n")))
-    repeated = counted.where("times > 1")
+    base = base.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("d"), F.xxhash64("text", F.col("doc_id").isNull()).alias("h"), "text")
+    counted = cut(base.groupBy("doc_id", "d", "h").agg(F.count("*").alias("times"), F.max(F.length("text")).alias("n")))
+    repeated = counted.where("times > 1").select("d", "h", "times")
     if repeated.limit(1).count():
-        base = base.dropDuplicates(["doc_id", "h"])
-    order = cut(neighbours(counted.select("doc_id", "h", "n")))
-    parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    base = base.repartition(parts, "doc_id", "h")
-    wanted = order.select(F.col("doc_id").alias("to_id"), F.col("h").alias("to_h"), F.floor(F.col("n") / 2).cast("int").alias("half"),
-                          F.col("next_id").alias("from_id"), F.col("next_h").alias("from_h"))
-    same = F.col("doc_id").eqNullSafe(F.col("from_id")) & (F.col("h") == F.col("from_h"))
-    sent = base.join(wanted, same).select("to_id", "to_h", "half", F.col("text").substr(F.lit(1), F.col("half")).alias("head"),
-                                         pieces(F.col("text")).alias("next_digests"))
-    sent = sent.repartition(parts, "to_id", "to_h")
-    both = base.join(sent, F.col("doc_id").eqNullSafe(F.col("to_id")) & (F.col("h") == F.col("to_h")))
+        base = base.dropDuplicates(["d", "h"])
+    order = cut(neighbours(counted.select("doc_id", "d", "h", "n")))
+    sends = checked_broadcast(order.select(F.col("next_d").alias("from_d"), F.col("next_h").alias("from_h"), F.col("d").alias("to_d"), F.col("h").alias("to_h"),
+                                           F.floor(F.col("n") / 2).cast("int").alias("half")), PLAN_ROWS)
     n = F.length("text")
-    edited = F.concat(F.col("text").substr(F.lit(1), (n - F.col("half")).cast("int")), F.col("head"))
-    table = both.select("doc_id", "h", n.cast("long").alias("n_chars"), F.explode(F.array(edited)).alias("edited"), "text", "next_digests").select(
-        "doc_id", "h", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), pieces(F.col("text")).alias("a"),
-        pieces(F.col("edited")).alias("e"), F.col("next_digests").alias("b"))
-    table = cut(table)
-    key = ["doc_id", "h"]
-    two = table.select(*key, F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("a").alias("d")), F.struct(F.lit(1).alias("kind"), F.col("e").alias("d")))).alias("v"))
-    two = two.select(*key, "v.kind", F.explode("v.d").alias("d")).repartition(parts, *key)
-    sketch = cells(two, [*key, "kind"], "d", F.lit(1), F.lit(BASE_CELLS // 3))
-    texts = as_text(sketch, key, {0: "fingerprint", 1: "edited_fingerprint"})
-    pairs = table.select(*key, F.explode(F.array(
-        F.struct(F.lit(0).alias("kind"), F.col("a").alias("a"), F.col("e").alias("b")),
-        F.struct(F.lit(1).alias("kind"), F.col("a").alias("a"), F.col("b").alias("b")))).alias("v")).select(*key, "v.*").repartition(parts, *key)
+    own = base.select("doc_id", "d", "h", n.cast("long").alias("n_chars"), F.col("text").substr(F.lit(1), (n - F.floor(n / 2)).cast("int")).alias("kept"),
+                      pieces(F.col("text")).alias("a")).repartition(parts, "d", "h")
+    sent = base.join(sends, (F.col("d") == F.col("from_d")) & (F.col("h") == F.col("from_h"))).select(
+        "to_d", "to_h", F.col("text").substr(F.lit(1), F.col("half")).alias("head"), pieces(F.col("text")).alias("b")).repartition(parts, "to_d", "to_h")
+    both = own.join(sent, (F.col("d") == F.col("to_d")) & (F.col("h") == F.col("to_h")))
+    both = both.select("doc_id", "d", "h", "n_chars", "a", "b", F.explode(F.array(F.concat("kept", "head"))).alias("edited"))
+    table = cut(both.select("doc_id", "d", "h", "n_chars", F.unhex(F.sha2("edited", 256)).alias("sha"), "a", pieces(F.col("edited")).alias("e"), "b"))
+    key = ["d", "h"]
+
+    def two(first, second):
+        return F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), *v) for k, v in enumerate((first, second))])).alias("v")
+
+    pairs = table.select(*key, two((F.col("a").alias("a"), F.col("e").alias("b")), (F.col("a").alias("a"), F.col("b").alias("b")))).select(*key, "v.*")
     near = likeness(pairs, [*key, "kind"], key).groupBy(*key).agg(
         F.max(F.when(F.col("kind") == 0, F.col("near"))).alias("near_edited"), F.max(F.when(F.col("kind") == 1, F.col("near"))).alias("near_next"))
-    out = table.select(*key, "n_chars", "edited_sha256")
-
-    def attach(left, right):
-        right = right.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), *[c for c in right.columns if c not in key])
-        return left.join(right, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")), "left").drop("__id", "__h")
-
-    out = attach(attach(out, texts), near)
-    out = attach(out, repeated.select("doc_id", "h", "times")).withColumn("__k", F.explode(F.sequence(F.lit(1), F.coalesce("times", F.lit(1)).cast("int"))))
+    dealt = table.select(*key, "a", "e").repartition(parts, *key).select(*key, two((F.col("a").alias("x"),), (F.col("e").alias("x"),)))
+    sketch = cells(dealt.select(*key, "v.kind", F.explode("v.x").alias("__g")), [*key, "kind"], "__g", F.lit(1), F.lit(BASE_CELLS // 3))
+    texts = as_text(sketch, key, {0: "fingerprint", 1: "edited_fingerprint"})
+    out = table.select("doc_id", *key, "n_chars", "sha").join(near, key, "left").join(texts, key, "left")
+    out = out.join(checked_broadcast(repeated, PLAN_ROWS), key, "left").withColumn(
+        "__k", F.explode(F.sequence(F.lit(1), F.coalesce("times", F.lit(1)).cast("int"))))
     empty = F.lit(f"{BASE_CELLS}:")
-    return out.select("doc_id", "n_chars", "edited_sha256", F.coalesce("fingerprint", empty).alias("fingerprint"),
-                      F.coalesce("edited_fingerprint", empty).alias("edited_fingerprint"), "near_edited", "near_next")
+    return out.select("doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), F.coalesce("fingerprint", empty).alias("fingerprint"),
+                      F.coalesce("edited_fingerprint", empty).alias("edited_fingerprint"),
+                      F.coalesce("near_edited", F.lit(1.0)).alias("near_edited"), F.coalesce("near_next", F.lit(1.0)).alias("near_next"))

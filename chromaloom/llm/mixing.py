@@ -35,11 +35,9 @@ EXPONENTS = (0.0, 1.0)     # 0 gives equal weights, 1 the shares as they are
 
 def n_tokens(text: str = "text") -> Column:
     """Words of a text (runs without ASCII white space); null and empty texts have none."""
-    trimmed = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    return (F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit(""))) + 1
-            - F.when(F.startswith(trimmed, F.lit(" ")), 1).otherwise(0)
-            - F.when((F.length(trimmed) > 1) & F.endswith(trimmed, F.lit(" ")), 1).otherwise(0)
-            - F.when(trimmed == "", 1).otherwise(0)).cast("long")
+    one = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    spaces = F.length(one) - F.length(F.replace(one, F.lit(" "), F.lit("")))
+    return F.when(one == "", 0).otherwise(spaces + 1).cast("long")
 
 
 def source_weights(sizes: DataFrame, entropy: float | None = None, repetition: float | None = None) -> DataFrame:
