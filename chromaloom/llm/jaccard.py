@@ -74,7 +74,7 @@ def band_plan(band: int, num: int, den: int) -> tuple[int, int, int]:
     for _ in range(50):
         k = t + 1 + e
         empty = k * math.exp(-lo / k)
-        need = math.ceil(empty + 3 * math.sqrt(empty))
+        need = math.ceil(empty + 2 * math.sqrt(empty))
         if need <= e:
             break
         e = need
@@ -90,18 +90,33 @@ def band_of(n: int) -> int:
     return b
 
 
-def segment_keys(h: np.ndarray, band: int, plan: tuple[int, int, int]) -> np.ndarray:
-    """Join keys of a set in a band: one per non-empty segment (and the empty ones if more than e)."""
+def reach(n: int, hi: int, num: int, den: int) -> int:
+    """Largest distance between a set of n shingles and a linked set of at most hi."""
+    return (den - num) * (n + min(hi, n * den // num)) // (den + num)
+
+
+def segment_keys(h: np.ndarray, band: int, plan: tuple[int, int, int], num: int, den: int) -> np.ndarray:
+    """Join keys of a set in a band, from its leading segments.
+
+    A set whose links are at most T' apart only needs its first T' + 1 + e segments: of two
+    linked sets the one with fewer still agrees with the other on 1 + e of them. One key per
+    segment that is not empty, and one per empty one if there are more than e.
+    """
     t, k, e = plan
     if t == 0:
         return np.empty(0, np.uint64)          # linked sets of this band are equal sets
+    used = min(k, reach(len(h), math.ceil(RATIO ** (band + 1)) - 1, num, den) + 1 + e)
     seg = ((h >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)      # sorted, as h is
+    cut_at = int(np.searchsorted(seg, used))
+    if not cut_at:
+        return np.empty(0, np.uint64)
+    h, seg = h[:cut_at], seg[:cut_at]
     starts = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
     value = np.bitwise_xor.reduceat(mix(h), starts)
     salt = np.uint64(band * 1_000_003)
     keys = mix(value + mix(seg[starts] + salt))
-    if k - len(starts) > e:
-        empty = np.setdiff1d(np.arange(k, dtype=np.uint64), seg[starts])
+    if used - len(starts) > e:
+        empty = np.setdiff1d(np.arange(used, dtype=np.uint64), seg[starts])
         keys = np.concatenate((keys, mix(mix(empty + salt) + np.uint64(1))))
     return keys
 
@@ -129,10 +144,10 @@ def describe(k: int):
 
 
 def probe(k: int, num: int, den: int):
-    """Task: the bucket rows (gkey, key, sid) of every set, once per set and task.
+    """Task: the bucket rows (gkey, sid) of every set, once per set and task.
 
-    `key` names the bucket, `gkey` the group that is gathered: the bucket itself for the
-    first set of the batch with that key, a key of the batch for the sets tied to it.
+    gkey names a bucket; the sets of a batch that share one are tied to the first of them
+    under a key of their own, and only the first goes to the bucket.
     """
     def run(batches):
         seen, plans = set(), {}
@@ -152,33 +167,33 @@ def probe(k: int, num: int, den: int):
                 for band in bands:
                     if band not in plans:
                         plans[band] = band_plan(band, num, den)
-                    got = segment_keys(h, band, plans[band])
+                    got = segment_keys(h, band, plans[band], num, den)
                     keys.append(got)
                     sids.append(np.full(len(got), sid, np.uint64))
             if not sum(map(len, keys)):
                 continue
             key, sid = np.concatenate(keys), np.concatenate(sids)
             order = np.argsort(key, kind="stable")
-            key, sid = key[order], sid[order]
-            first = np.concatenate(([True], key[1:] != key[:-1]))
-            start = np.flatnonzero(first)
-            lead = sid[start][np.cumsum(first) - 1]
+            sorted_key, sorted_sid = key[order], sid[order]
+            first = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))
+            lead = sorted_sid[np.flatnonzero(first)][np.cumsum(first) - 1]
             tied = np.concatenate((~first[1:], [False])) | ~first       # members of groups of two and more
-            local = mix(key + mix(lead + np.uint64(7)))
-            gkey = np.concatenate((key[first], local[tied]))
-            bucket = np.concatenate((key[first], key[tied]))
-            who = np.concatenate((sid[first], sid[tied]))
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(x)) for x in (gkey, bucket, who)], ["gkey", "key", "sid"])
+            local = mix(sorted_key + mix(lead + np.uint64(7)))
+            keep = np.zeros(len(key), bool)
+            keep[order] = first                                         # rows of a set stay together, they pack better
+            gkey = np.concatenate((key[keep], local[tied]))
+            who = np.concatenate((sid[keep], sorted_sid[tied]))
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(x)) for x in (gkey, who)], ["gkey", "sid"])
     return run
 
 
 def sets(k: int):
-    """Task: (sid, n, fold, hashes) of documents, once per set and task."""
+    """Task: (sid, grp, n, fold, hashes) of documents, once per set and task; grp is passed on."""
     def run(batches):
         seen = set()
         for b in batches:
-            sid, size, fold, hashes = [], [], [], []
-            for text in b.column("text").to_pylist():
+            sid, group, size, fold, hashes = [], [], [], [], []
+            for text, grp in zip(b.column("text").to_pylist(), b.column("grp").to_pylist()):
                 h = shingles(text, k)
                 s = set_id(h)
                 if s in seen:
@@ -186,81 +201,90 @@ def sets(k: int):
                 seen.add(s)
                 bits = np.bincount((h & np.uint64(64 * FOLD_WORDS - 1)).astype(np.int64), minlength=64 * FOLD_WORDS) & 1
                 sid.append(s)
+                group.append(grp)
                 size.append(len(h))
                 fold.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
                 hashes.append(_signed(h))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_signed(sid)), pa.array(size, pa.int64()), pa.array(fold, pa.list_(pa.int64())), pa.array(hashes, pa.list_(pa.int64()))],
-                ["sid", "n", "fold", "hashes"])
+                [pa.array(_signed(sid)), pa.array(group, pa.int64()), pa.array(size, pa.int64()), pa.array(fold, pa.list_(pa.int64())),
+                 pa.array(hashes, pa.list_(pa.int64()))], ["sid", "grp", "n", "fold", "hashes"])
     return run
 
 
-def set_data(sids: DataFrame, described: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """sid, n, fold and hashes of the wanted sets, computed again from one document of each."""
-    reps = described.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    wanted = reps.join(sids.distinct(), "sid", "left_semi").select("doc_id")
-    picked = docs.select("doc_id", "text").join(checked_broadcast(wanted, BATCH_IDS), "doc_id", "left_semi").select("text")
-    # repeated ids may name another text too; only wanted sets are ever joined
-    return cut(picked.mapInArrow(sets(k), "sid long, n long, fold array<long>, hashes array<long>").dropDuplicates(["sid"]))
-
-
-def verified(pairs: DataFrame, data: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of set ids whose sets are linked."""
-    left = data.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("fold").alias("fa"), F.col("hashes").alias("ha"))
-    right = data.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("fold").alias("fb"), F.col("hashes").alias("hb"))
-    both = pairs.join(left, "a").join(right, "b")
+def set_data(wanted: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """sid, grp, n, fold and hashes of the sets in `wanted` (sid, grp), computed again from
+    one document of each (`reps`)."""
+    ids = cut(reps.join(wanted, "sid").select(F.col("doc_id").alias("__d"), F.col("sid").alias("__s"), "grp"))
+    picked = docs.join(checked_broadcast(ids, BATCH_IDS), F.col("doc_id").eqNullSafe(F.col("__d"))).select("text", "grp", "__s")
+    found = picked.select("text", "grp").mapInArrow(sets(k), "sid long, grp long, n long, fold array<long>, hashes array<long>")
+    # a repeated id may name other texts too: only wanted pairs of set and group count
+    return found.join(checked_broadcast(ids.select(F.col("__s").alias("sid"), "grp").distinct(), BATCH_IDS), ["sid", "grp"], "left_semi")
+
+
+def star_links(stars: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) among `stars` (a, b), one row per b: both sides meet at a."""
+    centre = stars.select(F.col("a").alias("sid"), F.col("a").alias("grp")).distinct()
+    right = set_data(stars.select(F.col("b").alias("sid"), F.col("a").alias("grp")), reps, docs, k).select(
+        F.col("grp").alias("a"), F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("fold").alias("fb"), F.col("hashes").alias("hb"))
+    left = set_data(centre, reps, docs, k).dropDuplicates(["sid"]).select(
+        F.col("sid").alias("a"), F.col("n").alias("na"), F.col("fold").alias("fa"), F.col("hashes").alias("ha"))
+    both = right.join(left, "a")
     total = F.col("na") + F.col("nb")
     hamming = F.expr("aggregate(zip_with(fa, fb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
     both = both.where((hamming * (den + num) <= total * (den - num)) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
     inter = F.size(F.array_intersect("ha", "hb"))
-    return both.where(inter * den >= (total - inter) * num).select("a", "b")
+    return both.where(inter * den >= (total - inter) * num).select("a", "b").distinct()
 
 
-def open_links(tagged: DataFrame, described: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) between different components inside the buckets of `tagged` (key, sid, component).
+def open_links(members: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between different components inside the clusters of `members` (c, sid, component).
 
-    Every set of a bucket is written as its difference D from a pivot P of the bucket's
-    group. Two sets differ by |D_x| + |D_y| - 2 |D_x and D_y| shingles, so sets that are not
-    both linked to P can only be linked when their differences share shingles, at least half
-    of what |D_x| + |D_y| exceeds the bound by. Differences are ordered (shingles outside P
-    first) and meet on a shared shingle only where both tails from there on are still long
-    enough. So a dense group of near copies that are just not linked costs its differences,
-    not its pairs. The pivot is the member nearest to the group's majority (shingles that
-    more than half of the group have), which keeps a pivot's own edits out of all differences.
+    A cluster is what buckets connect. Every set is written as its difference D from a pivot
+    P of the cluster. Two sets differ by |D_x| + |D_y| - 2 |D_x and D_y| shingles, so sets
+    that are not both linked to P can only be linked when their differences share shingles,
+    at least half of what |D_x| + |D_y| exceeds the bound by. Differences are ordered
+    (shingles outside P first) and meet on a shared shingle only where both tails from there
+    on are still long enough. So a dense group of near copies that are just not linked costs
+    its differences, not its pairs. The pivot is the member nearest to the cluster's majority
+    (shingles that more than half have), which keeps a pivot's own edits out of the
+    differences. Differences are first taken from the smallest set id and then moved to P.
     """
-    first = tagged.groupBy("key").agg(F.min("sid").alias("p0"))
-    groups = cut(tagged.join(first, "key").select("p0", "sid", "component").distinct())
-    data = set_data(groups.select("sid").distinct(), described, docs, k)
-
-    def differences(refs, pivot):
-        base = data.select(F.col("sid").alias(pivot), F.col("n").alias("np"), F.col("hashes").alias("hp"))
-        both = refs.where(F.col(pivot) != F.col("sid")).join(base, pivot).join(data.select("sid", "n", "hashes"), "sid")
-        return cut(both.select(*refs.columns, "n", "np", F.concat(
-            F.array_sort(F.array_except("hashes", "hp")), F.array_sort(F.array_except("hp", "hashes"))).alias("d")).withColumn(
-            "nd", F.size("d").cast("long")))
-
-    rough = differences(groups, "p0")
-    size = groups.groupBy("p0").agg(F.count("*").alias("m"))
-    flat = rough.select("p0", "sid", F.explode("d").alias("g"))
-    major = cut(flat.groupBy("p0", "g").agg(F.count("*").alias("c")).join(size, "p0").where("2 * c > m").select("p0", "g"))
-    shared = flat.join(major, ["p0", "g"]).groupBy("p0", "sid").agg(F.count("*").alias("s"))
-    width = major.groupBy("p0").agg(F.count("*").alias("w"))
-    far = groups.select("p0", "sid").join(rough.select("p0", "sid", "nd"), ["p0", "sid"], "left").join(shared, ["p0", "sid"], "left").join(
-        width, "p0", "left").select("p0", "sid", (F.coalesce("nd", F.lit(0)) + F.coalesce("w", F.lit(0)) - 2 * F.coalesce("s", F.lit(0))).alias("far"))
-    middle = far.groupBy("p0").agg(F.min(F.struct("far", "sid")).alias("b")).select("p0", F.col("b.sid").alias("p"))
-    refs = cut(groups.join(middle, "p0").select("p", "sid", "component").distinct())
-    diff = differences(refs, "p")
-    near_pivot = diff.where((den + num) * F.col("nd") <= (den - num) * (F.col("n") + F.col("np"))).select(F.col("p").alias("a"), F.col("sid").alias("b"))
+    first = members.groupBy("c").agg(F.min("sid").alias("p0"), F.count("*").alias("m"))
+    centre = set_data(first.select(F.col("p0").alias("sid"), F.col("c").alias("grp")), reps, docs, k).dropDuplicates(["grp"]).select(
+        F.col("grp").alias("c"), F.col("n").alias("n0"), F.col("hashes").alias("h0"))
+    data = set_data(members.select("sid", F.col("c").alias("grp")), reps, docs, k).dropDuplicates(["grp", "sid"]).select(F.col("grp").alias("c"), "sid", "n", "hashes")
+    rough = cut(data.join(centre, "c").select("c", "sid", "n", F.array_except("hashes", "h0").alias("new"), F.array_except("h0", "hashes").alias("gone")))
+    flat = rough.select("c", "sid", F.explode(F.concat("new", "gone")).alias("g"))
+    major = cut(flat.groupBy("c", "g").agg(F.count("*").alias("k")).join(first, "c").where("2 * k > m").select("c", "g"))
+    shared = flat.join(major, ["c", "g"]).groupBy("c", "sid").agg(F.count("*").alias("s"))
+    far = rough.select("c", "sid", (F.size("new") + F.size("gone")).alias("nd")).join(shared, ["c", "sid"], "left").select(
+        "c", "sid", (F.col("nd") - 2 * F.coalesce("s", F.lit(0))).alias("far"))
+    middle = far.groupBy("c").agg(F.min(F.struct("far", "sid")).alias("b")).select("c", F.col("b.sid").alias("sid"))
+    pivot = rough.join(middle, ["c", "sid"]).select("c", F.col("sid").alias("p"), F.col("n").alias("np"), F.col("new").alias("pn"), F.col("gone").alias("pg"))
+    moved = rough.join(members, ["c", "sid"]).join(pivot, "c").where("sid <> p").select(
+        "c", "p", "sid", "component", "n", "np", F.concat(
+            F.array_sort(F.concat(F.array_except("new", "pn"), F.array_except("pg", "gone"))),
+            F.array_sort(F.concat(F.array_except("gone", "pg"), F.array_except("pn", "new")))).alias("d"))
+    diff = cut(moved.withColumn("nd", F.size("d").cast("long")))
+
+    def linked(distance, n):
+        return (den + num) * distance <= (den - num) * n
+
+    near_pivot = diff.where(linked(F.col("nd"), F.col("n") + F.col("np"))).select(F.col("p").alias("a"), F.col("sid").alias("b"))
     # 2 * shared >= |D_x| + |D_y| - (den - num) / (den + num) * (n_x + n_y), scaled to whole numbers
-    rows = diff.select("p", "sid", "component", "n", "nd", F.posexplode("d").alias("at", "g")).withColumn("tail", F.col("nd") - F.col("at"))
+    rows = diff.select("c", "sid", "component", "n", "nd", F.posexplode("d").alias("at", "g")).withColumn("tail", F.col("nd") - F.col("at"))
     rows = rows.where((den + num) * (2 * F.col("tail") - F.col("nd") - 1) * num + (den - num) * F.col("n") * (num + den) >= 0)
-    mixed = rows.groupBy("p", "g").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("p", "g")
-    rows = cut(rows.join(mixed, ["p", "g"], "left_semi"))
-    other = rows.select("p", "g", *[F.col(c).alias(f"{c}_y") for c in ("sid", "component", "n", "nd", "tail")])
+    mixed = rows.groupBy("c", "g").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("c", "g")
+    rows = rows.drop("at").join(mixed, ["c", "g"], "left_semi")
+    other = rows.select("c", "g", *[F.col(c).alias(f"{c}_y") for c in ("sid", "component", "n", "nd", "tail")])
     enough = (2 * F.least("tail", "tail_y") - F.col("nd") - F.col("nd_y")) * (den + num) + (den - num) * (F.col("n") + F.col("n_y")) >= 0
-    met = rows.join(other, ["p", "g"]).where((F.col("sid") < F.col("sid_y")) & (F.col("component") != F.col("component_y")) & enough)
-    pairs = met.select(F.col("sid").alias("a"), F.col("sid_y").alias("b")).distinct()
-    return near_pivot.unionByName(verified(cut(pairs), data, num, den)).distinct()
+    met = rows.join(other, ["c", "g"]).where((F.col("sid") < F.col("sid_y")) & (F.col("component") != F.col("component_y")) & enough)
+    pairs = cut(met.select("c", F.col("sid").alias("a"), F.col("sid_y").alias("b")).distinct())
+    left = diff.select("c", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("d").alias("da"))
+    right = diff.select("c", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"))
+    both = pairs.join(left, ["c", "a"]).join(right, ["c", "b"])
+    apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
+    return near_pivot.unionByName(both.where(linked(apart, F.col("na") + F.col("nb"))).select("a", "b"))
 
 
 def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -276,24 +300,23 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
     """
     docs = docs.select("doc_id", "text")
     described = cut(docs.mapInArrow(describe(k), "doc_id long, n_shingles long, sid long"))
+    reps = cut(described.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id")))
     w = Window.partitionBy("gkey")
-    rows = docs.select("doc_id", "text").mapInArrow(probe(k, num, den), "gkey long, key long, sid long")
-    live = rows.withColumn("pivot", F.min("sid").over(w)).withColumn("top", F.max("sid").over(w)).where("pivot <> top")
-    live = cut(live.select("gkey", "key", "sid", "pivot").distinct())
-    stars = live.where("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct()
-    stars = cut(stars)
-    both_ends = stars.select(F.col("a").alias("sid")).unionByName(stars.select(F.col("b").alias("sid")))
-    links = cut(verified(stars, set_data(both_ends, described, docs, k), num, den))
+    rows = docs.select("text").mapInArrow(probe(k, num, den), "gkey long, sid long")
+    met = rows.withColumn("a", F.min("sid").over(w)).where("sid <> a")
+    met = cut(met.groupBy("a", F.col("sid").alias("b")).agg(F.count("*").alias("times")))
+    # every set is compared with the pivot it shares most buckets with
+    best = met.groupBy("b").agg(F.min(F.struct((-F.col("times")).alias("t"), "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+    links = cut(star_links(cut(best), reps, docs, k, num, den))
     label = cut(min_labels(links, cut))
-    # pairs of a bucket that the star left open: different components
-    tagged = live.select("key", "sid").distinct().join(
-        label.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    open_keys = tagged.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("key")
-    tagged = cut(tagged.join(open_keys, "key", "left_semi"))
-    if tagged.limit(1).count():
-        more = open_links(tagged, described, docs, k, num, den)
-        links = cut(links.unionByName(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).select(
-            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    # what is left: sets that buckets connect and links, so far, do not
+    cluster = min_labels(met.select("a", "b"), cut).select(F.col("node").alias("sid"), F.col("component").alias("c"))
+    members = cluster.join(label.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    open_ = members.groupBy("c").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("c")
+    members = cut(members.join(open_, "c", "left_semi").select("c", "sid", "component"))
+    if members.limit(1).count():
+        more = links.unionByName(open_links(members, reps, docs, k, num, den))
+        links = cut(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         label = cut(min_labels(links, cut))
     ends = links.select(F.col("a").alias("sid")).unionByName(links.select(F.col("b").alias("sid"))).groupBy("sid").agg(F.count("*").alias("n_links"))
     filled = described.where("n_shingles > 0")
