@@ -33,9 +33,9 @@ from chromaloom.session import checked_broadcast, cut, ensure_checkpoint_dir
 
 BLOCK = 2048               # ids per block
 SEGMENT = 32 * BLOCK       # ids after which a segment is closed
-FLUSH = 128 * SEGMENT      # ids coded at once by a task (32-bit each)
+FLUSH = 32 * SEGMENT       # ids coded at once by a task (32-bit each)
 END_ID = 1
-MEMO = 300_000             # words a task remembers
+MEMO = 500_000             # words a task remembers
 SLOTS2, SLOTS1 = 2048, 1024
 BITS = 12                  # probability bits of an event
 U16, U64 = np.uint16, np.uint64
