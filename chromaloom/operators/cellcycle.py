@@ -130,7 +130,7 @@ def phase_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     d = d.where("ta is not null and tb is not null").select(circular_abs_diff("ta", "tb").alias("d"))
     within = d.agg(F.count(F.lit(1)).alias("n"), *[F.avg((F.col("d") <= k).cast("double")).alias(f"frac_within_{k}") for k in (30, 45, 90)])
     med = exact_quantiles(d, [], "d", {"median_abs_diff_deg": 0.5})
-    return within.join(F.broadcast(med), "n")
+    return within.withColumn("median_abs_diff_deg", med.select("median_abs_diff_deg").scalar())
 
 
 def normalise_by_fov(table: DataFrame, value: str, min_cells: int = 5) -> DataFrame:

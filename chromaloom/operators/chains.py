@@ -21,7 +21,7 @@ from .stats import has_hot_group
 
 KEYS = ["fov", "cell"]
 AXES = ("y_um", "x_um", "z_um")
-CLUTTER_VOLUME_UM3 = 400.0
+CLUTTER_VOLUME_UM3 = 500.0
 
 
 def step_cost(step_kb: float, law: ChainLaw) -> Column:

@@ -184,7 +184,9 @@ def cooccurrence_z(observed: DataFrame, patterns: DataFrame, model: QualityModel
             expected = float(w @ pair)
             rows.append((i, j, expected, max(expected - float(pair @ m @ pair), 1e-12)))
     null = spark.createDataFrame(rows, "bin_i int, bin_j int, expected double, variance double")
-    return observed.join(F.broadcast(null), ["bin_i", "bin_j"]).select(
+    # one row per pair of slots: a pair never seen together counts as observed 0
+    both = F.broadcast(null).join(observed, ["bin_i", "bin_j"], "left").withColumn("observed", F.coalesce("observed", F.lit(0)))
+    return both.select(
         "bin_i", "bin_j", "observed", "expected",
         ((F.col("observed") - F.col("expected")) / F.sqrt("variance")).alias("z"),
         ((F.col("observed") + 1e-9) / (F.col("expected") + 1e-9)).alias("ratio"))

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chromaloom.session import checked_broadcast
+
 from .pairs import group_pairs
 from .stats import exact_quantiles
 
@@ -136,9 +138,16 @@ def ring_pairs(alleles: DataFrame, seed: int, lag: int = 1, group: list[str] | N
     arithmetic, so a sample can be reproduced outside Spark.
     """
     group = group or []
-    n_buckets = max(1, math.ceil(alleles.count() / PAIR_BUCKET))
     mix = F.pmod(F.col("allele_id") * 7919 + F.lit(seed * 104729), F.lit(1000003))
-    dealt = alleles.select("fov", "cell", "allele_id", mix.alias("mix"), F.pmod(mix, F.lit(n_buckets)).alias("bucket"))
+    mixed = alleles.select("fov", "cell", "allele_id", mix.alias("mix"))
+    # the number of buckets follows the group's own size, so a small group is never torn apart
+    sizes = alleles.groupBy(*group).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(float(PAIR_BUCKET)))).cast("long").alias("__buckets"))
+    if group:
+        known = sizes.select(*[F.col(g).alias(f"__{g}") for g in group], "__buckets")
+        dealt = mixed.join(checked_broadcast(known), [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group])
+    else:
+        dealt = mixed.withColumn("__buckets", sizes.select("__buckets").scalar())
+    dealt = dealt.select("fov", "cell", "allele_id", "mix", F.pmod("mix", F.col("__buckets")).alias("bucket"))
     w = Window.partitionBy(*group, "bucket").orderBy("mix", "allele_id")
     steps = [
         F.struct(F.lead("allele_id", k).over(w).alias("allele_b"), F.lead("fov", k).over(w).alias("fov_b"),

@@ -85,8 +85,10 @@ def qc_thresholds(polymer: DataFrame, dmaps: DataFrame, brightness=(0.05, 0.95),
     near = exact_quantiles(dmaps.where(F.col("bin_j") == F.col("bin_i") + 1), [], "d", {"max_jump_um": jump})
     far = exact_quantiles(slot_medians(polymer, dmaps), [], "med", {"max_dist_um": max_dist})
     inf = F.lit(float("inf"))
-    return amp.select(
-        "min_brightness", "max_brightness", F.coalesce(near.select("max_jump_um").scalar(), inf).alias("max_jump_um"),
+    one = polymer.agg(F.count(F.lit(1)).alias("n"))
+    return one.select(
+        F.coalesce(amp.select("min_brightness").scalar(), F.lit(0.0)).alias("min_brightness"),
+        F.coalesce(amp.select("max_brightness").scalar(), inf).alias("max_brightness"), F.coalesce(near.select("max_jump_um").scalar(), inf).alias("max_jump_um"),
         F.coalesce(far.select("max_dist_um").scalar(), inf).alias("max_dist_um"))
 
 

@@ -46,10 +46,11 @@ def supported(points: DataFrame, radius: float, min_bins: int) -> DataFrame:
 
 def spatial_multiplicity(points: DataFrame, n_slots: int, radius: float = SITE_RADIUS_UM, max_sites: int = MAX_SITES,
                          min_bins: int | None = None) -> DataFrame:
-    """(fov, cell, k): how many well-supported places a cell has; cells without one are absent."""
+    """(fov, cell, k): how many well-supported places a cell has, 0 when it has none."""
     good = supported(points, radius, min_bins or min_site_bins(n_slots))
     sites = pick_sites(good, F.struct(F.col("support"), -F.col("point")), radius, max_sites)
-    return sites.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("k"))
+    found = sites.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("k"))
+    return points.select(*KEYS).distinct().join(found, KEYS, "left").select(*KEYS, F.coalesce("k", F.lit(0)).alias("k"))
 
 
 def seeds(points: DataFrame, k: int, radius: float, min_bins: int) -> DataFrame:

@@ -101,6 +101,8 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     built-in aggregate is used; otherwise the hot groups, and only they, take the
     counted path.
     """
+    # NaN is no value, whichever path a group takes; a group without values keeps its row
+    df = df.withColumn(value, F.when(~F.isnan(F.col(value).cast("double")), F.col(value)))
     sizes = df.groupBy(*keys).agg(F.count(value).alias("n")) if sizes is None else sizes
 
     def built_in(part: DataFrame) -> DataFrame:

@@ -32,7 +32,8 @@ FROM orders, (VALUES (0), (1)) AS hom(h)""",
 SELECT CAST(l_orderkey % 25 AS INTEGER) AS fov,
        CASE WHEN l_orderkey % 20 = 7 THEN -1 ELSE l_orderkey END AS cell,
        l_orderkey * 2 + l_partkey % 2 AS allele_id, l_linenumber - 1 AS slot,
-       l_partkey * 10000000 + l_suppkey * 10 AS cand, l_quantity AS y,
+       l_partkey * 1000000000000 + l_suppkey * 1000000 + CAST(l_quantity AS BIGINT) * 10000
+       + CAST(round(l_tax * 100) AS BIGINT) * 100 + CAST(round(l_discount * 100) AS BIGINT) AS cand, l_quantity AS y,
        l_extendedprice / CAST(1000 AS DOUBLE) AS x, l_tax * CAST(100 AS DOUBLE) AS z,
        l_extendedprice AS amplitude, l_discount AS quality
 FROM lineitem""",

@@ -144,7 +144,8 @@ def radius_support(spark, d):
 
 
 @query("allele_multiplicity", _rounds("support DESC, point", 3, f"SELECT * FROM ({SUPPORT}) WHERE support >= 2") + """
-SELECT fov, cell, count(*) AS k FROM (SELECT fov, cell FROM b0 UNION ALL SELECT fov, cell FROM b1 UNION ALL SELECT fov, cell FROM b2) GROUP BY 1, 2""")
+SELECT fov, cell, coalesce(k, 0) AS k FROM (SELECT DISTINCT fov, cell FROM m_spots WHERE cell >= 0) LEFT JOIN
+(SELECT fov, cell, count(*) AS k FROM (SELECT fov, cell FROM b0 UNION ALL SELECT fov, cell FROM b1 UNION ALL SELECT fov, cell FROM b2) GROUP BY 1, 2) USING (fov, cell)""")
 def allele_multiplicity(spark, d):
     return sites.spatial_multiplicity(bin_points(spark, d), T.N_SLOTS, radius=4.0)
 

@@ -84,7 +84,7 @@ def chain_points(spark, d):
 def _chain_sql(n_slots: int) -> str:
     cost = """p.w + (0.5 * ((q.y-p.y)*(q.y-p.y) + (q.x-p.x)*(q.x-p.x)) / vxy + 0.5 * (q.z-p.z)*(q.z-p.z) / vz + ln(vxy) + 0.5 * ln(vz) + 1.5 * ln(2 * pi())) - q.clutter"""
     out = ["""pts AS MATERIALIZED (SELECT fov, cell, cand AS point, slot, y * CAST(0.208 AS DOUBLE) AS y, x * CAST(0.208 AS DOUBLE) AS x, z * CAST(0.2 AS DOUBLE) AS z,
-  ln(CAST(400 AS DOUBLE) / count(*) OVER (PARTITION BY fov, cell)) AS clutter FROM m_candidates WHERE cell >= 0)""",
+  ln(CAST(500 AS DOUBLE) / count(*) OVER (PARTITION BY fov, cell)) AS clutter FROM m_candidates WHERE cell >= 0)""",
            "d0 AS MATERIALIZED (SELECT *, CAST(0 AS DOUBLE) AS w, [point] AS chain FROM pts WHERE slot = 0)"]
     for s in range(1, n_slots):
         out.append(f"""d{s} AS MATERIALIZED (SELECT * FROM d{s - 1} UNION ALL SELECT q.*, coalesce(b.w, 0) AS w, CASE WHEN b.w IS NULL THEN [q.point] ELSE list_append(b.chain, q.point) END AS chain

@@ -162,12 +162,12 @@ def allele_difference_within(spark, d):
 
 RING = """
 SELECT allele_id AS allele_a, fov AS fov_a, cell AS cell_a, lead(allele_id, {k}) OVER w AS allele_b, lead(fov, {k}) OVER w AS fov_b, lead(cell, {k}) OVER w AS cell_b
-FROM (SELECT *, mix % (SELECT greatest(1, CAST(ceil(count(*) / 4096.0) AS BIGINT)) FROM m_alleles) AS bucket FROM (SELECT *, (allele_id * 7919 + {seed} * 104729) % 1000003 AS mix FROM m_alleles))
+FROM (SELECT *, mix % greatest(1, CAST(ceil(n_group / 4096.0) AS BIGINT)) AS bucket FROM (SELECT *, (allele_id * 7919 + {seed} * 104729) % 1000003 AS mix, count(*) OVER ({over}) AS n_group FROM m_alleles))
 WINDOW w AS (PARTITION BY {part} bucket ORDER BY mix, allele_id)"""
 
 
 @query("allele_difference_null", f"""
-WITH pr AS (SELECT allele_a, allele_b FROM ({RING.format(k=1, seed=3, part='')}) WHERE allele_b IS NOT NULL AND NOT (cell_a >= 0 AND cell_a = cell_b AND fov_a = fov_b)),
+WITH pr AS (SELECT allele_a, allele_b FROM ({RING.format(k=1, seed=3, part='', over='')}) WHERE allele_b IS NOT NULL AND NOT (cell_a >= 0 AND cell_a = cell_b AND fov_a = fov_b)),
 dg AS (SELECT pr.*, count(*) AS n_diag FROM pr JOIN m_polymer p ON p.allele_id = pr.allele_a JOIN m_polymer q ON q.allele_id = pr.allele_b AND q.slot = p.slot GROUP BY ALL),
 df AS (SELECT pr.*, count(*) AS n_shared, sum(abs(x.d - y.d)) AS s FROM pr JOIN m_dmaps x ON x.allele_id = pr.allele_a
        JOIN m_dmaps y ON y.allele_id = pr.allele_b AND y.bin_i = x.bin_i AND y.bin_j = x.bin_j GROUP BY ALL)
@@ -183,8 +183,8 @@ def allele_difference_null(spark, d):
 
 
 MSD_SQL = f"""
-pr AS (SELECT allele_a, allele_b, fov_a, fov_b, TRUE AS same FROM ({RING.format(k=1, seed=1, part='fov,')}) WHERE allele_b IS NOT NULL
-       UNION ALL SELECT allele_a, allele_b, fov_a, fov_b, FALSE FROM ({RING.format(k=1, seed=2, part='')}) WHERE allele_b IS NOT NULL AND fov_a <> fov_b),
+pr AS (SELECT allele_a, allele_b, fov_a, fov_b, TRUE AS same FROM ({RING.format(k=1, seed=1, part='fov,', over='PARTITION BY fov')}) WHERE allele_b IS NOT NULL
+       UNION ALL SELECT allele_a, allele_b, fov_a, fov_b, FALSE FROM ({RING.format(k=1, seed=2, part='', over='')}) WHERE allele_b IS NOT NULL AND fov_a <> fov_b),
 ms AS (SELECT pr.*, sum((x.d - y.d) * (x.d - y.d)) / count(*) AS msd FROM pr JOIN m_dmaps x ON x.allele_id = pr.allele_a
        JOIN m_dmaps y ON y.allele_id = pr.allele_b AND y.bin_i = x.bin_i AND y.bin_j = x.bin_j GROUP BY ALL HAVING count(*) >= 1)"""
 WELCH_SQL = """

@@ -111,7 +111,7 @@ def p_gate_summary(spark, d):
     one = s.agg(F.count(F.lit(1)).alias("n_total"), F.count("p_exist").alias("n"), kept.alias("n_kept"),
                 F.min("p_exist").alias("p_min"), F.max("p_exist").alias("p_max"))
     med = exact_quantiles(s, [], "p_exist", {"q": 0.5})
-    return one.join(F.broadcast(med), "n").select(
+    return one.withColumn("q", med.select("q").scalar()).select(
         "n_total", F.col("n").alias("n_scored"), (F.col("n_total") - F.col("n")).alias("n_unscored"), "n_kept",
         (F.col("n") - F.col("n_kept")).alias("n_denied"), r(F.col("n_kept") / F.col("n")).alias("kept_frac"),
         (F.col("p_min") == F.col("p_max")).alias("degenerate"), r("q").alias("p_median"), "p_min", "p_max")

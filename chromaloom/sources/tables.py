@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from chromaloom.functions import affine
 from chromaloom.functions.scalar import VOXEL_UM, nan_to_null
-from chromaloom.session import SETTINGS
 
 # Fixed values of the mapping from the test tables.
 N_FOV = 25
@@ -23,8 +22,6 @@ FRAME_SHAPE = (64, 128)
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
@@ -93,7 +90,9 @@ def candidates(spark, d) -> DataFrame:
         F.when(F.col("l_orderkey") % 20 == 7, F.lit(-1).cast("long")).otherwise(F.col("l_orderkey")).alias("cell"),
         (F.col("l_orderkey") * 2 + F.pmod(F.col("l_partkey"), F.lit(2))).alias("allele_id"),
         (F.col("l_linenumber") - 1).alias("slot"),
-        (F.col("l_partkey") * 10000000 + F.col("l_suppkey") * 10).alias("cand"),
+        # a key of the whole row: rows that share it are equal in every column that is read
+        (F.col("l_partkey") * 1000000000000 + F.col("l_suppkey") * 1000000 + F.col("l_quantity").cast("long") * 10000
+         + F.round(F.col("l_tax") * 100).cast("long") * 100 + F.round(F.col("l_discount") * 100).cast("long")).alias("cand"),
         F.col("l_quantity").alias("y"), (F.col("l_extendedprice") / 1000.0).alias("x"),
         (F.col("l_tax") * 100.0).alias("z"),
         F.col("l_extendedprice").alias("amplitude"), F.col("l_discount").alias("quality"),
