@@ -195,9 +195,10 @@ def tree(paths: list[str]):
     return root
 
 
-def match(a, b, pairs: list) -> int:
+def match(a, b, pairs: list, same=None) -> int:
     """Simple tree matching: size of the largest order-preserving match of two trees with
-    equal root tags; the matched leaf pairs are appended to `pairs`."""
+    equal root tags; the matched leaf pairs are appended to `pairs`. Of equally large
+    matches one that pairs trailing leaves of equal text (`same`) is taken."""
     if a[0] != b[0]:
         return 0
     x, y = a[2], b[2]
@@ -205,16 +206,19 @@ def match(a, b, pairs: list) -> int:
         pairs.append((a[1], b[1]))
     if not x or not y:
         return 1
-    # equal leaves at the ends belong to some largest match: only the middle needs the table
-    head, most = 0, min(len(x), len(y))
-    while head < most and x[head][0] == y[head][0] and not x[head][2] and not y[head][2]:
+    # leaves with equal tags at either end belong to some largest match: only the middle needs the table
+    head, tail, most = 0, 0, min(len(x), len(y))
+    while (same and tail < most and x[-1 - tail][0] == y[-1 - tail][0] and not x[-1 - tail][2] and not y[-1 - tail][2]
+           and same(x[-1 - tail][1], y[-1 - tail][1])):
+        pairs.append((x[-1 - tail][1], y[-1 - tail][1]))
+        tail += 1
+    while head < most - tail and x[head][0] == y[head][0] and not x[head][2] and not y[head][2]:
         pairs.append((x[head][1], y[head][1]))
         head += 1
-    tail = 0
     while tail < most - head and x[-1 - tail][0] == y[-1 - tail][0] and not x[-1 - tail][2] and not y[-1 - tail][2]:
         pairs.append((x[-1 - tail][1], y[-1 - tail][1]))
         tail += 1
-    same = 1 + head + tail
+    ends = 1 + head + tail
     x, y = x[head:len(x) - tail], y[head:len(y) - tail]
     w, got = {}, {}
     m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
@@ -222,7 +226,7 @@ def match(a, b, pairs: list) -> int:
         for j in range(1, len(y) + 1):
             if x[i - 1][0] == y[j - 1][0]:
                 own: list = []
-                w[i, j], got[i, j] = match(x[i - 1], y[j - 1], own), own
+                w[i, j], got[i, j] = match(x[i - 1], y[j - 1], own, same), own
                 m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + w[i, j])
             else:
                 m[i][j] = max(m[i - 1][j], m[i][j - 1])
@@ -237,7 +241,7 @@ def match(a, b, pairs: list) -> int:
             i, j = i - 1, j - 1
     for c in reversed(chosen):
         pairs.extend(got[c])
-    return m[len(x)][len(y)] + same
+    return m[len(x)][len(y)] + ends
 
 
 def text_hash(text: str) -> int:
@@ -261,7 +265,7 @@ def template_blocks(paths: list[str], hashes: list[int], references: list[tuple]
     seen, same, told = [0] * len(paths), [0] * len(paths), 0
     for other, theirs in references:
         pairs: list = []
-        match(own, other, pairs)
+        match(own, other, pairs, lambda i, j: hashes[i] == theirs[j])
         equal = sum(hashes[i] == theirs[j] for i, j in pairs)
         if 2 * equal > len(pairs):
             continue

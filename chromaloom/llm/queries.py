@@ -31,10 +31,10 @@ def query(name: str, sql: str | None = None):
 OP2_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-         '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 grams AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-         ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM words),
+         ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM words),
 sizes AS (SELECT doc_id, len(g)::BIGINT AS n FROM grams),
 flat AS (SELECT doc_id, unnest(g) AS s FROM grams),
 common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM flat x JOIN flat y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
