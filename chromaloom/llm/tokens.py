@@ -38,6 +38,7 @@ END_ID = 1
 MEMO = 500_000             # words a task remembers
 SLOTS2, SLOTS1 = 2048, 1024
 BITS = 12                  # probability bits of an event
+MERGED = 18                # ids of so many bits share one renormalisation with their event
 U16, U64 = np.uint16, np.uint64
 WORD = U64(16)
 TOP, BOTTOM = U64(1 << 48), U64(1 << 32)
@@ -129,7 +130,8 @@ def encode_blocks(blocks: list[np.ndarray], id_bits: int) -> list[bytes]:
         span = span >> U64(BITS)
         low = low + below.astype(U64) * span
         span = span * (hi - below).astype(U64)
-        low, span = _emit(low, span, words, used_now)
+        if id_bits > MERGED:
+            low, span = _emit(low, span, words, used_now)
         bits = _extra_bits(event, id_bits)
         span = span >> bits
         low = low + (x.astype(U64) & ((U64(1) << bits) - U64(1))) * span
@@ -194,7 +196,8 @@ def decode_blocks(codes: list[bytes], sizes: list[int], id_bits: int) -> list[np
         below = np.where(event > 0, upper[model.row, event - 1], 0)
         low = low + below.astype(U64) * span
         span = span * (hi - below).astype(U64)
-        low, span, code = _fill(low, span, code, words, used)
+        if id_bits > MERGED:
+            low, span, code = _fill(low, span, code, words, used)
         bits = _extra_bits(event, id_bits)
         span = span >> bits
         extra = ((code - low) // span).astype(np.uint32)
