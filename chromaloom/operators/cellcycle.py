@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -173,27 +174,31 @@ def total_drop(table: DataFrame, n_bins: int = 36, smooth: int = 2, min_cells: i
     return 360.0 * j / n_bins, float(np.exp(before[:, j].max() - after[:, j].min()))
 
 
-def direction_ci(table: DataFrame, by: list[str], n_boot: int = 200, seed: int = 0, theta: str = "theta_deg") -> DataFrame:
-    """Half width of the bootstrap 95% interval of each group's mean direction.
+# 2^31 - 1 times the distribution function of a Poisson variable of mean 1 at 0, 1, 2, ...
+POISSON_STEPS = tuple(round(2147483647 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(7))
 
-    A Poisson bootstrap: every cell draws its multiplicity in every replicate where it
-    is read, so a task emits (groups x replicates) sums and no resample is shuffled.
-    """
-    rows = table.where(F.col(theta).isNotNull()).select(F.struct(*by).alias("g"), F.radians(theta).alias("t"), F.xxhash64(*by, "fov", "cell").alias("h"))
 
-    def replicate(batches):
-        for pdf in batches:
-            for _key, part in pdf.groupby("k", sort=False):
-                w = np.stack([np.random.default_rng([seed, h & 0x7FFFFFFF]).poisson(1.0, n_boot) for h in part["h"]])
-                yield pd.DataFrame({"k": part["k"].iloc[0], "b": np.arange(n_boot), "c": np.cos(part["t"].to_numpy()) @ w, "s": np.sin(part["t"].to_numpy()) @ w})
+def direction_ci(table: DataFrame, by: list[str], n_boot: int = 500, seed: int = 12345, theta: str = "theta_deg") -> DataFrame:
+    """Half width of the bootstrap 95% interval of each group's mean direction.
 
-    keyed = rows.select(F.to_json("g").alias("k"), "t", "h")
-    sums = keyed.mapInPandas(replicate, "k string, b int, c double, s double").groupBy("k", "b").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
-    mean = rows.groupBy(F.to_json("g").alias("k"), "g").agg(F.count(F.lit(1)).alias("n"), F.degrees(F.atan2(F.avg(F.sin("t")), F.avg(F.cos("t")))).alias("m"))
+    A Poisson bootstrap in columns: every cell draws its multiplicity in every replicate
+    from integer arithmetic on its id, so a task emits (groups x replicates) sums, no
+    resample is shuffled and the draw can be repeated outside Spark.
+    """
+    rows = table.where(F.col(theta).isNotNull()).select(*by, F.radians(theta).alias("__t"), F.pmod(F.col("cell"), F.lit(1000003)).alias("__c"))
+    prime = F.lit(2147483647).cast("long")
+    drawn = rows.select(*by, F.cos("__t").alias("__x"), F.sin("__t").alias("__y"), "__c", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("__b"))
+    u = F.pmod(F.pmod(F.pmod(F.col("__c") * 7919 + F.col("__b").cast("long") * 104729 + F.lit(seed), prime) * 48271, prime) * 48271, prime)
+    drawn = drawn.withColumn("__u", u)
+    times = sum(((F.col("__u") >= t).cast("int") for t in POISSON_STEPS[1:]), (F.col("__u") >= POISSON_STEPS[0]).cast("int"))
+    sums = drawn.groupBy(*by, "__b").agg(F.sum(times * F.col("__x")).alias("c"), F.sum(times * F.col("__y")).alias("s"))
+    mean = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.degrees(F.atan2(F.avg(F.sin("__t")), F.avg(F.cos("__t")))).alias("m"))
+    mean = mean.select(*[F.col(k).alias(f"__k_{k}") for k in by], "n", "m")
+    both = sums.join(mean, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in by])
     gap = circular_abs_diff(F.degrees(F.atan2("s", "c")), F.col("m"))
     # n_boot values per group
-    return sums.join(mean, "k").groupBy("g", "n", "m").agg(F.percentile(gap, F.lit(0.95)).alias("half_width_deg")).select(
-        "g.*", "n", wrap360("m").alias("mean_deg"), "half_width_deg")
+    return both.groupBy(*by, "n", "m").agg(F.percentile(gap, F.lit(0.95)).alias("half_width_deg")).select(
+        *by, "n", wrap360("m").alias("mean_deg"), "half_width_deg")
 
 
 def arcs_from_time(elapsed: np.ndarray, shares: list[tuple[str, float]], birth_deg: float = 0.0) -> list[dict]:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import running_totals
+from chromaloom.session import checked_broadcast
+
+from .stats import ordered_index, running_totals
 
 RECORD = ["reviewer", "key", "page"]
 SPOT_GRID_PX = 0.5       # fixed: shown candidates closer than a grid step are one spot
@@ -98,6 +100,12 @@ def label_summary(votes: DataFrame) -> DataFrame:
     return votes.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("n_groups"))
 
 
-def holdout(rows: DataFrame, group: str, percent: int, seed: int = 0) -> DataFrame:
-    """Whole groups go to one side; the side is a seeded hash of the group."""
-    return rows.withColumn("held_out", F.pmod(F.xxhash64(F.lit(seed), F.col(group)), F.lit(100)) < percent)
+def holdout(rows: DataFrame, group: str, fraction: float, seed: int = 0) -> DataFrame:
+    """Whole groups go to one side: max(1, round(fraction * groups)) groups, the first in the
+    order of a seeded digest, are held out. Rows without a group are not."""
+    order = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string"))), 1, 12), 16, 10).cast("long")
+    groups = rows.where(F.col(group).isNotNull()).select(F.col(group).alias("__g"), order.alias("__o")).distinct()
+    placed = ordered_index(groups, ["__o", "__g"], name="__k")
+    most = F.greatest(F.lit(1), F.floor(F.lit(float(fraction)) * groups.agg(F.count("*")).scalar() + 0.5))
+    held = checked_broadcast(placed.where(F.col("__k") < most).select("__g"))
+    return rows.join(held, F.col(group) == F.col("__g"), "left").withColumn("held_out", F.col("__g").isNotNull()).drop("__g")

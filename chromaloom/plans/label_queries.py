@@ -62,8 +62,11 @@ def roc_auc(spark, d):
     return L.roc_auc(T.scored_labels(spark, d)).select(r("roc_auc").alias("roc_auc"))
 
 
-@query("label_holdout")
+@query("label_holdout", """
+WITH g AS (SELECT DISTINCT key FROM m_labelled),
+o AS (SELECT key, row_number() OVER (ORDER BY substr(md5('7:' || CAST(key AS VARCHAR)), 1, 12), key) <= greatest(1, floor(CAST(0.3 AS DOUBLE) * count(*) OVER () + 0.5)) AS held_out FROM g)
+SELECT held_out, count(*) AS n, count(DISTINCT key) AS n_keys FROM m_labelled JOIN o USING (key) GROUP BY 1""")
 def label_holdout(spark, d):
     """Whole keys go to one side (seeded hash); counts per side."""
-    side = L.holdout(L.spot_votes(T.shown(latest(spark, d))), "key", 30, seed=7)
+    side = L.holdout(L.spot_votes(T.shown(latest(spark, d))), "key", 0.3, seed=7)
     return side.groupBy("held_out").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("n_keys"))

@@ -203,11 +203,23 @@ def count_null(spark, d):
     return DET.count_null(T.alleles(spark, d), polymer_of(spark, d), T.N_SLOTS, n_samples=20)
 
 
-@query("direction_ci")
+def _poisson(u: str) -> str:
+    return " + ".join(f"CAST({u} >= {t} AS INTEGER)" for t in C.POISSON_STEPS)
+
+
+@query("direction_ci", f"""
+WITH t AS (SELECT celltype, cell, radians(theta_deg) AS t FROM m_placed JOIN m_cells USING (fov, cell) WHERE theta_deg IS NOT NULL),
+d AS (SELECT celltype, b, t, (((((cell % 1000003) * 7919 + b * 104729 + 12345) % 2147483647) * 48271) % 2147483647) * 48271 % 2147483647 AS u
+      FROM t, (SELECT unnest(range(500)) AS b)),
+s AS (SELECT celltype, b, sum(({_poisson("u")}) * cos(t)) AS c, sum(({_poisson("u")}) * sin(t)) AS s FROM d GROUP BY 1, 2),
+m AS (SELECT celltype, count(*) AS n, degrees(atan2(avg(sin(t)), avg(cos(t)))) AS m FROM t GROUP BY 1),
+g AS (SELECT celltype, n, m, abs((degrees(atan2(s, c)) - m + 180) - 360 * floor((degrees(atan2(s, c)) - m + 180) / 360) - 180) AS gap FROM s JOIN m USING (celltype))
+SELECT celltype, n, round(any_value(m) - 360 * floor(any_value(m) / 360), 4) AS mean_deg, round(quantile_cont(gap, 0.95), 4) AS half_width_deg FROM g GROUP BY 1, 2""")
 def direction_ci(spark, d):
     """Circular mean per celltype with its bootstrap interval."""
     t = T.placements(spark, d).join(T.cells(spark, d).select("fov", "cell", "celltype"), ["fov", "cell"])
-    return C.direction_ci(t, ["celltype"])
+    out = C.direction_ci(t, ["celltype"])
+    return out.select("celltype", "n", F.round("mean_deg", 4).alias("mean_deg"), F.round("half_width_deg", 4).alias("half_width_deg"))
 
 
 @query("spot_classifier")
@@ -218,6 +230,6 @@ def spot_classifier(spark, d):
     s = T.spots(spark, d).where("cell >= 0 and p_exist is not null and brightness is not null")
     rows = s.select("fov", "cell", "uid", (F.col("p_exist") >= 0.5).cast("double").alias("y"), F.ln("brightness").alias("log_brightness"),
                     F.col("raw_y"), F.col("raw_z"), F.concat_ws("/", "fov", "cell").alias("group"))
-    split = cut(labels.holdout(rows, "group", 30, seed=3))
+    split = cut(labels.holdout(rows, "group", 0.3, seed=3))
     head = classify.train(split.where("not held_out"), split.where("held_out"), ["log_brightness", "raw_y", "raw_z"])
     return head.score(split).select("fov", "cell", "uid", "y", "held_out", "p_exist")
