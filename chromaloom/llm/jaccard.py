@@ -6,11 +6,11 @@ the Hamming distance of two sketches is at most the symmetric difference d of th
 sets linked at Jaccard >= t, d <= (1-t)/(1+t) * (|A|+|B|). A size band fixes the largest
 such d (T) and cuts the sketch into K = T + 1 + e segments: linked sets agree on at least
 1 + e whole segments (pigeonhole), so joining equal segments of a band loses no link. A
-sketch has K * 2^32 bits and is kept as one 64-bit digest per non-empty segment (XOR of the
-mixed bit positions, equal exactly when the segments are equal up to 2^-64 chance), since
-equal *empty* segments say nothing. Sets with at most e empty segments may skip those: one
-of the 1 + e agreements is then not empty. The few sets with more empty segments join them
-too. A set is probed in its own band and, when a partner of the next band could be linked
+sketch has K * 2^32 bits and is kept as one 64-bit digest per segment (XOR of the mixed bit
+positions, equal exactly when the segments are equal up to 2^-64 chance). Equal segments
+with few shingles or none say little: a passage that documents share fills them. Sets with
+at most e such poor segments skip them, for one of the 1 + e agreements is then rich; the
+few sets with more join them too. A set is probed in its own band and, when a partner of the next band could be linked
 to it, in that band as well.
 
 Verification first compares 1024-bit folds of the sketches (the Hamming bound again), then
@@ -37,6 +37,7 @@ from chromaloom.llm.common import min_labels
 from chromaloom.session import checked_broadcast, cut
 
 RATIO = 1.5            # band edges grow by this factor
+SPARE = 3.0            # standard deviations of poor segments that a set may have without joining them
 FOLD_WORDS = 16        # 64-bit words of the folded sketch
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 BATCH_IDS = 1_000_000  # candidate set ids a broadcast may hold (16 MB)
@@ -66,19 +67,27 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     return np.unique(mix(h + np.uint64(size)))
 
 
-def band_plan(band: int, num: int, den: int) -> tuple[int, int, int]:
-    """(largest distance T, segments K, spare agreements e) of a size band."""
+def band_plan(band: int, num: int, den: int) -> tuple[int, int, int, int]:
+    """(largest distance T, segments K, spare agreements e, shingles m of a rich segment).
+
+    e covers the poor segments (fewer than m shingles) of the band's middle sizes; m is the
+    largest for which they stay under a third.
+    """
     lo, hi = math.ceil(RATIO ** band), math.ceil(RATIO ** (band + 1)) - 1
     t = (den - num) * 2 * hi // (den + num)
-    e = 0
-    for _ in range(50):
-        k = t + 1 + e
-        empty = k * math.exp(-lo / k)
-        need = math.ceil(empty + 2 * math.sqrt(empty))
-        if need <= e:
-            break
-        e = need
-    return t, t + 1 + e, e
+    for m in (4, 3, 2, 1):
+        e, size = 0, (lo + hi) / 2 if m > 1 else lo
+        for _ in range(200):
+            k = t + 1 + e
+            rate = size / k
+            poor = k * math.exp(-rate) * sum(rate ** j / math.factorial(j) for j in range(m))
+            need = math.ceil(poor + SPARE * math.sqrt(poor))
+            if need <= e or 3 * e > k:
+                break
+            e = need
+        if m == 1 or (need <= e and 3 * e <= k):
+            return t, t + 1 + e, e, m
+    raise AssertionError
 
 
 def band_of(n: int) -> int:
@@ -95,30 +104,33 @@ def reach(n: int, hi: int, num: int, den: int) -> int:
     return (den - num) * (n + min(hi, n * den // num)) // (den + num)
 
 
-def segment_keys(h: np.ndarray, band: int, plan: tuple[int, int, int], num: int, den: int) -> np.ndarray:
+def segment_keys(h: np.ndarray, band: int, plan: tuple[int, int, int, int], num: int, den: int) -> np.ndarray:
     """Join keys of a set in a band, from its leading segments.
 
     A set whose links are at most T' apart only needs its first T' + 1 + e segments: of two
     linked sets the one with fewer still agrees with the other on 1 + e of them. One key per
-    segment that is not empty, and one per empty one if there are more than e.
+    rich segment; if more than e are poor, the poor ones (and the empty ones) join too.
     """
-    t, k, e = plan
+    t, k, e, m = plan
     if t == 0:
         return np.empty(0, np.uint64)          # linked sets of this band are equal sets
     used = min(k, reach(len(h), math.ceil(RATIO ** (band + 1)) - 1, num, den) + 1 + e)
     seg = ((h >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)      # sorted, as h is
     cut_at = int(np.searchsorted(seg, used))
-    if not cut_at:
-        return np.empty(0, np.uint64)
     h, seg = h[:cut_at], seg[:cut_at]
-    starts = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
-    value = np.bitwise_xor.reduceat(mix(h), starts)
     salt = np.uint64(band * 1_000_003)
-    keys = mix(value + mix(seg[starts] + salt))
-    if used - len(starts) > e:
-        empty = np.setdiff1d(np.arange(used, dtype=np.uint64), seg[starts])
-        keys = np.concatenate((keys, mix(mix(empty + salt) + np.uint64(1))))
-    return keys
+    keys, rich, filled = np.empty(0, np.uint64), np.zeros(0, bool), seg[:0]
+    if cut_at:
+        starts = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
+        filled = seg[starts]
+        keys = mix(np.bitwise_xor.reduceat(mix(h), starts) + mix(filled + salt))
+        rich = np.diff(np.append(starts, cut_at)) >= m
+    if used - int(rich.sum()) <= e:
+        return keys[rich]
+    if used - len(filled) <= e:
+        return keys
+    empty = np.setdiff1d(np.arange(used, dtype=np.uint64), filled)
+    return np.concatenate((keys, mix(mix(empty + salt) + np.uint64(1))))
 
 
 def set_id(h: np.ndarray) -> int:
@@ -254,10 +266,12 @@ def open_links(members: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num
         F.col("grp").alias("c"), F.col("n").alias("n0"), F.col("hashes").alias("h0"))
     data = set_data(members.select("sid", F.col("c").alias("grp")), reps, docs, k).dropDuplicates(["grp", "sid"]).select(F.col("grp").alias("c"), "sid", "n", "hashes")
     rough = cut(data.join(centre, "c").select("c", "sid", "n", F.array_except("hashes", "h0").alias("new"), F.array_except("h0", "hashes").alias("gone")))
-    flat = rough.select("c", "sid", F.explode(F.concat("new", "gone")).alias("g"))
+    # which member is the pivot only steers the cost: a sixteenth of the shingles tells it
+    flat = rough.select("c", "sid", F.explode(F.concat("new", "gone")).alias("g")).where(F.pmod("g", F.lit(16)) == 0)
     major = cut(flat.groupBy("c", "g").agg(F.count("*").alias("k")).join(first, "c").where("2 * k > m").select("c", "g"))
     shared = flat.join(major, ["c", "g"]).groupBy("c", "sid").agg(F.count("*").alias("s"))
-    far = rough.select("c", "sid", (F.size("new") + F.size("gone")).alias("nd")).join(shared, ["c", "sid"], "left").select(
+    few = F.aggregate(F.concat("new", "gone"), F.lit(0), lambda t, g: t + F.when(F.pmod(g, F.lit(16)) == 0, 1).otherwise(0))
+    far = rough.select("c", "sid", few.alias("nd")).join(shared, ["c", "sid"], "left").select(
         "c", "sid", (F.col("nd") - 2 * F.coalesce("s", F.lit(0))).alias("far"))
     middle = far.groupBy("c").agg(F.min(F.struct("far", "sid")).alias("b")).select("c", F.col("b.sid").alias("sid"))
     pivot = rough.join(middle, ["c", "sid"]).select("c", F.col("sid").alias("p"), F.col("n").alias("np"), F.col("new").alias("pn"), F.col("gone").alias("pg"))
@@ -271,9 +285,12 @@ def open_links(members: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num
         return (den + num) * distance <= (den - num) * n
 
     near_pivot = diff.where(linked(F.col("nd"), F.col("n") + F.col("np"))).select(F.col("p").alias("a"), F.col("sid").alias("b"))
-    # 2 * shared >= |D_x| + |D_y| - (den - num) / (den + num) * (n_x + n_y), scaled to whole numbers
-    rows = diff.select("c", "sid", "component", "n", "nd", F.posexplode("d").alias("at", "g")).withColumn("tail", F.col("nd") - F.col("at"))
-    rows = rows.where((den + num) * (2 * F.col("tail") - F.col("nd") - 1) * num + (den - num) * F.col("n") * (num + den) >= 0)
+    # shared >= (|D_x| + |D_y| - T) / 2 with T = (den - num) / (den + num) * (n_x + n_y); as
+    # |D_y| is at least 1 and at least |D_x| - T, tails below both bounds meet nothing
+    most = F.floor((den - num) * F.col("n") / F.lit(float(num)) + 1e-6)          # T for the largest n_y
+    least = F.greatest((F.col("nd") + 1 - most) / 2, F.col("nd") - most)
+    rows = diff.select("c", "sid", "component", "n", "nd", least.alias("least"), F.posexplode("d").alias("at", "g")).withColumn(
+        "tail", F.col("nd") - F.col("at")).where("tail >= least").drop("least")
     mixed = rows.groupBy("c", "g").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("c", "g")
     rows = rows.drop("at").join(mixed, ["c", "g"], "left_semi")
     other = rows.select("c", "g", *[F.col(c).alias(f"{c}_y") for c in ("sid", "component", "n", "nd", "tail")])

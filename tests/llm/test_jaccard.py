@@ -72,5 +72,5 @@ def test_keep_one(spark):
 def test_plan_leaves_room():
     for band in range(2, 25):
         for num in (80, 90):
-            t, k, e = jaccard.band_plan(band, num, 100)
-            assert k == t + 1 + e
+            t, k, e, m = jaccard.band_plan(band, num, 100)
+            assert k == t + 1 + e and 1 <= m <= 4
