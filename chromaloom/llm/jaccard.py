@@ -327,7 +327,10 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
     links = cut(star_links(cut(best), reps, docs, k, num, den))
     label = cut(min_labels(links, cut))
     # what is left: sets that buckets connect and links, so far, do not
-    cluster = min_labels(met.select("a", "b"), cut).select(F.col("node").alias("sid"), F.col("component").alias("c"))
+    # a set's pivots are tied to the smallest of them: the pairs of pivots are few
+    tied = met.select(F.min("a").over(Window.partitionBy("b")).alias("low"), "a", "b")
+    tied = tied.select(F.col("low").alias("a"), "b").unionByName(tied.select(F.col("low").alias("a"), F.col("a").alias("b"))).distinct()
+    cluster = min_labels(tied, cut).select(F.col("node").alias("sid"), F.col("component").alias("c"))
     members = cluster.join(label.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     open_ = members.groupBy("c").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("c")
     members = cut(members.join(open_, "c", "left_semi").select("c", "sid", "component"))
