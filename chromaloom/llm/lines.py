@@ -53,8 +53,15 @@ def probe_starts(n: int, length: int, i: int, start: int, size: int, k: int) ->
     return range(low, high + 1)
 
 
-def _key(length: int, i: int, piece: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(piece, seed=(length << 8) | i)
+def probes(n: int, k: int) -> list[tuple[int, int, int, int]]:
+    """(seed of length and segment, start, end, role) of the keys of a line of n code points;
+    role 0 is a segment of the line itself."""
+    out = []
+    for length in range(max(MIN_NEAR, n - k), n + 1):
+        for i, (start, size) in enumerate(segments(length, k)):
+            for p in probe_starts(n, length, i, start, size, k):
+                out.append(((length << 8) | i, p, p + size, 0 if length == n and p == start else 1))
+    return out
 
 
 def edit_within(a: str, b: str, k: int) -> bool:
@@ -155,6 +162,8 @@ def emit(distance: int):
     """Task: index rows (role 0) and probe rows (role 1) of every line, once per line and task."""
     def run(batches):
         seen: set[int] = set()
+        plans: dict[int, list] = {}
+        digest = xxhash.xxh3_64_intdigest
         for b in batches:
             key, role, lid, sig = [], [], [], []
             for text in b.column("text").to_pylist():
@@ -166,20 +175,13 @@ def emit(distance: int):
                     if own in seen:
                         continue
                     seen.add(own)
-                    s, before = signature(line), len(key)
-                    wide = line.isascii()
-                    data = line.encode("ascii") if wide else line.encode("utf-32-le", "surrogatepass")
-                    unit = 1 if wide else 4
-                    for length in range(max(MIN_NEAR, n - distance), n + 1):
-                        for i, (start, size) in enumerate(segments(length, distance)):
-                            for p in probe_starts(n, length, i, start, size, distance):
-                                piece = data[p * unit:(p + size) * unit]
-                                if unit == 4:
-                                    piece = piece.decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
-                                key.append(_key(length, i, piece))
-                                role.append(0 if length == n and p == start else 1)
-                    lid.extend([own] * (len(key) - before))
-                    sig.extend([s] * (len(key) - before))
+                    plan = plans.get(n)
+                    if plan is None:
+                        plan = plans[n] = probes(n, distance)
+                    key.extend([digest(line[lo:hi], seed) for seed, lo, hi, _ in plan])
+                    role.extend([r for _, _, _, r in plan])
+                    lid.extend([own] * len(plan))
+                    sig.extend([signature(line)] * len(plan))
             yield pa.RecordBatch.from_arrays([pa.array(_signed(key)), pa.array(role, pa.int8()), pa.array(_signed(lid)), pa.array(_signed(sig))],
                                              ["key", "role", "lid", "sig"])
     return run
