@@ -91,3 +91,26 @@ def test_blocks_cover_the_radius(spark):
     df = spark.createDataFrame(rows, "k long, a long, b long")
     x, y = df.select("k", decontam.F.inline(decontam.hamming_blocks("a"))), df.select("k", decontam.F.inline(decontam.hamming_blocks("b")))
     assert x.join(y, ["k", "block", "value"]).select("k").distinct().count() == 300
+
+
+def test_items_cut_at_an_edge_or_edited(spark):
+    """Quotations without their first or last tenth, or with one word changed, just above the bound."""
+    r = random.Random(7)
+    vocabulary = [f"word{k}" for k in range(4000)]
+    say = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [(k, say(r.choice([24, 32, 50, 60]))) for k in range(40)]
+    docs, want = [], {}
+    for i, x in items:
+        first = len(docs)
+        most = (len(x) - 4) // 9
+        changed = list(x)
+        changed[len(x) // 2] = "changed"
+        for part in (x[most:], x[:len(x) - most], x[most // 2:len(x) - (most - most // 2)], changed):
+            docs.append((len(docs), " ".join(say(80) + part + say(80))))
+        docs.append((len(docs), " ".join(say(30) + x[:len(x) - (len(x) - 4) // 5])))
+        want |= brute(docs[first:], [(i, " ".join(x))])
+    bench = [(i, " ".join(x)) for i, x in items]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): r.similarity for r in got.collect()}
+    assert len(want) >= 4 * len(items)
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
