@@ -40,10 +40,15 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
                      "main menu nav ol p pre section table ul".split())
 SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
                "option": {"option"}, "p": {"p"}}
-NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adbox|banner|sponsor(?:ed)?|promo|nav|navbar|navigation|menu|breadcrumbs?|"
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+BODIES = frozenset("html body main article".split())
+_READERS = r"comments?|disqus|respond|replies|reply"
+_AROUND = r"(?:(?:site|top|bottom|main|global)[-_]+)?(?:{})(?:[-_]+(?:slot|box|list|bar|body|wrap|wrapper|container|area|section|block|links?|unit|form|items?))?"
+# whole class tokens and ids, with a word of place or kind around them at most: "site-footer", not "has-sidebar"
+NAMED = re.compile(_AROUND.format(r"ads?|adverts?|advertisement|adbox|banner|sponsor(?:ed)?|promo|nav|navbar|navigation|menu|breadcrumbs?|"
                    r"sidebar|side|footer|foot|header|masthead|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|"
-                   r"login|share|sharing|social|related|recommended|comments?|comment-list|disqus|respond|replies|reply|widget|toolbar|pager|"
-                   r"pagination|skip|alert)(?:$|[\s_-])", re.I)
+                   r"login|share|sharing|social|related|recommended|widget|toolbar|pager|pagination|skip|alert|" + _READERS), re.I)
+READERS = re.compile(_AROUND.format(_READERS), re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
@@ -51,19 +56,30 @@ ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+
 
 
 class Node:
-    """An element: tag, whether it is dropped by name, and children (nodes or text)."""
+    """An element: tag, whether it is dropped, the pattern its class or id is dropped for, and children (nodes or text)."""
 
-    __slots__ = ("tag", "out", "kids")
+    __slots__ = ("tag", "out", "named", "kids")
 
-    def __init__(self, tag: str, out: bool):
-        self.tag, self.out, self.kids = tag, out, []
+    def __init__(self, tag: str, out: bool, named: re.Pattern | None = None):
+        self.tag, self.out, self.named, self.kids = tag, out or named is not None, named, []
 
 
-def _named_out(attrs: str) -> bool:
+def _named(tag: str, attrs: str) -> re.Pattern | None:
+    """READERS or NAMED if a class token or the id says so; the page's body and its parts are never NAMED."""
+    found = None
+    for name, *values in ATTR.findall(attrs):
+        if name.lower() in ("class", "id"):
+            for token in next((v for v in values if v), "").split():
+                if READERS.fullmatch(token) and tag not in ("html", "body", "main"):
+                    return READERS
+                if tag not in BODIES and NAMED.fullmatch(token):
+                    found = NAMED
+    return found
+
+
+def _role_out(attrs: str) -> bool:
     for name, *values in ATTR.findall(attrs):
         name, value = name.lower(), next((v for v in values if v), "")
-        if name in ("class", "id") and NAMED.search(value):
-            return True
         if name == "role" and value.strip().lower() in ROLES:
             return True
         if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true"):
@@ -71,6 +87,29 @@ def _named_out(attrs: str) -> bool:
     return False
 
 
+def _keep_most(root: Node) -> None:
+    """Elements whose class or id names a slot but that hold most of the page's text stay.
+
+    Unless the page has an article or main part elsewhere; reader comments only stay when
+    the page has no other text.
+    """
+    size, parts, order, todo = {}, {}, [], [root]
+    while todo:
+        x = todo.pop()
+        order.append(x)
+        todo.extend(k for k in x.kids if isinstance(k, Node) and not (k.out and k.named is None))
+    for x in reversed(order):
+        inner = [k for k in x.kids if isinstance(k, Node)]
+        size[id(x)] = sum(len("".join(k.split())) for k in x.kids if isinstance(k, str)) + sum(size.get(id(k), 0) for k in inner)
+        parts[id(x)] = (x.tag in ("article", "main")) + sum(parts.get(id(k), 0) for k in inner)
+    total, marked = size[id(root)], parts[id(root)]
+    for x in order:
+        if x.named is None or 2 * size[id(x)] <= total or parts[id(x)] < marked:
+            continue
+        if x.named is NAMED or size[id(x)] == total:
+            x.out, x.named = False, None
+
+
 def parse(text: str) -> Node:
     """A tolerant tree: raw text elements end at their own end tag, unclosed elements end
     where the standard says or with their parent, stray end tags are ignored."""
@@ -102,7 +141,8 @@ def parse(text: str) -> Node:
                     break
                 if open_ not in INLINE:
                     break
-        node = Node(tag, tag in DROPPED or (bool(m.group(3)) and _named_out(m.group(3))))
+        out = tag in DROPPED or _role_out(m.group(3))
+        node = Node(tag, out, None if out else _named(tag, m.group(3)))
         stack[-1].kids.append(node)
         if tag in VOID or m.group(3).endswith("/"):
             continue
@@ -112,6 +152,7 @@ def parse(text: str) -> Node:
             at = end.end() if end else n
             continue
         stack.append(node)
+    _keep_most(root)
     return root
 
 
@@ -122,10 +163,24 @@ def _find(node: Node, tags: tuple[str, ...]) -> list[Node]:
         if x.tag in tags and not x.out:
             found.append(x)
             continue
-        todo.extend(k for k in reversed(x.kids) if isinstance(k, Node) and not (k.out and k.tag in RAW))
+        todo.extend(k for k in reversed(x.kids) if isinstance(k, Node) and not (k.out and (k.tag in RAW or k.named)))
     return found
 
 
+def _headings(header: Node) -> Node:
+    """The headings of an article's header, without those of its own dropped parts."""
+    kept, todo = Node("header", False), list(reversed(header.kids))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str) or x.out:
+            continue
+        if x.tag in HEADINGS:
+            kept.kids.append(x)
+        else:
+            todo.extend(reversed(x.kids))
+    return kept
+
+
 def main_parts(root: Node) -> list[Node]:
     """The article, else the main part, else the body, else everything."""
     for tags in (("article",), ("main",), ("body",)):
@@ -165,6 +220,11 @@ def blocks(root: Node) -> list[tuple[str, str]]:
                     buffer.append(kid)
                 elif kid.tag == "br":
                     buffer.append(" ")
+                elif kid.out and kid.tag == "header" and part.tag in ("article", "main"):
+                    todo.append((node, path, k))
+                    todo.append((_headings(kid), f"{path}/header", 0))
+                    advanced = True
+                    break
                 elif kid.out and id(kid) not in inside_main:
                     if kid.tag not in INLINE:
                         flush(path)

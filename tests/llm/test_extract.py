@@ -73,3 +73,19 @@ def test_given_pages(spark):
         body = re.search(r"<article>(.*?)</article>", p.html, re.S)[1]
         parts = [" ".join(html.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", x))).split()) for x in re.split(r"</?(?:p|h1)>", body)]
         assert got[p.page_id] == "\n".join(x for x in parts if x), p.page_id
+
+
+def test_names_take_no_article_away():
+    """Body, content containers and headlines stay whatever word occurs in a class; slots go."""
+    page = [t for _, t in extract.blocks(extract.parse('<body class="post has-sidebar no-sidebar"><p>kept</p><div class="site-footer">gone</div></body>'))]
+    assert page == ["kept"]
+    for name in ("content-with-sidebar", "related-work", "notice-period", "left-side"):
+        assert [t for _, t in extract.blocks(extract.parse(f'<body><p>long text of the page itself</p><div class="{name}">x</div></body>'))][1:] == ["x"]
+    for name in ("comments", "ad-slot", "main-nav", "comment-list", "wide sidebar"):
+        assert [t for _, t in extract.blocks(extract.parse(f'<body><p>long text of the page itself</p><div class="{name}">x</div></body>'))][1:] == []
+    most = '<body><div class="overlay"><p>most of the text of the page</p></div><p>rest</p></body>'
+    assert [t for _, t in extract.blocks(extract.parse(most))] == ["most of the text of the page", "rest"]
+    header = '<article class="banner"><header class="x"><nav><h2>Menu</h2></nav><h1>Head</h1><p>by</p></header><p>y</p></article>'
+    assert [t for _, t in extract.blocks(extract.parse(header))] == ["Head", "y"]
+    readers = '<article><p>a</p></article><section class="comments"><article class="comment-body"><p>much longer than the article</p></article></section>'
+    assert [t for _, t in extract.blocks(extract.parse(readers))] == ["a"]
