@@ -59,15 +59,8 @@ def hamming_blocks(sim: str, radius: int = RADIUS) -> Column:
     return F.array(*out)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, item_id, similarity, start and n_words of every contaminated document and item.
-
-    `start` is the word at which the most similar window of the item's size begins (the
-    first of equal ones). Null and empty texts, items and texts with fewer than five words
-    match nothing. Repeated rows of one document give one result row per item; repeated
-    rows of an item count once, different texts under one item_id are different items with
-    the same id. Other columns are not read. A null doc_id or item_id is kept as null.
-    """
+def _found(docs: DataFrame, benchmark: DataFrame, num: int, den: int) -> DataFrame:
+    """doc_id, h (hash of the text), start, m, item_id and similarity of every window that passes."""
     items = with_shingles(benchmark.select("item_id", "text").distinct(), ["item_id"])
     items = cut(items.where(F.size("sh") > 0).select("item_id", F.xxhash64("hw").alias("item_key"), F.size("hw").alias("m"), "sh"))
     wanted = checked_broadcast(items.select("m", F.explode("sh").alias("s")).distinct(), BENCH_ROWS)
@@ -116,12 +109,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, num: int = 80, den: int
     counts = counts.groupBy(*pair, "c.s").agg(F.sum("c.a").alias("a"), F.sum("c.b").alias("b"))
     found = counts.groupBy(*pair).agg(F.sum(F.least("a", "b")).alias("common"), F.sum(F.greatest("a", "b")).alias("union"))
     found = found.where(F.col("common") * den >= F.col("union") * num).withColumn("similarity", F.col("common") / F.col("union"))
-    found = found.join(checked_broadcast(items.select("item_id", F.col("item_key").alias("__key")), 100_000), F.col("item_key") == F.col("__key"))
+    return found.join(checked_broadcast(items.select("item_id", F.col("item_key").alias("__key")), 100_000), F.col("item_key") == F.col("__key"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, item_id, similarity, start and n_words of every contaminated document and item.
+
+    `start` is the word at which the most similar window of the item's size begins (the
+    first of equal ones). Null and empty texts, items and texts with fewer than five words
+    match nothing. Repeated rows of one document give one result row per item; repeated
+    rows of an item count once, different texts under one item_id are different items with
+    the same id. Other columns are not read. A null doc_id or item_id is kept as null.
+    """
+    found = _found(docs, benchmark, num, den)
     best = found.groupBy("doc_id", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("d"), "start", "m")).alias("b"))
     return best.select("doc_id", "item_id", (-F.col("b.d")).alias("similarity"), F.col("b.start").alias("start"), F.col("b.m").alias("n_words"))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs` whose id has no contaminated text; columns and their order stay."""
-    hit = checked_broadcast(contaminated(docs, benchmark).select(F.col("doc_id").alias("__hit")).distinct(), BENCH_ROWS)
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__hit")), "left_anti")
+def keep_clean(docs: DataFrame, benchmark: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of `docs` whose text is not contaminated, whatever other rows share their id; columns and their order stay."""
+    hit = _found(docs, benchmark, num, den).select(F.col("doc_id").alias("__hit"), F.col("h").alias("__x")).distinct()
+    return docs.join(checked_broadcast(hit, BENCH_ROWS), F.col("doc_id").eqNullSafe(F.col("__hit")) & (F.xxhash64("text") == F.col("__x")), "left_anti")

@@ -142,7 +142,7 @@ def _signed(x) -> np.ndarray:
 
 
 def describe(k: int):
-    """Task: one row (doc_id, n_shingles, sid) per document; sid identifies the set."""
+    """Task: one row (doc_id, h, n_shingles, sid) per document; h is its text's hash, sid identifies the set."""
     def run(batches):
         for b in batches:
             n, sid = [], []
@@ -151,7 +151,7 @@ def describe(k: int):
                 n.append(len(h))
                 sid.append(set_id(h))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(_signed(sid))], ["doc_id", "n_shingles", "sid"])
+                [b.column("doc_id").cast(pa.int64()), b.column("h"), pa.array(n, pa.int64()), pa.array(_signed(sid))], ["doc_id", "h", "n_shingles", "sid"])
     return run
 
 
@@ -200,7 +200,7 @@ def probe(k: int, num: int, den: int):
 
 
 def sets(k: int):
-    """Task: (sid, grp, n, fold, hashes) of documents, once per set and task; grp is passed on."""
+    """Task: (sid, grp, n, fold, hashes) of documents, once per set, grp and task."""
     def run(batches):
         seen = set()
         for b in batches:
@@ -208,9 +208,9 @@ def sets(k: int):
             for text, grp in zip(b.column("text").to_pylist(), b.column("grp").to_pylist()):
                 h = shingles(text, k)
                 s = set_id(h)
-                if s in seen:
+                if (s, grp) in seen:
                     continue
-                seen.add(s)
+                seen.add((s, grp))
                 bits = np.bincount((h & np.uint64(64 * FOLD_WORDS - 1)).astype(np.int64), minlength=64 * FOLD_WORDS) & 1
                 sid.append(s)
                 group.append(grp)
@@ -225,11 +225,11 @@ def sets(k: int):
 
 def set_data(wanted: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """sid, grp, n, fold and hashes of the sets in `wanted` (sid, grp), computed again from
-    one document of each (`reps`)."""
-    ids = cut(reps.join(wanted, "sid").select(F.col("doc_id").alias("__d"), F.col("sid").alias("__s"), "grp"))
-    picked = docs.join(checked_broadcast(ids, BATCH_IDS), F.col("doc_id").eqNullSafe(F.col("__d"))).select("text", "grp", "__s")
+    one document of each (`reps`), which its id and the hash of its text name."""
+    ids = cut(reps.join(wanted, "sid").select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), F.col("sid").alias("__s"), "grp"))
+    picked = docs.join(checked_broadcast(ids, BATCH_IDS), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("h") == F.col("__h"))).select("text", "grp", "__s")
     found = picked.select("text", "grp").mapInArrow(sets(k), "sid long, grp long, n long, fold array<long>, hashes array<long>")
-    # a repeated id may name other texts too: only wanted pairs of set and group count
+    # only wanted pairs of set and group count
     return found.join(checked_broadcast(ids.select(F.col("__s").alias("sid"), "grp").distinct(), BATCH_IDS), ["sid", "grp"], "left_semi")
 
 
@@ -304,20 +304,11 @@ def open_links(members: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num
     return near_pivot.unionByName(both.where(linked(apart, F.col("na") + F.col("nb"))).select("a", "b"))
 
 
-def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links of every row of `docs` (doc_id, text).
-
-    Two documents are linked when den * |A and B| >= num * |A or B| for their sets of
-    distinct k-word shingles; component_id is the smallest doc_id reachable by links.
-    Empty sets (null, empty or white text) are linked with nothing and keep their own id.
-    n_links counts the verified links of the document's set to other sets found while
-    joining (at least one for a set that has a link), not copies of the set itself.
-    Repeated rows and repeated ids give one result row each; other columns are ignored.
-    A null doc_id is kept; its component is the smallest id of its group, or null.
-    """
-    docs = docs.select("doc_id", "text")
-    described = cut(docs.mapInArrow(describe(k), "doc_id long, n_shingles long, sid long"))
-    reps = cut(described.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id")))
+def _components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, h, n_shingles, component (a set id, null for empty sets), component_id and n_links of every row."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    described = cut(docs.mapInArrow(describe(k), "doc_id long, h long, n_shingles long, sid long"))
+    reps = cut(described.where("n_shingles > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "h")).alias("r")).select("sid", "r.doc_id", "r.h"))
     w = Window.partitionBy("gkey")
     rows = docs.select("text").mapInArrow(probe(k, num, den), "gkey long, sid long")
     met = rows.withColumn("a", F.min("sid").over(w)).where("sid <> a")
@@ -343,25 +334,40 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
     node = filled.groupBy("sid").agg(F.min("doc_id").alias("low"))
     node = node.join(label.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     low = node.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = node.join(low, "component").join(ends, "sid", "left").select("sid", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = node.join(low, "component").join(ends, "sid", "left").select("sid", "component", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return described.join(named, "sid", "left").select(
-        "doc_id", "n_shingles",
+        "doc_id", "h", "n_shingles", "component",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links of every row of `docs` (doc_id, text).
+
+    Two documents are linked when den * |A and B| >= num * |A or B| for their sets of
+    distinct k-word shingles; component_id is the smallest doc_id reachable by links.
+    Empty sets (null, empty or white text) are linked with nothing and keep their own id.
+    n_links counts the verified links of the document's set to other sets found while
+    joining (at least one for a set that has a link), not copies of the set itself.
+    Repeated rows and repeated ids give one result row each; other columns are ignored.
+    A null doc_id is kept; its component is the smallest id of its group, or null.
+    """
+    return _components(docs, k, num, den).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of `docs` without the near copies: of every component one row stays.
 
-    It is a row with the component's smallest doc_id; repeated rows of that id count as
-    copies and one of them stays. Documents without words are no copies of anything and
-    all stay. Columns and their order are those of `docs`.
+    It is a row with the component's smallest doc_id, a null only where all are null; rows
+    are told apart by id and text, so a repeated or null id keeps a row in every component
+    it leads. Documents without words are no copies of anything and all stay. Columns and
+    their order are those of `docs`.
     """
-    found = components(docs, k, num, den)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(
-        F.max("n_shingles").alias("__n"))
-    mark = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))).alias("__k")
-    once = docs.withColumnRenamed("doc_id", "__id").join(
-        keep.withColumnRenamed("doc_id", "__key"), F.col("__id").eqNullSafe(F.col("__key")))
-    once = once.withColumnRenamed("__id", "doc_id").select("*", mark)
-    return once.where("__k = 1 or __n = 0").select(*docs.columns)
+    found = cut(_components(docs, k, num, den).select("doc_id", "h", "n_shingles", "component"))
+    lead = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")).alias("r"))
+    keep = lead.select(F.col("r.doc_id").alias("__key"), F.col("r.h").alias("__x"))
+    blank = found.where("n_shingles = 0").select(F.col("doc_id").alias("__key"), F.col("h").alias("__x")).distinct()
+    rows = docs.withColumnRenamed("doc_id", "__id").withColumn("__h", F.xxhash64("text"))
+    same = F.col("__id").cast("long").eqNullSafe(F.col("__key")) & (F.col("__h") == F.col("__x"))
+    first = rows.join(keep, same, "left_semi").withColumn("__k", F.row_number().over(Window.partitionBy("__id", "__h").orderBy("__h"))).where("__k = 1").drop("__k")
+    return first.unionByName(rows.join(blank, same, "left_semi")).withColumnRenamed("__id", "doc_id").select(*docs.columns)

@@ -114,3 +114,9 @@ def test_items_cut_at_an_edge_or_edited(spark):
     got = {(r.doc_id, r.item_id): r.similarity for r in got.collect()}
     assert len(want) >= 4 * len(items)
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_clean_rows_of_a_contaminated_id_stay(spark):
+    df = spark.createDataFrame([(None, "a b c d e f g h i j"), (None, "quite another text"), (1, "q")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
+    assert sorted(r.text for r in decontam.keep_clean(df, bench).collect()) == ["q", "quite another text"]

@@ -74,3 +74,11 @@ def test_plan_leaves_room():
         for num in (80, 90):
             t, k, e, m = jaccard.band_plan(band, num, 100)
             assert k == t + 1 + e and 1 <= m <= 4
+
+
+def test_null_and_repeated_ids_are_no_identity(spark):
+    say = lambda k: " ".join(f"t{k}w{i}" for i in range(60))
+    rows = [(None, say(k), "s") for k in range(4)] + [(None, say(0) + " more", "s"), (7, say(8), "s"), (7, say(9), "s"), (7, say(9), "s")]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    assert len(kept) == 6 and len({r.text for r in kept}) == 6
+    assert {r.text.split()[0] for r in kept} == {f"t{k}w0" for k in (0, 1, 2, 3, 8, 9)}
