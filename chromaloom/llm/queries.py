@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chromaloom.llm import counts, decontam, extract, fingerprints, jaccard, langid, lines, mixing, secrets, tokens
+from chromaloom.llm import bytebpe, counts, decontam, extract, fingerprints, jaccard, langid, lines, mixing, secrets, tokens
 from chromaloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +102,19 @@ def op5_line_dedup(spark: SparkSession, d: str) -> DataFrame:
 def op3_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     known = secrets.dictionary(tokenizer_file("piece_bpe_32k.model"))
     return secrets.scan_and_classify(table(spark, d, "documents"), known)
+
+
+def byte_bpe_digests(docs: DataFrame, ranks: list[bytes], pattern: str) -> DataFrame:
+    """Count and digests of the ids of every text and of the bytes they decode to."""
+    coded = bytebpe.decode(bytebpe.encode(docs, ranks, pattern), ranks)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op11_byte_bpe")
+def op11_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bytebpe.read_ranks(tokenizer_file("byte_bpe_multi_50k.tiktoken"))
+    return byte_bpe_digests(table(spark, d, "documents"), ranks, public_tokenizers.PATTERN)
