@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromaloom.llm import bytebpe, counts, decontam, extract, fingerprints, jaccard, langid, lines, mixing, secrets, tokens
+from chromaloom.llm import bytebpe, counts, decontam, extract, fingerprints, jaccard, langid, lines, merkle, mixing, secrets, tokens
 from chromaloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,54 @@ def op11_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
 
     ranks = bytebpe.read_ranks(tokenizer_file("byte_bpe_multi_50k.tiktoken"))
     return byte_bpe_digests(table(spark, d, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+OP12_SQL = r"""
+WITH RECURSIVE digits AS (
+  SELECT doc_id, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+           lambda x: list_concat([ascii(x)::BIGINT], [-1::BIGINT, -1, -1, -1, -1, -1, -1, -1])))),
+         lambda c, v: CASE WHEN v >= 0 THEN xor(c, v) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS c
+  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)),
+marked AS (SELECT d.*, coalesce(xor(c, 4294967295::BIGINT) % 7 = 0, false) AS hit FROM documents d LEFT JOIN digits USING (doc_id)),
+written AS (
+  SELECT doc_id, lang, hit,
+    CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END ||
+    CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END ||
+    CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END AS head,
+    CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END AS n0,
+    CASE WHEN n_chars IS NULL THEN '-' ELSE strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1) END AS n1,
+    CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS tail FROM marked),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM (
+    SELECT doc_id, lang, sha256(head || n0 || tail) AS leaf, sha256(head || CASE WHEN hit THEN n1 ELSE n0 END || tail) AS tested FROM written)),
+nodes AS (
+  SELECT lang, 0 AS lvl, idx, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT lang, lvl + 1, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM nodes WHERE n > 1 GROUP BY lang, lvl, idx // 2, n),
+subroots AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS lvl, idx, n, subroot AS h FROM subroots
+  UNION ALL
+  SELECT lvl + 1, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM tops WHERE n > 1 GROUP BY lvl, idx // 2, n),
+climb AS (
+  SELECT doc_id, lang, leaf, lang AS tree, false AS top, 0 AS lvl, idx, n, '' AS proof, tested AS h FROM leaves
+  UNION ALL
+  SELECT c.doc_id, c.lang, c.leaf, CASE WHEN c.n = 1 THEN NULL ELSE c.tree END, c.n = 1 OR c.top,
+    CASE WHEN c.n = 1 THEN 0 ELSE c.lvl + 1 END, CASE WHEN c.n = 1 THEN s.idx ELSE c.idx // 2 END, CASE WHEN c.n = 1 THEN s.n ELSE (c.n + 1) // 2 END,
+    c.proof || CASE WHEN c.n = 1 THEN '' ELSE coalesce(x.h, '') END,
+    CASE WHEN c.n = 1 THEN c.h WHEN c.idx % 2 = 1 THEN sha256(x.h || c.h) ELSE sha256(c.h || coalesce(x.h, '')) END
+  FROM climb c
+  LEFT JOIN (SELECT false AS top, lang AS tree, lvl, idx, h FROM nodes UNION ALL SELECT true, NULL, lvl, idx, h FROM tops) x
+    ON x.top = c.top AND x.tree IS NOT DISTINCT FROM c.tree AND x.lvl = c.lvl AND x.idx = xor(c.idx, 1)
+  LEFT JOIN subroots s ON NOT c.top AND c.n = 1 AND s.lang IS NOT DISTINCT FROM c.lang
+  WHERE c.n > 1 OR NOT c.top)
+SELECT c.doc_id, c.leaf, s.subroot, r.h AS root, sha256(c.proof) AS proof_sha256, c.h AS folded_root, c.h = r.h AS verified
+FROM climb c JOIN subroots s ON s.lang IS NOT DISTINCT FROM c.lang CROSS JOIN (SELECT h FROM tops WHERE n = 1) r WHERE c.top AND c.n = 1
+"""
+
+
+@query("op12_merkle_manifest", OP12_SQL)
+def op12_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return merkle.manifest(table(spark, d, "documents"), tampered).select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256"), "folded_root", "verified")
