@@ -19,6 +19,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
@@ -27,9 +28,10 @@ NONE = np.int32(2**31 - 1)                # no such pair
 EMPTY = np.uint64(2**64 - 1)              # free place of the pair table
 MIX = np.uint64(0x9E3779B97F4A7C15)       # multiplier of the pair hash
 EDGES = (3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024)    # widths of the matrices
+WIDTHS = [next(e for e in EDGES if n <= e) for n in range(EDGES[-1] + 1)]                # of a piece's length
 CELLS = 1 << 20                           # symbols of one matrix
 SLICE_CHARS = 1 << 20                     # code points encoded together, and pieces of a long text at a time
-MEMO_PIECES = 200_000                     # pieces a task remembers; the memo is emptied when full
+MEMO_PIECES = 400_000                     # pieces a task remembers; the memo is emptied when full
 MEMO_CHARS = 64                           # longer pieces are not remembered
 
 
@@ -115,7 +117,7 @@ class Encoder:
             elif len(p) > EDGES[-1]:
                 out[i] = self._long(p)
             else:
-                by_width.setdefault(next(e for e in EDGES if len(p) <= e), []).append(i)
+                by_width.setdefault(WIDTHS[len(p)], []).append(i)
         for width, members in by_width.items():
             step = max(1, CELLS // width)
             for k in range(0, len(members), step):
@@ -283,10 +285,26 @@ def decode(encoded: DataFrame, tokens: list[bytes]) -> DataFrame:
     """doc_id, ids and decoded (binary): the bytes of every id in order. Null ids decode to
     no bytes; an id without a token is an error."""
     def run(batches):
+        blob = np.frombuffer(b"".join(tokens), np.uint8)
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        starts = np.cumsum(sizes) - sizes
+
+        def joined(ids: np.ndarray) -> bytes:
+            long = sizes[ids]
+            ends = np.cumsum(long)
+            return blob[np.repeat(starts[ids] - ends + long, long) + np.arange(ends[-1])].tobytes()
+
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                out = [b"".join(map(tokens.__getitem__, ids)) if ids else b"" for ids in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
+            for k in range(0, b.num_rows, 128):
+                part = b.slice(k, 128)
+                column = part.column("ids").fill_null([])
+                ids, counts = column.flatten().to_numpy(zero_copy_only=False), pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)
+                if len(ids) and not 0 <= ids.min() <= ids.max() < len(tokens):
+                    raise ValueError("an id has no token")
+                data = b"".join(joined(ids[j:j + SLICE_CHARS // 4]) for j in range(0, len(ids), SLICE_CHARS // 4))
+                ends = np.concatenate(([0], np.cumsum(sizes[ids])))
+                offsets = ends[np.concatenate(([0], np.cumsum(counts)))]
+                out = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), out.cast(pa.binary())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")

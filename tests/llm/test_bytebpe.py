@@ -89,3 +89,11 @@ def test_rank_file_faults(tmp_path):
         bytebpe.read_ranks(str(tmp_path / "gap"))
     with pytest.raises(ValueError):
         bytebpe.Encoder([b"a", b"b"])
+
+
+def test_decode_of_given_ids(spark, tokens):
+    df = spark.createDataFrame([(1, [5, 400, 50255]), (2, []), (3, None), (4, [0])], "doc_id long, ids array<int>")
+    got = {x.doc_id: bytes(x.decoded) for x in bytebpe.decode(df, tokens).collect()}
+    assert got == {1: tokens[5] + tokens[400] + tokens[50255], 2: b"", 3: b"", 4: tokens[0]}
+    with pytest.raises(Exception, match="no token"):
+        bytebpe.decode(spark.createDataFrame([(1, [50256])], "doc_id long, ids array<int>"), tokens).collect()
