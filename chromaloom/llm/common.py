@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chromaloom.session import cut
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -48,3 +50,19 @@ def running_offsets(parts: DataFrame, key: str, size: str, name: str) -> DataFra
     """Running total of `size` before each row of a short table (one row per file or bucket)."""
     w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     return parts.withColumn(name, F.coalesce(F.sum(size).over(w), F.lit(0)))
+
+
+def ranged_runs(rows: DataFrame, key: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Positions within `key` in the order of `order` (nulls first), without a window over a key.
+
+    The rows come back dealt into sorted ranges of (key, order) with `part` and `seq`; the runs
+    have one row per range and key: `first` (smallest seq), `c` rows, and `before`, the key's
+    rows in earlier ranges. A row's position is seq - first + before. At most ranges + keys runs.
+    """
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    by = [F.col(c).asc_nulls_first() for c in (key, *order)]
+    ranged = cut(rows.repartitionByRange(n, *by).sortWithinPartitions(*by)
+                 .withColumn("part", F.spark_partition_id()).withColumn("seq", F.monotonically_increasing_id()))
+    runs = ranged.groupBy(key, "part").agg(F.min("seq").alias("first"), F.count("*").alias("c"))
+    w = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return ranged, cut(runs.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0))))

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chromaloom.llm.common import ranged_runs
 from chromaloom.session import checked_broadcast, cut
 
 BITS = 10                    # levels of a block: the most nodes a group holds are 2 ** BITS
@@ -146,14 +147,7 @@ def placed_leaves(docs: DataFrame, tampered: Column) -> DataFrame:
     rows = docs.select(
         "doc_id", "lang", leaf_digest().alias("leaf"),
         F.when(F.coalesce(tampered, F.lit(False)), leaf_digest(n_chars=F.col("n_chars").cast("decimal(38,0)") + 1)).alias("changed"))
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    order = [F.col(c).asc_nulls_first() for c in ("lang", "doc_id", "leaf")]
-    ranged = cut(rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
-                 .withColumn("part", F.spark_partition_id()).withColumn("seq", F.monotonically_increasing_id()))
-    # one row per range and language: at most ranges + languages rows
-    runs = ranged.groupBy("lang", "part").agg(F.min("seq").alias("first"), F.count("*").alias("c"))
-    w = Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = cut(runs.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0))))
+    ranged, runs = ranged_runs(rows, "lang", ["doc_id", "leaf"])
     langs = runs.groupBy("lang").agg(F.sum("c").alias("n"), F.min("part").alias("part"))
     # a range holds few languages' first rows or, with very many languages, about its share of them
     inside = F.row_number().over(Window.partitionBy("part").orderBy(F.col("lang").asc_nulls_first()))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromaloom.llm import bytebpe, counts, decontam, extract, fingerprints, jaccard, langid, lines, merkle, mixing, secrets, tokens
+from chromaloom.llm import bytebpe, counts, decontam, dialogue, extract, fingerprints, jaccard, langid, lines, merkle, mixing, secrets, tokens
 from chromaloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,67 @@ def op12_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
     return merkle.manifest(table(spark, d, "documents"), tampered).select(
         "doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def _plus(x: str, cost: int | str, edit: str) -> str:
+    """SQL: a script (cost in six digits, then its edits) with one edit more; null stays null."""
+    return f"lpad((left({x}, 6)::INT + {cost})::VARCHAR, 6, '0') || substr({x}, 7) || '{edit}'"
+
+
+OP13_SQL = rf"""
+WITH RECURSIVE keyed AS (
+  SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS g, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+kinds AS (
+  SELECT k, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(k, ''),
+           lambda x: list_concat([ascii(x)::BIGINT], [-1::BIGINT, -1, -1, -1, -1, -1, -1, -1])))),
+         lambda c, v: CASE WHEN v >= 0 THEN xor(c, v) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END), 4294967295::BIGINT) % 20 AS kind
+  FROM (SELECT DISTINCT k FROM keyed)),
+damaged AS (
+  SELECT g, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM keyed JOIN kinds USING (k) JOIN (VALUES (0), (1)) c(copy) ON copy = 0 OR kind = 3 WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text) AS i,
+    row_number() OVER (PARTITION BY g, role, text ORDER BY turn NULLS FIRST) AS nth,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body,
+    CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'x' END AS r FROM damaged),
+marked AS (
+  SELECT *, CASE WHEN body = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE 'k' END AS fault,
+    lag(r) OVER (PARTITION BY g ORDER BY i) AS past FROM placed),
+counted AS (
+  SELECT g, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+    count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (past IS NOT NULL AND past || r NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY g),
+best AS (
+  SELECT g, 0::BIGINT AS i, '000000' AS e, NULL::VARCHAR AS s, NULL::VARCHAR AS u, NULL::VARCHAR AS a FROM counted
+  UNION ALL
+  SELECT g, i, {_plus("e", 4, "D")},
+    least({_plus("s", 4, "D")}, CASE WHEN r = 's' AND stays THEN {_plus("e", "cut", "K")} END),
+    least({_plus("u", 4, "D")}, CASE WHEN stays THEN least({_plus("e", "cut + 3", "R")}, {_plus("s", "cut + 3", "R")}, {_plus("a", "cut + 3", "R")}) END,
+      CASE WHEN stays AND r = 'u' THEN least({_plus("e", "cut", "K")}, {_plus("s", "cut", "K")}, {_plus("a", "cut", "K")}) END),
+    least({_plus("a", 4, "D")}, CASE WHEN stays THEN {_plus("u", "cut + 3", "R")} END, CASE WHEN stays AND r = 'a' THEN {_plus("u", "cut", "K")} END)
+  FROM (
+    SELECT g, i, e, s, u, least(a, {_plus("u", 3, "I")}) AS a, r, stays, cut FROM (
+      SELECT b.g, m.i, e, s, least(u, {_plus("e", 3, "I")}, {_plus("s", 3, "I")}, {_plus("a", 3, "I")}) AS u, a, m.r,
+        m.fault IN ('t', 'k') AS stays, CASE WHEN m.fault = 't' THEN 3 ELSE 0 END AS cut
+      FROM best b JOIN marked m ON m.g = b.g AND m.i = b.i + 1))),
+ended AS (
+  SELECT g, least(e, a, {_plus("least(u, " + _plus("s", 3, "I") + ")", 3, "I")}) AS script FROM best JOIN counted USING (g) WHERE i = n),
+edits AS (SELECT g, generate_subscripts(string_split(substr(script, 7), ''), 1) AS j, unnest(string_split(substr(script, 7), '')) AS edit FROM ended),
+walked AS (
+  SELECT g, j, edit, sum((edit <> 'I')::INT) OVER w AS i, sum((edit <> 'D')::INT) OVER w AS place, sum((edit <> 'D')::INT) OVER (PARTITION BY g) % 2 AS sys
+  FROM edits WINDOW w AS (PARTITION BY g ORDER BY j ROWS UNBOUNDED PRECEDING)),
+lines AS (
+  SELECT w.g, w.j, CASE WHEN edit = 'K' THEN role WHEN (place - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END AS line
+  FROM walked w LEFT JOIN marked m ON m.g = w.g AND m.i = w.i WHERE edit <> 'D'),
+texts AS (SELECT g, string_agg(line, chr(10) ORDER BY j) AS body FROM lines GROUP BY g)
+SELECT k.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(left(script, 6)::BIGINT, 0) AS cost, coalesce(substr(script, 7), '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT g, conv_id FROM keyed) k LEFT JOIN counted USING (g) LEFT JOIN ended USING (g) LEFT JOIN texts USING (g)
+"""
+
+
+@query("op13_conversation_repair", OP13_SQL)
+def op13_conversation_repair(spark: SparkSession, d: str) -> DataFrame:
+    return dialogue.repair_damaged(table(spark, d, "conversations"))
