@@ -11,6 +11,8 @@ from chromaloom.operators import cycle_model as CM
 from chromaloom.operators import cellcycle as C
 from chromaloom.operators import detection as DET
 from chromaloom.operators import multiplicity as MU
+from chromaloom.operators import paths as PA
+from chromaloom.operators import sites as S
 from chromaloom.session import cut, ensure_checkpoint_dir
 from chromaloom.sources import tables as T
 from chromaloom.streaming import verdicts as SV
@@ -81,20 +83,35 @@ def chain_points(spark, d):
                     (F.col("z") * 0.2).alias("z_um"))
 
 
-def _chain_sql(n_slots: int) -> str:
+def _walks(n_slots: int, points: str, p: str) -> list[str]:
+    """SQL: the chains ending at every point of `points`, slot by slot, in tables {p}0 and later."""
     cost = """p.w + (0.5 * ((q.y-p.y)*(q.y-p.y) + (q.x-p.x)*(q.x-p.x)) / vxy + 0.5 * (q.z-p.z)*(q.z-p.z) / vz + ln(vxy) + 0.5 * ln(vz) + 1.5 * ln(2 * pi())) - q.clutter"""
-    out = ["""pts AS MATERIALIZED (SELECT fov, cell, cand AS point, slot, y * CAST(0.208 AS DOUBLE) AS y, x * CAST(0.208 AS DOUBLE) AS x, z * CAST(0.2 AS DOUBLE) AS z,
-  ln(CAST(500 AS DOUBLE) / count(*) OVER (PARTITION BY fov, cell)) AS clutter FROM m_candidates WHERE cell >= 0)""",
-           "d0 AS MATERIALIZED (SELECT *, CAST(0 AS DOUBLE) AS w, [point] AS chain FROM pts WHERE slot = 0)"]
+    out = [f"{p}0 AS MATERIALIZED (SELECT *, CAST(0 AS DOUBLE) AS w, [point] AS chain FROM {points} WHERE slot = 0)"]
     for s in range(1, n_slots):
-        out.append(f"""d{s} AS MATERIALIZED (SELECT * FROM d{s - 1} UNION ALL SELECT q.*, coalesce(b.w, 0) AS w, CASE WHEN b.w IS NULL THEN [q.point] ELSE list_append(b.chain, q.point) END AS chain
-FROM (SELECT * FROM pts WHERE slot = {s}) q LEFT JOIN (SELECT fov, cell, point, w, chain FROM (SELECT *, row_number() OVER (PARTITION BY fov, cell, point ORDER BY w, p_slot, chain) AS rn FROM (
-  SELECT q.fov, q.cell, q.point, p.slot AS p_slot, p.chain, {cost} AS w FROM pts q JOIN (SELECT *, pow(CAST(0.0572 AS DOUBLE) * pow(({s} - slot) * CAST(50 AS DOUBLE), CAST(0.267 AS DOUBLE)), 2) + 2 * pow(CAST(0.031 AS DOUBLE), 2) AS vxy,
-    pow(CAST(0.0572 AS DOUBLE) * pow(({s} - slot) * CAST(50 AS DOUBLE), CAST(0.267 AS DOUBLE)), 2) + 2 * pow(CAST(0.076 AS DOUBLE), 2) AS vz FROM d{s - 1}) p ON p.fov = q.fov AND p.cell = q.cell
+        out.append(f"""{p}{s} AS MATERIALIZED (SELECT * FROM {p}{s - 1} UNION ALL SELECT q.*, coalesce(b.w, 0) AS w, CASE WHEN b.w IS NULL THEN [q.point] ELSE list_append(b.chain, q.point) END AS chain
+FROM (SELECT * FROM {points} WHERE slot = {s}) q LEFT JOIN (SELECT fov, cell, point, w, chain FROM (SELECT *, row_number() OVER (PARTITION BY fov, cell, point ORDER BY w, p_slot, p_point) AS rn FROM (
+  SELECT q.fov, q.cell, q.point, p.slot AS p_slot, p.point AS p_point, p.chain, {cost} AS w FROM {points} q JOIN (SELECT *, pow(CAST(0.0572 AS DOUBLE) * pow(({s} - slot) * CAST(50 AS DOUBLE), CAST(0.267 AS DOUBLE)), 2) + 2 * pow(CAST(0.031 AS DOUBLE), 2) AS vxy,
+    pow(CAST(0.0572 AS DOUBLE) * pow(({s} - slot) * CAST(50 AS DOUBLE), CAST(0.267 AS DOUBLE)), 2) + 2 * pow(CAST(0.076 AS DOUBLE), 2) AS vz FROM {p}{s - 1}) p ON p.fov = q.fov AND p.cell = q.cell
   WHERE q.slot = {s}) WHERE w < 0) WHERE rn = 1) b ON b.fov = q.fov AND b.cell = q.cell AND b.point = q.point)""")
-    return "WITH " + ",\n".join(out) + f"""
-SELECT fov, cell, round(w, 5) AS weight, len(chain) AS n_points, chain[1] AS first_point, chain[len(chain)] AS last_point FROM (
-  SELECT *, row_number() OVER (PARTITION BY fov, cell ORDER BY w, chain) AS rn FROM d{n_slots - 1} WHERE w < 0) WHERE rn = 1"""
+    out.append(f"{p}_best AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fov, cell ORDER BY w, slot, point) AS rn FROM {p}{n_slots - 1} WHERE w < 0) WHERE rn = 1)")
+    return out
+
+
+CHAIN_POINTS = """pts AS MATERIALIZED (SELECT fov, cell, cand AS point, slot, y * CAST(0.208 AS DOUBLE) AS y, x * CAST(0.208 AS DOUBLE) AS x, z * CAST(0.2 AS DOUBLE) AS z,
+  ln(CAST(500 AS DOUBLE) / count(*) OVER (PARTITION BY fov, cell)) AS clutter FROM m_candidates WHERE cell >= 0)"""
+CHAIN_COLUMNS = "fov, cell, {} round(w, 5) AS weight, len(chain) AS n_points, chain[1] AS first_point, chain[len(chain)] AS last_point"
+
+
+def _chain_sql(n_slots: int) -> str:
+    return "WITH " + ",\n".join([CHAIN_POINTS, *_walks(n_slots, "pts", "d")]) + f"\nSELECT {CHAIN_COLUMNS.format('')} FROM d_best"
+
+
+def _disjoint_sql(n_slots: int) -> str:
+    """The second chain walks what the first left, under the same price."""
+    rest = "rest AS MATERIALIZED (SELECT * FROM pts WHERE (fov, cell, point) NOT IN (SELECT fov, cell, unnest(chain) FROM d_best))"
+    parts = [CHAIN_POINTS, *_walks(n_slots, "pts", "d"), rest, *_walks(n_slots, "rest", "e")]
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT {CHAIN_COLUMNS.format('CAST(0 AS INTEGER) AS rank,')} FROM d_best UNION ALL SELECT {CHAIN_COLUMNS.format('CAST(1 AS INTEGER) AS rank,')} FROM e_best"""
 
 
 @query("chain_paths", _chain_sql(T.N_SLOTS))
@@ -105,6 +122,42 @@ def chain_paths(spark, d):
                     F.element_at("chain", 1).alias("first_point"), F.element_at("chain", -1).alias("last_point"))
 
 
+@query("disjoint_chains", _disjoint_sql(T.N_SLOTS))
+def disjoint_chains(spark, d):
+    """Two chains per cell without a point in common, the cheaper first."""
+    c = CH.disjoint_chains(chain_points(spark, d), T.N_SLOTS, 50.0)
+    return c.select("fov", "cell", "rank", r("weight", 5).alias("weight"), F.size("chain").cast("long").alias("n_points"),
+                    F.element_at("chain", 1).alias("first_point"), F.element_at("chain", -1).alias("last_point"))
+
+
+AXIS_KB = PA.uniform_separation(T.N_SLOTS, 50.0)
+# The test tables' points lie microns apart on seven slots: two loci and no prior let chains show.
+SHORT_AXIS = PA.PathRule(min_loci=2, prior=0.0)
+
+
+@query("disjoint_paths")
+def disjoint_paths(spark, d):
+    """Up to two settled chains per cell: swept, uncrossed, priced by what they leave."""
+    p = PA.cell_paths(chain_points(spark, d), AXIS_KB, k=2, rule=SHORT_AXIS)
+    return p.select("fov", "cell", "n_points", "k", r("cost", 5).alias("cost"), F.transform("paths", lambda x: x["points"]).alias("points"))
+
+
+@query("path_count")
+def path_count(spark, d):
+    """How many chains pay for themselves, and what every count tried was worth."""
+    p = PA.cell_paths(chain_points(spark, d), AXIS_KB, rule=SHORT_AXIS)
+    return p.select("fov", "cell", "n_points", "k", r("cost", 5).alias("cost"), F.transform("scores", lambda x: F.round(x, 5)).alias("scores"))
+
+
+@query("trace_assembly")
+def trace_assembly(spark, d):
+    """The point every trace takes in every slot, beside the number of sites the cell's geometry proposes."""
+    points = cut(chain_points(spark, d))
+    traces = PA.trace_rows(PA.cell_paths(points, AXIS_KB, rule=SHORT_AXIS), points)
+    sites = S.spatial_multiplicity(points.withColumn("bin", F.col("slot")), T.N_SLOTS).select("fov", "cell", F.col("k").alias("proposed"))
+    return traces.join(sites, ["fov", "cell"], "left").select("fov", "cell", "allele", "slot", "point", r("weight", 5).alias("weight"), "proposed")
+
+
 @query("binomial_multiplicity", """
 WITH c AS (SELECT fov, cell, s.slot, count(k.cand) AS c FROM (SELECT DISTINCT fov, cell FROM m_candidates WHERE cell >= 0) CROSS JOIN (SELECT unnest(range(7)) AS slot) s
   LEFT JOIN m_candidates k USING (fov, cell, slot) GROUP BY 1, 2, 3),
@@ -186,15 +239,12 @@ def gene_screen(spark, d):
 
 @query("stream_latest_verdict", "SELECT reviewer, key, page, file_no, line_no, value FROM m_latest")
 def stream_latest_verdict(spark, d):
-    """The verdict log read as a file stream and folded, batch by batch, into the latest-record table."""
+    """The verdict log read as a file stream: keyed state emits the records that became the latest."""
     schema = T.table(spark, d, "events").schema
     root = f"{ensure_checkpoint_dir(spark)}/verdicts-{uuid.uuid4().hex}"
     records = T.verdict_columns(SV.read_events(spark, d, schema))
-    q = (records.writeStream.foreachBatch(SV.merge_batch(f"{root}/table"))
-         .option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start())
-    q.awaitTermination()
-    done = q.lastProgress["batchId"] + 1 if q.lastProgress else 1
-    return spark.read.parquet(f"{root}/table/v{done}").select("reviewer", "key", "page", "file_no", "line_no", "value")
+    SV.follow(records, root).awaitTermination()
+    return SV.current(spark, root).select("reviewer", "key", "page", "file_no", "line_no", "value")
 
 
 @query("count_null")

@@ -80,7 +80,7 @@ def test_best_chain_equals_exhaustive_search(spark):
     rng = np.random.default_rng(3)
     rows = [(1, 1, k, int(rng.integers(0, 4)), *map(float, rng.normal(0, 0.3, 3))) for k in range(9)]
     got = chains.best_chains(spark.createDataFrame(rows, POINTS), 4, 50.0).first()
-    price = math.log(400.0 / 9)
+    price = math.log(500.0 / 9)
 
     def step(a, b):
         sp = (0.0572 * ((b[3] - a[3]) * 50.0) ** 0.267) ** 2
