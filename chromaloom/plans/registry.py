@@ -29,9 +29,10 @@ def with_tables(body: str) -> str:
     _needed(body, found)
     parts = [f"{n} AS ({b.strip()})" for n, b in found.items()]
     own = body.strip()
-    if own[:5].upper() == "WITH ":
-        parts.append(own[5:])
-        return "WITH " + ",\n".join(parts)
+    opening = re.match(r"WITH (RECURSIVE )?", own)
+    if opening:
+        parts.append(own[opening.end():])
+        return opening.group() + ",\n".join(parts)
     return "WITH " + ",\n".join(parts) + "\n" + own if parts else own
 
 
