@@ -5,6 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from chromaloom.functions.scalar import r
+from chromaloom.operators import arcs as AR
 from chromaloom.operators import cycle_choice as CC
 from chromaloom.operators import cycle_frame as CF
 from chromaloom.operators import cycle_model as CM
@@ -130,3 +131,47 @@ def dispersion_choice(spark, d):
     """Held-out evidence of every concentration over folds of whole fields."""
     cells, genes = composed(spark, d)
     return CC.choose_alpha(cells, genes)
+
+
+ROLES = {"gene_1": "S", "gene_2": "S", "gene_5": "G2/M", "gene_6": "G2/M"}
+
+
+@query("arcs_from_profiles", f"""
+WITH {RING_SQL}, fold AS (SELECT CASE WHEN k IN (0, 1) THEN 'S' ELSE 'G2/M' END AS role, t, exp(f - m) AS v FROM (SELECT *, avg(f) OVER (PARTITION BY k) AS m FROM eta) WHERE k IN (0, 1, 4, 5)),
+c AS (SELECT role, t, avg(v) AS v FROM fold GROUP BY 1, 2), top AS (SELECT role, t AS k FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY v DESC, t) AS rn FROM c) WHERE rn = 1),
+s AS (SELECT role, k, min((k - t + 72 - 1) % 72) FILTER (v <= 1) AS o FROM c JOIN top USING (role) GROUP BY 1, 2),
+b AS (SELECT max(CASE WHEN role = 'S' THEN (k - o + 72) % 72 * 5.0 END) AS s, max(CASE WHEN role <> 'S' THEN (k - o + 72) % 72 * 5.0 END) AS g FROM s)
+SELECT 'G1' AS name, CAST(0 AS DOUBLE) AS start_deg, CAST(s AS DOUBLE) AS end_deg FROM b UNION ALL SELECT 'S', s, g FROM b UNION ALL SELECT 'G2/M', g, 0 FROM b""")
+def arcs_from_profiles(spark, d):
+    return spark.createDataFrame(AR.arcs_from_profiles(phase_model(spark, d), ROLES), "name string, start_deg double, end_deg double")
+
+
+@query("arcs_from_dna", """
+WITH m AS (SELECT least(CAST(floor(theta_deg / 10) AS INTEGER), 35) AS i, median(area + 600 * theta_deg) AS v FROM m_placed JOIN m_cells USING (fov, cell) WHERE theta_deg IS NOT NULL GROUP BY 1 HAVING count(*) >= 5),
+s AS (SELECT a.i, any_value(a.v) AS v, avg(b.v) AS mean FROM m a JOIN m b ON b.i IN (a.i, (a.i + 1) % 36, (a.i + 35) % 36) GROUP BY 1),
+l AS (SELECT i AS low, mean AS base FROM s ORDER BY mean, i LIMIT 1), t AS (SELECT max(v) AS top FROM s),
+f AS (SELECT min(a.i) AS s FROM s a JOIN s b ON b.i = a.i + 1, l WHERE a.i >= low AND a.v >= base * 1.15 AND b.v >= base * 1.15),
+g AS (SELECT coalesce(min(s.i), 35) AS g FROM s, l, t, f WHERE s.i >= f.s AND v >= base + 0.85 * (top - base))
+SELECT 'G1' AS name, CAST(0 AS DOUBLE) AS start_deg, s * CAST(10 AS DOUBLE) AS end_deg, round(base, 4) AS g1_level, round(top, 4) AS top FROM f, l, t
+UNION ALL SELECT 'S', s * CAST(10 AS DOUBLE), g * CAST(10 AS DOUBLE), round(base, 4), round(top, 4) FROM f, g, l, t UNION ALL SELECT 'G2/M', g * CAST(10 AS DOUBLE), 0, round(base, 4), round(top, 4) FROM g, l, t""")
+def arcs_from_dna(spark, d):
+    """Arcs from a content that grows with the phase."""
+    t = T.placements(spark, d).join(T.cells(spark, d).select("fov", "cell", "area"), ["fov", "cell"]).withColumn("dna", F.col("area") + 600 * F.col("theta_deg"))
+    arcs, levels = AR.arcs_from_dna(t, "dna")
+    rows = [(a["name"], a["start_deg"], a["end_deg"], levels["g1_level"], levels["top"]) for a in arcs]
+    return spark.createDataFrame(rows, "name string, start_deg double, end_deg double, g1_level double, top double").withColumns(
+        {c: r(c, 4) for c in ("g1_level", "top")})
+
+
+# Cells right after division are thinned so that a sparse stretch exists.
+@query("post_division_arcs", """
+WITH h AS (SELECT CAST(floor(theta_deg / 5 + 0.5) AS INTEGER) % 72 AS i, count(*) AS n FROM m_placed WHERE theta_deg IS NOT NULL AND (theta_deg >= 40 OR cell % 5 = 0) GROUP BY 1),
+w AS (SELECT i, coalesce(n, 0) AS n FROM (SELECT unnest(range(72)) AS i) LEFT JOIN h USING (i)),
+s AS (SELECT a.i, sum(b.n) / 5.0 AS v FROM w a JOIN w b ON (b.i - a.i + 74) % 72 <= 4 GROUP BY 1), m AS (SELECT median(v) * 0.5 AS m FROM s),
+e AS (SELECT CASE WHEN (SELECT v FROM s WHERE i = 0) >= any_value(m) THEN NULL ELSE min(i) FILTER (v >= m) * 5.0 - 2.5 END AS e FROM s, m)
+SELECT * FROM (SELECT 'post-M' AS name, CAST(0 AS DOUBLE) AS start_deg, CAST(e AS DOUBLE) AS end_deg FROM e WHERE e > 0 AND e < 150 UNION ALL
+  SELECT 'G1', CASE WHEN e > 0 AND e < 150 THEN e ELSE 0 END, 150 FROM e UNION ALL SELECT 'S', 150, 250 UNION ALL SELECT 'G2/M', 250, 0)""")
+def post_division_arcs(spark, d):
+    t = T.placements(spark, d).where("theta_deg >= 40 or cell % 5 = 0")
+    arcs = AR.with_post_division(AR._three(0.0, 150.0, 250.0), AR.phase_density(t))
+    return spark.createDataFrame([(a["name"], float(a["start_deg"]), float(a["end_deg"])) for a in arcs], "name string, start_deg double, end_deg double")
