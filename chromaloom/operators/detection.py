@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chromaloom.session import cut
+
 from .stats import running, running_totals
 
 NODES = 25          # fixed number of quadrature nodes
@@ -133,6 +136,24 @@ def fit_quality_model(patterns: DataFrame, n_slots: int, max_iter: int = 60, tol
     return QualityModel(b, float(tau), float(last))
 
 
+def margin_model(patterns: DataFrame, n_slots: int, tau: float) -> QualityModel:
+    """The null with a stated spread and bin effects from the bins' own efficacies, in one aggregate."""
+    hits = [F.sum(F.when(F.substring("pattern", k + 1, 1) == "1", F.col("n")).otherwise(0)).alias(f"h{k}") for k in range(n_slots)]
+    row = patterns.agg(F.sum("n").alias("n"), *hits).first()
+    if not row["n"]:
+        raise ValueError("no alleles")
+    e = (np.array([row[f"h{k}"] for k in range(n_slots)], float) + 0.5) / (row["n"] + 1.0)
+    return QualityModel(np.log(e / (1 - e)), float(tau), float("nan"))
+
+
+def with_normal_tail(table: DataFrame, z: str = "z", p: str = "p") -> DataFrame:
+    """One-sided normal tail of a z column; for the few rows a slot-by-slot table has."""
+    @F.pandas_udf("double")
+    def tail(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if pd.isna(x) else 0.5 * math.erfc(x / math.sqrt(2.0)))
+    return table.withColumn(p, tail(F.col(z)))
+
+
 def posterior_efficiency(patterns: DataFrame, model: QualityModel, n_slots: int) -> DataFrame:
     """(pattern, n, u_mean, u_sd, predicted): posterior efficiency and null probabilities per slot."""
     x, logw = _nodes()
@@ -186,94 +207,106 @@ def cooccurrence_z(observed: DataFrame, patterns: DataFrame, model: QualityModel
     null = spark.createDataFrame(rows, "bin_i int, bin_j int, expected double, variance double")
     # one row per pair of slots: a pair never seen together counts as observed 0
     both = F.broadcast(null).join(observed, ["bin_i", "bin_j"], "left").withColumn("observed", F.coalesce("observed", F.lit(0)))
-    return both.select(
+    return with_normal_tail(both.select(
         "bin_i", "bin_j", "observed", "expected",
         ((F.col("observed") - F.col("expected")) / F.sqrt("variance")).alias("z"),
-        ((F.col("observed") + 1e-9) / (F.col("expected") + 1e-9)).alias("ratio"))
+        ((F.col("observed") + 1e-9) / (F.col("expected") + 1e-9)).alias("ratio")))
 
 
-def count_dispersion(patterns: DataFrame, model: QualityModel, n_boot: int = 200, seed: int = 0) -> DataFrame:
-    """Observed over expected variance of the per-allele counts, with a bootstrap p.
+def count_dispersion(patterns: DataFrame, model: QualityModel) -> DataFrame:
+    """(ratio, p, var_obs, var_model): observed over expected variance of the per-allele counts.
 
-    A replicate draws, for every allele, its efficiency and its bins; replicates
-    ride along each row as sums, so one pass yields all of them.
+    p is the upper tail of the sample variance under the null: its expectation is the variance of
+    one allele's count and its own variance follows from that count's fourth moment, both from the
+    exact distribution (a convolution over the bins), so no resampling is needed. NULL below two alleles.
     """
     x, logw = _nodes()
-    b, tau = model.b, model.tau
-    s = 1.0 / (1.0 + np.exp(-np.clip(b[None, :] + (x * tau)[:, None], -500, 500)))
-    weight = np.exp(logw)
-    ek = s.sum(1)
-    var_model = float(weight @ (s * (1 - s)).sum(1) + weight @ ek**2 - (weight @ ek) ** 2)
-    # distribution of one allele's count under the null, by convolution over the bins
-    pmf = np.zeros(len(b) + 1)
-    for k, wk in enumerate(weight):
+    s = 1.0 / (1.0 + np.exp(-np.clip(model.b[None, :] + (x * model.tau)[:, None], -500, 500)))
+    pmf = np.zeros(len(model.b) + 1)
+    for wk, seen in zip(np.exp(logw), s, strict=True):
         dist = np.array([1.0])
-        for pj in s[k]:
+        for pj in seen:
             dist = np.convolve(dist, [1 - pj, pj])
         pmf += wk * dist
-    size = F.length(F.replace(F.col("pattern"), F.lit("0"), F.lit("")))
-    obs = patterns.select(size.cast("double").alias("k"), F.col("n").cast("double").alias("n")).agg(
-        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("k")).alias("s1"), F.sum(F.col("n") * F.col("k") * F.col("k")).alias("s2"))
-    one = obs.first()
-    n = one["n"]
-    var_obs = (one["s2"] - one["s1"] ** 2 / n) / max(n - 1, 1.0)
-    ratio = var_obs / max(var_model, 1e-12)
-    spark = patterns.sparkSession
-    cells = int(n)
-
-    def replicate(batches):
-        for pdf in batches:
-            out = []
-            for rep in pdf["id"]:
-                draw = np.random.default_rng([seed, int(rep)]).multinomial(cells, pmf / pmf.sum())
-                k = np.arange(len(draw))
-                mean = (draw * k).sum() / cells
-                out.append(float((draw * (k - mean) ** 2).sum() / max(cells - 1, 1) / max(var_model, 1e-12)))
-            yield pd.DataFrame({"ratio": out})
-
-    reps = spark.range(n_boot).mapInPandas(replicate, "ratio double")
-    return reps.agg(((F.sum((F.col("ratio") >= ratio).cast("long")) + 1) / F.lit(float(n_boot + 1))).alias("p")).select(
-        F.lit(ratio).alias("ratio"), "p", F.lit(var_obs).alias("var_obs"), F.lit(var_model).alias("var_model"))
-
-
-TRADE_BLOCK = 4000   # alleles per independent trade chain
-
-
-def count_null(alleles: DataFrame, polymer: DataFrame, n_slots: int, n_samples: int = 50, seed: int = 0) -> DataFrame:
-    """Co-detection against shuffles that keep every allele's count and every bin's efficacy.
-
-    Alleles are dealt by hash into blocks of about TRADE_BLOCK; each block runs its own
-    chain of pairwise trades. Block totals add up, and since the chains are
-    independent so do their variances: all alleles take part, in bounded groups.
+    k = np.arange(len(pmf)) - pmf @ np.arange(len(pmf))
+    var_model, fourth = float(pmf @ k**2), float(pmf @ k**4)
+    size = F.length(F.replace(F.col("pattern"), F.lit("0"), F.lit(""))).cast("double")
+    n = F.col("n").cast("double")
+    obs = patterns.agg(F.sum(n).alias("a"), F.sum(n * size).alias("s1"), F.sum(n * size * size).alias("s2"))
+    a = F.col("a")
+    obs = obs.where(a > 1).withColumn("var_obs", (F.col("s2") - F.col("s1") * F.col("s1") / a) / (a - 1))
+    spread = F.sqrt((F.lit(fourth) - F.lit(var_model**2) * (a - 3) / (a - 1)) / a)
+    return with_normal_tail(obs.withColumn("z", (F.col("var_obs") - F.lit(var_model)) / spread)).select(
+        (F.col("var_obs") / F.lit(max(var_model, 1e-12))).alias("ratio"), "p", "var_obs", F.lit(var_model).alias("var_model"))
+
+
+TRADE_BLOCK = 4000   # alleles that trade together within an epoch
+EPOCHS, BURN = 5, 5  # times the alleles are dealt anew, and sweeps before an epoch's first sample
+
+
+def count_null(alleles: DataFrame, polymer: DataFrame, n_slots: int, n_samples: int = 200, seed: int = 0, block: int = TRADE_BLOCK) -> DataFrame:
+    """(bin_i, bin_j, observed, expected, variance, z, p): co-detection against shuffles that keep
+    every allele's count and every bin's efficacy.
+
+    Alleles trade in blocks of about `block`, dealt anew by hash in every epoch, so rows of any two
+    alleles can meet and only the margins of the whole table are kept, whatever its size. The
+    samples of an epoch are totals over all blocks, so expectation and variance are those of the
+    whole table and do not depend on the number of blocks. A task holds one block at a time and
+    the running totals (samples of an epoch x slots x slots); the axis may have any length.
     """
-    n_blocks = max(1, -(-alleles.count() // TRADE_BLOCK))
-    if n_slots > 62:
-        raise ValueError("the trade chain packs at most 62 slots into one row")
-    mask = polymer.groupBy("allele_id").agg(F.sum(F.expr("shiftleft(1L, slot)")).alias("bits"))
-    rows = alleles.select("allele_id").join(mask, "allele_id", "left").select(
-        F.pmod(F.xxhash64(F.lit(seed), F.col("allele_id")), F.lit(n_blocks)).cast("int").alias("block"), F.coalesce("bits", F.lit(0)).alias("bits"))
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng([seed, int(pdf["block"].iloc[0])])
-        bits = np.array([[b >> j & 1 for j in range(n_slots)] for b in pdf["bits"].tolist()], bool).reshape(len(pdf), n_slots)
-        observed = bits.astype(float).T @ bits
-        s1, s2 = np.zeros_like(observed), np.zeros_like(observed)
-        for sweep in range(5 + n_samples):
-            # all pairs of one random matching trade at once: their rows are disjoint
-            order = rng.permutation(len(bits))
-            a, b = order[: len(order) // 2], order[len(order) // 2: 2 * (len(order) // 2)]
-            differ = bits[a] ^ bits[b]
-            key = np.where(differ, rng.random(differ.shape), 2.0)
-            rank = key.argsort(1).argsort(1)
-            to_a = rank < (bits[a] & differ).sum(1, keepdims=True)
-            bits[a], bits[b] = np.where(differ, to_a, bits[a]), np.where(differ, ~to_a, bits[b])
-            if sweep >= 5:
-                c = bits.astype(float).T @ bits
-                s1, s2 = s1 + c, s2 + c * c
-        mean = s1 / n_samples
-        i, j = np.triu_indices(n_slots, 1)
-        return pd.DataFrame({"bin_i": i, "bin_j": j, "observed": observed[i, j], "expected": mean[i, j], "variance": (s2 / n_samples - mean**2)[i, j]})
-
-    per = rows.groupBy("block").applyInPandas(chain, "bin_i int, bin_j int, observed double, expected double, variance double")
-    total = per.groupBy("bin_i", "bin_j").agg(*[F.sum(c).alias(c) for c in ("observed", "expected", "variance")])
-    return total.withColumn("z", (F.col("observed") - F.col("expected")) / F.sqrt(F.greatest(F.col("variance"), F.lit(1e-12))))
+    per = polymer.groupBy("allele_id").agg(F.collect_set(F.col("slot").cast("int")).alias("slots"))
+    state = cut(alleles.select("allele_id").join(per, "allele_id", "left").select(
+        F.col("allele_id").cast("long").alias("allele_id"), F.coalesce("slots", F.array().cast("array<int>")).alias("slots")))
+    n_blocks = max(1, -(-state.count() // block))
+    share = [n_samples // EPOCHS + (e < n_samples % EPOCHS) for e in range(EPOCHS)]
+    totals = None
+
+    def epoch(number: int, wanted: int):
+        def trade(batches):
+            sums, held, key = np.zeros((wanted, n_slots, n_slots)), [], None
+
+            def run():
+                rng = np.random.default_rng([seed, number, key])
+                order = sorted(held)
+                bits = np.zeros((len(order), n_slots), bool)
+                for r, (_, slots) in enumerate(order):
+                    bits[r, slots] = True
+                for sweep in range(BURN + wanted):
+                    # all pairs of one random matching trade at once: their rows are disjoint
+                    at = rng.permutation(len(bits))
+                    a, b = at[: len(at) // 2], at[len(at) // 2: 2 * (len(at) // 2)]
+                    differ = bits[a] ^ bits[b]
+                    lot = np.where(differ, rng.random(differ.shape), 2.0).argsort(1).argsort(1)
+                    to_a = lot < (bits[a] & differ).sum(1, keepdims=True)
+                    bits[a], bits[b] = np.where(differ, to_a, bits[a]), np.where(differ, ~to_a, bits[b])
+                    if sweep >= BURN:
+                        sums[sweep - BURN] += bits.astype(float).T @ bits
+                return pd.DataFrame({"sample": -1, "i": -1, "c": [[]] * len(order), "allele_id": [k for k, _ in order],
+                                     "slots": [np.flatnonzero(r).tolist() for r in bits]})
+
+            for pdf in batches:
+                for k, allele, slots in zip(pdf["block"], pdf["allele_id"], pdf["slots"], strict=True):
+                    if held and k != key:
+                        yield run()
+                        held.clear()
+                    key = int(k)
+                    held.append((int(allele), [int(v) for v in slots]))
+            if held:
+                yield run()
+            flat = [(j, i, sums[j, i].tolist(), None, None) for j in range(wanted) for i in range(n_slots)]
+            yield pd.DataFrame(flat, columns=["sample", "i", "c", "allele_id", "slots"])
+        return trade
+
+    for number, wanted in enumerate(share):
+        dealt = state.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), F.lit(number), "allele_id"), F.lit(n_blocks)).cast("int"))
+        out = cut(dealt.repartition("block").sortWithinPartitions("block").mapInPandas(
+            epoch(number, wanted), "sample int, i int, c array<double>, allele_id long, slots array<int>"))
+        state = out.where("sample < 0").select("allele_id", "slots")
+        sums = out.where("sample >= 0").select((F.col("sample") + sum(share[:number])).alias("sample"), F.col("i").alias("bin_i"), F.posexplode("c").alias("bin_j", "c"))
+        totals = sums if totals is None else totals.unionByName(sums)
+    per_sample = totals.where("bin_i < bin_j").groupBy("sample", "bin_i", "bin_j").agg(F.sum("c").alias("c"))
+    null = per_sample.groupBy("bin_i", "bin_j").agg(F.avg("c").alias("expected"), F.var_pop("c").alias("variance"))
+    seen = cooccurrence(polymer.join(alleles.select("allele_id"), "allele_id", "left_semi")).where("bin_i < bin_j")
+    both = null.join(seen, ["bin_i", "bin_j"], "left").withColumn("observed", F.coalesce("observed", F.lit(0)).cast("double"))
+    z = (F.col("observed") - F.col("expected")) / F.sqrt(F.greatest(F.col("variance"), F.lit(1e-12)))
+    return with_normal_tail(both.select("bin_i", "bin_j", "observed", "expected", "variance", z.alias("z")))

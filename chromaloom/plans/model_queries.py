@@ -50,6 +50,62 @@ def count_dispersion(spark, d):
     return DET.count_dispersion(p, DET.fit_quality_model(p, T.N_SLOTS))
 
 
+# The null with a stated spread: bin effects from the efficacies, quadrature nodes by rule.
+GIVEN_TAU = 0.7
+GIVEN_SQL = f"""
+pat AS MATERIALIZED (SELECT pattern, count(*) AS n FROM (SELECT a.allele_id, string_agg(CASE WHEN p.slot IS NULL THEN '0' ELSE '1' END, '' ORDER BY s.slot) AS pattern
+  FROM m_alleles a CROSS JOIN (SELECT unnest(range(7)) AS slot) s LEFT JOIN m_polymer p ON p.allele_id = a.allele_id AND p.slot = s.slot GROUP BY 1) GROUP BY 1),
+nodes AS (SELECT * FROM (VALUES {", ".join(f"({k}, CAST({x!r} AS DOUBLE), CAST({w!r} AS DOUBLE))" for k, (x, w) in enumerate(zip(*(v.tolist() for v in DET._nodes()), strict=True)))}) AS t(k, x, lw)),
+bits AS MATERIALIZED (SELECT pattern, n, j, substr(pattern, CAST(j AS INTEGER) + 1, 1) = '1' AS hit FROM pat, (SELECT unnest(range(7)) AS j)),
+eff AS (SELECT j, ln(e / (1 - e)) AS b FROM (SELECT j, (sum(CASE WHEN hit THEN n ELSE 0 END) + 0.5) / (sum(n) + CAST(1 AS DOUBLE)) AS e FROM bits GROUP BY 1)),
+sg AS MATERIALIZED (SELECT k, j, x * {GIVEN_TAU} AS u, lw, 1 / (1 + exp(-(b + x * {GIVEN_TAU}))) AS s FROM nodes, eff),
+post AS MATERIALIZED (SELECT pattern, n, k, u, exp(l - max(l) OVER (PARTITION BY pattern)) / sum(exp(l - mx)) OVER (PARTITION BY pattern) AS q FROM (
+  SELECT *, max(l) OVER (PARTITION BY pattern) AS mx FROM (SELECT pattern, n, k, any_value(u) AS u, any_value(lw) + sum(CASE WHEN hit THEN ln(s) ELSE ln(1 - s) END) AS l FROM bits JOIN sg USING (j) GROUP BY 1, 2, 3)))"""
+
+
+def given_null(spark, d):
+    p = patterns(spark, d)
+    return p, DET.margin_model(p, T.N_SLOTS, GIVEN_TAU)
+
+
+@query("posterior_efficiency_given", f"""
+WITH {GIVEN_SQL}, m AS (SELECT pattern, any_value(n) AS n, sum(q * u) AS um, sum(q * u * u) AS u2 FROM post GROUP BY 1),
+pr AS (SELECT pattern, sum(q * s) AS p0 FROM post JOIN sg USING (k) WHERE j = 0 GROUP BY 1)
+SELECT pattern, n, round(um, 6) AS u_mean, round(sqrt(greatest(u2 - um * um, 0)), 6) AS u_sd, round(p0, 6) AS predicted_first FROM m JOIN pr USING (pattern)""")
+def posterior_efficiency_given(spark, d):
+    """Posterior of every pattern's efficiency under the stated null."""
+    p, m = given_null(spark, d)
+    out = DET.posterior_efficiency(p, m, T.N_SLOTS)
+    return out.select("pattern", "n", r("u_mean").alias("u_mean"), r("u_sd").alias("u_sd"), r(F.get("predicted", 0)).alias("predicted_first"))
+
+
+@query("cooccurrence_z_given", f"""
+WITH {GIVEN_SQL}, w AS (SELECT k, sum(n * q) AS w FROM post GROUP BY 1), mm AS (SELECT a.k AS k, b.k AS l, sum(a.n * a.q * b.q) AS m FROM post a JOIN post b USING (pattern) GROUP BY 1, 2),
+pr AS MATERIALIZED (SELECT a.k, a.j AS bin_i, b.j AS bin_j, a.s * b.s AS p FROM sg a JOIN sg b ON a.k = b.k AND a.j < b.j),
+e AS (SELECT bin_i, bin_j, sum(w * p) AS e FROM pr JOIN w USING (k) GROUP BY 1, 2),
+v AS (SELECT x.bin_i, x.bin_j, sum(x.p * m * y.p) AS v FROM pr x JOIN mm ON mm.k = x.k JOIN pr y ON y.k = mm.l AND y.bin_i = x.bin_i AND y.bin_j = x.bin_j GROUP BY 1, 2),
+o AS (SELECT a.j AS bin_i, b.j AS bin_j, sum(a.n) AS o FROM bits a JOIN bits b ON a.pattern = b.pattern AND a.j < b.j WHERE a.hit AND b.hit GROUP BY 1, 2)
+SELECT CAST(bin_i AS INTEGER) AS bin_i, CAST(bin_j AS INTEGER) AS bin_j, CAST(coalesce(o, 0) AS BIGINT) AS observed, round(e, 4) AS expected, round((coalesce(o, 0) - e) / sqrt(greatest(e - v, 1e-12)), 4) AS z
+FROM e JOIN v USING (bin_i, bin_j) LEFT JOIN o USING (bin_i, bin_j)""")
+def cooccurrence_z_given(spark, d):
+    """Co-detection z of every pair of slots under the stated null."""
+    p, m = given_null(spark, d)
+    z = DET.cooccurrence_z(DET.cooccurrence(polymer_of(spark, d)), p, m, T.N_SLOTS)
+    return z.select("bin_i", "bin_j", F.col("observed").cast("long").alias("observed"), r("expected", 4).alias("expected"), r("z", 4).alias("z"))
+
+
+@query("count_dispersion_given", f"""
+WITH RECURSIVE {GIVEN_SQL}, cv AS (SELECT k, any_value(exp(lw)) AS w, CAST(-1 AS BIGINT) AS j, 0 AS c, CAST(1 AS DOUBLE) AS p FROM sg GROUP BY 1
+  UNION ALL SELECT k, w, j, c, sum(p) FROM (SELECT cv.k, cv.w, sg.j, cv.c + h AS c, cv.p * CASE WHEN h = 1 THEN s ELSE 1 - s END AS p FROM cv JOIN sg ON sg.k = cv.k AND sg.j = cv.j + 1, (VALUES (0), (1)) hh(h)) GROUP BY k, w, j, c),
+pmf AS (SELECT c, sum(w * p) AS p FROM cv WHERE j = 6 GROUP BY 1), mu AS (SELECT sum(p * c) AS mu FROM pmf),
+mo AS (SELECT sum(p * pow(c - mu, 2)) AS v, sum(p * pow(c - mu, 4)) AS f FROM pmf, mu),
+ob AS (SELECT sum(n) AS a, var_samp_n AS var_obs FROM (SELECT n, (sum(n * c * c) OVER () - pow(sum(n * c) OVER (), 2) / sum(n) OVER ()) / (sum(n) OVER () - 1) AS var_samp_n FROM (SELECT n, CAST(length(replace(pattern, '0', '')) AS DOUBLE) AS c FROM pat)) GROUP BY 2)
+SELECT round(var_obs / v, 6) AS ratio, round(var_obs, 6) AS var_obs, round(v, 6) AS var_model FROM ob, mo""")
+def count_dispersion_given(spark, d):
+    """Spread of the per-allele counts against the stated null."""
+    return DET.count_dispersion(*given_null(spark, d)).select(*[r(c).alias(c) for c in ("ratio", "var_obs", "var_model")])
+
+
 def composed(spark, d):
     """Cells with their whole-panel counts: one gene per (modality, round)."""
     s = T.spots(spark, d).where((F.col("cell") >= 0) & (F.col("p_exist").isNull() | (F.col("p_exist") >= 0.5)))
@@ -250,7 +306,7 @@ def stream_latest_verdict(spark, d):
 @query("count_null")
 def count_null(spark, d):
     """Co-detection z against margin-preserving trades, over all alleles."""
-    return DET.count_null(T.alleles(spark, d), polymer_of(spark, d), T.N_SLOTS, n_samples=20)
+    return DET.count_null(T.alleles(spark, d), polymer_of(spark, d), T.N_SLOTS)
 
 
 def _poisson(u: str) -> str:

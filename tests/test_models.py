@@ -122,10 +122,54 @@ def test_trades_keep_margins_and_find_linked_bins(spark):
     alleles = spark.createDataFrame([(k,) for k in range(3000)], "allele_id long")
     polymer = spark.createDataFrame([(int(a), int(s)) for a, s in np.argwhere(x)], "allele_id long, slot int")
     got = detection.count_null(alleles, polymer, 5, 60).toPandas().set_index(["bin_i", "bin_j"])
-    assert got.loc[(0, 1), "z"] > 8 and got.z.drop((0, 1)).abs().max() < 5
+    # rows keep their counts, so the excess of one pair is a deficit spread over the nine others
+    others = got.drop((0, 1))
+    assert got.loc[(0, 1), "z"] > 20 and others.z.max() < 3 and others.z.min() > -8
+    assert (others.observed - others.expected).sum() == pytest.approx(got.loc[(0, 1), "expected"] - got.loc[(0, 1), "observed"])
     assert got.loc[(0, 2), "observed"] == (x[:, 0] & x[:, 2]).sum()
 
 
+def test_trades_do_not_depend_on_the_number_of_blocks(spark):
+    rng = np.random.default_rng(7)
+    # two halves of the table differ in efficacy: blocks that kept their own margins would hide it
+    x = rng.random((600, 4)) < np.where(np.arange(600)[:, None] < 300, 0.8, 0.2)
+    alleles = spark.createDataFrame([(k,) for k in range(600)], "allele_id long")
+    polymer = spark.createDataFrame([(int(a), int(s)) for a, s in np.argwhere(x)], "allele_id long, slot int")
+    one = detection.count_null(alleles, polymer, 4, 60).toPandas().sort_values(["bin_i", "bin_j"])
+    many = detection.count_null(alleles, polymer, 4, 60, block=60).toPandas().sort_values(["bin_i", "bin_j"])
+    assert np.allclose(one.expected, many.expected, rtol=0.03) and np.allclose(one.observed, many.observed)
+    # a row keeps its count, so the expected pairs over all bins add up to those of the rows
+    k = x.sum(1)
+    assert one.expected.sum() == pytest.approx((k * (k - 1) / 2).sum()) == many.expected.sum()
+    assert ((one.p >= 0) & (one.p <= 1)).all()
+
+
+def test_a_wide_axis_has_a_count_null(spark):
+    rng = np.random.default_rng(8)
+    x = rng.random((120, 90)) < 0.3
+    alleles = spark.createDataFrame([(k,) for k in range(130)], "allele_id long")       # ten were never traced
+    polymer = spark.createDataFrame([(int(a), int(s)) for a, s in np.argwhere(x)], "allele_id long, slot int")
+    got = detection.count_null(alleles, polymer, 90, 10, block=50)
+    assert got.count() == 90 * 89 // 2 and got.where("expected < 0").count() == 0
+
+
+def test_count_dispersion_tail(spark):
+    rng = np.random.default_rng(9)
+
+    def table(u):
+        x = rng.random((4000, 6)) < 1 / (1 + np.exp(-u[:, None]))
+        return spark.createDataFrame(pd.Series(["".join("01"[v] for v in row) for row in x.astype(int)]).value_counts().rename_axis("pattern").reset_index(name="n"))
+
+    def p_of(u, tau):
+        t = table(u)
+        return detection.count_dispersion(t, detection.margin_model(t, 6, tau)).first()
+    same, wide = p_of(np.zeros(4000), 1e-4), p_of(rng.normal(0, 1.0, 4000), 1e-4)
+    assert 0.001 < same["p"] < 0.999 and same["ratio"] == pytest.approx(1.0, abs=0.1)
+    assert wide["p"] < 1e-6 and wide["ratio"] > 1.5
+    with pytest.raises(ValueError):
+        detection.margin_model(table(np.zeros(4000)).limit(0), 6, 1.0)
+
+
 def test_fit_gate_names_the_first_reason(spark):
     from pyspark.sql import functions as F
 
