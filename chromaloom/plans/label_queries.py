@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from chromaloom.functions.scalar import r
+from chromaloom.operators import clicks as CK
 from chromaloom.operators import labels as L
 from chromaloom.sources import tables as T
 
@@ -70,3 +71,24 @@ def label_holdout(spark, d):
     """Whole keys go to one side (seeded hash); counts per side."""
     side = L.holdout(L.spot_votes(T.shown(latest(spark, d))), "key", 0.3, seed=7)
     return side.groupBy("held_out").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("n_keys"))
+
+
+ADDED_SQL = """
+SELECT key, reviewer, CAST((line_no * 37) % 240 AS DOUBLE) / 2 AS y, CAST((line_no * 91 + page) % 300 AS DOUBLE) / 3 AS x FROM m_latest"""
+
+
+@query("added_click_spots", f"""
+WITH RECURSIVE cl AS ({ADDED_SQL}), o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key ORDER BY y, x, reviewer) AS i FROM cl),
+st AS (SELECT key, CAST(0 AS BIGINT) AS i, []::STRUCT(y DOUBLE, x DOUBLE, n BIGINT, w VARCHAR[])[] AS s FROM (SELECT DISTINCT key FROM o)
+  UNION ALL SELECT key, i, CASE WHEN hit IS NULL THEN list_append(s, {{'y': y, 'x': x, 'n': 1::BIGINT, 'w': [reviewer]}})
+    ELSE list_transform(s, lambda c, k: CASE WHEN k = hit THEN {{'y': c.y + y, 'x': c.x + x, 'n': c.n + 1, 'w': list_append(c.w, reviewer)}} ELSE c END) END
+  FROM (SELECT o.key, o.i, o.y, o.x, o.reviewer, st.s, nullif(coalesce(list_position(list_transform(st.s, lambda c: pow(c.y / c.n - o.y, 2) + pow(c.x / c.n - o.x, 2) <= 16), true), 0), 0) AS hit
+    FROM st JOIN o ON o.key = st.key AND o.i = st.i + 1)),
+last AS (SELECT key, s FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY i DESC) AS rn FROM st) WHERE rn = 1)
+SELECT key, round(c.y / c.n, 3) AS y, round(c.x / c.n, 3) AS x, c.n AS n_clicks, len(list_distinct(c.w))::BIGINT AS added_by FROM (SELECT key, unnest(s) AS c FROM last)""")
+def added_click_spots(spark, d):
+    """Clicks of the latest records, one spot per place, with how many reviewers marked it."""
+    newest = latest(spark, d)
+    clicks = newest.select("key", "reviewer", (F.pmod(F.col("line_no") * 37, F.lit(240)).cast("double") / 2).alias("y"),
+                           (F.pmod(F.col("line_no") * 91 + F.col("page"), F.lit(300)).cast("double") / 3).alias("x"))
+    return CK.added_spots(clicks).select("key", r("y", 3).alias("y"), r("x", 3).alias("x"), "n_clicks", F.size("reviewers").cast("long").alias("added_by"))
