@@ -123,3 +123,57 @@ def spot_sheet_adjusted(spark, d):
     um = p.select("fov", "uid", "cell", "modality", "hybe", *X.scaled("adj"))
     return um.select("fov", "uid", "cell", "modality", "hybe", r(F.col("adj_y_um") + 3.3333e-9).alias("adj_y_um"),
                      r(F.col("adj_x_um") + 3.3333e-9).alias("adj_x_um"), r("adj_z_um").alias("adj_z_um"))
+
+
+# Stored keys are bare in the first fields and (hybe, channel) later; some raw lists lost an entry,
+# some alleles carry a stored collapse, some rounds were rejected or lost their fiducial.
+SHEET_SQL = """
+ax AS (SELECT CAST(i AS INTEGER) AS bin_index, CAST(101 + i AS INTEGER) AS readout_id, CASE WHEN i < 5 THEN 'Hyb_00' || CAST(i + 1 AS VARCHAR) ELSE '' END AS hybe, CASE WHEN i < 5 THEN 488 ELSE 0 END AS channel FROM (SELECT unnest(range(6)) AS i)),
+al AS (SELECT *, CASE WHEN allele_id % 3 <> 0 THEN 'DNA' END AS modality FROM m_alleles),
+ca AS MATERIALIZED (SELECT fov, allele_id, 'Hyb_00' || CAST(slot + 1 AS VARCHAR) AS hybe, CASE WHEN slot < 5 THEN slot ELSE -1 END AS bin_index, CASE WHEN slot < 5 OR fov >= 12 THEN 488 ELSE 0 END AS channel,
+  cand, y, x, z, amplitude, row_number() OVER (PARTITION BY allele_id, slot ORDER BY cand, amplitude) - 1 AS k FROM m_candidates),
+nn AS (SELECT allele_id, hybe, count(*) AS n, count(*) FILTER (cand % 7 <> 0) AS n_raw FROM ca GROUP BY 1, 2),
+rows AS (SELECT a.allele_id, ax.bin_index, ax.hybe, ax.channel, ax.readout_id, 'H' AS datatype FROM al a CROSS JOIN ax
+  UNION ALL SELECT DISTINCT allele_id, -1, hybe, channel, NULL, NULL FROM ca WHERE bin_index < 0),
+fin AS (SELECT allele_id, ax.bin_index, CAST(ax.bin_index AS DOUBLE) AS y, CAST(allele_id % 100 AS DOUBLE) AS x, CAST(2 AS DOUBLE) AS z FROM al CROSS JOIN ax WHERE allele_id % 11 = 0
+  UNION ALL SELECT allele_id, bin_index, y, x, z FROM (SELECT *, row_number() OVER (PARTITION BY allele_id, bin_index ORDER BY amplitude DESC, k) AS rn FROM ca WHERE bin_index >= 0) WHERE rn = 1 AND allele_id % 11 <> 0),
+lay AS (SELECT hybe, readout_id, datatype, readout_name FROM m_layout WHERE modality = 'DNA')"""
+
+
+def stored_alleles(spark, d):
+    """(alleles, traces, fiducials, rejections, axis, records) as a traced store would hold them."""
+    from pyspark.sql import Window
+
+    a = T.alleles(spark, d)
+    place = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.struct(i.cast("double").alias("y"), (F.col("allele_id") % 100).cast("double").alias("x"), F.lit(2.0).alias("z")))
+    alleles = a.select("fov", "cell", "allele_id", F.when(F.col("allele_id") % 3 != 0, "DNA").alias("modality"), F.when(F.col("allele_id") % 11 == 0, place).alias("final_polymer"),
+                       F.col("allele_id").alias("anchor_uid"))
+    w = Window.partitionBy("allele_id", "slot").orderBy("cand", "amplitude")
+    c = T.candidates(spark, d).select("fov", "allele_id", F.concat(F.lit("Hyb_00"), (F.col("slot") + 1).cast("string")).alias("hybe"), F.when(F.col("fov") >= 12, 488).alias("channel"),
+                                      (F.row_number().over(w) - 1).alias("k"), "cand", "y", "x", "z", "amplitude", "quality")
+    values = ["k", "y", "x", "z", "amplitude", "quality"]
+    traces = c.select("fov", "allele_id", "hybe", "channel", F.lit("adj").alias("side"), *values).unionByName(
+        c.where("cand % 7 <> 0").select("fov", "allele_id", "hybe", "channel", F.lit("raw").alias("side"), "k", (F.col("y") + 1).alias("y"), *values[2:]))
+    keys = ["fov", "allele_id", "hybe", "channel"]
+    fiducials = c.where("hybe in ('Hyb_001', 'Hyb_002', 'Hyb_006')").groupBy(*keys).agg(F.min("y").alias("y")).select(
+        *keys, F.when(F.col("allele_id") % 5 != 0, F.col("y")).alias("fiducial_adj_y"))
+    rejections = a.where("allele_id % 13 = 0").select("fov", "allele_id", F.lit("Hyb_003").alias("hybe"), F.lit(None).cast("int").alias("channel"), F.lit("no peak").alias("rejected_reason"))
+    axis = spark.createDataFrame([(i, 101 + i, f"Hyb_00{i + 1}" if i < 5 else "", 488 if i < 5 else None) for i in range(6)], "bin_index int, readout_id int, hybe string, channel int")
+    return alleles, traces, fiducials, rejections, axis, T.layout(spark, d).where("modality = 'DNA'")
+
+
+@query("allele_sheet", f"""WITH {SHEET_SQL}
+SELECT r.allele_id, r.bin_index, r.hybe, r.channel AS readout_channel, coalesce(r.readout_id, lay.readout_id, -1) AS readout_id, coalesce(r.datatype, lay.datatype, '') AS datatype, coalesce(readout_name, '') AS readout_name,
+  CAST(coalesce(ca.k, -1) AS INTEGER) AS candidate_index, coalesce(nn.n, 0) AS n_candidates, CASE WHEN r.allele_id % 11 = 0 THEN 'stored' ELSE 'computed' END AS selection_rule,
+  coalesce(abs(ca.x - f.x) <= 0.01 AND abs(ca.y - f.y) <= 0.01 AND abs(ca.z - f.z) <= 0.01, FALSE) AS is_selected, CASE WHEN r.allele_id % 13 = 0 AND r.bin_index = 2 THEN 'no peak' ELSE '' END AS rejected_reason,
+  ca.k IS NOT NULL AND r.hybe IN ('Hyb_001', 'Hyb_002', 'Hyb_006') AND r.allele_id % 5 <> 0 AS fiducial_found, ca.x AS readout_adj_x, CASE WHEN n = n_raw THEN ca.y + 1 END AS readout_raw_y, f.x AS final_x,
+  coalesce(a.modality, 'RNA') AS modality, CASE WHEN a.modality IS NULL THEN 'assumed' ELSE 'provenance' END AS modality_source, coalesce(c.celltype, '') AS celltype
+FROM rows r JOIN al a USING (allele_id) LEFT JOIN m_cells c ON c.fov = a.fov AND c.cell = a.cell LEFT JOIN lay ON lay.hybe = r.hybe
+LEFT JOIN ca ON ca.allele_id = r.allele_id AND ca.hybe = r.hybe LEFT JOIN nn ON nn.allele_id = r.allele_id AND nn.hybe = r.hybe LEFT JOIN fin f ON f.allele_id = r.allele_id AND f.bin_index = r.bin_index""")
+def allele_sheet(spark, d):
+    """The whole sheet: axis of six slots (one never imaged), QC rounds behind the bins."""
+    from chromaloom.operators import allele_sheet as S
+
+    out = S.allele_sheet(*stored_alleles(spark, d), T.cells(spark, d), "RNA")
+    return out.select("allele_id", "bin_index", "hybe", "readout_channel", "readout_id", "datatype", "readout_name", "candidate_index", "n_candidates", "selection_rule", "is_selected",
+                      "rejected_reason", "fiducial_found", "readout_adj_x", "readout_raw_y", "final_x", "modality", "modality_source", "celltype")
