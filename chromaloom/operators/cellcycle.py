@@ -182,13 +182,16 @@ def direction_ci(table: DataFrame, by: list[str], n_boot: int = 500, seed: int =
     """Half width of the bootstrap 95% interval of each group's mean direction.
 
     A Poisson bootstrap in columns: every cell draws its multiplicity in every replicate
-    from integer arithmetic on its id, so a task emits (groups x replicates) sums, no
-    resample is shuffled and the draw can be repeated outside Spark.
+    from two 30-bit words of an MD5 of (seed, fov, cell), so a task emits (groups x replicates)
+    sums, no resample is shuffled and the draw can be repeated outside Spark. Two cells draw alike
+    in all replicates only if all 60 bits agree.
     """
-    rows = table.where(F.col(theta).isNotNull()).select(*by, F.radians(theta).alias("__t"), F.pmod(F.col("cell"), F.lit(1000003)).alias("__c"))
+    word = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("fov").cast("string"), F.col("cell").cast("string")))
+    halves = [F.conv(F.substring(word, at, 8), 16, 10).cast("long") % (1 << 30) for at in (1, 9)]
+    rows = table.where(F.col(theta).isNotNull()).select(*by, F.radians(theta).alias("__t"), halves[0].alias("__c"), halves[1].alias("__s"))
     prime = F.lit(2147483647).cast("long")
-    drawn = rows.select(*by, F.cos("__t").alias("__x"), F.sin("__t").alias("__y"), "__c", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("__b"))
-    u = F.pmod(F.pmod(F.pmod(F.col("__c") * 7919 + F.col("__b").cast("long") * 104729 + F.lit(seed), prime) * 48271, prime) * 48271, prime)
+    drawn = rows.select(*by, F.cos("__t").alias("__x"), F.sin("__t").alias("__y"), "__c", "__s", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("__b"))
+    u = F.pmod(F.pmod(F.pmod(F.col("__c") + (F.col("__b").cast("long") + 1) * F.col("__s"), prime) * 48271, prime) * 48271, prime)
     drawn = drawn.withColumn("__u", u)
     times = sum(((F.col("__u") >= t).cast("int") for t in POISSON_STEPS[1:]), (F.col("__u") >= POISSON_STEPS[0]).cast("int"))
     sums = drawn.groupBy(*by, "__b").agg(F.sum(times * F.col("__x")).alias("c"), F.sum(times * F.col("__y")).alias("s"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,11 +135,11 @@ def ring_pairs(alleles: DataFrame, seed: int, lag: int = 1, group: list[str] | N
 
     Alleles are dealt into hash buckets of about PAIR_BUCKET (per `group`), put in
     the order of a second hash and paired with their next `lag` neighbours. This is
-    the sampling operator behind the across-cell null. The hashes are plain integer
-    arithmetic, so a sample can be reproduced outside Spark.
+    the sampling operator behind the across-cell null. The hash is 60 bits of an MD5 of
+    seed and id, so any number of alleles spreads and a sample can be reproduced outside Spark.
     """
     group = group or []
-    mix = F.pmod(F.col("allele_id") * 7919 + F.lit(seed * 104729), F.lit(1000003))
+    mix = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("allele_id").cast("string"))), 1, 15), 16, 10).cast("long")
     mixed = alleles.select("fov", "cell", "allele_id", mix.alias("mix"))
     # the number of buckets follows the group's own size, so a small group is never torn apart
     sizes = alleles.groupBy(*group).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(float(PAIR_BUCKET)))).cast("long").alias("__buckets"))
@@ -204,3 +205,42 @@ def student_two_sided(t: float, df: float) -> float:
     if x < (a + 1.0) / (a + b + 2.0):
         return front * fraction(x, a, b) / a
     return 1.0 - front * fraction(1.0 - x, b, a) / b
+
+
+MIN_SHARED = 10      # fixed: map entries two alleles must share before their difference counts
+
+
+def pair_msd(diffs: DataFrame, min_shared: int = MIN_SHARED) -> DataFrame:
+    """Mean squared difference of allele pairs that share enough entries."""
+    return diffs.where(F.col("n_shared") >= min_shared).withColumn("msd", F.col("sum_sq") / F.col("n_shared"))
+
+
+def with_tail(table: DataFrame, t: str = "t", df: str = "df") -> DataFrame:
+    """p, neglog10p and signed_neglog10p of a Welch table: one row per test, after aggregation."""
+    @F.pandas_udf("double")
+    def tail(tv: pd.Series, dv: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(a) or pd.isna(b) else student_two_sided(float(a), float(b)) for a, b in zip(tv, dv)], dtype=float)
+
+    scored = table.withColumn("p", tail(F.col(t), F.col(df)))
+    score = -F.log10(F.greatest(F.col("p"), F.lit(1e-300)))
+    return scored.withColumns({"neglog10p": score, "signed_neglog10p": F.signum(F.col(t)) * score})
+
+
+def fov_scores(cross: DataFrame) -> DataFrame:
+    """(fov, n_with, n_without, m_with, m_without, t, df, p, neglog10p, signed_neglog10p).
+
+    cross(fov_a, fov_b, msd): the pairs that link two fields. A field's own pairs are tested against
+    the pairs that do not touch it; only a deviant field scores strongly positive. Per-field sums
+    and one total give every split, so the pairs are read once. NULL under three pairs a side.
+    """
+    touched = cross.select(F.explode(F.array("fov_a", "fov_b")).alias("fov"), "msd").groupBy("fov").agg(
+        F.count(F.lit(1)).alias("n_with"), F.sum("msd").alias("s1"), F.sum(F.col("msd") * F.col("msd")).alias("q1"))
+    total = cross.agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum("msd").alias("s"), F.sum(F.col("msd") * F.col("msd")).alias("q")).alias("all"))
+    j = touched.withColumn("all", total.scalar()).withColumn("n_without", F.col("all.n") - F.col("n_with"))
+    m1, m2 = F.col("s1") / F.col("n_with"), F.try_divide(F.col("all.s") - F.col("s1"), F.col("n_without"))
+    enough = (F.col("n_with") >= 3) & (F.col("n_without") >= 3)
+    v1 = F.when(enough, (F.col("q1") - F.col("s1") * m1) / (F.col("n_with") - 1)) / F.col("n_with")
+    v2 = F.when(enough, (F.col("all.q") - F.col("q1") - (F.col("all.s") - F.col("s1")) * m2) / (F.col("n_without") - 1)) / F.col("n_without")
+    df = F.try_divide((v1 + v2) * (v1 + v2), v1 * v1 / (F.col("n_with") - 1) + v2 * v2 / (F.col("n_without") - 1))
+    out = j.select("fov", "n_with", "n_without", m1.alias("m_with"), m2.alias("m_without"), F.try_divide(m1 - m2, F.sqrt(v1 + v2)).alias("t"), df.alias("df"))
+    return with_tail(out)

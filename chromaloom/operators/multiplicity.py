@@ -11,15 +11,20 @@ from .stats import exact_quantiles
 
 KEYS = ["fov", "cell"]
 CONTAMINATION = 0.05
-MAX_ALLELES = 4
+MAX_ALLELES, MIN_SUPPORT = 3, 8
 
 
-def bin_counts(points: DataFrame, n_slots: int) -> DataFrame:
-    """(fov, cell, counts): spots per slot over the whole axis, empty slots included."""
+def bin_counts(points: DataFrame, n_slots: int, cells: DataFrame | None = None) -> DataFrame:
+    """(fov, cell, counts): spots per slot over the whole axis, empty slots included.
+
+    `cells` adds those without any spot; spots outside its cells are left out.
+    """
     per = points.groupBy(*KEYS, "slot").agg(F.count(F.lit(1)).alias("c"))
     # at most n_slots entries per cell
     got = per.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct("slot", "c"))).alias("m"))
     axis = F.sequence(F.lit(0), F.lit(n_slots - 1))
+    if cells is not None:
+        got = cells.select(*KEYS).join(got, KEYS, "left").withColumn("m", F.coalesce("m", F.create_map().cast(got.schema["m"].dataType)))
     return got.select(*KEYS, F.transform(axis, lambda s: F.coalesce(F.try_element_at("m", s), F.lit(0))).cast("array<int>").alias("counts"))
 
 
@@ -29,11 +34,13 @@ def _log_binomial(c: Column, k: int, log_e: Column, log_miss: Column) -> Column:
     return F.when(c <= k, choose + c * log_e + (F.lit(k) - c) * log_miss)
 
 
-def binomial_multiplicity(counts: DataFrame, max_alleles: int = MAX_ALLELES, contamination: float = CONTAMINATION) -> DataFrame:
-    """(fov, cell, k, efficiency, loglik): binomial counts with uniform contamination.
+def binomial_multiplicity(counts: DataFrame, max_alleles: int = MAX_ALLELES, contamination: float = CONTAMINATION,
+                          min_support: int = MIN_SUPPORT) -> DataFrame:
+    """(fov, cell, k, efficiency, loglik, reason): binomial counts with uniform contamination.
 
     The smallest k within one nat of the best wins. Everything is array arithmetic on
-    the bounded count vector.
+    the bounded count vector. Fewer than `min_support` bins give no k (reason `few bins`), a cell
+    without a spot has k 0 and efficiency 0 (`no spots`).
     """
     c = F.col("counts")
     n = F.size(c)
@@ -57,7 +64,13 @@ def binomial_multiplicity(counts: DataFrame, max_alleles: int = MAX_ALLELES, con
     best = F.greatest(*[F.col(f"ll{k}") for k in range(1, max_alleles + 1)])
     pick = F.coalesce(*[F.when(F.col(f"ll{k}") >= best - 1.0, F.struct(
         F.lit(k).alias("k"), F.col(f"e{k}").alias("efficiency"), F.col(f"ll{k}").alias("loglik"))) for k in range(1, max_alleles + 1)])
-    return df.select(*KEYS, pick.alias("p")).select(*KEYS, "p.*")
+    few, bare = n < min_support, F.coalesce(F.array_max(c), F.lit(0)) == 0
+    nothing = F.lit(None)
+    return df.select(*KEYS, pick.alias("p"), few.alias("few"), bare.alias("bare")).select(
+        *KEYS, F.when(F.col("few"), nothing).when(F.col("bare"), F.lit(0)).otherwise(F.col("p.k")).alias("k"),
+        F.when(F.col("few"), nothing).when(F.col("bare"), F.lit(0.0)).otherwise(F.col("p.efficiency")).alias("efficiency"),
+        F.when(F.col("few") | F.col("bare"), nothing).otherwise(F.col("p.loglik")).alias("loglik"),
+        F.when(F.col("few"), "few bins").when(F.col("bare"), "no spots").otherwise("fitted").alias("reason"))
 
 
 def repeat_calibration(vectors: DataFrame, iters: int = 30) -> dict[str, float]:

@@ -118,7 +118,7 @@ def composed(spark, d):
 def cycle_model_fit(spark, d):
     """The fitted ring: intercept, harmonics and information share per gene."""
     cells, genes = composed(spark, d)
-    m = CM.fit(cut(cells), genes, alpha=20.0, iters=6)
+    m = CM.fit(cut(cells), genes, alpha=100.0, iters=40)
     share = CM.fisher_share(m)
     rows = [(g, float(m.intercept[k]), [float(v) for v in m.coef[k]], float(share[g]), len(m.history)) for k, g in enumerate(genes)]
     return spark.createDataFrame(rows, "gene string, intercept double, harmonics array<double>, fisher_share double, n_iter int")
@@ -129,7 +129,7 @@ def cycle_placement(spark, d):
     """Fit, then place every cell: phase, certainty and the verdict columns."""
     cells, genes = composed(spark, d)
     cells = cut(cells)
-    placed = CM.place(cells, CM.fit(cells, genes, alpha=20.0, iters=6))
+    placed = CM.place(cells, CM.fit(cells, genes, alpha=100.0, iters=40))
     return CM.fit_z(cut(placed)).drop("evidence")
 
 
@@ -215,17 +215,19 @@ def trace_assembly(spark, d):
 
 
 @query("binomial_multiplicity", """
-WITH c AS (SELECT fov, cell, s.slot, count(k.cand) AS c FROM (SELECT DISTINCT fov, cell FROM m_candidates WHERE cell >= 0) CROSS JOIN (SELECT unnest(range(7)) AS slot) s
+WITH c AS (SELECT fov, cell, s.slot, count(k.cand) AS c FROM (SELECT fov, cell FROM m_cells) CROSS JOIN (SELECT unnest(range(7)) AS slot) s
   LEFT JOIN m_candidates k USING (fov, cell, slot) GROUP BY 1, 2, 3),
-kk AS (SELECT unnest(range(1, 5)) AS k), mx AS (SELECT fov, cell, ln(greatest(max(c), 1) + CAST(1 AS DOUBLE)) AS span FROM c GROUP BY 1, 2),
+kk AS (SELECT unnest(range(1, 4)) AS k), mx AS (SELECT fov, cell, ln(greatest(max(c), 1) + CAST(1 AS DOUBLE)) AS span FROM c GROUP BY 1, 2),
 e AS (SELECT fov, cell, k, least(greatest(avg(least(c, k)) / k, 1e-6), 1 - 1e-6) AS e FROM c, kk GROUP BY 1, 2, 3),
 l AS (SELECT fov, cell, k, e, sum(CASE WHEN c <= k THEN ln(exp(ln(CAST(0.95 AS DOUBLE)) + ln(CAST(factorial(CAST(k AS INTEGER)) / (factorial(CAST(c AS INTEGER)) * factorial(CAST(k - c AS INTEGER))) AS DOUBLE)) + c * ln(e) + (k - c) * ln(1 - e)) + exp(ln(CAST(0.05 AS DOUBLE)) - span))
       ELSE ln(CAST(0.05 AS DOUBLE)) - span END) AS ll FROM (SELECT * FROM c JOIN mx USING (fov, cell)) JOIN e USING (fov, cell) GROUP BY 1, 2, 3, 4),
 t AS (SELECT *, max(ll) OVER (PARTITION BY fov, cell) AS top FROM l)
-SELECT fov, cell, CAST(k AS INTEGER) AS k, round(e, 6) AS efficiency, round(ll, 6) AS loglik FROM (SELECT *, row_number() OVER (PARTITION BY fov, cell ORDER BY k) AS rn FROM t WHERE ll >= top - 1) WHERE rn = 1""")
+SELECT f.fov, f.cell, CASE WHEN seen THEN CAST(k AS INTEGER) ELSE 0 END AS k, CASE WHEN seen THEN round(e, 6) ELSE 0 END AS efficiency, CASE WHEN seen THEN round(ll, 6) END AS loglik, CASE WHEN seen THEN 'fitted' ELSE 'no spots' END AS reason
+FROM (SELECT *, row_number() OVER (PARTITION BY fov, cell ORDER BY k) AS rn FROM t WHERE ll >= top - 1) f JOIN (SELECT fov, cell, sum(c) > 0 AS seen FROM c GROUP BY 1, 2) USING (fov, cell) WHERE rn = 1""")
 def binomial_multiplicity(spark, d):
-    m = MU.binomial_multiplicity(MU.bin_counts(chain_points(spark, d), T.N_SLOTS))
-    return m.select("fov", "cell", "k", r("efficiency").alias("efficiency"), r("loglik").alias("loglik"))
+    """Every cell, spots or none; the seven-slot axis lowers the bins a fit needs."""
+    m = MU.binomial_multiplicity(MU.bin_counts(chain_points(spark, d), T.N_SLOTS, T.cells(spark, d)), min_support=T.N_SLOTS)
+    return m.select("fov", "cell", "k", r("efficiency").alias("efficiency"), r("loglik").alias("loglik"), "reason")
 
 
 @query("repeat_calibration")
@@ -314,8 +316,9 @@ def _poisson(u: str) -> str:
 
 
 @query("direction_ci", f"""
-WITH t AS (SELECT celltype, cell, radians(theta_deg) AS t FROM m_placed JOIN m_cells USING (fov, cell) WHERE theta_deg IS NOT NULL),
-d AS (SELECT celltype, b, t, (((((cell % 1000003) * 7919 + b * 104729 + 12345) % 2147483647) * 48271) % 2147483647) * 48271 % 2147483647 AS u
+WITH t AS (SELECT celltype, radians(theta_deg) AS t, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 1073741824 AS c, CAST('0x' || substr(h, 9, 8) AS BIGINT) % 1073741824 AS s FROM (
+  SELECT celltype, theta_deg, md5('12345:' || CAST(fov AS VARCHAR) || ':' || CAST(cell AS VARCHAR)) AS h FROM m_placed JOIN m_cells USING (fov, cell) WHERE theta_deg IS NOT NULL)),
+d AS (SELECT celltype, b, t, (((c + (b + 1) * s) % 2147483647) * 48271 % 2147483647) * 48271 % 2147483647 AS u
       FROM t, (SELECT unnest(range(500)) AS b)),
 s AS (SELECT celltype, b, sum(({_poisson("u")}) * cos(t)) AS c, sum(({_poisson("u")}) * sin(t)) AS s FROM d GROUP BY 1, 2),
 m AS (SELECT celltype, count(*) AS n, degrees(atan2(avg(sin(t)), avg(cos(t)))) AS m FROM t GROUP BY 1),

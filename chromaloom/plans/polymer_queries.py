@@ -162,7 +162,7 @@ def allele_difference_within(spark, d):
 
 RING = """
 SELECT allele_id AS allele_a, fov AS fov_a, cell AS cell_a, lead(allele_id, {k}) OVER w AS allele_b, lead(fov, {k}) OVER w AS fov_b, lead(cell, {k}) OVER w AS cell_b
-FROM (SELECT *, mix % greatest(1, CAST(ceil(n_group / 4096.0) AS BIGINT)) AS bucket FROM (SELECT *, (allele_id * 7919 + {seed} * 104729) % 1000003 AS mix, count(*) OVER ({over}) AS n_group FROM m_alleles))
+FROM (SELECT *, mix % greatest(1, CAST(ceil(n_group / 4096.0) AS BIGINT)) AS bucket FROM (SELECT *, CAST('0x' || substr(md5('{seed}:' || CAST(allele_id AS VARCHAR)), 1, 15) AS BIGINT) AS mix, count(*) OVER ({over}) AS n_group FROM m_alleles))
 WINDOW w AS (PARTITION BY {part} bucket ORDER BY mix, allele_id)"""
 
 
@@ -201,7 +201,7 @@ def sampled_msd(spark, d):
     cross = EN.ring_pairs(al, 2).where("fov_a <> fov_b").select(*cols, F.lit(False).alias("same"))
     diffs = EN.allele_pair_difference(dmaps_of(spark, d), inside.unionByName(cross))
     # the seven-slot axis of the test tables shares few entries, so one is enough here
-    return diffs.where("n_shared >= 1").withColumn("msd", F.col("sum_sq") / F.col("n_shared"))
+    return EN.pair_msd(diffs, min_shared=1)
 
 
 @query("fov_msd_test", f"WITH {MSD_SQL} " + WELCH_SQL.format(by="", c="same", t="ms", g=""))
@@ -229,6 +229,23 @@ def fov_msd_per_fov(spark, d):
     return j.select("fov", "n1", "n2", r(m1, 4).alias("m1"), r(m2, 4).alias("m2"), r(t, 3).alias("t"))
 
 
+# Two-sided Student tail by Simpson's rule over u in [0, 1), x = |t| + u / (1 - u).
+TAIL = """2 * list_sum(list_transform(range(0, 4000), lambda i: (CASE WHEN i = 0 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) / CAST(12000 AS DOUBLE) / pow(1 - i / CAST(4000 AS DOUBLE), 2)
+  * exp(lgamma((df + 1) / 2) - lgamma(df / 2) - 0.5 * ln(df * pi()) - (df + 1) / 2 * ln(1 + pow(abs(t) + i / CAST(4000 AS DOUBLE) / (1 - i / CAST(4000 AS DOUBLE)), 2) / df))))"""
+
+
+@query("fov_msd_scores", f"""WITH {MSD_SQL}, tot AS (SELECT count(*) AS n, sum(msd) AS s, sum(msd * msd) AS q FROM ms WHERE NOT same),
+w AS (SELECT fov, count(*) AS n1, sum(msd) AS s1, sum(msd * msd) AS q1 FROM (SELECT fov_a AS fov, msd FROM ms WHERE NOT same UNION ALL SELECT fov_b, msd FROM ms WHERE NOT same) GROUP BY 1),
+z AS (SELECT fov, n1, n - n1 AS n2, s1 / n1 AS m1, (s - s1) / (n - n1) AS m2, (q1 - s1 * s1 / n1) / (n1 - 1) / n1 AS v1,
+      ((q - q1) - (s - s1) * (s - s1) / (n - n1)) / (n - n1 - 1) / (n - n1) AS v2 FROM w, tot WHERE n1 >= 3 AND n - n1 >= 3),
+k AS (SELECT fov, n1, n2, (m1 - m2) / sqrt(v1 + v2) AS t, pow(v1 + v2, 2) / (v1 * v1 / (n1 - 1) + v2 * v2 / (n2 - 1)) AS df FROM z)
+SELECT fov, n1 AS n_with, n2 AS n_without, round(df, 2) AS df, round({TAIL}, 5) AS p, round(sign(t) * -log10({TAIL}), 4) AS signed_neglog10p FROM k""")
+def fov_msd_scores(spark, d):
+    """One signed score per field: the deviant one is named, its neighbours read negative."""
+    s = EN.fov_scores(sampled_msd(spark, d).where("not same")).where("t is not null")
+    return s.select("fov", "n_with", "n_without", r("df", 2).alias("df"), r("p", 5).alias("p"), r("signed_neglog10p", 4).alias("signed_neglog10p"))
+
+
 THRESHOLDS_SQL = """
 SELECT (SELECT quantile_cont(amp, 0.05) FROM m_polymer) AS min_brightness, (SELECT quantile_cont(amp, 0.95) FROM m_polymer) AS max_brightness,
        (SELECT quantile_cont(d, 0.75) FROM m_dmaps WHERE bin_j = bin_i + 1) AS max_jump_um, (SELECT quantile_cont(med, 0.95) FROM m_slotmed) AS max_dist_um"""

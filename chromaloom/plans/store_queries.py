@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from chromaloom.functions.scalar import accepted, closed_bin, from_learned_engine, planes_from_end, r
 from chromaloom.operators.stats import exact_quantiles
+from chromaloom.operators import quality_gate as QG
 from chromaloom.sources import store
 from chromaloom.sources import tables as T
 
@@ -143,6 +144,23 @@ def p_gate_examples(spark, d):
     return sides[0].unionByName(sides[1]).drop("cell")
 
 
+@query("gate_quantity", """
+WITH s AS (SELECT 'scored' AS source, p_exist, l_q / CAST(50 AS DOUBLE) AS p FROM (SELECT *, raw_y AS l_q FROM m_spots) UNION ALL SELECT 'ranked', NULL, raw_y / CAST(50 AS DOUBLE) FROM m_spots
+  UNION ALL SELECT 'bare', NULL, NULL FROM m_spots),
+q AS (SELECT source, CASE WHEN count(p_exist) > 0 THEN 'p_exist' WHEN count(p) > 0 THEN 'p' END AS quantity FROM s GROUP BY 1),
+v AS (SELECT s.source, quantity, CASE quantity WHEN 'p_exist' THEN p_exist WHEN 'p' THEN p END AS v FROM s JOIN q USING (source))
+SELECT source, quantity, coalesce(quantity = 'p_exist', FALSE) AS calibrated, count(*) AS n_total, count(v) AS n_scored, count(*) FILTER (v < 0.5) AS n_denied, count(*) FILTER (v >= 0.5) AS n_kept,
+  round(min(v), 6) AS v_min, round(max(v), 6) AS v_max, coalesce(min(v) = max(v), FALSE) AS degenerate FROM v GROUP BY 1, 2""")
+def gate_quantity(spark, d):
+    """The gated quantity of a calibrated set, of a set with a ranking only, and of a bare one."""
+    s = T.spots(spark, d)
+    nothing = F.lit(None).cast("double")
+    sets = {"scored": s.withColumn("p", F.col("raw_y") / 50.0), "ranked": s.withColumns({"p_exist": nothing, "p": F.col("raw_y") / 50.0}),
+            "bare": s.withColumns({"p_exist": nothing, "p": nothing})}
+    reports = [QG.gate_report(t, 0.5).withColumn("source", F.lit(name)) for name, t in sets.items()]
+    return reports[0].unionByName(reports[1]).unionByName(reports[2]).withColumns({c: r(c) for c in ("v_min", "v_max")})
+
+
 @query("edge_gate", """
 SELECT fov, modality, count(*) AS n, count(*) FILTER (least(greatest(raw_z, 0), greatest(9 - 1 - raw_z, 0)) < 3) AS n_denied,
        round(avg(least(greatest(raw_z, 0), greatest(9 - 1 - raw_z, 0))), 6) AS mean_planes FROM m_spots GROUP BY 1, 2""")

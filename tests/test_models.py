@@ -190,3 +190,12 @@ def test_arcs_from_time():
     arcs = arcs_from_time(t, [("G1", 50), ("S", 25), ("G2/M", 25)], 30.0)
     assert [a["name"] for a in arcs] == ["G1", "S", "G2/M"]
     assert arcs[0]["start_deg"] == 30.0 and arcs[0]["end_deg"] == pytest.approx(210.0) and arcs[1]["end_deg"] == pytest.approx(300.0) and arcs[2]["end_deg"] == 30.0
+
+
+def test_multiplicity_without_a_fit(spark):
+    pts = spark.createDataFrame([(1, 1, s, s, 0.0, 0.0, 0.0) for s in range(9)], POINTS)
+    cells = spark.createDataFrame([(1, 1), (1, 2)], "fov int, cell long")
+    got = {r["cell"]: (r["k"], r["reason"]) for r in multiplicity.binomial_multiplicity(multiplicity.bin_counts(pts, 9, cells)).collect()}
+    assert got == {1: (1, "fitted"), 2: (0, "no spots")}
+    few = multiplicity.binomial_multiplicity(multiplicity.bin_counts(pts, 5, cells)).collect()
+    assert {(r["k"], r["efficiency"], r["reason"]) for r in few} == {(None, None, "few bins")}
