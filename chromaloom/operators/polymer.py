@@ -145,9 +145,3 @@ def fit_rejection(depth: Column, *, z_trim: float | None = None, reject_at_bound
         steps.append(F.when(F.isnan(z) | (z > max_uncert_z_nm), "axial uncertainty"))
     return F.coalesce(*steps)
 
-
-def paired_candidates(adj, raw) -> Column:
-    """Adjusted and raw candidate lists zipped by position, raw left out when the lengths disagree."""
-    a, b = F.col(adj), F.col(raw)
-    return F.when(F.size(a) == F.size(b), F.zip_with(a, b, lambda x, y: F.struct(x.alias("adj"), y.alias("raw")))).otherwise(
-        F.zip_with(a, F.slice(b, 1, 0), lambda x, y: F.struct(x.alias("adj"), y.alias("raw"))))

@@ -11,6 +11,7 @@ from chromaloom.functions.text import file_name_parts, int_list, readout_pairs
 
 SLICE = ["fov", "modality", "hybe", "channel"]
 UID_BUCKETS = 256
+SLICE_ROWS = 5_000_000       # rows of one file of a slice
 SHEET_ROWS = 1_048_575      # fixed row limit of a spreadsheet
 
 
@@ -19,7 +20,8 @@ def write_spots(spots: DataFrame, path: str) -> None:
     dup = spots.groupBy(*SLICE, "uid").count().where("count > 1").limit(1)
     if not dup.isEmpty():
         raise ValueError("duplicate uid inside a slice")
-    (spots.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SLICE).parquet(path))
+    # one task per slice, so a slice is one file and not one per task; a very large one is cut by rows
+    (spots.repartition(*SLICE).write.option("maxRecordsPerFile", SLICE_ROWS).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SLICE).parquet(path))
 
 
 def write_by_fov(df: DataFrame, path: str) -> None:
@@ -94,9 +96,18 @@ def container_diff(old: DataFrame, new: DataFrame, keys: list[str], fields: list
     return both.select(*keys, change.alias("change")).where(F.col("change").isNotNull())
 
 
-def write_sheet(df: DataFrame, path: str) -> None:
-    """CSV folder; partitions are written in parallel and published by the committer."""
-    df.write.mode("errorifexists").option("header", True).csv(path)
+def write_sheet(df: DataFrame, path: str, mark: bool = True) -> None:
+    """CSV folder; partitions are written in parallel and published by the committer.
+
+    With `mark` every file opens with a byte order mark, by which spreadsheets know UTF-8.
+    """
+    named = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]) if mark else df
+    named.write.mode("errorifexists").option("header", True).csv(path)
+
+
+def read_sheet(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A sheet back as a table; the mark before the first header is skipped with the header."""
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path)
 
 
 def fits_sheet(df: DataFrame) -> bool:
@@ -104,11 +115,25 @@ def fits_sheet(df: DataFrame) -> bool:
     return df.limit(SHEET_ROWS + 1).count() <= SHEET_ROWS
 
 
-def write_result(df: DataFrame, summary: DataFrame, gate: dict, params: dict, path: str) -> None:
-    """A result table with its sidecar (gate, per-celltype counts, parameters); never overwrites."""
+def free_path(spark: SparkSession, path: str) -> str:
+    """`path`, or the first of path_2, path_3, ... that does not exist yet."""
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    taken, k = path, 1
+    while fs.exists(jvm.org.apache.hadoop.fs.Path(taken)):
+        k += 1
+        taken = f"{path}_{k}"
+    return taken
+
+
+def write_result(df: DataFrame, summary: DataFrame, gate: dict, params: dict, path: str) -> str:
+    """A result table with its sidecar (gate, per-celltype counts, parameters). A taken name gets
+    the next suffix, nothing is overwritten; returns the path written."""
+    path = free_path(df.sparkSession, path)
     df.write.mode("errorifexists").parquet(f"{path}/table")
     side = summary.withColumns({"gate": F.lit(json.dumps(gate)), "params": F.lit(json.dumps(params))})
     side.write.mode("errorifexists").json(f"{path}/sidecar")
+    return path
 
 
 def read_verdict_log(spark: SparkSession, path: str) -> DataFrame:

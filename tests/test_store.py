@@ -50,9 +50,9 @@ def test_verdict_log_skips_broken_lines(spark, tmp_path):
 
 def test_results_never_overwrite(spark, tmp_path):
     df = spark.range(3)
-    store.write_result(df, df.groupBy().count(), {"clauses": []}, {"bins": 3}, str(tmp_path / "r"))
-    with pytest.raises(Exception, match="(?i)already exists"):
-        store.write_result(df, df.groupBy().count(), {}, {}, str(tmp_path / "r"))
+    at = str(tmp_path / "r")
+    paths = [store.write_result(part, df.groupBy().count(), {"clauses": []}, {"bins": k}, at) for k, part in enumerate((df, df.limit(1), df.limit(2)))]
+    assert paths == [at, f"{at}_2", f"{at}_3"] and [spark.read.parquet(f"{p}/table").count() for p in paths] == [3, 1, 2]
     assert store.fits_sheet(df)
 
 
@@ -65,8 +65,6 @@ def test_text_parsers(spark):
     assert r["ints"] == [488, 555] and [tuple(p) for p in r["pairs"]] == [(635, 1), (747, 51)]
     assert tuple(r["name"]) == (12, "stain_a", 3, 2) and r["target"] == "Hyb_101" and r["slots"] == 80
     assert [tuple(e) for e in r["entries"]] == [("Hyb_001", 635, 1, "H", 0), ("Hyb_002", 635, 2, "R", -1)]
-    codes = text.explode_readout_codes(spark.createDataFrame([("1-3 r5 T10",)], "codes string"), "codes")
-    assert sorted((r["datatype"], r["number"]) for r in codes.collect()) == [("H", 1), ("H", 2), ("H", 3), ("R", 5), ("T", 10)]
     assert text.parse_number_ranges("1-3, 7,2") == [1, 2, 3, 7]
 
 
@@ -151,3 +149,42 @@ def test_layout_fasta_files_and_stamps(spark, tmp_path):
     assert store.property_type({"int", "float"}) == "double" and store.property_type(set()) == "double"
     with pytest.raises(ValueError):
         store.property_type({"int", "string"})
+
+
+def codes_of(spark, line):
+    rows = text.explode_readout_codes(spark.createDataFrame([(line,)], "codes string"), "codes").orderBy("position").collect()
+    return [(r["position"], r["datatype"], r["number"], r["name"]) for r in rows]
+
+
+def test_readout_codes(spark):
+    assert codes_of(spark, "1-3 r5, R10\tT10 B130 DAPI 0 -7 1050 2007") == [
+        (0, "H", 1, None), (1, "H", 2, None), (2, "H", 3, None), (3, "R", 5, None), (4, "R", 10, None), (5, "T", 10, None), (6, "B", 130, None),
+        (7, "H", None, "DAPI"), (9, "R", 7, None), (10, "T", 50, None), (11, "B", 7, None)]
+    assert codes_of(spark, "r104-r105 t9-10 7-b8") == [(0, "R", 104, None), (1, "R", 105, None), (2, "T", 9, None), (3, "T", 10, None), (4, "B", 7, None), (5, "B", 8, None)]
+    assert codes_of(spark, "  ") == []
+
+
+@pytest.mark.parametrize("line", ["1000", "2000", "3000", "r0", "h1000", "5-3", "r4-t6", "-3-5", "a-b", "1.5", "r104-1100"])
+def test_codes_outside_the_grammar_are_refused(spark, line):
+    with pytest.raises(Exception):
+        codes_of(spark, line)
+
+
+def test_sheet_has_a_mark_and_reads_back(spark, tmp_path):
+    df = spark.createDataFrame([("é, x", 1), (None, 2)], "name string, n int")
+    store.write_sheet(df.coalesce(1), str(tmp_path / "s"))
+    raw = next((tmp_path / "s").glob("part-*.csv")).read_bytes()
+    assert raw.startswith(b"\xef\xbb\xbfname,n")
+    assert sorted(map(tuple, store.read_sheet(spark, str(tmp_path / "s"), "name string, n int").collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+
+
+def test_a_slice_is_one_file(spark, tmp_path):
+    df = spark.range(200).selectExpr("cast(id % 3 as int) fov", "'DNA' modality", "'Hyb_001' hybe", "488 channel", "id uid").repartition(8)
+    store.write_spots(df, str(tmp_path / "p"))
+    assert len(list((tmp_path / "p").rglob("part-*.parquet"))) == 3
+
+
+def test_map_entries_keep_their_digits(spark):
+    line = ",".join(f"Hyb_{k}|{k}|{k}|H|{k if k % 2 else -1}" for k in range(13))
+    got = spark.range(1).select(text.parse_map_entries(F.lit(line)).alias("e")).first()["e"]
+    assert [tuple(e) for e in got] == [(f"Hyb_{k}", k, k, "H", k if k % 2 else -1) for k in range(13)]
