@@ -141,3 +141,20 @@ def z_consensus(entries: DataFrame, min_cells: int = 8) -> DataFrame:
     applied = F.col("z_rejected") & F.coalesce(usable, F.lit(False))
     return joined.select(*entries.columns, F.when(applied, F.col("consensus")).otherwise(F.col("dz")).alias("dz_used"),
                          applied.alias("imputed"))
+
+
+def map_points(points: DataFrame, matrices: DataFrame, inverse: bool = False, strict: bool = True) -> DataFrame:
+    """points(.., fov, modality, hybe, y, x) with ref_y, ref_x in the reference frame.
+
+    With `inverse` (y, x) is a reference place and raw_y, raw_x are where it lies in the round's own
+    frame. A round without a matrix is an error, or with strict=False a NULL place.
+    """
+    keys = ["fov", "modality", "hybe"]
+    m = checked_broadcast(matrices.select(*keys, F.col("h_within").alias("__h")))
+    df, h = affine.of("__h").stage(points.join(m, keys, "left"), "__m")
+    if inverse:
+        df, h = affine.inverse(h).stage(df, "__i")
+    missing = F.raise_error(F.concat(F.lit("no alignment matrix for "), F.col("hybe"))).cast("double") if strict else F.lit(None).cast("double")
+    y, x = ("raw_y", "raw_x") if inverse else ("ref_y", "ref_x")
+    has = F.col("__h").isNotNull()
+    return df.select(*points.columns, F.when(has, h.y("y", "x")).otherwise(missing).alias(y), F.when(has, h.x("y", "x")).otherwise(missing).alias(x))

@@ -70,3 +70,18 @@ def design_steps(design: DataFrame) -> DataFrame:
 def design_step(steps: DataFrame) -> DataFrame:
     """The true median of the non-zero consecutive separations."""
     return exact_quantiles(steps.where("separation_kb > 0"), [], "separation_kb", {"step_kb": 0.5})
+
+
+def bins_of_keys(parts: list[DataFrame], slots: DataFrame) -> DataFrame:
+    """(fov, allele_id, hybe, channel, rindex, dtype, pindex): the bin of every key any part of an allele uses.
+
+    parts(fov, allele_id, hybe, channel or NULL): candidates, fiducials, rejections and so on; slots
+    (hybe, channel, rindex, dtype, pindex) is the whole map. A bare hybe has a bin only where it
+    has exactly one; a key without a bin is left out, which is not a bin without an identity.
+    """
+    keys = ["fov", "allele_id", "hybe", "channel"]
+    union = parts[0].select(*keys)
+    for p in parts[1:]:
+        union = union.unionByName(p.select(*keys))
+    numbered = slots.select("hybe", "channel", F.struct("rindex", "dtype", "pindex").alias("slot"))
+    return slot_lookup(union.distinct(), numbered).where("slot is not null").select(*keys, "slot.*")

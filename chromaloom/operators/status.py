@@ -54,3 +54,31 @@ def plan(status: DataFrame, policies: dict[str, str] | None = None) -> DataFrame
 
 def pending(expected: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
     return expected.join(present.select(*keys).distinct(), keys, "left_anti")
+
+
+def expected_targets(rounds: DataFrame, anchor: tuple[str, str, int] | None = None, tracing: list[tuple[str, str]] = (), tracing_channels: list[int] = (),
+                     genes: list[tuple[str, str, int]] = (), channels: list[int] = (), chosen: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(modality, hybe, channel) the store should hold spots for.
+
+    The anchor, every tracing round at every activated channel, the cell-cycle sources, and the
+    channels of countable rounds (a name ending in _mRNA or _exon, no Rep_ or Toe_) that are nobody's
+    fiducial. A round the run names is expected even where its own record disagrees. `channels`
+    filters the union (none: all); `chosen` keeps named rounds (None: all, []: none).
+
+    rounds(modality, hybe, readout_name, channels array<int>, fiducial_channel): the layout.
+    """
+    spark = rounds.sparkSession
+    fiducials = [r[0] for r in rounds.select("fiducial_channel").where("fiducial_channel is not null").distinct().collect()]     # a handful of channels
+    known = [r[0] for r in rounds.select("modality").distinct().collect()]                                                      # the project's modalities
+    name = F.coalesce("readout_name", F.lit(""))
+    countable = rounds.where(name.rlike("(_mRNA|_exon)$") & ~name.rlike("^(Rep_|Toe_)"))
+    counted = countable.select("modality", "hybe", F.explode("channels").alias("channel")).where(~F.col("channel").isin(fiducials) if fiducials else F.lit(True))
+    named = [anchor] if anchor else []
+    named += [(m, h, c) for m, h in tracing for c in tracing_channels] + list(genes)
+    stated = spark.createDataFrame([(m, h, int(c)) for m, h, c in named if m in known], "modality string, hybe string, channel int")
+    out = stated.unionByName(counted.select("modality", "hybe", F.col("channel").cast("int").alias("channel"))).distinct()
+    if channels:
+        out = out.where(F.col("channel").isin([int(c) for c in channels]))
+    if chosen is not None:
+        out = out.join(spark.createDataFrame(list(chosen), "modality string, hybe string"), ["modality", "hybe"], "left_semi")
+    return out

@@ -1,4 +1,4 @@
-"""Readers and sinks: files written from the tables, read back by the library, and compared."""
+"""Readers, sinks and caches: files written from the tables, read back by the library, and compared."""
 
 import uuid
 
@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 from chromaloom.functions import text as TX
 from chromaloom.functions.scalar import r
 from chromaloom.operators import cycle_frame as CF
+from chromaloom.operators import expression as E
+from chromaloom.operators import frames as FR
 from chromaloom.operators import polymer as P
 from chromaloom.operators import readout as RO
+from chromaloom.operators import repeats as RP
+from chromaloom.operators import status as ST
 from chromaloom.session import ensure_checkpoint_dir
+from chromaloom.sources import cache as CA
 from chromaloom.sources import store
 from chromaloom.sources import tables as T
 
+from .common import polymer_of
 from .registry import query
 
 
@@ -167,3 +173,99 @@ def cycle_time_of_cells(spark, d):
     """Every phase as elapsed share of the cycle, by the density of all phases."""
     t = T.placements(spark, d).where("theta_deg is not null")
     return t.select("fov", "cell", r(CF.clock_column(CF.cycle_clock(t))).alias("tau"))
+
+
+CACHE_SOURCES = [("DNA", "Hyb_001", 488), ("RNA", "Hyb_003", 635)]
+
+
+def cached_expression(spark, d):
+    """A cache of fields below 20, from before field 3 gained cells and a slice of field 5 was made anew."""
+    cells, spots = T.cells(spark, d), T.spots(spark, d)
+    fresh = E.expression_table(cells, spots, CACHE_SOURCES).drop("celltype")
+    stamps = spots.where(F.struct("modality", "hybe", "channel").isin(*[F.struct(F.lit(m), F.lit(h), F.lit(c)) for m, h, c in CACHE_SOURCES])).groupBy("fov", *CA.SOURCE).agg(
+        F.max("uid").alias("mtime"), F.count("*").alias("size"))
+    path = scratch(spark, "expression")
+    old = stamps.withColumn("size", F.when((F.col("fov") == 5) & (F.col("modality") == "DNA"), F.col("size") + 1).otherwise(F.col("size")))
+    CA.write_expression(fresh.where("fov < 20 and not (fov = 3 and cell % 2 = 0)").withColumn("n_spots", F.col("n_spots") + 1000), old.where("fov < 20"), path)
+    rows, known = CA.read_expression(spark, path)
+    return rows, CA.usable_sources(rows, known, cells, stamps), fresh
+
+
+USABLE_SQL = """
+st AS (SELECT DISTINCT fov, modality, hybe, channel FROM m_spots WHERE (modality, hybe, channel) IN (('DNA', 'Hyb_001', 488), ('RNA', 'Hyb_003', 635))),
+us AS (SELECT *, fov < 20 AND fov <> 3 AS covered, fov < 20 AND NOT (fov = 5 AND modality = 'DNA') AS same_inputs FROM st)"""
+
+
+@query("expression_cache_usable", f"WITH {USABLE_SQL} SELECT *, covered AND same_inputs AS usable FROM us")
+def expression_cache_usable(spark, d):
+    """Which cached sources still describe the cells and files there are."""
+    return cached_expression(spark, d)[1]
+
+
+@query("expression_cache_rows", f"""WITH {USABLE_SQL} SELECT e.fov, cell, modality, hybe, channel, CASE WHEN covered AND same_inputs THEN n_spots + 1000 ELSE n_spots END AS n_spots FROM m_expr e JOIN us USING (fov, modality, hybe, channel)""")
+def expression_cache_rows(spark, d):
+    """Cached rows (marked by 1,000 spots more) where usable, fresh ones elsewhere."""
+    return CA.cached_or_fresh(*cached_expression(spark, d)).select("fov", "cell", *CA.SOURCE, "n_spots")
+
+
+@query("speckle_scan", """
+SELECT fov, cell, uid, raw_y AS y, raw_x AS x FROM m_spots WHERE modality = 'RNA' AND hybe = 'Hyb_002' AND fov = 4 AND cell IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 25 = 4 AND o_orderkey < 2000)""")
+def speckle_scan(spark, d):
+    """Speckles of some cells of one field, without their images."""
+    s = T.spots(spark, d).where("modality = 'RNA' and hybe = 'Hyb_002' and cell >= 0")
+    path = scratch(spark, "speckles")
+    CA.write_speckles(s.select("fov", "cell", "uid", F.col("raw_y").alias("y"), F.col("raw_x").alias("x"), F.encode(F.repeat(F.lit("pixel"), 50), "utf-8").alias("lab")), path)
+    return CA.read_speckles(spark, path, 4, [k for k in range(2000) if k % 25 == 4], images=False).select("fov", "cell", "uid", "y", "x")
+
+
+@query("repeat_report", """
+WITH k AS (SELECT fov, cell, allele_id, CASE slot WHEN 5 THEN 102 ELSE 101 + slot END AS rid, slot < 5 AS h, y_um, x_um, z_um FROM m_polymer WHERE slot <= 5),
+p AS (SELECT a.rid, NOT b.h AS same, sqrt((a.y_um-b.y_um)*(a.y_um-b.y_um) + (a.x_um-b.x_um)*(a.x_um-b.x_um) + (a.z_um-b.z_um)*(a.z_um-b.z_um)) AS d
+  FROM k a JOIN k b USING (fov, cell, allele_id) WHERE a.h AND a.rid = 102 AND ((b.h AND b.rid <> 102) OR (NOT b.h AND b.rid = 102)))
+SELECT CAST(rid AS INTEGER) AS readout_id, count(*) FILTER (same) AS n, round(median(d) FILTER (same), 6) AS median_um, count(*) FILTER (NOT same) AS n_null, round(median(d) FILTER (NOT same), 6) AS null_median_um,
+  median(d) FILTER (same) < median(d) FILTER (NOT same) AS beats_null FROM p GROUP BY 1""")
+def repeat_report(spark, d):
+    """Every repeated readout of the layout against its null."""
+    slots = T.layout(spark, d).where("modality = 'DNA'").select((F.col("hybe_num") - 1).alias("slot"), "readout_id", "datatype")
+    out = RP.repeat_report(RP.repeat_distances(polymer_of(spark, d), slots))
+    return out.withColumns({c: r(c) for c in ("median_um", "null_median_um")})
+
+
+@query("expected_targets", """
+WITH l AS (SELECT modality, hybe, fiducial_channel, CASE WHEN hybe_num % 2 = 0 THEN readout_name || '_mRNA' WHEN hybe_num = 7 THEN 'Toe_exon_exon' ELSE readout_name END AS name, unnest([488, 555, 635]) AS channel FROM m_layout)
+SELECT DISTINCT modality, hybe, CAST(channel AS INTEGER) AS channel FROM (
+SELECT 'DNA' AS modality, 'Hyb_001' AS hybe, 635 AS channel UNION ALL SELECT 'DNA', h, c FROM (VALUES ('Hyb_003'), ('Toe_050')) a(h), (VALUES (635), (747)) b(c) UNION ALL SELECT 'RNA', 'Hyb_005', 555
+UNION ALL SELECT modality, hybe, channel FROM l WHERE name LIKE '%\\_mRNA' ESCAPE '\\' AND channel NOT IN (488, 555)) WHERE channel IN (635, 747)""")
+def expected_targets(spark, d):
+    """Anchor, tracing rounds, gene sources and countable rounds, kept to the chosen channels."""
+    n = F.col("hybe_num")
+    lay = T.layout(spark, d).select("modality", "hybe", "fiducial_channel", F.array(F.lit(488), F.lit(555), F.lit(635)).alias("channels"),
+                                    F.when(n % 2 == 0, F.concat("readout_name", F.lit("_mRNA"))).when(n == 7, "Toe_exon_exon").otherwise(F.col("readout_name")).alias("readout_name"))
+    return ST.expected_targets(lay, ("DNA", "Hyb_001", 635), [("DNA", "Hyb_003"), ("DNA", "Toe_050"), ("none", "Hyb_001")], [635, 747], [("RNA", "Hyb_005", 555)], [635, 747])
+
+
+@query("key_bins", """
+WITH u AS (SELECT DISTINCT fov, allele_id, 'Hyb_00' || CAST(slot + 1 AS VARCHAR) AS hybe, CASE WHEN fov >= 12 THEN 488 END AS channel FROM m_candidates
+  UNION SELECT fov, allele_id, 'Hyb_003', NULL FROM m_alleles WHERE allele_id % 13 = 0),
+s AS (SELECT * FROM (VALUES ('Hyb_001', 488, 101, 'H', 0), ('Hyb_002', 488, 102, 'H', 1), ('Hyb_003', 488, 103, 'H', 2), ('Hyb_003', 635, 104, 'H', 3), ('Hyb_006', 488, 102, 'R', -1)) t(hybe, channel, rindex, dtype, pindex))
+SELECT u.fov, u.allele_id, u.hybe, u.channel, s.rindex, s.dtype, s.pindex FROM u JOIN s ON s.hybe = u.hybe AND (s.channel = u.channel OR (u.channel IS NULL AND u.hybe <> 'Hyb_003'))""")
+def key_bins(spark, d):
+    """The bin of every key an allele uses in any of its parts; a bare Hyb_003 fills two slots and has none."""
+    channel = F.when(F.col("fov") >= 12, 488).alias("channel")
+    cand = T.candidates(spark, d).select("fov", "allele_id", F.concat(F.lit("Hyb_00"), (F.col("slot") + 1).cast("string")).alias("hybe"), channel)
+    rejected = T.alleles(spark, d).where("allele_id % 13 = 0").select("fov", "allele_id", F.lit("Hyb_003").alias("hybe"), F.lit(None).cast("int").alias("channel"))
+    slots = spark.createDataFrame([("Hyb_001", 488, 101, "H", 0), ("Hyb_002", 488, 102, "H", 1), ("Hyb_003", 488, 103, "H", 2), ("Hyb_003", 635, 104, "H", 3), ("Hyb_006", 488, 102, "R", -1)],
+                                  "hybe string, channel int, rindex int, dtype string, pindex int")
+    return RO.bins_of_keys([cand, rejected], slots)
+
+
+@query("reference_points", """
+SELECT s.fov, uid, round(w_yy * raw_y + w_yx * raw_x + w_yt, 9) AS ref_y, round(w_xy * raw_y + w_xx * raw_x + w_xt, 9) AS ref_x, round(raw_y, 8) AS back_y, round(raw_x, 8) AS back_x
+FROM m_spots s JOIN m_within w USING (fov, modality, hybe)""")
+def reference_points(spark, d):
+    """Spots carried into the reference frame and back into their round's own."""
+    s = T.spots(spark, d).where("hybe <> 'Hyb_005'").select("fov", "uid", "modality", "hybe", F.col("raw_y").alias("y"), F.col("raw_x").alias("x"))
+    m = T.fov_matrices(spark, d)
+    there = FR.map_points(s, m).select("fov", "uid", "modality", "hybe", F.col("ref_y").alias("y"), F.col("ref_x").alias("x"))
+    back = FR.map_points(there, m, inverse=True)
+    return back.select("fov", "uid", *[r(a, k).alias(b) for a, b, k in (("y", "ref_y", 9), ("x", "ref_x", 9), ("raw_y", "back_y", 8), ("raw_x", "back_x", 8))])
