@@ -170,10 +170,12 @@ def apply_mix(docs: DataFrame, entropy: float | None = None, repetition: float |
     """The rows of `docs`, each as often as the mix reads it; columns and their order stay.
 
     Every row is read at least once, so nothing is lost; rows of sources that the mix raises
-    are repeated. Texts are not shuffled: a row needs its source's bound only.
+    are repeated. Texts are not shuffled: a row needs its source's bound only. A row travels as one
+    struct, so its columns may have any names. Null ids and texts, ties and repeated rows are rows
+    like others; an empty table gives an empty one.
     """
-    keyed = docs.select("*", F.xxhash64("doc_id", "text").alias("__doc"))
-    rows = cut(keyed.select("source", "__doc", n_tokens().alias("__tokens")))
+    keyed = docs.select(F.struct("*").alias("__row"), "source", F.xxhash64("doc_id", "text").alias("__doc"))
+    rows = cut(docs.select("source", F.xxhash64("doc_id", "text").alias("__doc"), n_tokens().alias("__tokens")))
     weights = source_weights(rows.groupBy("source").agg(F.sum("__tokens").alias("tokens")), entropy, repetition)
     got = read_counts(keyed, permutation_bounds(rows, weights, None, seed), seed)
-    return got.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).alias("__copy")).select(*docs.columns)
+    return got.select("__row", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).alias("__copy")).select("__row.*")

@@ -43,5 +43,18 @@ def test_stages(spark):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontaminate", "mix_sources", "token_ids"]
+
+
+def test_stage_mix_takes_any_rows_and_column_names(spark):
+    rows = [(k, f"text number {k} " * (k % 5), "hot" if k % 3 else f"s{k % 7}", k, 7, 8, 9) for k in range(200)]
+    rows += [(None, None, None, 0, 7, 8, 9), (5, "", "s1", 0, 7, 8, 9), (6, "same", "s2", 0, 7, 8, 9), (6, "same", "s2", 0, 7, 8, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, full int, repeats int, bound_place int")
+    out = corpus_pipeline.mix_sources(spark, docs, D)
+    assert out.columns == docs.columns
+    got = [tuple(r) for r in out.collect()]
+    assert set(got) == set(rows) and all(r[4:] == (7, 8, 9) for r in got)
+    assert got.count(rows[-1]) in (2, 4)
+    empty = corpus_pipeline.mix_sources(spark, docs.limit(0), D)
+    assert empty.columns == docs.columns and empty.count() == 0
