@@ -51,7 +51,8 @@ NAMED = re.compile(_AROUND.format(r"ads?|adverts?|advertisement|adbox|banner|spo
 READERS = re.compile(_AROUND.format(_READERS), re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
+# a quote opens a value only behind an equals sign, and a value that never ends is no value: a stray quote ends at its tag
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|$)", re.S)
 ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?", re.S)
 
 
@@ -202,12 +203,17 @@ def blocks(root: Node) -> list[tuple[str, str]]:
         text = " ".join(entities.unescape("".join(buffer)).split())
         buffer.clear()
         if text:
-            out.append((path, text))
+            steps = []
+            while path is not None:
+                path, tag = path
+                steps.append(tag)
+            out.append(("/".join(reversed(steps)), text))
 
     inside_main = {id(p) for p in main_parts(root)}
     for part in main_parts(root):
-        todo = [(part, part.tag, 0)]
-        flush("")
+        # a path is a pair (path above, tag) and becomes text only for a block, so depth costs no more than its length
+        todo = [(part, (None, part.tag), 0)]
+        flush(None)
         while todo:
             node, path, k = todo.pop()
             if k == 0 and node.tag not in INLINE:
@@ -222,7 +228,7 @@ def blocks(root: Node) -> list[tuple[str, str]]:
                     buffer.append(" ")
                 elif kid.out and kid.tag == "header" and part.tag in ("article", "main"):
                     todo.append((node, path, k))
-                    todo.append((_headings(kid), f"{path}/header", 0))
+                    todo.append((_headings(kid), (path, "header"), 0))
                     advanced = True
                     break
                 elif kid.out and id(kid) not in inside_main:
@@ -230,12 +236,12 @@ def blocks(root: Node) -> list[tuple[str, str]]:
                         flush(path)
                 else:
                     todo.append((node, path, k))
-                    todo.append((kid, path if kid.tag in INLINE else f"{path}/{kid.tag}", 0))
+                    todo.append((kid, path if kid.tag in INLINE else (path, kid.tag), 0))
                     advanced = True
                     break
             if not advanced and node.tag not in INLINE:
                 flush(path)
-        flush("")
+        flush(None)
     return out
 
 
@@ -258,7 +264,23 @@ def tree(paths: list[str]):
 def match(a, b, pairs: list, same=None) -> int:
     """Simple tree matching: size of the largest order-preserving match of two trees with
     equal root tags; the matched leaf pairs are appended to `pairs`. Of equally large
-    matches one that pairs trailing leaves of equal text (`same`) is taken."""
+    matches one that pairs trailing leaves of equal text (`same`) is taken.
+
+    Subtrees are matched on a stack of our own, so pages may nest to any depth.
+    """
+    open_, value = [_match(a, b, pairs, same)], None
+    while open_:
+        try:
+            open_.append(_match(*open_[-1].send(value), same))
+            value = None
+        except StopIteration as done:
+            open_.pop()
+            value = done.value
+    return value
+
+
+def _match(a, b, pairs: list, same):
+    """One level of `match`: asks for the match of two children and is sent its size."""
     if a[0] != b[0]:
         return 0
     x, y = a[2], b[2]
@@ -286,7 +308,7 @@ def match(a, b, pairs: list, same=None) -> int:
         for j in range(1, len(y) + 1):
             if x[i - 1][0] == y[j - 1][0]:
                 own: list = []
-                w[i, j], got[i, j] = match(x[i - 1], y[j - 1], own, same), own
+                w[i, j], got[i, j] = (yield x[i - 1], y[j - 1], own), own
                 m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + w[i, j])
             else:
                 m[i][j] = max(m[i - 1][j], m[i][j - 1])

@@ -1,5 +1,7 @@
 """HTML extraction: literal pages, the wrapper of a host, odd input."""
 
+import random
+
 from chromaloom.llm import extract
 
 
@@ -89,3 +91,38 @@ def test_names_take_no_article_away():
     assert [t for _, t in extract.blocks(extract.parse(header))] == ["Head", "y"]
     readers = '<article><p>a</p></article><section class="comments"><article class="comment-body"><p>much longer than the article</p></article></section>'
     assert [t for _, t in extract.blocks(extract.parse(readers))] == ["a"]
+
+
+def recursive(a, b):
+    """Simple tree matching by its definition."""
+    if a[0] != b[0]:
+        return 0
+    table = [[0] * (len(b[2]) + 1) for _ in range(len(a[2]) + 1)]
+    for i, x in enumerate(a[2], 1):
+        for j, y in enumerate(b[2], 1):
+            table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + recursive(x, y))
+    return table[-1][-1] + 1
+
+
+def test_match_equals_the_recursive_definition():
+    r = random.Random(12)
+    for _ in range(300):
+        a, b = (extract.tree(["/".join(["r"] + [r.choice("xy") for _ in range(r.randrange(1, 4))]) for _ in range(r.randrange(0, 7))]) for _ in range(2))
+        pairs = []
+        assert extract.match(a, b, pairs) == recursive(a, b)
+        assert len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
+
+
+def test_stray_quotes_lose_no_text(spark):
+    html = ["<body><p>one <a href=\"x\"\">two</a> three</p><p>four</p></body>", "<body><p title=don't>one</p><p>two 'three' \"four</p></body>",
+            "<body><p a=\"1>2\">one</p><img alt = 'x > y'><p>two</p></body>", "<body><p>a</p><p class=\"never closed>b</p><p>c</p></body>"]
+    df = spark.createDataFrame([(k, f"u{k}", h) for k, h in enumerate(html)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract.extract(df).collect()}
+    assert got == {0: "one two three\nfour", 1: "one\ntwo 'three' \"four", 2: "one\ntwo", 3: "a\nb\nc"}
+
+
+def test_deep_pages(spark):
+    deep = "<body>" + "<div>" * 20000 + "bottom" + "</div>" * 20000 + "<p>after {}</p></body>"
+    rows = [(k, f"http://deep.example/{k}", deep.format(k)) for k in range(4)] + [(9, "http://long.example/1", "<body>" + "<p>words</p>" * 20000 + "</body>")]
+    got = {r.page_id: r.text for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k].endswith(f"after {k}") for k in range(4)) and got[9].count("words") == 20000
