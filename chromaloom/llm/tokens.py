@@ -35,7 +35,8 @@ BLOCK = 2048               # ids per block
 SEGMENT = 32 * BLOCK       # ids after which a segment is closed
 FLUSH = 32 * SEGMENT       # ids coded at once by a task (32-bit each)
 END_ID = 1
-MEMO = 500_000             # words a task remembers
+MEMO = 250_000             # words a task remembers
+MEMO_CHARS = 32            # longer words are not remembered
 SLOTS2, SLOTS1 = 2048, 1024
 BITS = 12                  # probability bits of an event
 MERGED = 18                # ids of so many bits share one renormalisation with their event
@@ -273,7 +274,11 @@ class Encoder:
             new = list({w for words in split for w in words})
         self._learn(new)
         got = self.memo.__getitem__
-        return [b"".join(map(got, words)) for words in split]
+        out = [b"".join(map(got, words)) for words in split]
+        for w in new:
+            if len(w) > MEMO_CHARS:
+                del self.memo[w]
+        return out
 
 
 def word_local(definition: str) -> bool:
@@ -345,9 +350,10 @@ def write_ids(docs: DataFrame, path: str, definition: str, end_id: int = END_ID,
             return pa.RecordBatch.from_pylist(rows, schema=schema)
 
         for b in batches:
-            names, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for at in range(0, len(texts), 500):
-                for name, ids in zip(names[at:at + 500], encoder(texts[at:at + 500])):
+            # a slice at a time becomes Python text, not a whole batch
+            for at in range(0, b.num_rows, 250):
+                part = b.slice(at, 250)
+                for name, ids in zip(part.column("doc_id").to_pylist(), encoder(part.column("text").to_pylist())):
                     buffer.append((name, ids + end))
                     size += len(ids) // 4 + 1
                     if size >= FLUSH:
