@@ -191,11 +191,10 @@ damaged AS (
   FROM keyed JOIN kinds USING (k) JOIN (VALUES (0), (1)) c(copy) ON copy = 0 OR kind = 3 WHERE kind <> 0),
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text) AS i,
-    row_number() OVER (PARTITION BY g, role, text ORDER BY turn NULLS FIRST) AS nth,
     rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body,
     CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'x' END AS r FROM damaged),
 marked AS (
-  SELECT *, CASE WHEN body = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE 'k' END AS fault,
+  SELECT *, CASE WHEN body = '' THEN 'b' WHEN row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 THEN 'd' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE 'k' END AS fault,
     lag(r) OVER (PARTITION BY g ORDER BY i) AS past FROM placed),
 counted AS (
   SELECT g, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,

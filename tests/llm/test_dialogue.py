@@ -185,9 +185,10 @@ def test_segments_give_the_same(spark, monkeypatch):
 
 
 def test_sql(spark, tmp_path):
-    path = "/root/testdata/sf0.001"
     query, sql = queries.QUERIES["op13_conversation_repair"], queries.SQL["op13_conversation_repair"]
-    assert compare(spark, connect(path), path, query, sql)[0] is None
+    for sf in ("sf0.001", "sf0.01", "sf0.1"):
+        path = f"/root/testdata/{sf}"
+        assert compare(spark, connect(path), path, query, sql)[0] is None
     df = spark.createDataFrame([(*r, 7, 7, "x") for r in ODD], SCHEMA)
     df.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
     con = duckdb.connect()
