@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chromaloom.functions.text import map_entry
+from chromaloom.session import checked_broadcast
 
 from .stats import exact_quantiles, ordered_index
 
@@ -47,8 +48,8 @@ def slot_lookup(stored: DataFrame, slots: DataFrame) -> DataFrame:
     A bare hybe resolves only where the hybe fills exactly one slot; the exact
     (hybe, channel) key always wins.
     """
-    lone = slots.groupBy("hybe").agg(F.count(F.lit(1)).alias("k"), F.min("slot").alias("lone_slot")).where("k = 1").drop("k")
-    exact = slots.select("hybe", "channel", F.col("slot").alias("exact_slot"))
+    lone = checked_broadcast(slots.groupBy("hybe").agg(F.count(F.lit(1)).alias("k"), F.min("slot").alias("lone_slot")).where("k = 1").drop("k"))
+    exact = checked_broadcast(slots.select("hybe", "channel", F.col("slot").alias("exact_slot")))
     return stored.join(exact, ["hybe", "channel"], "left").join(lone, "hybe", "left").withColumn(
         "slot", F.coalesce("exact_slot", F.when(F.col("channel").isNull(), F.col("lone_slot")))).drop("exact_slot", "lone_slot")
 

@@ -144,20 +144,22 @@ def stored_alleles(spark, d):
     """(alleles, traces, fiducials, rejections, axis, records) as a traced store would hold them."""
     from pyspark.sql import Window
 
+    # dealt once by allele: numbering, slots, rows and their parts all stay where they are
     a = T.alleles(spark, d)
     place = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.struct(i.cast("double").alias("y"), (F.col("allele_id") % 100).cast("double").alias("x"), F.lit(2.0).alias("z")))
     alleles = a.select("fov", "cell", "allele_id", F.when(F.col("allele_id") % 3 != 0, "DNA").alias("modality"), F.when(F.col("allele_id") % 11 == 0, place).alias("final_polymer"),
                        F.col("allele_id").alias("anchor_uid"))
-    w = Window.partitionBy("allele_id", "slot").orderBy("cand", "amplitude")
-    c = T.candidates(spark, d).select("fov", "allele_id", F.concat(F.lit("Hyb_00"), (F.col("slot") + 1).cast("string")).alias("hybe"), F.when(F.col("fov") >= 12, 488).alias("channel"),
+    w = Window.partitionBy("fov", "allele_id", "slot").orderBy("cand", "amplitude")
+    c = T.candidates(spark, d).repartition("fov", "allele_id").select("fov", "allele_id", F.concat(F.lit("Hyb_00"), (F.col("slot") + 1).cast("string")).alias("hybe"), F.when(F.col("fov") >= 12, 488).alias("channel"),
                                       (F.row_number().over(w) - 1).alias("k"), "cand", "y", "x", "z", "amplitude", "quality")
     values = ["k", "y", "x", "z", "amplitude", "quality"]
-    traces = c.select("fov", "allele_id", "hybe", "channel", F.lit("adj").alias("side"), *values).unionByName(
-        c.where("cand % 7 <> 0").select("fov", "allele_id", "hybe", "channel", F.lit("raw").alias("side"), "k", (F.col("y") + 1).alias("y"), *values[2:]))
     keys = ["fov", "allele_id", "hybe", "channel"]
+    both = F.array(F.struct(F.lit("adj").alias("side"), F.col("y")), F.struct(F.lit("raw").alias("side"), (F.col("y") + 1).alias("y")))
+    sides = c.select(*keys, "cand", "k", F.explode(both).alias("s"), *values[2:]).where("s.side = 'adj' or cand % 7 <> 0")
+    traces = sides.select(*keys, "s.side", "k", "s.y", *values[2:])
     fiducials = c.where("hybe in ('Hyb_001', 'Hyb_002', 'Hyb_006')").groupBy(*keys).agg(F.min("y").alias("y")).select(
         *keys, F.when(F.col("allele_id") % 5 != 0, F.col("y")).alias("fiducial_adj_y"))
-    rejections = a.where("allele_id % 13 = 0").select("fov", "allele_id", F.lit("Hyb_003").alias("hybe"), F.lit(None).cast("int").alias("channel"), F.lit("no peak").alias("rejected_reason"))
+    rejections = a.where("allele_id % 13 = 0").repartition("fov", "allele_id").select("fov", "allele_id", F.lit("Hyb_003").alias("hybe"), F.lit(None).cast("int").alias("channel"), F.lit("no peak").alias("rejected_reason"))
     axis = spark.createDataFrame([(i, 101 + i, f"Hyb_00{i + 1}" if i < 5 else "", 488 if i < 5 else None) for i in range(6)], "bin_index int, readout_id int, hybe string, channel int")
     return alleles, traces, fiducials, rejections, axis, T.layout(spark, d).where("modality = 'DNA'")
 

@@ -77,3 +77,15 @@ def test_channel_axis_reads_bare_keys_once(sheet):
 def test_homeless_allele(sheet):
     rows = sheet(cell=-1)
     assert {(r.cell_key, r.celltype) for r in rows} == {("", "")} and len(rows) == 4
+
+
+def test_the_sheet_is_dealt_by_allele_once(spark):
+    """Each table is shuffled once, by allele; the joins before had ten shuffles and more."""
+    from chromaloom.plans import load_all
+    from chromaloom.plans.registry import QUERIES
+
+    load_all()
+    plan = QUERIES["allele_sheet"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    # candidates, their fiducials, alleles and rejections
+    assert 1 <= len(shuffles) <= 4 and not any("ENSURE_REQUIREMENTS" in line for line in shuffles), shuffles
