@@ -11,10 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chromaloom.session import cut
-
-from .cycle_model import GRID, HARMONICS, PSEUDO, RingModel, _grid, _matrix, _posterior, _weight, maximise, smooth_circle
-from .stats import exact_quantiles
+from .cycle_model import GRID, HARMONICS, PSEUDO, RingModel, _grid, _matrix, _posterior, _times, _weight, maximise, profiles, smooth_circle
+from .stats import weighted_quantiles
 
 ALPHAS = (10.0, 30.0, 100.0, 300.0, None)
 
@@ -29,12 +27,14 @@ def _sums(cells: DataFrame, n_genes: int, rules: dict) -> dict:
     def block(batches):
         total = {j: np.zeros((GRID, n_genes + 2)) for j in rules}
         for pdf in batches:
-            x, fold = _matrix(pdf), pdf["fold"].to_numpy()
+            x, fold, times = _matrix(pdf), pdf["fold"].to_numpy(), _times(pdf)
             for j, (held, q_of) in rules.items():
-                own = x if held is None else x[fold != held]
+                kept = slice(None) if held is None else fold != held
+                own, n = x[kept], times[kept]
                 if len(own):
                     q, weight = q_of(own)
-                    total[j] += np.column_stack([(q * weight[:, None]).T @ own, (q * (weight * own.sum(1))[:, None]).sum(0), q.sum(0)])
+                    weight = weight * n
+                    total[j] += np.column_stack([(q * weight[:, None]).T @ own, (q * (weight * own.sum(1))[:, None]).sum(0), n @ q])
         yield pd.DataFrame([(j, t, v.tolist()) for j, s in total.items() for t, v in enumerate(s)], columns=["fit", "t", "v"])
 
     rows = cells.mapInPandas(block, "fit int, t int, v array<double>")
@@ -53,9 +53,10 @@ def _start_planes(cells: DataFrame, n_genes: int, folds: int) -> dict:
             z = np.log(_matrix(pdf) + PSEUDO)
             z -= z.mean(1, keepdims=True)
             one = np.column_stack([np.ones(len(z)), z])
-            for f in np.unique(pdf["fold"]):
-                part = one[pdf["fold"].to_numpy() == f]
-                acc[int(f)] = acc.get(int(f), 0) + part.T @ part
+            fold, times = pdf["fold"].to_numpy(), _times(pdf)
+            for f in np.unique(fold):
+                part = one[fold == f]
+                acc[int(f)] = acc.get(int(f), 0) + (part * times[fold == f][:, None]).T @ part
         yield pd.DataFrame([(f, i, v.tolist()) for f, m in acc.items() for i, v in enumerate(m)], columns=["fold", "i", "v"])
 
     moment = np.zeros((folds, n_genes + 1, n_genes + 1))
@@ -76,10 +77,12 @@ def _start_planes(cells: DataFrame, n_genes: int, folds: int) -> dict:
 
 
 def cross_fits(cells: DataFrame, genes: list[str], alphas=ALPHAS, folds: int = 3, iters: int = 20, tol: float = 1e-4) -> dict:
-    """{(alpha, fold): RingModel} fitted on the cells outside the fold; cells(fov, x, fold), checkpointed.
+    """{(alpha, fold): RingModel} fitted on the cells outside the fold; cells(fov, x, fold) or their
+    `profiles` by fold.
 
-    One pass over the cells per EM iteration serves all fits; a settled fit leaves the passes.
+    One pass over the count vectors per EM iteration serves all fits; a settled fit leaves the passes.
     """
+    cells = profiles(cells, "fold")
     g, grid = len(genes), _grid()
     planes = _start_planes(cells, g, folds)
     keys = [(a, f) for a in alphas for f in range(folds)]
@@ -122,20 +125,20 @@ def choose_alpha(cells: DataFrame, genes: list[str], alphas=ALPHAS, folds: int =
     cells(fov, cell, x). Folds are whole fields; a cell is scored by the fits that did not see its
     field, under a uniform prior. The score is the mean over folds of the mean over cells.
     """
-    kept = cut(cells.select("fov", "cell", "x", fov_fold(folds, seed).alias("fold")))
+    kept = profiles(cells.select("x", fov_fold(folds, seed).alias("fold")), "fold")
     models = cross_fits(kept, genes, alphas, folds, iters)
     order = list(alphas)
 
     def score(batches):
         for pdf in batches:
-            x, fold = _matrix(pdf), pdf["fold"].to_numpy()
+            x, fold, times = _matrix(pdf), pdf["fold"].to_numpy(), _times(pdf)
             rows = []
             for f in np.unique(fold):
-                own = x[fold == f]
+                own, n = x[fold == f], times[fold == f]
                 for k, a in enumerate(order):
                     m = models[a, int(f)]
                     ev = _posterior(m.loglik(own), np.full(GRID, -np.log(GRID)))[1] + m.evidence_const(own)
-                    rows.append((int(f), k, float(ev.sum()), len(own)))
+                    rows.append((int(f), k, float(n @ ev), int(n.sum())))
             yield pd.DataFrame(rows, columns=["fold", "k", "s", "n"])
 
     per = kept.mapInPandas(score, "fold int, k int, s double, n long").groupBy("fold", "k").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
@@ -154,7 +157,7 @@ def _phases(ll: np.ndarray) -> np.ndarray:
 def drop_shifts(cells: DataFrame, model: RingModel, kept: list[int]) -> DataFrame:
     """(gene, n, err_deg, mean_R): how far phases move when one more of the kept genes is left out.
 
-    cells(x). The placement is the multinomial one under a uniform prior, over the genes that
+    cells(x) or their `profiles`. The placement is the multinomial one under a uniform prior, over the genes that
     stay. A cell's grid sums over the kept genes are made once; leaving out gene h takes its own
     term and its share of the composition away again, so one pass serves all candidates. Moves
     are against the placement with all genes of the model; err_deg is their exact median. A cell
@@ -166,25 +169,26 @@ def drop_shifts(cells: DataFrame, model: RingModel, kept: list[int]) -> DataFram
 
     def score(batches):
         for pdf in batches:
-            x = _matrix(pdf)
+            x, times = _matrix(pdf), pdf["times"].to_numpy()
             full = _phases(x @ lp.T)
             base, counts, share = x[:, kept] @ lp[:, kept].T, x[:, kept].sum(1), pi[:, kept].sum(1)
             for name, h in zip(names, kept, strict=True):
                 without = base - np.outer(x[:, h], lp[:, h]) - np.outer(counts - x[:, h], np.log(share - pi[:, h]))
                 z, told = _phases(without), counts > x[:, h]
-                yield pd.DataFrame({"gene": name, "err": np.degrees(np.abs(np.angle(z * np.conj(full))))[told], "R": np.abs(z)[told]})
+                yield pd.DataFrame({"gene": name, "err": np.degrees(np.abs(np.angle(z * np.conj(full))))[told], "R": np.abs(z)[told], "times": times[told]})
 
-    rows = cells.select("x").mapInPandas(score, "gene string, err double, R double")
-    errors = exact_quantiles(rows, ["gene"], "err", {"err_deg": 0.5}, few_groups=True)
-    mean = rows.groupBy("gene").agg(F.avg("R").alias("mean_R"))
+    rows = profiles(cells).mapInPandas(score, "gene string, err double, R double, times long")
+    errors = weighted_quantiles(rows, ["gene"], "err", "times", {"err_deg": 0.5})
+    mean = rows.groupBy("gene").agg((F.sum(F.col("R") * F.col("times")) / F.sum("times")).alias("mean_R"))
     return errors.join(F.broadcast(mean), "gene")                          # one row per gene on either side
 
 
 def backward_elimination(cells: DataFrame, model: RingModel, least: int = 2) -> list[dict]:
     """Drop order: the gene whose loss moves the phases least goes first, ties to panel order.
 
-    One pass over the (checkpointed) cells per dropped gene; only the per-gene medians reach the driver.
+    One pass over the count vectors per dropped gene; only the per-gene medians reach the driver.
     """
+    cells = profiles(cells)
     kept, steps = list(range(len(model.genes))), []
     while len(kept) > least:
         found = {r["gene"]: r for r in drop_shifts(cells, model, kept).collect()}

@@ -114,7 +114,7 @@ SELECT 'gene_' || CAST(h + 1 AS VARCHAR) AS gene, count(*) AS n, round(median(er
 def gene_drop_shift(spark, d):
     """How far the phases move when each gene in turn is left out."""
     cells, genes = composed(spark, d)
-    out = CC.drop_shifts(cut(cells), phase_model(spark, d), list(range(len(genes))))
+    out = CC.drop_shifts(cells, phase_model(spark, d), list(range(len(genes))))
     return out.select("gene", "n", r("err_deg", 4).alias("err_deg"), r("mean_R", 5).alias("mean_R"))
 
 
@@ -122,7 +122,7 @@ def gene_drop_shift(spark, d):
 def gene_elimination(spark, d):
     """The order in which genes can go, and the phase shift each loss costs."""
     cells, _ = composed(spark, d)
-    steps = CC.backward_elimination(cut(cells), phase_model(spark, d))
+    steps = CC.backward_elimination(cells, phase_model(spark, d))
     return spark.createDataFrame([tuple(s.values()) for s in steps], "step int, dropped string, n_genes int, err_deg double, mean_R double")
 
 

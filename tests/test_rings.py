@@ -155,3 +155,33 @@ def test_elimination_equals_placing_without_each_gene(spark, sample):
         kept.remove(best)
     assert len(steps) == 4 and len(kept) == 2
     assert CC.backward_elimination(df.limit(0), model) == []
+
+
+def test_equal_counts_are_read_once(spark):
+    """A pass reads each count vector once; three copies of every cell give the sums of three cells."""
+    x, theta, *_ = simulated(300, 9)
+    df = frame(spark, x, theta)
+    thrice = df.unionByName(df).unionByName(df)
+    counted = CM.profiles(thrice)
+    assert counted.count() == len({tuple(r) for r in x.tolist()})
+    assert counted.groupBy().sum("times").first()[0] == 900
+    one, three = CM.composition_moments(CM.profiles(df), 6), CM.composition_moments(counted, 6)
+    assert np.allclose(one[0], three[0]) and np.allclose(one[1], three[1]) and three[2] == 3 * one[2]
+    model = CM.fit(thrice, GENES, 50.0, iters=2, tol=-1)
+    direct = {r.cell: r for r in CM.place(df, model).collect()}
+    looked_up = {r.cell: r for r in CM.place(df, model, counted).collect()}
+    assert direct.keys() == looked_up.keys()
+    assert all(np.allclose(list(direct[c]), list(looked_up[c])) for c in direct)
+
+
+def test_weighted_quantiles_equal_those_of_the_written_out_values(spark, monkeypatch):
+    from chromaloom.operators import stats
+
+    rng = np.random.default_rng(10)
+    rows = [("ab"[int(g)], float(v), int(t)) for g, v, t in zip(rng.integers(0, 2, 60), rng.integers(0, 20, 60), rng.integers(1, 25_000, 60), strict=True)]
+    df = spark.createDataFrame([*rows, ("a", None, 3), ("b", float("nan"), 3), ("a", 100.0, 0)], "g string, v double, t long")
+    want = {g: np.quantile(np.repeat([v for k, v, _ in rows if k == g], [t for k, _, t in rows if k == g]), [0.25, 0.5]) for g in "ab"}
+    for limit in (stats.HOT_GROUP, 5):
+        monkeypatch.setattr(stats, "HOT_GROUP", limit)
+        got = {r.g: r for r in stats.weighted_quantiles(df, ["g"], "v", "t", {"q": 0.25, "m": 0.5}).collect()}
+        assert all(np.allclose([got[g].q, got[g].m], want[g]) and got[g].n == sum(t for k, _, t in rows if k == g) for g in "ab")
