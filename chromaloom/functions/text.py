@@ -111,6 +111,17 @@ def declared_slots(text) -> Column:
     return F.nullif(F.regexp_extract(F.lower(col(text)), r"slots=(\d+)", 1), F.lit("")).cast("int")
 
 
+def explode_map(df: DataFrame, text: str) -> DataFrame:
+    """One row per entry of a readout-map text: the other columns, `slots` and the entry `e`.
+
+    The text is read once and stays behind: beside the explode it would be carried, and the
+    declaration sought anew, with every one of its entries.
+    """
+    others = [c for c in df.columns if c != text]
+    read = df.select(*others, declared_slots(text).alias("slots"), parse_map_entries(text).alias("__entries"))
+    return read.select(*others, "slots", F.explode("__entries").alias("e"))
+
+
 def parse_number_ranges(text: str) -> list[int]:
     """`1-5,7,9-10` -> sorted unique numbers (a run parameter, parsed on the driver)."""
     out: set[int] = set()

@@ -147,8 +147,7 @@ def readout_map_text(spark, d):
     """Readout maps written as one text per panel and parsed again."""
     texts = RO.map_text(RO.dense_index(T.readout_records(spark, d)), ["panel"])
     declared = texts.withColumn("text", F.concat(F.lit("slots=200,"), F.col("text")))
-    e = declared.select("panel", TX.declared_slots("text").alias("slots"), F.explode(TX.parse_map_entries("text")).alias("e"))
-    return e.select("panel", "e.hybe", "e.channel", "e.rindex", "e.dtype", "e.pindex", "slots")
+    return TX.explode_map(declared, "text").select("panel", "e.hybe", "e.channel", "e.rindex", "e.dtype", "e.pindex", "slots")
 
 
 @query("fit_gate", """

@@ -188,3 +188,14 @@ def test_map_entries_keep_their_digits(spark):
     line = ",".join(f"Hyb_{k}|{k}|{k}|H|{k if k % 2 else -1}" for k in range(13))
     got = spark.range(1).select(text.parse_map_entries(F.lit(line)).alias("e")).first()["e"]
     assert [tuple(e) for e in got] == [(f"Hyb_{k}", k, k, "H", k if k % 2 else -1) for k in range(13)]
+
+
+def test_a_map_text_is_read_once(spark):
+    """The text does not travel with its entries, whose number it would multiply."""
+    from chromaloom.functions import text as TX
+
+    df = spark.createDataFrame([("p", "slots=9, a|488|1|h|0,b|555|2|R|-1"), ("q", "c|488|3|H|0")], "panel string, text string")
+    out = TX.explode_map(df, "text")
+    assert sorted((r.panel, r.slots, r.e.hybe, r.e.dtype, r.e.pindex) for r in out.collect()) == [("p", 9, "a", "H", 0), ("p", 9, "b", "R", -1), ("q", None, "c", "H", 0)]
+    above = out._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert "regexp_extract" not in above and "text" not in above
