@@ -255,53 +255,61 @@ def count_null(alleles: DataFrame, polymer: DataFrame, n_slots: int, n_samples:
     the running totals (samples of an epoch x slots x slots); the axis may have any length.
     """
     per = polymer.groupBy("allele_id").agg(F.collect_set(F.col("slot").cast("int")).alias("slots"))
+    hit = F.transform(F.sequence(F.lit(0), F.lit(n_slots - 1)), lambda j: F.coalesce(F.array_contains("slots", j), F.lit(False)).cast("int").cast("string"))
     state = cut(alleles.select("allele_id").join(per, "allele_id", "left").select(
-        F.col("allele_id").cast("long").alias("allele_id"), F.coalesce("slots", F.array().cast("array<int>")).alias("slots")))
+        F.col("allele_id").cast("long").alias("allele_id"), F.array_join(hit, "").alias("pattern")))
     n_blocks = max(1, -(-state.count() // block))
     share = [n_samples // EPOCHS + (e < n_samples % EPOCHS) for e in range(EPOCHS)]
     totals = None
 
     def epoch(number: int, wanted: int):
         def trade(batches):
-            sums, held, key = np.zeros((wanted, n_slots, n_slots)), [], None
+            sums = np.zeros((wanted, n_slots, n_slots))
 
-            def run():
+            def run(key: int, held: list[pd.DataFrame]):
                 rng = np.random.default_rng([seed, number, key])
-                order = sorted(held)
-                bits = np.zeros((len(order), n_slots), bool)
-                for r, (_, slots) in enumerate(order):
-                    bits[r, slots] = True
+                own = pd.concat(held).sort_values("allele_id")
+                # a row per slot, so that a step below runs over all pairs
+                bits = np.ascontiguousarray((np.frombuffer("".join(own["pattern"]).encode(), np.uint8).reshape(-1, n_slots) == ord("1")).T)
                 for sweep in range(BURN + wanted):
                     # all pairs of one random matching trade at once: their rows are disjoint
-                    at = rng.permutation(len(bits))
-                    a, b = at[: len(at) // 2], at[len(at) // 2: 2 * (len(at) // 2)]
-                    differ = bits[a] ^ bits[b]
-                    lot = np.where(differ, rng.random(differ.shape), 2.0).argsort(1).argsort(1)
-                    to_a = lot < (bits[a] & differ).sum(1, keepdims=True)
-                    bits[a], bits[b] = np.where(differ, to_a, bits[a]), np.where(differ, ~to_a, bits[b])
+                    at = rng.permutation(bits.shape[1])
+                    half = len(at) // 2
+                    a, b = at[:half], at[half: 2 * half]
+                    mine, yours = bits[:, a], bits[:, b]
+                    differ, lot = mine ^ yours, rng.random((n_slots, half))
+                    left, need = differ.sum(0), (mine & differ).sum(0)
+                    # as many of the differing slots as a had, every choice as likely: slot by slot
+                    for j in range(n_slots):
+                        take = differ[j] & (lot[j] * left < need)
+                        left -= differ[j]
+                        need -= take
+                        bits[j, a], bits[j, b] = np.where(differ[j], take, mine[j]), np.where(differ[j], ~take, yours[j])
                     if sweep >= BURN:
-                        sums[sweep - BURN] += bits.astype(float).T @ bits
-                return pd.DataFrame({"sample": -1, "i": -1, "c": [[]] * len(order), "allele_id": [k for k, _ in order],
-                                     "slots": [np.flatnonzero(r).tolist() for r in bits]})
+                        table = bits.astype(np.float64)
+                        sums[sweep - BURN] += table @ table.T
+                told = np.ascontiguousarray(bits.T.astype(np.uint8) + ord("0")).view(f"S{n_slots}").ravel().astype(str)
+                return pd.DataFrame({"sample": -1, "i": -1, "c": None, "allele_id": own["allele_id"].to_numpy(), "pattern": told})
 
+            held, key = [], None
             for pdf in batches:
-                for k, allele, slots in zip(pdf["block"], pdf["allele_id"], pdf["slots"], strict=True):
+                for k, part in pdf.groupby("block", sort=True):
                     if held and k != key:
-                        yield run()
-                        held.clear()
+                        yield run(key, held)
+                        held = []
                     key = int(k)
-                    held.append((int(allele), [int(v) for v in slots]))
+                    held.append(part)
             if held:
-                yield run()
+                yield run(key, held)
             flat = [(j, i, sums[j, i].tolist(), None, None) for j in range(wanted) for i in range(n_slots)]
-            yield pd.DataFrame(flat, columns=["sample", "i", "c", "allele_id", "slots"])
+            yield pd.DataFrame(flat, columns=["sample", "i", "c", "allele_id", "pattern"])
         return trade
 
     for number, wanted in enumerate(share):
         dealt = state.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), F.lit(number), "allele_id"), F.lit(n_blocks)).cast("int"))
         out = cut(dealt.repartition("block").sortWithinPartitions("block").mapInPandas(
-            epoch(number, wanted), "sample int, i int, c array<double>, allele_id long, slots array<int>"))
-        state = out.where("sample < 0").select("allele_id", "slots")
+            epoch(number, wanted), "sample int, i int, c array<double>, allele_id long, pattern string"))
+        state = out.where("sample < 0").select("allele_id", "pattern")
         sums = out.where("sample >= 0").select((F.col("sample") + sum(share[:number])).alias("sample"), F.col("i").alias("bin_i"), F.posexplode("c").alias("bin_j", "c"))
         totals = sums if totals is None else totals.unionByName(sums)
     per_sample = totals.where("bin_i < bin_j").groupBy("sample", "bin_i", "bin_j").agg(F.sum("c").alias("c"))

@@ -199,3 +199,15 @@ def test_multiplicity_without_a_fit(spark):
     assert got == {1: (1, "fitted"), 2: (0, "no spots")}
     few = multiplicity.binomial_multiplicity(multiplicity.bin_counts(pts, 5, cells)).collect()
     assert {(r["k"], r["efficiency"], r["reason"]) for r in few} == {(None, None, "few bins")}
+
+
+def test_trades_keep_every_margin(spark):
+    """Each sample keeps the co-detections an allele can have, whatever the trades moved."""
+    rng = np.random.default_rng(12)
+    hit = rng.random((300, 6)) < np.linspace(0.1, 0.9, 6)
+    alleles = spark.createDataFrame([(a,) for a in range(300)], "allele_id long")
+    polymer = spark.createDataFrame([(int(a), int(s)) for a, s in zip(*np.nonzero(hit), strict=True)], "allele_id long, slot int")
+    got = detection.count_null(alleles, polymer, 6, 40, block=70).toPandas()
+    n = hit.sum(1)
+    assert got.expected.sum() == pytest.approx((n * (n - 1) // 2).sum(), abs=1e-6) == pytest.approx(got.observed.sum(), abs=1e-6)
+    assert (got.variance > 0).all() and len(got) == 15
