@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chromaloom.session import checked_broadcast
 
 from .cellcycle import phase_bin
-from .stats import exact_quantiles, group_quantiles
+from .stats import exact_quantiles, group_quantiles, has_hot_group
 
 KEYS = ["fov", "cell"]
 MIN_SWING, MIN_RHO = 1.5, 0.3
@@ -31,9 +31,17 @@ def barcode_vote(pixels: DataFrame, image: DataFrame, types: dict[int, str]) ->
     return votes.groupBy(*KEYS).agg(F.min_by("celltype", order).alias("celltype"), F.max("votes").alias("votes"))
 
 
+def mask_bound(pixels: DataFrame, image: DataFrame, by: list[str]) -> DataFrame:
+    """(fov, cell, n): no fewer than the values under a mask, told without joining mask and image."""
+    most = image.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return pixels.groupBy(*KEYS).agg((F.count(F.lit(1)) * F.lit(most)).alias("n"))
+
+
 def barcode_median(pixels: DataFrame, image: DataFrame, types: dict[int, str]) -> DataFrame:
     """The channel with the largest median under the mask, '' when none is above zero."""
-    per = group_quantiles(pixels.join(image.where(F.col("channel").isin(*types)), ["fov", "y", "x"]), [*KEYS, "channel"], "value", {"m": 0.5})
+    seen = image.where(F.col("channel").isin(*types))
+    bound = mask_bound(pixels, seen, ["fov", "channel", "y", "x"])
+    per = group_quantiles(pixels.join(seen, ["fov", "y", "x"]), [*KEYS, "channel"], "value", {"m": 0.5}, bound=bound)
     name = F.coalesce(*[F.when(F.col("channel") == c, F.lit(t)) for c, t in types.items()])
     best = per.groupBy(*KEYS).agg(F.max_by(F.struct(name.alias("name"), F.col("m").alias("m")), F.struct(F.col("m"), -F.col("channel"))).alias("b"))
     return best.select(*KEYS, F.when(F.col("b.m") > 0, F.col("b.name")).otherwise(F.lit("")).alias("celltype"))
@@ -52,12 +60,15 @@ def mask_sums(pixels: DataFrame, image: DataFrame) -> DataFrame:
     bg = whole.join(outside, "fov", "left").select(
         "fov", F.when(F.coalesce("n_out", F.lit(0)) >= F.col("n") * 0.01, F.col("outside")).otherwise(F.col("p5")).alias("background"))
     under = pixels.join(image, ["fov", "y", "x"])
-    sizes = under.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
-    med = group_quantiles(under, KEYS, "value", {"mask_median": 0.5}, sizes).drop("n")
-    sums = under.join(checked_broadcast(bg), "fov").groupBy(*KEYS).agg(
-        F.count("value").alias("area"), F.avg("value").alias("mask_mean"),
-        F.sum(F.greatest(F.col("value") - F.col("background"), F.lit(0.0))).alias("sum_above_bg"), F.first("background").alias("background"))
-    return sums.join(med, KEYS)
+    sums = [F.count("value").alias("area"), F.avg("value").alias("mask_mean"),
+            F.sum(F.greatest(F.col("value") - F.col("background"), F.lit(0.0))).alias("sum_above_bg"), F.first("background").alias("background")]
+    lit = under.join(checked_broadcast(bg), "fov")
+    if not has_hot_group(mask_bound(pixels, image, ["fov", "y", "x"])):
+        # no mask is large: the median goes with the sums, masks and image meet once
+        known = F.when(~F.isnan(F.col("value").cast("double")), F.col("value"))
+        return lit.groupBy(*KEYS).agg(*sums, F.percentile(known, F.lit(0.5)).alias("mask_median"))
+    med = group_quantiles(under, KEYS, "value", {"mask_median": 0.5}).drop("n")
+    return lit.groupBy(*KEYS).agg(*sums).join(med, KEYS)
 
 
 def screen_genes(counts: DataFrame, placed: DataFrame, n_bins: int = 12) -> DataFrame:

@@ -211,3 +211,22 @@ def test_trades_keep_every_margin(spark):
     n = hit.sum(1)
     assert got.expected.sum() == pytest.approx((n * (n - 1) // 2).sum(), abs=1e-6) == pytest.approx(got.observed.sum(), abs=1e-6)
     assert (got.variance > 0).all() and len(got) == 15
+
+
+def test_masks_and_image_meet_once(spark, monkeypatch):
+    """Small masks take one join for median and sums; a large one takes the counted path with the same rows."""
+    from chromaloom.operators import celltype, stats
+
+    pixels = spark.createDataFrame([(0, c, y, x) for c in (1, 2) for y in range(3) for x in range(2 * c)], "fov int, cell long, y int, x int")
+    image = spark.createDataFrame([(0, ch, y, x, float((y * 7 + x * 5 + ch) % 11 - 2)) for ch in (488, 555) for y in range(4) for x in range(6)], "fov int, channel int, y int, x int, value double")
+    one = image.where("channel = 488").drop("channel")
+    types = {488: "WT", 555: "KI"}
+    small = celltype.mask_sums(pixels, one)
+    plan = small._jdf.queryExecution().optimizedPlan().toString()
+    rows, typed = small.collect(), celltype.barcode_median(pixels, image, types).collect()
+    monkeypatch.setattr(stats, "HOT_GROUP", 3)
+    monkeypatch.setattr(stats.has_hot_group, "__defaults__", ("n", 3))
+    large = celltype.mask_sums(pixels, one).select(*small.columns).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, large)) and {r.area for r in rows} == {6, 12}
+    assert sorted(map(tuple, typed)) == sorted(map(tuple, celltype.barcode_median(pixels, image, types).collect()))
+    assert plan.count("Join") == 2                                          # image and background, nothing joined to itself
