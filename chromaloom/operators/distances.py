@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chromaloom.functions.scalar import TRACED, UNASSIGNED, USABLE_Z, closed_bin, euclid
 
+from .blocks import AXES, KERNEL_POINTS, Cells, batch, over_cells
 from .pairs import group_pairs
 from .stats import group_quantiles
 
@@ -93,11 +96,21 @@ def histogram(pairs: DataFrame, lo: float, hi: float, bins: int, gate: DataFrame
             .groupBy(label.alias("celltype"), "bin").agg(F.sum("k").alias("n")))
 
 
-def radius_support(points: DataFrame, radius: float, bin_col: str = "bin") -> DataFrame:
+def radius_support(points: DataFrame, radius: float, bin_col: str = "bin", kernel_points: int = KERNEL_POINTS) -> DataFrame:
     """Distinct bins within `radius` of each point of its cell, itself included."""
     from .pairs import radius_neighbours
 
-    near = radius_neighbours(points, KEYS, ["y_um", "x_um", "z_um"], radius, "point")
-    bins = points.select(*KEYS, F.col("point").alias("other"), bin_col)
-    return (near.join(bins, [*KEYS, "other"]).groupBy(*KEYS, "point")
-            .agg(F.count_distinct(bin_col).alias("support")))
+    def kernel(rows):
+        cells = Cells(rows, bin_col)
+        near = pa.array(np.flatnonzero(cells.placed))
+        found = cells.support(cells.placed, radius)[cells.placed]
+        return batch([*[rows.column(c).take(near) for c in (*KEYS, "point")], pa.array(found)], [*KEYS, "point", "support"])
+
+    def joined(part: DataFrame) -> DataFrame:
+        near = radius_neighbours(part, KEYS, ["y_um", "x_um", "z_um"], radius, "point")
+        bins = part.select(*KEYS, F.col("point").alias("other"), bin_col)
+        return (near.join(bins, [*KEYS, "other"]).groupBy(*KEYS, "point")
+                .agg(F.count_distinct(bin_col).alias("support")))
+
+    schema = points.select(*KEYS, "point").schema.add("support", "long")
+    return over_cells(points, kernel, schema, [*KEYS, "point", bin_col, *AXES], joined, kernel_points)

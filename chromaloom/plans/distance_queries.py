@@ -187,8 +187,8 @@ centres AS MATERIALIZED (SELECT fov, cell, renamed AS site, c.y_um, c.x_um, c.z_
 
 
 def clusters_of(spark, d):
-    points = cut(T.spots(spark, d).where("cell >= 0").select(
-        "fov", "cell", F.col("uid").alias("point"), "y_um", "x_um", "z_um", F.col("hybe").alias("slot")))
+    points = T.spots(spark, d).where("cell >= 0").select(
+        "fov", "cell", F.col("uid").alias("point"), "y_um", "x_um", "z_um", F.col("hybe").alias("slot"))
     proposed = cut(sites.spatial_multiplicity(points.withColumn("bin", F.col("slot")), T.N_SLOTS, radius=4.0))
     return points, proposed, *CL.site_clusters(points, proposed, 4.0, 2)
 
