@@ -40,6 +40,7 @@ RATIO = 1.5            # band edges grow by this factor
 SPARE = 3.0            # standard deviations of poor segments that a set may have without joining them
 FOLD_WORDS = 16        # 64-bit words of the folded sketch
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+HAMMING = "aggregate(zip_with(fa, fb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
 BATCH_IDS = 1_000_000  # candidate set ids a broadcast may hold (16 MB)
 
 
@@ -242,12 +243,73 @@ def star_links(stars: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num:
         F.col("sid").alias("a"), F.col("n").alias("na"), F.col("fold").alias("fa"), F.col("hashes").alias("ha"))
     both = right.join(left, "a")
     total = F.col("na") + F.col("nb")
-    hamming = F.expr("aggregate(zip_with(fa, fb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
-    both = both.where((hamming * (den + num) <= total * (den - num)) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
+    both = both.where((F.expr(HAMMING) * (den + num) <= total * (den - num)) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
     inter = F.size(F.array_intersect("ha", "hb"))
     return both.where(inter * den >= (total - inter) * num).select("a", "b").distinct()
 
 
+def meetings(num: int, den: int):
+    """Task over rows (c, g, sid, component, n, nd, tail, s0, s1) sorted by (c, g): pairs (c, a, b)
+    of different components that meet on a shared shingle and may be linked, each once per batch.
+
+    Both tails must be long enough, and the 128 parities s0, s1 of the two sets may differ in no
+    more places than linked sets differ in shingles. So a pair of a dense group that is not linked
+    is a comparison of a few words here and becomes no row. A key's rows are all a task holds of it.
+    """
+    told = ["component", "n", "nd", "tail", "s0", "s1"]
+    names = ["c", "g", "sid", *told]
+
+    def may_link(x: dict, y: dict) -> np.ndarray:
+        bound = (den - num) * (x["n"] + y["n"])
+        ok = (x["component"] != y["component"]) & ((2 * np.minimum(x["tail"], y["tail"]) - x["nd"] - y["nd"]) * (den + num) + bound >= 0)
+        apart = np.bitwise_count(x["s0"] ^ y["s0"]).astype(np.int64) + np.bitwise_count(x["s1"] ^ y["s1"])
+        return ok & (apart * (den + num) <= bound)
+
+    def run(batches):
+        held = None                         # rows of the last key, which the next batch may go on with
+        for batch in batches:
+            col = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+            # unsigned words: the count of a negative number's bits is that of its absolute value
+            col.update({c: np.ascontiguousarray(col[c]).view(np.uint64) for c in ("s0", "s1")})
+            size = len(col["g"])
+            if not size:
+                continue
+            c, g, sid = col["c"], col["g"], col["sid"]
+            found = []
+
+            def keep(c_, x, y):
+                found.append(np.stack((c_, np.minimum(x, y), np.maximum(x, y)), 1))
+
+            starts = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (c[1:] != c[:-1]))))
+            ends = np.append(starts[1:], size)
+            if held is not None and held["g"][0] == g[0] and held["c"][0] == c[0]:
+                for j in range(ends[0]):
+                    at = np.flatnonzero(may_link(held, {k: col[k][j] for k in told}))
+                    if len(at):
+                        keep(np.full(len(at), c[j]), held["sid"][at], np.full(len(at), sid[j]))
+            else:
+                held = None
+            mixed = np.minimum.reduceat(col["component"], starts) != np.maximum.reduceat(col["component"], starts)
+            last = np.repeat(np.where(mixed, ends, starts), ends - starts)      # rows of unmixed keys meet nothing
+            i, step = np.arange(size), 1
+            while True:
+                i = i[i + step < last[i]]
+                if not len(i):
+                    break
+                ok = i[may_link({k: col[k][i] for k in told}, {k: col[k][i + step] for k in told})]
+                if len(ok):
+                    keep(c[ok], sid[ok], sid[ok + step])
+                step += 1
+            tail = {k: v[starts[-1]:] for k, v in col.items()}
+            if held is not None and len(starts) == 1:
+                tail = {k: np.concatenate((held[k], v)) for k, v in tail.items()}
+            held = tail
+            if found:
+                pairs = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, j].copy()) for j in range(3)], ["c", "a", "b"])
+    return run
+
+
 def open_links(members: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links (a, b) between different components inside the clusters of `members` (c, sid, component).
 
@@ -256,7 +318,7 @@ def open_links(members: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num
     that are not both linked to P can only be linked when their differences share shingles,
     at least half of what |D_x| + |D_y| exceeds the bound by. Differences are ordered
     (shingles outside P first) and meet on a shared shingle only where both tails from there
-    on are still long enough. So a dense group of near copies that are just not linked costs
+    on are still long enough and the sketches allow a link (`meetings`). So a dense group of near copies that are just not linked costs
     its differences, not its pairs. The pivot is the member nearest to the cluster's majority
     (shingles that more than half have), which keeps a pivot's own edits out of the
     differences. Differences are first taken from the smallest set id and then moved to P.
@@ -264,8 +326,8 @@ def open_links(members: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num
     first = members.groupBy("c").agg(F.min("sid").alias("p0"), F.count("*").alias("m"))
     centre = set_data(first.select(F.col("p0").alias("sid"), F.col("c").alias("grp")), reps, docs, k).dropDuplicates(["grp"]).select(
         F.col("grp").alias("c"), F.col("n").alias("n0"), F.col("hashes").alias("h0"))
-    data = set_data(members.select("sid", F.col("c").alias("grp")), reps, docs, k).dropDuplicates(["grp", "sid"]).select(F.col("grp").alias("c"), "sid", "n", "hashes")
-    rough = cut(data.join(centre, "c").select("c", "sid", "n", F.array_except("hashes", "h0").alias("new"), F.array_except("h0", "hashes").alias("gone")))
+    data = set_data(members.select("sid", F.col("c").alias("grp")), reps, docs, k).dropDuplicates(["grp", "sid"]).select(F.col("grp").alias("c"), "sid", "n", "fold", "hashes")
+    rough = cut(data.join(centre, "c").select("c", "sid", "n", "fold", F.array_except("hashes", "h0").alias("new"), F.array_except("h0", "hashes").alias("gone")))
     # which member is the pivot only steers the cost: a sixteenth of the shingles tells it
     flat = rough.select("c", "sid", F.explode(F.concat("new", "gone")).alias("g")).where(F.pmod("g", F.lit(16)) == 0)
     major = cut(flat.groupBy("c", "g").agg(F.count("*").alias("k")).join(first, "c").where("2 * k > m").select("c", "g"))
@@ -276,7 +338,7 @@ def open_links(members: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num
     middle = far.groupBy("c").agg(F.min(F.struct("far", "sid")).alias("b")).select("c", F.col("b.sid").alias("sid"))
     pivot = rough.join(middle, ["c", "sid"]).select("c", F.col("sid").alias("p"), F.col("n").alias("np"), F.col("new").alias("pn"), F.col("gone").alias("pg"))
     moved = rough.join(members, ["c", "sid"]).join(pivot, "c").where("sid <> p").select(
-        "c", "p", "sid", "component", "n", "np", F.concat(
+        "c", "p", "sid", "component", "n", "np", "fold", F.concat(
             F.array_sort(F.concat(F.array_except("new", "pn"), F.array_except("pg", "gone"))),
             F.array_sort(F.concat(F.array_except("gone", "pg"), F.array_except("pn", "new")))).alias("d"))
     diff = cut(moved.withColumn("nd", F.size("d").cast("long")))
@@ -289,14 +351,17 @@ def open_links(members: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num
     # |D_y| is at least 1 and at least |D_x| - T, tails below both bounds meet nothing
     most = F.floor((den - num) * F.col("n") / F.lit(float(num)) + 1e-6)          # T for the largest n_y
     least = F.greatest((F.col("nd") + 1 - most) / 2, F.col("nd") - most)
-    rows = diff.select("c", "sid", "component", "n", "nd", least.alias("least"), F.posexplode("d").alias("at", "g")).withColumn(
-        "tail", F.col("nd") - F.col("at")).where("tail >= least").drop("least")
-    mixed = rows.groupBy("c", "g").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("c", "g")
-    rows = rows.drop("at").join(mixed, ["c", "g"], "left_semi")
-    other = rows.select("c", "g", *[F.col(c).alias(f"{c}_y") for c in ("sid", "component", "n", "nd", "tail")])
-    enough = (2 * F.least("tail", "tail_y") - F.col("nd") - F.col("nd_y")) * (den + num) + (den - num) * (F.col("n") + F.col("n_y")) >= 0
-    met = rows.join(other, ["c", "g"]).where((F.col("sid") < F.col("sid_y")) & (F.col("component") != F.col("component_y")) & enough)
-    pairs = cut(met.select("c", F.col("sid").alias("a"), F.col("sid_y").alias("b")).distinct())
+    short = [F.expr(f"aggregate(sequence({j}, {FOLD_WORDS - 1}, 2), 0L, (s, i) -> s ^ fold[i])").alias(f"s{j}") for j in (0, 1)]
+    rows = diff.select("c", "sid", "component", "n", "nd", *short, least.alias("least"), F.posexplode("d").alias("at", "g")).withColumn(
+        "tail", F.col("nd") - F.col("at")).where("tail >= least").drop("least", "at")
+    parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartition(parts, "c", "g").sortWithinPartitions("c", "g").select("c", "g", "sid", "component", "n", "nd", "tail", "s0", "s1")
+    pairs = cut(dealt.mapInArrow(meetings(num, den), "c long, a long, b long").distinct())
+    # the wide folds see nearly every pair off before its differences travel
+    folds = diff.select("c", F.col("sid").alias("s"), "n", "fold")
+    near = pairs.join(folds.select("c", F.col("s").alias("a"), F.col("n").alias("na"), F.col("fold").alias("fa")), ["c", "a"]).join(
+        folds.select("c", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("fold").alias("fb")), ["c", "b"])
+    pairs = cut(near.where(linked(F.expr(HAMMING), F.col("na") + F.col("nb"))).select("c", "a", "b"))
     left = diff.select("c", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("d").alias("da"))
     right = diff.select("c", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"))
     both = pairs.join(left, ["c", "a"]).join(right, ["c", "b"])

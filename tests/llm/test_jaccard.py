@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from chromaloom.llm import jaccard
@@ -82,3 +84,34 @@ def test_null_and_repeated_ids_are_no_identity(spark):
     kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
     assert len(kept) == 6 and len({r.text for r in kept}) == 6
     assert {r.text.split()[0] for r in kept} == {f"t{k}w0" for k in (0, 1, 2, 3, 8, 9)}
+
+
+@pytest.mark.parametrize("size", [7, 64, 100_000])
+def test_dense_groups_that_are_not_linked_make_no_rows(size):
+    """Near copies of one text that share edits, most of them just not linked: 400 sets, in batches of `size` rows."""
+    r, num, den = np.random.default_rng(5), 90, 100
+    base = jaccard.mix(np.arange(100, dtype=np.uint64))
+    members = []
+    for i in range(400):
+        gone = r.choice(100, 7, replace=False)
+        new = jaccard.mix(np.arange(7, dtype=np.uint64) + np.uint64(1000 + (i // 2 if i % 10 == 1 else i) * 7))
+        if i % 10 == 1:                                       # as good as the one before it: linked
+            gone, new = last
+        last = gone, new[:6] if i % 10 == 0 else new
+        members.append((set(new.tolist()), set(base[gone].tolist())))
+    rows, full = [], set(base.tolist())
+    sets = [(full - gone) | new for new, gone in members]
+    for i, (h, (new, gone)) in enumerate(zip(sets, members)):
+        words = np.zeros(2, np.uint64)
+        for x in h:
+            words[x >> 6 & 1] ^= np.uint64(1 << (x & 63))
+        d = sorted(new) + sorted(gone)
+        rows += [(1, np.uint64(g).astype(np.int64).item(), i, i, len(h), len(d), len(d) - at, *words.view(np.int64).tolist()) for at, g in enumerate(d)]
+    rows.sort(key=lambda x: x[1])
+    names = ["c", "g", "sid", "component", "n", "nd", "tail", "s0", "s1"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[k:k + size])], names) for k in range(0, len(rows), size)]
+    got = {tuple(x.values()) for b in jaccard.meetings(num, den)(batches) for x in b.to_pylist()}
+    links = {(1, a, b) for a in range(400) for b in range(a + 1, 400) if den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])}
+    met = {(x[2], y[2]) for x in rows for y in rows if x[1] == y[1] and x[2] < y[2]}
+    assert len(links) == 40 and links <= got
+    assert len(met) > 20_000 and len(got) < 400                # what the join on a shared shingle made rows of
