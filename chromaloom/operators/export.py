@@ -92,22 +92,31 @@ def allele_rows(alleles: DataFrame, candidates: DataFrame, polymer: DataFrame, n
                 voxel_um=VOXEL_UM) -> DataFrame:
     """Long rows (allele, slot, candidate); an empty slot keeps one row with candidate_index -1.
 
-    candidate_index counts the candidates of one bin in stored order; the window
-    covers one (allele, slot).
+    alleles has one row per allele. candidate_index counts the candidates of one bin in stored
+    order; the windows cover one (allele, slot). The parts are stacked and told apart inside a
+    bin, so candidates and polymer that are dealt by allele are not dealt again, and an allele
+    gets its celltype and its place before it gets its slots.
     """
     from pyspark.sql import Window
 
-    w = Window.partitionBy("allele_id", "slot").orderBy("cand")
-    ranked = candidates.select("allele_id", "slot", "cand", F.col("y").alias("readout_adj_y"), F.col("x").alias("readout_adj_x"),
-                               F.col("z").alias("readout_adj_z"), F.col("amplitude").alias("readout_adj_amplitude"),
-                               F.col("quality").alias("readout_quality"), (F.row_number().over(w) - 1).alias("k"))
-    final = polymer.select("allele_id", "slot", "n_cand", F.col("x_um").alias("final_x_um"), F.col("y_um").alias("final_y_um"),
-                           F.col("z_um").alias("final_z_um"))
-    grid = alleles.select("fov", "cell", "allele_id", F.explode(F.sequence(F.lit(0), F.lit(n_slots - 1))).alias("slot"))
+    own = alleles.select("fov", "cell", "allele_id")
     # (fov, cell) lookup of the celltype; homeless alleles have none and skip it
-    named = grid.where(F.col("cell") >= 0).join(cells.select("fov", "cell", "celltype"), ["fov", "cell"], "left").unionByName(
-        grid.where(F.col("cell") < 0).withColumn("celltype", F.lit(None).cast("string")))
-    joined = named.join(final, ["allele_id", "slot"], "left").join(ranked, ["allele_id", "slot"], "left")
+    named = own.where(F.col("cell") >= 0).join(cells.select("fov", "cell", "celltype"), ["fov", "cell"], "left").unionByName(
+        own.where(F.col("cell") < 0).withColumn("celltype", F.lit(None).cast("string")))
+    grid = named.where("allele_id is not null").repartition("allele_id").select(
+        "allele_id", F.struct("fov", "cell", "celltype").alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_slots - 1).cast("long"))).alias("slot"))
+    found = candidates.select("allele_id", F.col("slot").cast("long").alias("slot"), "cand", F.struct(
+        F.col("x").alias("readout_adj_x"), F.col("y").alias("readout_adj_y"), F.col("z").alias("readout_adj_z"),
+        F.col("amplitude").alias("readout_adj_amplitude"), F.col("quality").alias("readout_quality")).alias("at"))
+    final = polymer.select("allele_id", F.col("slot").cast("long").alias("slot"), F.struct(
+        "n_cand", F.col("x_um").alias("final_x_um"), F.col("y_um").alias("final_y_um"), F.col("z_um").alias("final_z_um")).alias("final"))
+    stacked = found.unionByName(final, allowMissingColumns=True).unionByName(grid, allowMissingColumns=True)
+    w = Window.partitionBy("allele_id", "slot")
+    told = stacked.select(
+        "allele_id", "slot", "at", (F.row_number().over(w.orderBy(F.col("at").isNull(), "cand")) - 1).alias("__r"),
+        F.first("own", ignorenulls=True).over(w).alias("own"), F.first("final", ignorenulls=True).over(w).alias("final"))
+    joined = told.where("own is not null and (at is not null or __r = 0)").select(
+        "allele_id", F.col("slot").cast("int").alias("slot"), F.when(F.col("at").isNotNull(), F.col("__r")).alias("k"), "own.*", "final.*", "at.*")
     near = None
     for a, v in zip(("y", "x", "z"), voxel_um):
         close = F.abs(F.col(f"readout_adj_{a}") - F.col(f"final_{a}_um") / F.lit(v)) <= SELECTED_TOL

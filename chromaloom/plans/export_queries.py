@@ -6,10 +6,10 @@ from chromaloom.functions.scalar import r
 from chromaloom.operators import assignment as AS
 from chromaloom.operators import export as X
 from chromaloom.operators import frames as FR
+from chromaloom.operators import polymer
 from chromaloom.session import checked_broadcast
 from chromaloom.sources import tables as T
 
-from .common import polymer_of
 from .registry import query
 
 UM = ("raw_x_um", "raw_y_um", "raw_z_um", "adj_x_um", "adj_y_um", "adj_z_um")
@@ -88,7 +88,8 @@ FROM m_alleles a CROSS JOIN (SELECT unnest(range(9)) AS slot) s LEFT JOIN m_cell
 LEFT JOIN m_polymer p ON p.allele_id = a.allele_id AND p.slot = s.slot LEFT JOIN k ON k.allele_id = a.allele_id AND k.slot = s.slot""")
 def allele_rows(spark, d):
     """Nine declared slots: the trailing two keep their empty row on every allele."""
-    a = X.allele_rows(T.alleles(spark, d), T.candidates(spark, d), polymer_of(spark, d), 9, T.cells(spark, d))
+    found = T.candidates(spark, d).repartition("allele_id")      # dealt once: bins and their collapse stay where they are
+    a = X.allele_rows(T.alleles(spark, d), found, polymer.collapse(found), 9, T.cells(spark, d))
     return a.withColumns({c: r(c) for c in ("final_x_um", "final_y_um", "final_z_um")})
 
 
