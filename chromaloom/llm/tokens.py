@@ -20,6 +20,8 @@ arithmetic only, so every machine codes and decodes alike.
 
 from __future__ import annotations
 
+import re
+import struct
 import uuid
 import zlib
 
@@ -53,8 +55,8 @@ class Lanes:
         self.t2 = np.zeros((n, SLOTS2), np.uint32)        # id << 2 | confidence
         self.t1 = np.zeros((n, SLOTS1), np.uint32)
         self.t0 = np.zeros((n, 256), np.uint32)
-        self.m1 = np.ones((n * 32, 4), np.int32)
-        self.m2 = np.ones((n * 64, 4), np.int32)
+        self.m1 = np.ones((4, n * 32), np.int32)
+        self.m2 = np.ones((4, n * 64), np.int32)
         self.a = np.zeros(n, np.uint32)
         self.b = np.zeros(n, np.uint32)
         self.past = np.zeros(n, np.int64)
@@ -65,30 +67,35 @@ class Lanes:
         self.a, self.b, self.past, self.row = self.a[:n], self.b[:n], self.past[:n], self.row[:n]
 
     def predict(self):
-        """(order-2 id, order-1 id, frequencies of the four events as cumulated sums)."""
+        """(order-2 id, order-1 id, bounds of the four events: cumulated frequencies from 0)."""
         self.i2 = self.row * SLOTS2 + (((self.a * np.uint32(0x9E3779B1)) ^ (self.b * np.uint32(0x85EBCA6B))) >> np.uint32(21)).astype(np.int64)
         self.i1 = self.row * SLOTS1 + ((self.a * np.uint32(0x9E3779B1)) >> np.uint32(22)).astype(np.int64)
-        self.c2, self.c1 = self.t2.ravel()[self.i2], self.t1.ravel()[self.i1]
+        self.c2, self.c1 = self.t2.ravel().take(self.i2), self.t1.ravel().take(self.i1)
         p2, p1 = self.c2 >> np.uint32(2), self.c1 >> np.uint32(2)
         near = ((self.c2 & np.uint32(3)) * np.uint32(4) + (self.c1 & np.uint32(3))).astype(np.int64)
         self.k1 = self.row * 32 + near + 16 * (p1 == p2)
         self.k2 = self.row * 64 + self.past
-        c = self.m1[self.k1] + self.m2[self.k2]
-        cum = np.cumsum(c, axis=1)
-        scale = ((1 << BITS) - 8) / cum[:, 3]
-        upper = (cum * scale[:, None]).astype(np.int64) + np.array([2, 4, 6, 8])
-        upper[:, 3] = 1 << BITS
+        # column by column: rows of four are too short to pay for a call
+        cum = [self.m1[0].take(self.k1) + self.m2[0].take(self.k2)]
+        for j in (1, 2, 3):
+            cum.append(cum[-1] + self.m1[j].take(self.k1) + self.m2[j].take(self.k2))
+        scale = ((1 << BITS) - 8) / cum[3]
+        upper = np.empty((5, len(scale)), np.int64)         # upper[e] to upper[e + 1] is event e
+        upper[0], upper[4] = 0, 1 << BITS
+        for j in (0, 1, 2):
+            upper[j + 1] = (cum[j] * scale).astype(np.int64) + (2 * j + 2)
         return p2, p1, upper
 
     def update(self, ids: np.ndarray, event: np.ndarray) -> None:
-        self.m1[self.k1, event] += 20
-        self.m2[self.k2, event] += 12
+        # lanes differ in their keys, so a flat place occurs once
+        self.m1.ravel()[event * self.m1.shape[1] + self.k1] += 20
+        self.m2.ravel()[event * self.m2.shape[1] + self.k2] += 12
         hit2, hit1 = (self.c2 >> np.uint32(2)) == ids, (self.c1 >> np.uint32(2)) == ids
-        s2 = np.where(hit2, np.minimum((self.c2 & np.uint32(3)) + np.uint32(1), 3), 0).astype(np.uint32)
-        s1 = np.where(hit1, np.minimum((self.c1 & np.uint32(3)) + np.uint32(1), 3), 0).astype(np.uint32)
+        s2 = np.minimum((self.c2 & np.uint32(3)) + np.uint32(1), np.uint32(3)) * hit2
+        s1 = np.minimum((self.c1 & np.uint32(3)) + np.uint32(1), np.uint32(3)) * hit1
         self.t2.ravel()[self.i2] = (ids << np.uint32(2)) | s2
         self.t1.ravel()[self.i1] = (ids << np.uint32(2)) | s1
-        self.t0[self.row, ids & np.uint32(255)] = ids
+        self.t0.ravel()[self.row * 256 + (ids & np.uint32(255))] = ids
         self.b, self.a = self.a, ids
         self.past = (self.past * 4 + event) & 63
 
@@ -124,10 +131,10 @@ def encode_blocks(blocks: list[np.ndarray], id_bits: int) -> list[bytes]:
             used_now = used[:active]
         x = ids[t, :active]
         p2, p1, upper = model.predict()
-        slot = model.t0[model.row, x & np.uint32(255)]
+        slot = model.t0.ravel().take(model.row * 256 + (x & np.uint32(255)))
         event = np.where(x == p2, 0, np.where(x == p1, 1, np.where(x == slot, 2, 3)))
-        hi = upper[model.row, event]
-        below = np.where(event > 0, upper[model.row, event - 1], 0)
+        at = event * active + model.row
+        below, hi = upper.ravel().take(at), upper.ravel().take(at + active)
         span = span >> U64(BITS)
         low = low + below.astype(U64) * span
         span = span * (hi - below).astype(U64)
@@ -192,9 +199,9 @@ def decode_blocks(codes: list[bytes], sizes: list[int], id_bits: int) -> list[np
         p2, p1, upper = model.predict()
         span = span >> U64(BITS)
         at = np.minimum((code - low) // span, U64((1 << BITS) - 1)).astype(np.int64)
-        event = (at[:, None] >= upper[:, :3]).sum(axis=1)
-        hi = upper[model.row, event]
-        below = np.where(event > 0, upper[model.row, event - 1], 0)
+        event = (at >= upper[1]).astype(np.int64) + (at >= upper[2]) + (at >= upper[3])
+        at = event * active + model.row
+        below, hi = upper.ravel().take(at), upper.ravel().take(at + active)
         low = low + below.astype(U64) * span
         span = span * (hi - below).astype(U64)
         if id_bits > MERGED:
@@ -204,7 +211,7 @@ def decode_blocks(codes: list[bytes], sizes: list[int], id_bits: int) -> list[np
         extra = ((code - low) // span).astype(np.uint32)
         low = low + np.where(event > 1, extra, 0).astype(U64) * span
         low, span, code = _fill(low, span, code, words, used)
-        slot = model.t0[model.row, extra & np.uint32(255)]
+        slot = model.t0.ravel().take(model.row * 256 + (extra & np.uint32(255)))
         x = np.where(event == 0, p2, np.where(event == 1, p1, np.where(event == 2, slot, extra))).astype(np.uint32)
         model.update(x, event)
         ids[t, :active] = x
@@ -228,19 +235,37 @@ def _fill(low, span, code, words, used):
         span[todo] <<= WORD
 
 
+# a mark between a letter and a space is a piece of its own, as the tokenizer's pattern cuts it
+MARK = re.compile(r"([a-z])([,.;:!?])(?=[ \n])")
+
+
 class Encoder:
     """Ids of whole texts through the tokenizers library, remembering words.
 
     The tokenizer cuts a text at white space before it merges, and its normal form (NFC,
     lower case) never joins characters across a space, so a text's ids are those of its
-    space-separated words; a word is sent to the library once and its ids are kept.
+    space-separated words; a word is sent to the library once and its ids are kept. A mark at
+    a word's end is a word of its own, and ASCII text is lower-cased first, so that a word is
+    not kept in several forms.
     """
 
     JOINED = 500
+    known: dict[str, Encoder] = {}
+
+    @classmethod
+    def of(cls, definition: str) -> Encoder:
+        """The encoder of this process, with the words of its earlier tasks."""
+        if definition not in cls.known:
+            cls.known.clear()
+            cls.known[definition] = cls(definition)
+        return cls.known[definition]
 
     def __init__(self, definition: str):
         import json
+        import os
 
+        # Spark has a task on every core; the library's own threads would wait for each other, each with memory of its own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
@@ -248,8 +273,27 @@ class Encoder:
         # new words go to the library in one text, parted by a special token no word contains
         special = [t for t in json.loads(definition).get("added_tokens") or [] if t.get("special") and len(t["content"]) > 3]
         self.part = (special[0]["content"], special[0]["id"]) if special else None
+        self.letters = letters_apart(definition)
+        self.special = [t["content"].lower() for t in json.loads(definition).get("added_tokens") or []]
+
+    def _words(self, text: str) -> list[str]:
+        if self.letters:
+            low = text.lower() if text.isascii() else text
+            # a special token is told by its case
+            text = MARK.sub(r"\1 \2", text if any(x in low for x in self.special) else low)
+        return text.replace("\n", " ").split(" ")
 
     def _learn(self, words: list[str]) -> None:
+        if self.letters:
+            # a word of a-z is its own normal form and one piece: the library's model cuts it without the steps before
+            cut_, memo, rest = self.tokenizer.model.tokenize, self.memo, []
+            for w in words:
+                if w.isascii() and w.isalpha() and w.islower():
+                    ids = [t.id for t in cut_(w)]
+                    memo[w] = struct.pack(f"<{len(ids)}I", *ids)
+                else:
+                    rest.append(w)
+            words = rest
         plain = [w for w in words if self.part is None or "<" in w or self.part[0] in w]
         for w, e in zip(plain, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)):
             self.memo[w] = np.array(e.ids, "<u4").tobytes()
@@ -267,7 +311,7 @@ class Encoder:
                 self.memo[w] = data[4 * (edge[k] + 1):4 * edge[k + 1]]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        split = [self._words(t) if t else [] for t in texts]
         new = list({w for words in split for w in words} - self.memo.keys())
         if len(self.memo) + len(new) > MEMO:
             self.memo.clear()
@@ -291,6 +335,21 @@ def word_local(definition: str) -> bool:
     return "\\\\s" in kinds and '"invert": true' in kinds and all(x not in steps for x in ("Prepend", "Strip"))
 
 
+def letters_apart(definition: str) -> bool:
+    """True when letters and marks are cut apart and ASCII text may be lower-cased before the rest."""
+    import json
+
+    spec = json.loads(definition)
+    normal = spec.get("normalizer") or {}
+    steps = [x["type"] for x in normal.get("normalizers") or [normal] if x]
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    split = cuts[0].get("pattern", {}).get("Regex", "") if cuts else ""
+    alone = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+    bytes_ = [x for x in cuts[1:] if x["type"] == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex")]
+    return (steps[-1:] == ["Lowercase"] and set(steps) <= {"NFC", "Replace", "Lowercase"} and split == alone and len(cuts) == 2 and len(bytes_) == 1
+            and all(x.get("pattern") == {"Regex": "\\s+"} for x in normal.get("normalizers") or [] if x["type"] == "Replace"))
+
+
 def vocabulary_bits(definition: str) -> int:
     from tokenizers import Tokenizer
 
@@ -339,7 +398,7 @@ def write_ids(docs: DataFrame, path: str, definition: str, end_id: int = END_ID,
         raise ValueError("the tokenizer does not cut at white space")
 
     def run(batches):
-        encoder, buffer, size, segment = Encoder(definition), [], 0, 0
+        encoder, buffer, size, segment = Encoder.of(definition), [], 0, 0
         schema = pa.schema([("segment", pa.int32()), ("doc_id", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int32())),
                             ("blocks", pa.list_(pa.struct([("n", pa.int32()), ("crc", pa.int64()), ("data", pa.binary())])))])
 

@@ -68,3 +68,25 @@ def test_damage_is_found(spark):
         tokens.read_ids(spark, bad, tokens.vocabulary_bits(DEFINITION)).collect()
     ids = tokens.read_ids(spark, at, tokens.vocabulary_bits(DEFINITION), keep_ids=True).first().ids
     assert ids[-1] == tokens.END_ID
+
+
+def test_words_in_every_case_and_beside_marks_have_the_librarys_ids():
+    """ASCII text is lower-cased and cut at marks before the memo; a special token is told by its case."""
+    from tokenizers import Tokenizer
+
+    texts = ["Don't! we'll. it's, 's. a.b. x,\ny; Ab!? \nend.", "A<|ENDOFTEXT|>B c, d", "<|endoftext|>. <|endoftext|>a. E <|StartOfText|>, f.",
+             "3a. a3, _a. a's. a't, l'l.", "h\u0331. H\u0331. \u00c9, K. \u03a3. \u0391\u03a3, a.\u0300 b", "\u03b1\u03a3. n,\u0301 x", "a, \x85 b.\u00a0c. ", None, ""]
+    encoder = tokens.Encoder.of(DEFINITION)
+    assert encoder is tokens.Encoder.of(DEFINITION) and encoder.letters
+    t = Tokenizer.from_str(DEFINITION)
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder(texts)] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_a_word_is_kept_once_in_a_bounded_memo(monkeypatch):
+    encoder = tokens.Encoder(DEFINITION)
+    encoder(["Word word, WORD. word; word!", "word"])
+    assert set(encoder.memo) == {"word", ",", ".", ";", "word!"}
+    monkeypatch.setattr(tokens, "MEMO", 50)
+    for k in range(20):
+        encoder([" ".join(f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[k % 10]}" for i in range(10))])
+        assert len(encoder.memo) <= 50
