@@ -26,7 +26,8 @@ def collapse(candidates: DataFrame, order: Column | None = None, voxel_um=VOXEL_
     """
     order = brightest_order() if order is None else order
     best = F.max_by(F.struct("y", "x", "z", "amplitude", "quality", "cand"), order)
-    return candidates.groupBy(*ALLELE, "slot").agg(
+    # the allele leads: the sort of this aggregate tells most rows apart by its first key
+    return candidates.groupBy("allele_id", "fov", "cell", "slot").agg(
         F.count(F.lit(1)).alias("n_cand"), best.alias("b")
     ).select(
         *ALLELE, "slot", "n_cand", (F.col("b.y") * voxel_um[0]).alias("y_um"), (F.col("b.x") * voxel_um[1]).alias("x_um"),
