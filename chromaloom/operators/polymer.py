@@ -51,17 +51,20 @@ def efficacy(alleles: DataFrame, polymer: DataFrame, n_slots: int) -> DataFrame:
         (F.coalesce("found", F.lit(0)) / F.col("n_alleles")).alias("efficacy"))
 
 
-def distance_maps(polymer: DataFrame, dims: str = "xyz", extra: list[Column] | None = None) -> DataFrame:
+def distance_maps(polymer: DataFrame, dims: str = "xyz", extra: list[Column] | None = None, carry: list[str] | None = None) -> DataFrame:
     """(allele, bin_i < bin_j, d): the observed upper triangle of every allele's map.
 
     Pairs are bounded by the axis, and both sides read the same exchange on the allele.
+    `carry` names further columns of the allele that its pairs keep.
     """
+    own = [*ALLELE, *(carry or [])]
+
     def side(s):
         keep = [F.col(c).alias(f"{s}_{c}") for c in ("y_um", "x_um", "z_um")]
-        return polymer.select(*(ALLELE if s == "a" else ["allele_id"]), F.col("slot").alias(f"bin_{'i' if s == 'a' else 'j'}"), *keep)
+        return polymer.select(*(own if s == "a" else ["allele_id"]), F.col("slot").alias(f"bin_{'i' if s == 'a' else 'j'}"), *keep)
 
     joined = side("a").join(side("b"), "allele_id").where(F.col("bin_i") < F.col("bin_j"))
-    return joined.select(*ALLELE, "bin_i", "bin_j", euclid(dims, "a_", "b_").alias("d"), *(extra or []))
+    return joined.select(*own, "bin_i", "bin_j", euclid(dims, "a_", "b_").alias("d"), *(extra or []))
 
 
 def xy_and_xyz(polymer: DataFrame) -> DataFrame:

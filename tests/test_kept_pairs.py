@@ -27,3 +27,10 @@ def test_surrogate_meets_with_the_pairs(spark):
     assert digits(null, "d_xy", "d_xyz") == digits(polymer.xy_and_xyz(anisotropy.isotropic_surrogate(p, 3)), "d_xy", "d_xyz")
     assert null.where("d_xyz is null").count() and pairs.count() == null.count()
     assert not any(x in plan(df) for df in (pairs, null) for x in ("Exchange", "Join"))
+
+
+def test_pairs_keep_what_they_carry(spark):
+    p = positions(spark).withColumn("celltype", F.concat(F.lit("t"), F.col("cell")))
+    got = polymer.distance_maps(p, carry=["celltype"])
+    assert got.columns == ["fov", "cell", "allele_id", "celltype", "bin_i", "bin_j", "d"]
+    assert got.where("celltype <> concat('t', cell)").count() == 0 and got.count() == polymer.distance_maps(p).count()
