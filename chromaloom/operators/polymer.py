@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chromaloom.functions.scalar import VOXEL_UM, euclid
+from chromaloom.session import cut
 
 from .stats import exact_quantiles
 
@@ -85,9 +86,12 @@ def slot_medians(polymer: DataFrame, dmaps: DataFrame) -> DataFrame:
 def qc_thresholds(polymer: DataFrame, dmaps: DataFrame, brightness=(0.05, 0.95), jump: float = 0.75,
                   max_dist: float = 0.95) -> DataFrame:
     """One row of thresholds; no data gives the open bound."""
+    # a quantile passes over its values twice: what is measured from positions is kept as distances
+    dmaps = cut(dmaps.select("allele_id", "bin_i", "bin_j", "d"))
+    med = cut(slot_medians(polymer, dmaps).select("med"))
     amp = exact_quantiles(polymer, [], "amp", {"min_brightness": brightness[0], "max_brightness": brightness[1]})
     near = exact_quantiles(dmaps.where(F.col("bin_j") == F.col("bin_i") + 1), [], "d", {"max_jump_um": jump})
-    far = exact_quantiles(slot_medians(polymer, dmaps), [], "med", {"max_dist_um": max_dist})
+    far = exact_quantiles(med, [], "med", {"max_dist_um": max_dist})
     inf = F.lit(float("inf"))
     one = polymer.agg(F.count(F.lit(1)).alias("n"))
     return one.select(

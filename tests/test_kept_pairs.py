@@ -34,3 +34,8 @@ def test_pairs_keep_what_they_carry(spark):
     got = polymer.distance_maps(p, carry=["celltype"])
     assert got.columns == ["fov", "cell", "allele_id", "celltype", "bin_i", "bin_j", "d"]
     assert got.where("celltype <> concat('t', cell)").count() == 0 and got.count() == polymer.distance_maps(p).count()
+
+
+def test_thresholds_read_kept_distances(spark):
+    p = positions(spark)
+    assert "SQRT" not in plan(polymer.qc_thresholds(p, polymer.distance_maps(p)))
