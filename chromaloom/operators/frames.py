@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chromaloom.functions import affine
 
-from chromaloom.session import checked_broadcast
+from chromaloom.session import checked_broadcast, cut
 
 from .stats import exact_quantiles
 
@@ -124,12 +124,9 @@ def infer_hub(modalities: DataFrame, bridges: DataFrame) -> str:
 
 def shift_stats(rows: DataFrame, new: tuple[str, str], old: tuple[str, str], by: list[str]) -> DataFrame:
     """n, median, p90 and max of the in-plane move, per group."""
-    # the generator computes a long expression once; a plain column would be copied into every filter below it
-    move = F.hypot(F.col(new[0]) - F.col(old[0]), F.col(new[1]) - F.col(old[1]))
-    moved = rows.select(*by, F.explode(F.array(move)).alias("shift"))
-    q = exact_quantiles(moved, by, "shift", {"median": 0.5, "p90": 0.9})
-    top = moved.groupBy(*by).agg(F.max("shift").alias("max"))
-    return q.join(top, by) if by else q.withColumn("max", top.scalar())
+    # kept, as several passes read it and each would attach the layers again
+    moved = cut(rows.select(*by, F.hypot(F.col(new[0]) - F.col(old[0]), F.col(new[1]) - F.col(old[1])).alias("shift")))
+    return exact_quantiles(moved, by, "shift", {"median": 0.5, "p90": 0.9, "max": 1.0})
 
 
 def z_consensus(entries: DataFrame, min_cells: int = 8) -> DataFrame:

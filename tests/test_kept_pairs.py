@@ -39,3 +39,10 @@ def test_pairs_keep_what_they_carry(spark):
 def test_thresholds_read_kept_distances(spark):
     p = positions(spark)
     assert "SQRT" not in plan(polymer.qc_thresholds(p, polymer.distance_maps(p)))
+
+
+def test_moves_are_measured_once(spark):
+    rows = spark.createDataFrame([("a", 3.0 * k, 4.0 * k, 0.0, 0.0) for k in range(11)] + [("b", None, 1.0, 0.0, 0.0), ("b", 0.0, 2.0, 0.0, 0.0)], "m string, y double, x double, v double, u double")
+    s = frames.shift_stats(rows, ("y", "x"), ("v", "u"), ["m"])
+    assert sorted(tuple(x) for x in s.collect()) == [("a", 11, 25.0, 45.0, 50.0), ("b", 1, 2.0, 2.0, 2.0)]
+    assert "HYPOT" not in plan(s).upper()
