@@ -25,20 +25,23 @@ def scaled(prefix: str, voxel_um=VOXEL_UM) -> list[Column]:
     return [(F.col(f"{prefix}_{a}") * F.lit(v)).alias(f"{prefix}_{a}_um") for a, v in zip(("y", "x", "z"), voxel_um)]
 
 
-def spot_rows(spots: DataFrame, cells: DataFrame, layout: DataFrame, extras: list[str] | None = None) -> DataFrame:
+def spot_rows(spots: DataFrame, cells: DataFrame, layout: DataFrame, extras: list[str] | None = None, carry: list[str] | None = None) -> DataFrame:
     """One row per spot, homeless ones included; the cell's own celltype wins.
 
+    `carry` names further columns of `cells` that its spots keep, behind all others.
+
     Homeless rows skip the cell join: they are split off by the join key being
     NULL, so the one key that holds most rows is never shuffled to one task.
     """
     key = F.when(F.col("cell") >= 0, F.col("cell"))
-    names = cells.select(F.col("fov").alias("__f"), F.col("cell").alias("__c"), F.col("celltype").alias("__ct"))
+    carry = carry or []
+    names = cells.select(F.col("fov").alias("__f"), F.col("cell").alias("__c"), F.col("celltype").alias("__ct"), *carry)
     lay = layout.select("modality", "hybe", "readout_name", "datatype", "readout_id", "fiducial_channel")
     joined = spots.withColumn("__k", key).join(checked_broadcast(lay), ["modality", "hybe"], "left")
     housed = joined.where(F.col("__k").isNotNull()).join(
         names, (F.col("fov") == F.col("__f")) & (F.col("__k") == F.col("__c")), "left")
     homeless = joined.where(F.col("__k").isNull()).withColumns({
-        "__f": F.lit(None).cast("int"), "__c": F.lit(None).cast("long"), "__ct": F.lit(None).cast("string")})
+        c.name: F.lit(None).cast(c.dataType) for c in names.schema})
     both = housed.unionByName(homeless)
     own = F.col("celltype") if "celltype" in spots.columns else F.lit("")
     role = F.when(F.col("fiducial_channel").isNull(), "").when(F.col("fiducial_channel") == F.col("channel"), "fiducial").otherwise("readout")
@@ -49,8 +52,8 @@ def spot_rows(spots: DataFrame, cells: DataFrame, layout: DataFrame, extras: lis
         F.coalesce("readout_id", F.lit(-1)).alias("readout_id"), "channel", role.alias("channel_role"), "cell",
         cell_key().alias("cell_key"), F.coalesce("__ct", own).alias("celltype"), "uid", "raw_x", "raw_y", "raw_z", *adj,
         "brightness", "p_exist", z_status("z_status").alias("z_status"),
-        F.when(from_learned_engine("p_exist", "z_status"), "learned").otherwise("").alias("engine"), *(extras or []))
-    return out.select("*", *scaled("raw"), *scaled("adj"))
+        F.when(from_learned_engine("p_exist", "z_status"), "learned").otherwise("").alias("engine"), *(extras or []), *carry)
+    return out.select(*[c for c in out.columns if c not in carry], *scaled("raw"), *scaled("adj"), *carry)
 
 
 def per_cell_counts(spot_sheet: DataFrame) -> DataFrame:
@@ -146,3 +149,13 @@ def combined_rows(spot_sheet: DataFrame, cell_sheet: DataFrame, declared_spot: l
     housed = left.where(F.col("cell_key") != "").join(right, F.col("cell_key") == F.col("__ck"), "left").drop("__ck")
     blanks = left.where(F.col("cell_key") == "")
     return housed.unionByName(blanks, allowMissingColumns=True)
+
+
+def combined_sheet(spots: DataFrame, layout: DataFrame, cell_sheet: DataFrame, keep_cell: list[str], prefix: str = "cell_") -> DataFrame:
+    """The spot sheet with the named columns of its cells, as `combined_rows` of both sheets gives it.
+
+    A cell's celltype and its columns come to a spot in one join on (fov, cell).
+    """
+    own = [c for c in keep_cell if c not in COMBINED_SHARED]
+    cells = cell_sheet.select("fov", "cell", "celltype", *[F.col(c).alias(f"{prefix}{c}") for c in own])
+    return spot_rows(spots, cells, layout, carry=[f"{prefix}{c}" for c in own])

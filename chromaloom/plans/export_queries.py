@@ -98,10 +98,9 @@ SELECT s.spot_key, s.fov, s.modality, s.hybe, readout_name, readout_id, channel_
        k.nucleus_um2 AS cell_nucleus_um2, k.n_spots_readout AS cell_n_spots_readout, k.touches_frame_edge AS cell_touches_frame_edge, k.area AS cell_area, k.mean_stain AS cell_mean_stain
 FROM ({SPOTS_SQL}) s LEFT JOIN ({CELLS_SQL}) k ON k.cell_key = s.cell_key""")
 def combined_compact(spark, d):
-    spots, cells = spot_sheet(spark, d), cell_sheet(spark, d)
-    discovered = ["area", "mean_stain"]
-    declared = [c for c in cells.columns if c not in discovered]
-    out = X.combined_rows(spots, cells.drop("mask_y0", "mask_x0", "mask_side", "solidity"), spots.columns, declared)
+    kept = [*X.COMBINED_CELL, "area", "mean_stain"]      # declared cell columns of the compact sheet, then the discovered ones
+    out = X.combined_sheet(T.spots(spark, d), T.layout(spark, d), cell_sheet(spark, d), kept)
+    out = out.select(*[c for c in out.columns if c in X.COMBINED_SPOT or c.startswith("cell_")])
     return out.drop("adj_x_um", "adj_y_um", "adj_z_um").withColumn("cell_nucleus_um2", r("cell_nucleus_um2"))
 
 
@@ -109,9 +108,8 @@ def combined_compact(spark, d):
 SELECT s.*, k.nucleus_px AS cell_nucleus_px, k.n_spots AS cell_n_spots, k.n_alleles AS cell_n_alleles, k."cellcycle_R" AS "cell_cellcycle_R", k.area AS cell_area
 FROM ({SPOTS_SQL}) s LEFT JOIN ({CELLS_SQL}) k ON k.cell_key = s.cell_key""")
 def combined_full(spark, d):
-    spots = spot_sheet(spark, d).drop("adj_x", "adj_y", "adj_z", "adj_x_um", "adj_y_um", "adj_z_um")
-    keep = ["cell_key", "fov", "cell", "celltype", "nucleus_px", "n_spots", "n_alleles", "cellcycle_R", "area"]
-    out = X.combined_rows(spots, cell_sheet(spark, d).select(*keep), [], [], compact=False)
+    out = X.combined_sheet(T.spots(spark, d), T.layout(spark, d), cell_sheet(spark, d), ["nucleus_px", "n_spots", "n_alleles", "cellcycle_R", "area"])
+    out = out.drop("adj_x", "adj_y", "adj_z", "adj_x_um", "adj_y_um", "adj_z_um")
     return out.withColumns({c: r(c) for c in UM if c.startswith("raw")})
 
 
