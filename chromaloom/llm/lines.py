@@ -30,6 +30,9 @@ from chromaloom.session import checked_broadcast, cut
 
 DISTANCE = 2
 MIN_NEAR = 16          # lines with fewer code points are duplicates of equal lines only
+BASE = 0x9E3779B97F4A7C15   # of the running hashes; odd, so it has an inverse
+CHUNK = 500_000        # code points that are hashed together
+MANY = 64              # rows of a key up to which the keys of a batch are compared together
 LINE_IDS = 1_000_000   # candidate line ids a broadcast may hold
 
 
@@ -141,11 +144,41 @@ def line_id(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
 
 
-def signature(line: str) -> int:
-    c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
-    one = np.bincount(c & np.uint32(31), minlength=32) & 1
-    two = np.bincount(((c[:-1] * np.uint32(0x9E3779B1) + c[1:]) * np.uint32(0x85EBCA6B)) >> np.uint32(27), minlength=32) & 1
-    return int(np.packbits(np.concatenate((one, two)).astype(np.uint8)).view(">u8")[0])
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+class Hashes:
+    """Hashes of any substring of the lines of a chunk: differences of one running polynomial sum, modulo 2^64.
+
+    Equal substrings have equal hashes wherever they stand; a chance meeting of others is one more candidate only.
+    """
+
+    def __init__(self):
+        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def read(self, lines: list[str]) -> None:
+        """Takes the lines (none empty) of a chunk; `starts` are their first places in it, `signatures` their parities."""
+        c = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+        if len(self.up) <= len(c):
+            size = max(2 * len(self.up), len(c) + 1)
+            for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
+                power = np.full(size, base, np.uint64)
+                power[0] = 1
+                setattr(self, name, np.cumprod(power))
+        self.starts = np.cumsum([0, *map(len, lines)])[:-1]
+        self.sums = np.zeros(len(c) + 1, np.uint64)
+        np.cumsum(mixed(c.astype(np.uint64)) * self.up[:len(c)], out=self.sums[1:])
+        bits = np.uint64(1) << (((c[:-1] * np.uint32(0x9E3779B1) + c[1:]) * np.uint32(0x85EBCA6B)) >> np.uint32(27)).astype(np.uint64)
+        bits[self.starts[1:] - 1] = 0                   # a pair lies inside a line
+        parities = np.uint64(1) << ((c & np.uint32(31)) + np.uint32(32)).astype(np.uint64)
+        parities[:-1] |= bits
+        self.signatures = np.bitwise_xor.reduceat(parities, self.starts)
+
+    def of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return (self.sums[high] - self.sums[low]) * self.down[low]
 
 
 def describe(batches):
@@ -159,31 +192,53 @@ def describe(batches):
 
 
 def emit(distance: int):
-    """Task: index rows (role 0) and probe rows (role 1) of every line, once per line and task."""
+    """Task: index rows (role 0) and probe rows (role 1) of every line, once per line and task.
+
+    Lines are taken in chunks; rows of a line stay together, they pack better.
+    """
     def run(batches):
         seen: set[int] = set()
-        plans: dict[int, list] = {}
-        digest = xxhash.xxh3_64_intdigest
+        begin: dict[int, int] = {}                      # where the plan of a length begins in `plans`
+        count: dict[int, int] = {}
+        plans, hashes = [np.empty(0, np.int64)] * 4, Hashes()
+
+        def rows(chunk: list[str], own: list[int]) -> pa.RecordBatch:
+            nonlocal plans
+            hashes.read(chunk)
+            size, new, end = [len(x) for x in chunk], [], len(plans[0])
+            for n in set(size).difference(begin):
+                begin[n] = end + len(new)
+                new.extend(probes(n, distance))
+                count[n] = end + len(new) - begin[n]
+            if new:
+                plans = [np.concatenate((x, np.array(y, np.int64))) for x, y in zip(plans, zip(*new))]
+            each = np.array([count[n] for n in size])
+            total = int(each.sum())
+            at = np.arange(total) + np.repeat(np.array([begin[n] for n in size]) - np.cumsum(each) + each, each)
+            seed, low, high, role = (x[at] for x in plans)
+            first = np.repeat(hashes.starts, each)
+            key = mixed(hashes.of(first + low, first + high) + seed.astype(np.uint64) * np.uint64(BASE))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(_signed(key)), pa.array(role.astype(np.int8)), pa.array(_signed(np.repeat(np.array(own, np.uint64), each))),
+                 pa.array(_signed(np.repeat(hashes.signatures, each)))], ["key", "role", "lid", "sig"])
+
         for b in batches:
-            key, role, lid, sig = [], [], [], []
+            chunk, own, size = [], [], 0
             for text in b.column("text").to_pylist():
                 for line in text_lines(text):
-                    n = len(line)
-                    if n < MIN_NEAR:
+                    if len(line) < MIN_NEAR:
                         continue
-                    own = line_id(line)
-                    if own in seen:
+                    name = line_id(line)
+                    if name in seen:
                         continue
-                    seen.add(own)
-                    plan = plans.get(n)
-                    if plan is None:
-                        plan = plans[n] = probes(n, distance)
-                    key.extend([digest(line[lo:hi], seed) for seed, lo, hi, _ in plan])
-                    role.extend([r for _, _, _, r in plan])
-                    lid.extend([own] * len(plan))
-                    sig.extend([signature(line)] * len(plan))
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(key)), pa.array(role, pa.int8()), pa.array(_signed(lid)), pa.array(_signed(sig))],
-                                             ["key", "role", "lid", "sig"])
+                    seen.add(name)
+                    chunk.append(line), own.append(name)
+                    size += len(line)
+                    if size >= CHUNK:
+                        yield rows(chunk, own)
+                        chunk, own, size = [], [], 0
+            if chunk:
+                yield rows(chunk, own)
     return run
 
 
@@ -207,9 +262,25 @@ def candidates(distance: int):
             if not len(key):
                 continue
             edge = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
-            several = np.flatnonzero(np.diff(edge) > 1)
-            groups = set(several.tolist()) | {0, len(edge) - 2}
+            # the first group may go on from the last batch, the last one into the next; of the others only
+            # groups with an index row and different lines can give pairs
+            inside = np.arange(1, len(edge) - 2)
+            size, index = np.diff(edge), np.add.reduceat((role == 0).astype(np.int64), edge[:-1])
+            inside = inside[(size[inside] > 1) & (index[inside] > 0)]
+            inside = inside[np.minimum.reduceat(lid, edge[:-1])[inside] != np.maximum.reduceat(lid, edge[:-1])[inside]]
+            large = inside[size[inside] > MANY]
+            groups = {0, len(edge) - 2} | set(large.tolist())
             found_a, found_b = [], []
+            some, step = inside[size[inside] <= MANY], 0
+            while len(some):                            # the step-th index row of every group with all behind it
+                left = size[some] - step - 1
+                x = np.repeat(edge[some] + step, left)
+                y = np.arange(len(x)) - np.repeat(np.cumsum(left) - left, left) + x + 1
+                ok = np.flatnonzero(close(sig[x], sig[y]) & (lid[x] != lid[y]))
+                found_a.append(lid[x[ok]])
+                found_b.append(lid[y[ok]])
+                step += 1
+                some = some[(index[some] > step) & (size[some] > step + 1)]
             for g in sorted(groups):
                 lo, hi = edge[g], edge[g + 1]
                 split = lo + int((role[lo:hi] == 0).sum())
@@ -229,7 +300,7 @@ def candidates(distance: int):
                         found_b.append(np.full(len(other), lid[j], np.uint64))
                 if g == len(edge) - 2:
                     held_key, held_lid, held_sig = key[lo], everyone_lid, everyone_sig
-            if found_a:
+            if sum(map(len, found_a)):
                 a, c = np.concatenate(found_a).view(np.int64), np.concatenate(found_b).view(np.int64)
                 pairs = np.unique(np.stack((np.minimum(a, c), np.maximum(a, c)), 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])

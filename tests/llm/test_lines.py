@@ -77,3 +77,57 @@ def test_report_matches_brute_force(spark):
 
 def test_no_rows(spark):
     assert lines.line_report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_substrings_hash_alike_wherever_they_stand():
+    import numpy as np
+
+    text = ["abc漢字 the quick brown fox", "xx abc漢字 the quick brown", "ab"]
+    h = lines.Hashes()
+    h.read(text)
+    assert list(h.starts) == [0, len(text[0]), len(text[0]) + len(text[1])]
+    part = "abc漢字 the quick"
+    low = np.array([text[k].index(part) for k in (0, 1)]) + h.starts[:2]
+    one, two = h.of(low, low + len(part))
+    other, = h.of(low[:1] + 1, low[:1] + 1 + len(part))
+    assert one == two != other
+    alone = lines.Hashes()
+    for k, line in enumerate(text):
+        alone.read([line])
+        assert alone.signatures[0] == h.signatures[k]
+
+
+def test_a_key_is_compared_whole_on_both_ways():
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(3)
+    rows = []
+    for key in range(60):
+        for k in range(r.choice([1, 2, 5, 63, 64, 65, 150])):
+            rows.append((key, int(r.random() < .6), r.randrange(1, 40), r.getrandbits(64) & 0x0003000F0000000F))
+    rows.sort()
+    want = {(min(a, b), max(a, b)) for x in range(60) for i, (k, s, a, p) in enumerate(rows) if k == x and s == 0
+            for _, _, b, q in [y for y in rows[i + 1:] if y[0] == x] if a != b
+            and ((p ^ q) >> 32).bit_count() <= 4 and ((p ^ q) & 0xFFFFFFFF).bit_count() <= 8}
+    for size in (7, 100, len(rows)):
+        cut = [rows[i:i + size] for i in range(0, len(rows), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(np.array([y[j] for y in x], np.uint64).view(np.int64)) for j in (0, 1, 2, 3)], ["key", "role", "lid", "sig"]) for x in cut]
+        got = {(a, b) for x in lines.candidates(2)(batches) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist())}
+        assert got == want
+
+
+def test_hashing_of_many_lines_is_quick():
+    import time
+
+    import pyarrow as pa
+    import xxhash
+
+    r = random.Random(1)
+    text = ["\n".join("".join(r.choices("abcdefghij ", k=r.randrange(40, 120))) for _ in range(20)) for _ in range(1000)]
+    batch = [pa.RecordBatch.from_pydict({"text": text})]
+    t = time.process_time()
+    n = sum(b.num_rows for b in lines.emit(2)(batch))
+    took, t = time.process_time() - t, time.process_time()
+    each = [xxhash.xxh3_64_intdigest(x[lo:hi], seed) for y in text for x in y.split("\n") for seed, lo, hi, _ in lines.probes(len(x), 2)]
+    assert n == len(each) and took < time.process_time() - t
