@@ -13,14 +13,16 @@ at most e such poor segments skip them, for one of the 1 + e agreements is then
 few sets with more join them too. A set is probed in its own band and, when a partner of the next band could be linked
 to it, in that band as well.
 
-Verification first compares 1024-bit folds of the sketches (the Hamming bound again), then
-intersects the hashed shingle sets exactly.
+Verification first compares folds of the sketches, two bits and more for a shingle (the
+Hamming bound again; the wider of two folds is folded on to the other's width); only texts
+of sets that this leaves open travel, and a task intersects their sets exactly.
 
 Hot keys. Equal sets are one class: a task emits a set once, classes meet as equal rows. In
 a batch, sets that share a segment are tied to the first of them under a key of the batch,
 and only that first one goes to the shared key, so a bucket holds at most one row per batch
 however many near copies it has. Buckets emit a star (smallest set to the others), not all
-pairs; pairs that a star leaves open are compared afterwards, only across components.
+pairs; pairs that a star leaves open are compared afterwards, only across components, and
+leave a task as a forest: what travels grows with the sets, not with their pairs.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,10 +41,17 @@ from chromaloom.session import checked_broadcast, cut
 
 RATIO = 1.5            # band edges grow by this factor
 SPARE = 3.0            # standard deviations of poor segments that a set may have without joining them
-FOLD_WORDS = 16        # 64-bit words of the folded sketch
+FOLD_WORDS = 16        # 64-bit words of the smallest folded sketch
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-HAMMING = "aggregate(zip_with(fa, fb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+NARROW = "if(size({f}) <= {m}, {f}, transform(sequence(0, {m} - 1), i -> aggregate(sequence(i, size({f}) - 1, {m}), 0L, (s, j) -> s ^ {f}[j])))"
+HAMMING = "aggregate(zip_with({}, {}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)".format(
+    *(NARROW.format(f=f, m="least(size(fa), size(fb))") for f in ("fa", "fb")))
 BATCH_IDS = 1_000_000  # candidate set ids a broadcast may hold (16 MB)
+CHUNK_WORDS = 1 << 18  # words of folds that are compared at a time
+CHUNK_KEYS = 1 << 18   # keys a batch of sets may have, and pairs a task collects before it keeps their forest
+TASK_TEXTS = 1_024     # texts a task takes from Arrow at a time
+UNIT_ROWS = 4_096      # rows of a bucket that are compared as one block
+UNIT_SHINGLES = 1 << 21  # shingles of a cluster that are compared as one block (16 MB)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -142,30 +152,66 @@ def _signed(x) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
+def fold_words(n: int) -> int:
+    """Words of the fold of a set of n shingles: a power of two, two to four bits a shingle, FOLD_WORDS at least."""
+    return max(FOLD_WORDS, 1 << max(0, math.ceil(n / 32) - 1).bit_length())
+
+
+def folded(h: np.ndarray, words: int) -> np.ndarray:
+    """Parities of a set's shingles on 64 * words places, packed in words."""
+    bits = np.bincount((h & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def slices(batches, rows: int):
+    """The batches in slices, so that a task never holds the Python texts of a whole batch."""
+    for b in batches:
+        yield from (b.slice(lo, rows) for lo in range(0, b.num_rows, rows))
+
+
 def describe(k: int):
-    """Task: one row (doc_id, h, n_shingles, sid) per document; h is its text's hash, sid identifies the set."""
+    """Task: one row (doc_id, h, n_shingles, sid, fold) per document; h is its text's hash, sid identifies the set."""
     def run(batches):
-        for b in batches:
-            n, sid = [], []
+        for b in slices(batches, TASK_TEXTS):
+            n, sid, fold = [], [], []
             for text in b.column("text").to_pylist():
                 h = shingles(text, k)
                 n.append(len(h))
                 sid.append(set_id(h))
+                fold.append(folded(h, fold_words(len(h))))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), b.column("h"), pa.array(n, pa.int64()), pa.array(_signed(sid))], ["doc_id", "h", "n_shingles", "sid"])
+                [b.column("doc_id").cast(pa.int64()), b.column("h"), pa.array(n, pa.int64()), pa.array(_signed(sid)), pa.array(fold, pa.list_(pa.int64()))],
+                ["doc_id", "h", "n_shingles", "sid", "fold"])
     return run
 
 
 def probe(k: int, num: int, den: int):
-    """Task: the bucket rows (gkey, sid) of every set, once per set and task.
+    """Task: the bucket rows (gkey, sid, key) of every set, once per set and task.
 
     gkey names a bucket; the sets of a batch that share one are tied to the first of them
-    under a key of their own, and only the first goes to the bucket.
+    under a key of their own, and only the first goes to the bucket. key names the bucket of
+    a row under such a key of its own, and is null elsewhere. A batch is what has about
+    CHUNK_KEYS keys.
     """
+    def emit(keys, sids):
+        key, sid = np.concatenate(keys), np.concatenate(sids)
+        order = np.argsort(key, kind="stable")
+        sorted_key, sorted_sid = key[order], sid[order]
+        first = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))
+        lead = sorted_sid[np.flatnonzero(first)][np.cumsum(first) - 1]
+        tied = np.concatenate((~first[1:], [False])) | ~first       # members of groups of two and more
+        local = mix(sorted_key + mix(lead + np.uint64(7)))
+        keep = np.zeros(len(key), bool)
+        keep[order] = first                                         # rows of a set stay together, they pack better
+        gkey = np.concatenate((key[keep], local[tied]))
+        who = np.concatenate((sid[keep], sorted_sid[tied]))
+        of = np.concatenate((np.zeros(int(keep.sum()), np.uint64), sorted_key[tied]))
+        of = pa.array(_signed(of), mask=np.arange(len(of)) < keep.sum())
+        return pa.RecordBatch.from_arrays([pa.array(_signed(gkey)), pa.array(_signed(who)), of], ["gkey", "sid", "key"])
+
     def run(batches):
-        seen, plans = set(), {}
-        for b in batches:
-            keys, sids = [], []
+        seen, plans, keys, sids, held = set(), {}, [], [], 0
+        for b in slices(batches, TASK_TEXTS):
             for text in b.column("text").to_pylist():
                 h = shingles(text, k)
                 n = len(h)
@@ -183,108 +229,194 @@ def probe(k: int, num: int, den: int):
                     got = segment_keys(h, band, plans[band], num, den)
                     keys.append(got)
                     sids.append(np.full(len(got), sid, np.uint64))
-            if not sum(map(len, keys)):
-                continue
-            key, sid = np.concatenate(keys), np.concatenate(sids)
-            order = np.argsort(key, kind="stable")
-            sorted_key, sorted_sid = key[order], sid[order]
-            first = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))
-            lead = sorted_sid[np.flatnonzero(first)][np.cumsum(first) - 1]
-            tied = np.concatenate((~first[1:], [False])) | ~first       # members of groups of two and more
-            local = mix(sorted_key + mix(lead + np.uint64(7)))
-            keep = np.zeros(len(key), bool)
-            keep[order] = first                                         # rows of a set stay together, they pack better
-            gkey = np.concatenate((key[keep], local[tied]))
-            who = np.concatenate((sid[keep], sorted_sid[tied]))
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(x)) for x in (gkey, who)], ["gkey", "sid"])
+                    held += len(got)
+                if held >= CHUNK_KEYS:
+                    yield emit(keys, sids)
+                    keys, sids, held = [], [], 0
+        if held:
+            yield emit(keys, sids)
     return run
 
 
-def sets(k: int):
-    """Task: (sid, grp, n, fold, hashes) of documents, once per set, grp and task."""
-    def run(batches):
-        seen = set()
-        for b in batches:
-            sid, group, size, fold, hashes = [], [], [], [], []
-            for text, grp in zip(b.column("text").to_pylist(), b.column("grp").to_pylist()):
-                h = shingles(text, k)
-                s = set_id(h)
-                if (s, grp) in seen:
-                    continue
-                seen.add((s, grp))
-                bits = np.bincount((h & np.uint64(64 * FOLD_WORDS - 1)).astype(np.int64), minlength=64 * FOLD_WORDS) & 1
-                sid.append(s)
-                group.append(grp)
-                size.append(len(h))
-                fold.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
-                hashes.append(_signed(h))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_signed(sid)), pa.array(group, pa.int64()), pa.array(size, pa.int64()), pa.array(fold, pa.list_(pa.int64())),
-                 pa.array(hashes, pa.list_(pa.int64()))], ["sid", "grp", "n", "fold", "hashes"])
-    return run
+def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    inter = len(np.intersect1d(x, y, assume_unique=True))
+    return inter * den >= (len(x) + len(y) - inter) * num
 
 
-def set_data(wanted: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """sid, grp, n, fold and hashes of the sets in `wanted` (sid, grp), computed again from
-    one document of each (`reps`), which its id and the hash of its text name."""
-    ids = cut(reps.join(wanted, "sid").select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), F.col("sid").alias("__s"), "grp"))
-    picked = docs.join(checked_broadcast(ids, BATCH_IDS), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("h") == F.col("__h"))).select("text", "grp", "__s")
-    found = picked.select("text", "grp").mapInArrow(sets(k), "sid long, grp long, n long, fold array<long>, hashes array<long>")
-    # only wanted pairs of set and group count
-    return found.join(checked_broadcast(ids.select(F.col("__s").alias("sid"), "grp").distinct(), BATCH_IDS), ["sid", "grp"], "left_semi")
+def settle(group: dict, num: int, den: int, merged: bool) -> list[tuple[int, int]]:
+    """Links among the sets of a group (sid: component, hashes) that are of different components.
+
+    Sets that links found so far connect are not compared again, so a group has at most one
+    link less than sets; with `merged` a component counts as connected from the start.
+    """
+    sid, hashes = list(group), [h for _, h in group.values()]
+    component = np.unique([c for c, _ in group.values()], return_inverse=True)[1]
+    if not component.any():
+        return []
+    root = component.copy() if merged else np.arange(len(sid))
+    n, out = np.array([len(h) for h in hashes]), []
+    folds = np.stack([folded(h, 2 * fold_words(int(n.mean()))) for h in hashes]).view(np.uint64)
+    for j in range(1, len(sid)):
+        near = np.flatnonzero((component[:j] != component[j]) & (root[:j] != root[j])
+                              & (np.minimum(n[:j], n[j]) * den >= np.maximum(n[:j], n[j]) * num))
+        apart = np.bitwise_count(folds[near] ^ folds[j]).sum(1, dtype=np.int64)
+        ok = apart * (den + num) <= (n[near] + n[j]) * (den - num)
+        for i in near[ok][np.argsort(apart[ok], kind="stable")]:
+            if root[i] != root[j] and linked(hashes[i], hashes[j], num, den):
+                root[root == root[j]] = root[i]
+                out.append((min(sid[i], sid[j]), max(sid[i], sid[j])))
+    return out
+
+
+def unit_links(k: int, num: int, den: int, merged: bool):
+    """Task over rows (c, u, sid, component, text) sorted by (c, u): links (a, b) inside every unit (c, u)."""
+    def run(batches):
+        unit, group = None, {}
 
+        def batch(links):
+            return pa.RecordBatch.from_arrays([pa.array([x[j] for x in links], pa.int64()) for j in range(2)], ["a", "b"])
 
-def star_links(stars: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) among `stars` (a, b), one row per b: both sides meet at a."""
-    centre = stars.select(F.col("a").alias("sid"), F.col("a").alias("grp")).distinct()
-    right = set_data(stars.select(F.col("b").alias("sid"), F.col("a").alias("grp")), reps, docs, k).select(
-        F.col("grp").alias("a"), F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("fold").alias("fb"), F.col("hashes").alias("hb"))
-    left = set_data(centre, reps, docs, k).dropDuplicates(["sid"]).select(
-        F.col("sid").alias("a"), F.col("n").alias("na"), F.col("fold").alias("fa"), F.col("hashes").alias("ha"))
-    both = right.join(left, "a")
-    total = F.col("na") + F.col("nb")
-    both = both.where((F.expr(HAMMING) * (den + num) <= total * (den - num)) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
-    inter = F.size(F.array_intersect("ha", "hb"))
-    return both.where(inter * den >= (total - inter) * num).select("a", "b").distinct()
+        for rows in slices(batches, TASK_TEXTS):
+            found = []
+            for c, u, sid, component, text in zip(*(rows.column(x).to_pylist() for x in ("c", "u", "sid", "component", "text"))):
+                if (c, u) != unit:
+                    found += settle(group, num, den, merged) if len(group) > 1 else []
+                    unit, group = (c, u), {}
+                if sid not in group:                        # repeated rows
+                    group[sid] = component, shingles(text, k)
+            yield batch(found)
+        if len(group) > 1:
+            yield batch(settle(group, num, den, merged))
+    return run
 
 
-def meetings(num: int, den: int):
-    """Task over rows (c, g, sid, component, n, nd, tail, s0, s1) sorted by (c, g): pairs (c, a, b)
-    of different components that meet on a shared shingle and may be linked, each once per batch.
+def units(rows: DataFrame, of: str, weight, limit: int) -> DataFrame:
+    """`rows` (`of`, sid, component, ...) with the unit u of their `of` in which they are compared.
 
-    Both tails must be long enough, and the 128 parities s0, s1 of the two sets may differ in no
-    more places than linked sets differ in shingles. So a pair of a dense group that is not linked
-    is a comparison of a few words here and becomes no row. A key's rows are all a task holds of it.
+    What weighs up to `limit` is one unit. Above it, rows are dealt over blocks and a unit is
+    a pair of blocks; the heaviest component has blocks of its own, which are not paired with
+    each other, for only rows of different components are compared.
     """
-    told = ["component", "n", "nd", "tail", "s0", "s1"]
-    names = ["c", "g", "sid", *told]
+    per = rows.groupBy(of, "component").agg(F.sum(weight).alias("w")).groupBy(of).agg(F.sum("w").alias("w"), F.max(F.struct("w", "component")).alias("top"))
+    # at most one row per `limit` of weight
+    hot = F.broadcast(per.where(F.col("w") > limit).select(
+        F.col(of).alias("__of"), F.col("top.component").alias("__top"), F.ceil(F.col("top.w") / limit).alias("__bt"),
+        F.greatest(F.ceil((F.col("w") - F.col("top.w")) / limit), F.lit(1)).alias("__bo")))
+    place, top = F.xxhash64("sid"), F.col("component") == F.col("__top")
+    block = F.when(F.col("__of").isNull(), 0).when(top, F.col("__bo") + F.pmod(place, "__bt")).otherwise(F.pmod(place, "__bo"))
+    last = F.when(F.col("__of").isNull(), 0).when(top, F.col("__bo") - 1).otherwise(F.col("__bo") + F.col("__bt") - 1)
+    dealt = rows.join(hot, F.col(of) == F.col("__of"), "left").select(
+        *rows.columns, block.cast("long").alias("__x"), F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("__y"))
+    return dealt.select(*rows.columns, (F.shiftleft(F.least("__x", "__y"), 31) + F.greatest("__x", "__y")).alias("u"))
+
+
+def exact_links(rows: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int, den: int, merged: bool) -> DataFrame:
+    """Links (a, b) of different components inside every c of `rows` (c, sid, component), as `settle` finds them.
+
+    The sets are computed again where they are compared, from the text of one document of
+    each (`reps`), which its id and the hash of its text name.
+    """
+    named = units(rows.join(reps.select("sid", "n", F.col("doc_id").alias("__d"), F.col("h").alias("__h")), "sid"), "c", "n", UNIT_SHINGLES)
+    ids = checked_broadcast(named.select("c", "u", "sid", "component", "__d", "__h"), BATCH_IDS)
+    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("h") == F.col("__h"))).select("c", "u", "sid", "component", "text")
+    parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return texts.repartition(parts, "c", "u").sortWithinPartitions("c", "u").mapInArrow(unit_links(k, num, den, merged), "a long, b long").distinct()
 
+
+def star_links(stars: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) among `stars` (a, b), one row per b; the folds see most pairs off before texts travel."""
+    data = reps.select("sid", "n", "fold")
+    both = stars.join(data.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("fold").alias("fb")), "b").join(
+        data.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("fold").alias("fa")), "a")
+    total = F.col("na") + F.col("nb")
+    near = cut(both.where((F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (F.expr(HAMMING) * (den + num) <= total * (den - num))).select("a", "b"))
+    # the others of a star are compared with its first only
+    rows = near.select(F.col("a").alias("c"), F.col("b").alias("sid"), F.lit(0).cast("long").alias("component")).unionByName(
+        near.select(F.col("a").alias("c"), F.col("a").alias("sid"), F.lit(1).cast("long").alias("component")).distinct())
+    return exact_links(rows, reps, docs, k, num, den, merged=False)
+
+
+def meetings(num: int, den: int, forest: bool = False):
+    """Task over rows (c, g, sid, component, n, fold) sorted by the width of fold and by (c, g):
+    pairs (c, a, b) of different components that meet on a shared key in folds of one width and
+    may be linked, each once per batch.
+
+    The parities in the folds of the two sets may differ in no more places than linked sets
+    differ in shingles. Rows of differences have 128 parities s0, s1 instead, and nd and tail:
+    both tails must be long enough. So a pair of a dense group that is not linked is a
+    comparison of a few words here and becomes no row. A key's rows are all a task holds of it.
+    With `forest`, a pair that earlier pairs of the task connect is left out.
+    """
     def may_link(x: dict, y: dict) -> np.ndarray:
         bound = (den - num) * (x["n"] + y["n"])
-        ok = (x["component"] != y["component"]) & ((2 * np.minimum(x["tail"], y["tail"]) - x["nd"] - y["nd"]) * (den + num) + bound >= 0)
-        apart = np.bitwise_count(x["s0"] ^ y["s0"]).astype(np.int64) + np.bitwise_count(x["s1"] ^ y["s1"])
-        return ok & (apart * (den + num) <= bound)
+        ok = x["component"] != y["component"]
+        if "tail" in x:
+            ok = ok & ((2 * np.minimum(x["tail"], y["tail"]) - x["nd"] - y["nd"]) * (den + num) + bound >= 0)
+        else:
+            ok = ok & (np.minimum(x["n"], y["n"]) * den >= np.maximum(x["n"], y["n"]) * num)
+        at, words = np.flatnonzero(ok), x["s"].shape[-1]
+        bound = np.broadcast_to(bound, ok.shape)[at]
+        step = max(1, CHUNK_WORDS // words)
+        for lo in range(0, len(at), step):
+            some = at[lo:lo + step]
+            apart = np.bitwise_count(x["s"][x["i"][some]] ^ y["s"][y["i"][some]]).sum(1, dtype=np.int64)
+            ok[some] = apart * (den + num) <= bound[lo:lo + step]
+        return ok
+
+    def picked(col: dict, i: np.ndarray) -> dict:
+        return {k: v if k == "s" else v[i] for k, v in col.items()} | {"i": i}
+
+    def even(batches):
+        for b in batches:
+            if "fold" not in b.schema.names:
+                yield b
+                continue
+            width = pc.list_value_length(b.column("fold")).to_numpy(zero_copy_only=False)
+            at = [0, *(np.flatnonzero(np.diff(width)) + 1).tolist(), len(width)]
+            yield from (b.slice(lo, hi - lo) for lo, hi in zip(at, at[1:]))
+
+    def spanning(pairs: np.ndarray, root: dict) -> np.ndarray:
+        def find(v):
+            while (up := root.setdefault(v, v)) != v:
+                root[v] = root[up]
+                v = up
+            return v
+
+        new = np.zeros(len(pairs), bool)
+        for j, (a, b) in enumerate(pairs[:, 1:].tolist()):
+            if (x := find(a)) != (y := find(b)):
+                root[x], new[j] = y, True
+        return pairs[new]
 
     def run(batches):
-        held = None                         # rows of the last key, which the next batch may go on with
-        for batch in batches:
-            col = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
-            # unsigned words: the count of a negative number's bits is that of its absolute value
-            col.update({c: np.ascontiguousarray(col[c]).view(np.uint64) for c in ("s0", "s1")})
-            size = len(col["g"])
+        held, root = None, {}               # rows of the last key, which the next batch may go on with
+        for batch in even(batches):
+            size = batch.num_rows
             if not size:
                 continue
+            col = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names if c not in ("fold", "s0", "s1")}
+            # unsigned words: the count of a negative number's bits is that of its absolute value
+            if "fold" in batch.schema.names:
+                col["s"] = batch.column("fold").flatten().to_numpy(zero_copy_only=False).reshape(size, -1).view(np.uint64)
+            else:
+                col["s"] = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("s0", "s1")], 1).view(np.uint64)
+            told = {k: v for k, v in col.items() if k not in ("c", "g", "sid")}
             c, g, sid = col["c"], col["g"], col["sid"]
-            found = []
+            found, many = [], 0
 
             def keep(c_, x, y):
+                nonlocal found, many
                 found.append(np.stack((c_, np.minimum(x, y), np.maximum(x, y)), 1))
+                many += len(x)
+                if forest and many >= CHUNK_KEYS:
+                    found, many = [spanning(np.concatenate(found), {})], 0
 
             starts = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (c[1:] != c[:-1]))))
             ends = np.append(starts[1:], size)
-            if held is not None and held["g"][0] == g[0] and held["c"][0] == c[0]:
+            if held is not None and held["g"][0] == g[0] and held["c"][0] == c[0] and held["s"].shape[1] == col["s"].shape[1]:
+                all_held = picked(held, np.arange(len(held["g"])))
                 for j in range(ends[0]):
-                    at = np.flatnonzero(may_link(held, {k: col[k][j] for k in told}))
+                    at = np.flatnonzero(may_link(all_held, picked(told, np.full(len(held["g"]), j))))
                     if len(at):
                         keep(np.full(len(at), c[j]), held["sid"][at], np.full(len(at), sid[j]))
             else:
@@ -296,7 +428,7 @@ def meetings(num: int, den: int):
                 i = i[i + step < last[i]]
                 if not len(i):
                     break
-                ok = i[may_link({k: col[k][i] for k in told}, {k: col[k][i + step] for k in told})]
+                ok = i[may_link(picked(told, i), picked(told, i + step))]
                 if len(ok):
                     keep(c[ok], sid[ok], sid[ok + step])
                 step += 1
@@ -306,94 +438,60 @@ def meetings(num: int, den: int):
             held = tail
             if found:
                 pairs = np.unique(np.concatenate(found), axis=0)
+                if forest:
+                    pairs = spanning(pairs, root)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, j].copy()) for j in range(3)], ["c", "a", "b"])
     return run
 
 
-def open_links(members: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) between different components inside the clusters of `members` (c, sid, component).
+def open_links(shared: DataFrame, label: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between different components (`label`: node, component) of sets in a bucket of `shared` (key, sid).
 
-    A cluster is what buckets connect. Every set is written as its difference D from a pivot
-    P of the cluster. Two sets differ by |D_x| + |D_y| - 2 |D_x and D_y| shingles, so sets
-    that are not both linked to P can only be linked when their differences share shingles,
-    at least half of what |D_x| + |D_y| exceeds the bound by. Differences are ordered
-    (shingles outside P first) and meet on a shared shingle only where both tails from there
-    on are still long enough and the sketches allow a link (`meetings`). So a dense group of near copies that are just not linked costs
-    its differences, not its pairs. The pivot is the member nearest to the cluster's majority
-    (shingles that more than half have), which keeps a pivot's own edits out of the
-    differences. Differences are first taken from the smallest set id and then moved to P.
+    Linked sets share a bucket. Sets of a bucket meet with their folds in a sorted stream
+    (`meetings`), and a task keeps a forest of the pairs that may be linked: what these
+    connect is a cluster, and a set that may be linked to nothing is in none. The texts of a
+    cluster then meet once, and a task compares the sets that its links do not yet connect. So
+    pairs are comparisons, never rows, and a bucket that many passages tie to others is no
+    cluster. Buckets of the same sets are compared once.
     """
-    first = members.groupBy("c").agg(F.min("sid").alias("p0"), F.count("*").alias("m"))
-    centre = set_data(first.select(F.col("p0").alias("sid"), F.col("c").alias("grp")), reps, docs, k).dropDuplicates(["grp"]).select(
-        F.col("grp").alias("c"), F.col("n").alias("n0"), F.col("hashes").alias("h0"))
-    data = set_data(members.select("sid", F.col("c").alias("grp")), reps, docs, k).dropDuplicates(["grp", "sid"]).select(F.col("grp").alias("c"), "sid", "n", "fold", "hashes")
-    rough = cut(data.join(centre, "c").select("c", "sid", "n", "fold", F.array_except("hashes", "h0").alias("new"), F.array_except("h0", "hashes").alias("gone")))
-    # which member is the pivot only steers the cost: a sixteenth of the shingles tells it
-    flat = rough.select("c", "sid", F.explode(F.concat("new", "gone")).alias("g")).where(F.pmod("g", F.lit(16)) == 0)
-    major = cut(flat.groupBy("c", "g").agg(F.count("*").alias("k")).join(first, "c").where("2 * k > m").select("c", "g"))
-    shared = flat.join(major, ["c", "g"]).groupBy("c", "sid").agg(F.count("*").alias("s"))
-    few = F.aggregate(F.concat("new", "gone"), F.lit(0), lambda t, g: t + F.when(F.pmod(g, F.lit(16)) == 0, 1).otherwise(0))
-    far = rough.select("c", "sid", few.alias("nd")).join(shared, ["c", "sid"], "left").select(
-        "c", "sid", (F.col("nd") - 2 * F.coalesce("s", F.lit(0))).alias("far"))
-    middle = far.groupBy("c").agg(F.min(F.struct("far", "sid")).alias("b")).select("c", F.col("b.sid").alias("sid"))
-    pivot = rough.join(middle, ["c", "sid"]).select("c", F.col("sid").alias("p"), F.col("n").alias("np"), F.col("new").alias("pn"), F.col("gone").alias("pg"))
-    moved = rough.join(members, ["c", "sid"]).join(pivot, "c").where("sid <> p").select(
-        "c", "p", "sid", "component", "n", "np", "fold", F.concat(
-            F.array_sort(F.concat(F.array_except("new", "pn"), F.array_except("pg", "gone"))),
-            F.array_sort(F.concat(F.array_except("gone", "pg"), F.array_except("pn", "new")))).alias("d"))
-    diff = cut(moved.withColumn("nd", F.size("d").cast("long")))
-
-    def linked(distance, n):
-        return (den + num) * distance <= (den - num) * n
-
-    near_pivot = diff.where(linked(F.col("nd"), F.col("n") + F.col("np"))).select(F.col("p").alias("a"), F.col("sid").alias("b"))
-    # shared >= (|D_x| + |D_y| - T) / 2 with T = (den - num) / (den + num) * (n_x + n_y); as
-    # |D_y| is at least 1 and at least |D_x| - T, tails below both bounds meet nothing
-    most = F.floor((den - num) * F.col("n") / F.lit(float(num)) + 1e-6)          # T for the largest n_y
-    least = F.greatest((F.col("nd") + 1 - most) / 2, F.col("nd") - most)
-    short = [F.expr(f"aggregate(sequence({j}, {FOLD_WORDS - 1}, 2), 0L, (s, i) -> s ^ fold[i])").alias(f"s{j}") for j in (0, 1)]
-    rows = diff.select("c", "sid", "component", "n", "nd", *short, least.alias("least"), F.posexplode("d").alias("at", "g")).withColumn(
-        "tail", F.col("nd") - F.col("at")).where("tail >= least").drop("least", "at")
+    rows = shared.select("key", "sid").distinct().join(label.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn(
+        "component", F.coalesce("component", "sid"))
+    same = [F.count("*").alias("m"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y")]
+    keys = rows.groupBy("key").agg(*same, F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q")
+    rows = cut(rows.join(keys.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"))
+    # folds of one width meet; a set that may be linked to one of the next smaller width joins there too, folded on to it
+    half = F.expr("zip_with(slice(fold, 1, size(fold) div 2), slice(fold, size(fold) div 2 + 1, size(fold) div 2), (x, y) -> x ^ y)")
+    below = (F.size("fold") > FOLD_WORDS) & (F.col("n") * num <= F.size("fold") * (16 * den))
+    data = reps.select("sid", "n", F.explode(F.when(below, F.array("fold", half)).otherwise(F.array("fold"))).alias("fold"))
+    met = units(rows, "key", F.lit(1), UNIT_ROWS).join(data, "sid").select(
+        F.col("u").alias("c"), F.col("key").alias("g"), "sid", "component", "n", "fold", F.size("fold").alias("w"))
     parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.repartition(parts, "c", "g").sortWithinPartitions("c", "g").select("c", "g", "sid", "component", "n", "nd", "tail", "s0", "s1")
-    pairs = cut(dealt.mapInArrow(meetings(num, den), "c long, a long, b long").distinct())
-    # the wide folds see nearly every pair off before its differences travel
-    folds = diff.select("c", F.col("sid").alias("s"), "n", "fold")
-    near = pairs.join(folds.select("c", F.col("s").alias("a"), F.col("n").alias("na"), F.col("fold").alias("fa")), ["c", "a"]).join(
-        folds.select("c", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("fold").alias("fb")), ["c", "b"])
-    pairs = cut(near.where(linked(F.expr(HAMMING), F.col("na") + F.col("nb"))).select("c", "a", "b"))
-    left = diff.select("c", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("d").alias("da"))
-    right = diff.select("c", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"))
-    both = pairs.join(left, ["c", "a"]).join(right, ["c", "b"])
-    apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
-    return near_pivot.unionByName(both.where(linked(apart, F.col("na") + F.col("nb"))).select("a", "b"))
+    dealt = met.repartition(parts, "w", "c", "g").sortWithinPartitions("w", "c", "g").drop("w")
+    pairs = cut(dealt.mapInArrow(meetings(num, den, forest=True), "c long, a long, b long").select("a", "b").distinct())
+    cluster = min_labels(pairs, cut).select(F.col("node").alias("sid"), F.col("component").alias("c"))
+    members = cluster.join(rows.select("sid", "component").distinct(), "sid")
+    return exact_links(members, reps, docs, k, num, den, merged=True)
 
 
 def _components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """doc_id, h, n_shingles, component (a set id, null for empty sets), component_id and n_links of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
-    described = cut(docs.mapInArrow(describe(k), "doc_id long, h long, n_shingles long, sid long"))
-    reps = cut(described.where("n_shingles > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "h")).alias("r")).select("sid", "r.doc_id", "r.h"))
+    described = cut(docs.mapInArrow(describe(k), "doc_id long, h long, n_shingles long, sid long, fold array<long>"))
+    reps = described.where("n_shingles > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "h", F.col("n_shingles").alias("n"), "fold")).alias("r"))
+    reps = cut(reps.select("sid", "r.doc_id", "r.h", "r.n", "r.fold"))
     w = Window.partitionBy("gkey")
-    rows = docs.select("text").mapInArrow(probe(k, num, den), "gkey long, sid long")
-    met = rows.withColumn("a", F.min("sid").over(w)).where("sid <> a")
-    met = cut(met.groupBy("a", F.col("sid").alias("b")).agg(F.count("*").alias("times")))
+    rows = docs.select("text").mapInArrow(probe(k, num, den), "gkey long, sid long, key long")
+    shared = rows.withColumn("a", F.min("sid").over(w)).withColumn("z", F.max("sid").over(w)).where("a <> z")
+    shared = cut(shared.select(F.coalesce("key", "gkey").alias("key"), "sid", "a"))
+    met = shared.where("sid <> a").groupBy("a", F.col("sid").alias("b")).agg(F.count("*").alias("times"))
     # every set is compared with the pivot it shares most buckets with
     best = met.groupBy("b").agg(F.min(F.struct((-F.col("times")).alias("t"), "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    links = cut(star_links(cut(best), reps, docs, k, num, den))
+    links = cut(star_links(best, reps, docs, k, num, den))
+    label = cut(min_labels(links, cut))
+    # what is left: sets that share a bucket and that links, so far, do not connect
+    more = links.unionByName(open_links(shared, label, reps, docs, k, num, den))
+    links = cut(more.distinct())
     label = cut(min_labels(links, cut))
-    # what is left: sets that buckets connect and links, so far, do not
-    # a set's pivots are tied to the smallest of them: the pairs of pivots are few
-    tied = met.select(F.min("a").over(Window.partitionBy("b")).alias("low"), "a", "b")
-    tied = tied.select(F.col("low").alias("a"), "b").unionByName(tied.select(F.col("low").alias("a"), F.col("a").alias("b"))).distinct()
-    cluster = min_labels(tied, cut).select(F.col("node").alias("sid"), F.col("component").alias("c"))
-    members = cluster.join(label.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    open_ = members.groupBy("c").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("c")
-    members = cut(members.join(open_, "c", "left_semi").select("c", "sid", "component"))
-    if members.limit(1).count():
-        more = links.unionByName(open_links(members, reps, docs, k, num, den))
-        links = cut(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        label = cut(min_labels(links, cut))
     ends = links.select(F.col("a").alias("sid")).unionByName(links.select(F.col("b").alias("sid"))).groupBy("sid").agg(F.count("*").alias("n_links"))
     filled = described.where("n_shingles > 0")
     node = filled.groupBy("sid").agg(F.min("doc_id").alias("low"))
@@ -430,9 +528,12 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     """
     found = cut(_components(docs, k, num, den).select("doc_id", "h", "n_shingles", "component"))
     lead = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")).alias("r"))
-    keep = lead.select(F.col("r.doc_id").alias("__key"), F.col("r.h").alias("__x"))
-    blank = found.where("n_shingles = 0").select(F.col("doc_id").alias("__key"), F.col("h").alias("__x")).distinct()
+    lead = lead.select(F.col("r.doc_id").alias("__d"), F.col("r.h").alias("__y"), F.lit(True).alias("__lead"))
+    texts = found.where("n_shingles > 0").groupBy(F.col("doc_id").alias("__key"), F.col("h").alias("__x")).agg(F.count("*").alias("__m"))
+    # most rows stay as they are: named are those that go and those of which one stays
+    named = texts.join(lead, F.col("__key").eqNullSafe(F.col("__d")) & (F.col("__x") == F.col("__y")), "left").where("__lead is null or __m > 1")
+    named = checked_broadcast(named.select("__key", "__x", F.coalesce("__lead", F.lit(False)).alias("__one")), BATCH_IDS)
     rows = docs.withColumnRenamed("doc_id", "__id").withColumn("__h", F.xxhash64("text"))
-    same = F.col("__id").cast("long").eqNullSafe(F.col("__key")) & (F.col("__h") == F.col("__x"))
-    first = rows.join(keep, same, "left_semi").withColumn("__k", F.row_number().over(Window.partitionBy("__id", "__h").orderBy("__h"))).where("__k = 1").drop("__k")
-    return first.unionByName(rows.join(blank, same, "left_semi")).withColumnRenamed("__id", "doc_id").select(*docs.columns)
+    told = rows.join(named, F.col("__id").cast("long").eqNullSafe(F.col("__key")) & (F.col("__h") == F.col("__x")), "left")
+    first = told.where("__one").withColumn("__k", F.row_number().over(Window.partitionBy("__id", "__h").orderBy("__h"))).where("__k = 1").drop("__k")
+    return told.where("__one is null").unionByName(first).withColumnRenamed("__id", "doc_id").select(*docs.columns)

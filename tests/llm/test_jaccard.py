@@ -115,3 +115,91 @@ def test_dense_groups_that_are_not_linked_make_no_rows(size):
     met = {(x[2], y[2]) for x in rows for y in rows if x[1] == y[1] and x[2] < y[2]}
     assert len(links) == 40 and links <= got
     assert len(met) > 20_000 and len(got) < 400                # what the join on a shared shingle made rows of
+
+
+def family(seed, n, size, edits):
+    """n texts of about `size` words with up to `edits` words of a common text exchanged, from few words or unique ones."""
+    r = random.Random(seed)
+    base = [f"w{r.randrange(10 ** 6)}" for _ in range(size)]
+    rows = []
+    for i in range(n):
+        w = list(base[:r.choice([size, size, size * 9 // 10])])
+        for j in range(r.randrange(edits + 1)):
+            w[r.randrange(len(w))] = f"x{r.randrange(30)}" if j % 2 else f"u{i}y{j}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_dense_families_travel_as_sets_and_not_as_pairs(spark, monkeypatch):
+    """240 texts around the threshold: tables of pairs and texts sent to a comparison stay in proportion to the sets."""
+    rows, kept = family(3, 240, 200, 12), []
+
+    def counted(df, put=jaccard.cut):
+        out = put(df)
+        if {"a", "b"} <= set(out.columns) and "times" not in out.columns:
+            kept.append(("pairs", out.count()))
+        return out
+    monkeypatch.setattr(jaccard, "cut", counted)
+    sent = jaccard.exact_links if hasattr(jaccard, "exact_links") else None
+    if sent:
+        monkeypatch.setattr(jaccard, "exact_links", lambda r, *a, **b: (kept.append(("texts", r.count())), sent(r, *a, **b))[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.doc_id, r.n_shingles, r.component_id) for r in jaccard.components(docs, 5, 80, 100).collect()}
+    assert got == brute(rows, 5, 80, 100)
+    parts = {c for _, _, c in got.values()}
+    assert 1 < len(parts) < 200                                           # some are linked, some are not
+    assert max(n for _, n in kept) <= 2 * len(rows), kept
+
+
+def test_hot_buckets_and_clusters_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "UNIT_ROWS", 7)
+    monkeypatch.setattr(jaccard, "UNIT_SHINGLES", 900)
+    rows = planted(5, 160)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.doc_id, r.n_shingles, r.component_id) for r in jaccard.components(docs, 3, 90, 100).collect()}
+    assert got == brute(rows, 3, 90, 100)
+
+
+def test_units_hold_every_pair_of_two_components(spark):
+    rows = [(1, i, 5) for i in range(40)] + [(1, 100 + i, 200 + i % 6) for i in range(13)] + [(2, i, i) for i in range(25)] + [(3, i, i) for i in range(4)]
+    df = spark.createDataFrame(rows, "c long, sid long, component long")
+    dealt = jaccard.units(df, "c", jaccard.F.lit(1), 4).collect()
+    held = {}
+    for r in dealt:
+        held.setdefault((r.c, r.u), []).append((r.sid, r.component))
+    met = {(c, x[0], y[0]) for (c, _), v in held.items() for x in v for y in v if x[1] != y[1] and x[0] < y[0]}
+    assert met == {(x[0], x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[2] != y[2] and x[1] < y[1]}
+    assert max(map(len, held.values())) < 40 and len(held) > 3 and len({k for k in held if k[0] == 3}) == 1
+
+
+def test_folds_of_different_widths_meet(spark):
+    """Sets on both sides of the sizes where folds get wider, linked and just not linked."""
+    r, rows = random.Random(9), []
+    for f, size in enumerate((500, 540, 1010, 1090, 2100)):
+        base = [f"f{f}w{j}" for j in range(size)]
+        for i in range(12):
+            w = base[:size - r.randrange(size // 5)] if i % 2 else base + [f"f{f}z{i}y{j}" for j in range(r.randrange(size // 4))]
+            for _ in range(r.randrange(size // 80)):
+                w[r.randrange(len(w))] = f"x{r.randrange(99)}"
+            rows.append((len(rows), " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: (x.doc_id, x.n_shingles, x.component_id) for x in jaccard.components(docs, 5, 80, 100).collect()}
+    want = brute(rows, 5, 80, 100)
+    assert got == want and len({c for _, _, c in want.values()}) > 5
+    assert len({jaccard.fold_words(n) for _, n, _ in want.values()}) >= 4
+
+
+def test_keep_one_of_repeated_rows_and_a_large_list_of_names(spark, monkeypatch):
+    say = lambda k: " ".join(f"t{k}w{i}" for i in range(40))
+    rows = [(i % 9 if i % 4 else None, say(i % 5) if i % 7 else None, i) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(3)
+
+    def check():
+        got = [tuple(x) for x in jaccard.keep_one(docs).collect()]
+        assert sorted(x[2] for x in got if x[1] is None) == sorted(x[2] for x in rows if x[1] is None)
+        rest = [x for x in got if x[1] is not None]
+        low = {t: min(i for i, u, _ in rows if u == t and i is not None) for t in {x[1] for x in rest}}
+        assert len(rest) == 5 and all(x[0] == low[x[1]] and x in rows for x in rest)
+    check()
+    monkeypatch.setattr(jaccard, "BATCH_IDS", 0)                          # nothing is broadcast
+    check()
